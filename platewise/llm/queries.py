@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import chat_format, packing, pii, quality, sharding, token_counts
+from platewise.llm import chat_format, near_dedup, packing, pii, quality, sharding, token_counts
 from platewise.llm.common import table
 
 #: Fixed conversation that queries of chat formatting add: control strings inside texts.
@@ -26,6 +26,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup_table(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op5_sharding, op8_token_counts, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op5_sharding, op6_near_dedup, op8_token_counts, op9_packing, op10_pii)}
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '#', '\h'), '<', '\l')"
 ORACLE_SQL = {
@@ -57,4 +61,22 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length(esc_text) + CASE WHEN opens THEN length(esc_role) + 13 ELSE 5 END)::BIGINT AS formatted_chars
         FROM parts GROUP BY conv_id""",
+    "op6_near_dedup": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' ')))
+                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+        classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM sets GROUP BY 1),
+        members AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM classes),
+        common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c, any_value(a.n) AS an, any_value(b.n) AS bn
+                   FROM members a JOIN members b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (an + bn - c)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT rep AS a, rep AS b FROM classes WHERE len(s) > 0 UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+        roots AS (SELECT a AS rep, min(b) AS root FROM reach GROUP BY 1)
+        SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(r.root, d.doc_id) AS component_id,
+               coalesce(r.root, d.doc_id) = d.doc_id AS kept
+        FROM sets d LEFT JOIN classes c ON list_sort(d.s) = c.s AND len(d.s) > 0 LEFT JOIN roots r ON r.rep = c.rep""",
 }
