@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.llm import chat_format, near_dedup, packing, pii, quality, sharding, token_counts
+from platewise.llm import chat_format, decontaminate, near_dedup, packing, pii, quality, sharding, token_counts
 from platewise.llm.common import table
 
 #: Fixed conversation that queries of chat formatting add: control strings inside texts.
@@ -30,6 +30,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup_table(table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op5_sharding, op6_near_dedup, op8_token_counts, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op5_sharding, op6_near_dedup, op7_decontaminate, op8_token_counts, op9_packing, op10_pii)}
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '#', '\h'), '<', '\l')"
 ORACLE_SQL = {
