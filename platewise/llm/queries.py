@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from platewise.llm import chat_format, decontaminate, near_dedup, packing, pii, quality, sharding, token_counts
+from platewise.llm import chat_format, decontaminate, language_id, license_scan, near_dedup, packing, pii, quality, sharding, token_counts
 from platewise.llm.common import table
 
 #: Fixed conversation that queries of chat formatting add: control strings inside texts.
@@ -22,6 +21,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
@@ -46,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op5_sharding, op6_near_dedup, op7_decontaminate, op8_token_counts, op9_packing, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_language_id, op4_license_scan, op5_sharding, op6_near_dedup, op7_decontaminate, op8_token_counts, op9_packing, op10_pii)}
 
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '#', '\h'), '<', '\l')"
 ORACLE_SQL = {
