@@ -1 +1 @@
-"""Plans of the engine."""
+"""Query plans over the tables: views, composed evaluation, and the registered queries."""
