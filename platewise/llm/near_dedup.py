@@ -51,6 +51,8 @@ BROADCAST_IDS = 500_000
 #: Rounds of stars before members of different groups are paired.
 STAR_ROUNDS = 2
 SKETCH_BITS = 4
+#: Bits of the bitmap of a set's members.
+BITMAP = 2048
 SKETCH_LONGS = (BANDS * ROWS * SKETCH_BITS + 63) // 64
 
 
@@ -141,12 +143,19 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1).view(np.int64)
 
 
+def bitmaps(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashed bitmaps of sets that lie one after another, as 64-bit numbers."""
+    bits = np.zeros(len(sizes) * BITMAP, np.uint8)
+    bits[np.repeat(np.arange(len(sizes)), sizes) * BITMAP + (mix64(members) & U64(BITMAP - 1)).astype(np.int64)] = 1
+    return np.packbits(bits.reshape(len(sizes), BITMAP), axis=1).view(np.int64)
+
+
 def _lists(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()), pa.array(values.ravel()))
 
 
 def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, n, f1, f2, bands, sketch`` of every row."""
+    """``doc_id, n, f1, f2, bands, sketch, bits`` of every row."""
     slots = bands * rows
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,21 +170,25 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     total = np.concatenate([[U64(0)], np.cumsum(mix64(members ^ U64(salt)))])
                     sums.append((total[ends] - total[ends - sizes]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes), *map(pa.array, sums), _lists(band_keys(signatures, bands, rows)), _lists(sketches(signatures))],
-                    ["doc_id", "n", "f1", "f2", "bands", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array(sizes), *map(pa.array, sums), _lists(band_keys(signatures, bands, rows)), _lists(sketches(signatures)), _lists(bitmaps(members, sizes))],
+                    ["doc_id", "n", "f1", "f2", "bands", "sketch", "bits"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>, bits array<long>")
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches of two members leave a similarity of ``percent`` possible."""
+    """Whether sizes, sketches and bitmaps of two members leave a similarity of ``percent`` possible."""
     slots = BANDS * ROWS
     expected = 1 - (1 - percent / 100) / 2
     spread = (percent / 100 * (1 - percent / 100) / 4 / slots + 0.25 * (1 - percent / 100) / (slots * SKETCH_BITS)) ** 0.5
     most = int((1 - expected + 5 * spread) * slots * SKETCH_BITS)
     differing = "+".join(f"bit_count({a}.sketch[{k}] ^ {b}.sketch[{k}])" for k in range(SKETCH_LONGS))
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {differing} <= {most}")
+    held = f"aggregate(zip_with({a}.bits, {b}.bits, (x, y) -> bit_count(x & y)), 0, (s, x) -> s + x)"
+    count = lambda side: f"aggregate({side}.bits, 0, (s, x) -> s + bit_count(x))"
+    common = f"least({a}.n - {count(a)} + {held}, {b}.n - {count(b)} + {held})"
+    bounded = f"{100 + percent} * ({common}) >= {percent} * ({a}.n + {b}.n)"
+    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {differing} <= {most} and {bounded}")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -272,7 +285,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     pairs = materialize(pairs, "pairs")
     links = verify(pairs, plain, shingle, percent)
     found = components(links)
-    sketch = reps.select(F.col("doc_id").alias("id"), "sketch")
+    sketch = reps.select(F.col("doc_id").alias("id"), "sketch", "bits")
     for k in range(star_rounds):
         named = shared.select("key", "id", "n").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
         groups = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
