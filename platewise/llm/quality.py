@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 14
 #: Bound of the sample of labelled documents that the trusted multinomial is fitted on.
 TRUSTED_DOCS = 20_000
-#: Pseudo-count of a bucket.
-SMOOTHING = 0.5
+#: Pseudo-n-grams, drawn from the corpus multinomial, that the trusted one starts from; few
+#: trusted documents therefore leave all scores near 0.
+PRIOR = float(BUCKETS)
 #: Documents that score less are rejected.
 THRESHOLD = -0.5
 #: Words in a window whose repetition counts, and limits of the base rules.
@@ -113,11 +114,12 @@ def ratio_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum("n").alias("all_n"),
         F.sum("t").alias("all_t"),
     )
-    p = lambda part, whole: F.log((F.coalesce(part, F.lit(0)) + SMOOTHING) / (F.coalesce(whole, F.lit(0)) + SMOOTHING * BUCKETS))
-    ratio = F.transform(
-        F.sequence(F.lit(0), F.lit(BUCKETS - 1)),
-        lambda b: let(F.col("by")[b], lambda x: p(x["t"], F.col("all_t")) - p(x["n"], F.col("all_n"))),
-    )
+
+    def log_ratio(x: Column) -> Column:
+        share = x["n"] / F.col("all_n")
+        return F.coalesce(F.log((x["t"] + PRIOR * share) / (F.col("all_t") + PRIOR) / share), F.lit(0.0))
+
+    ratio = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: let(F.col("by")[b], log_ratio))
     return totals.select(F.when(F.col("all_t") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("ratios"))
 
 
