@@ -156,26 +156,23 @@ def candidate_cuts(ends: np.ndarray, sentences: np.ndarray, max_len: int) -> tup
 def best_cuts(pos: np.ndarray, cost: np.ndarray, max_len: int = MAX_LEN) -> list[int]:
     """Indices of the cheapest cuts, from the first candidate to the last.
 
-    ``pos`` rises from 0 in gaps of at most ``max_len``.  Penalties apply to every
-    cut but the last.
+    ``pos`` rises from 0 in gaps of at most ``max_len``.  The last window costs
+    nothing: it is carried into the next block or laid out without padding.
     """
     p, c = pos.tolist(), cost.tolist()
     n = len(p)
-    back, value = [0] * n, [0] * n
+    back, value = [0] * n, [0] * n  # value holds the cost of a cut plus its position
     queue = deque([0])
-    for j in range(1, n):
+    for j in range(1, n - 1):
         pj = p[j]
         while p[queue[0]] < pj - max_len:
             queue.popleft()
-        i = queue[0]
-        back[j] = i
-        here = value[i] + max_len - pj + c[j]
-        # value[] holds best + position, so that the queue compares what the transition adds up
-        here += pj
+        back[j] = i = queue[0]
+        value[j] = here = value[i] + max_len + c[j]
         while queue and value[queue[-1]] >= here:
             queue.pop()
-        value[j] = here
         queue.append(j)
+    back[n - 1] = min((i for i in range(n - 1) if p[i] >= p[-1] - max_len), key=lambda i: (value[i] - p[i], -i)) if n > 1 else 0
     cuts, j = [n - 1], n - 1
     while j:
         j = back[j]
