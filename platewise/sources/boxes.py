@@ -26,19 +26,19 @@ def parse_boxes(lines: DataFrame, value: str = "value", lenient: bool = False) -
 
 def read_boxes(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """``image_id`` (the file), ``pos`` (order in the file) and box columns.  A missing file is an empty table only as part of a glob."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("image_id"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("image_id"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
     return parse_boxes(lines, lenient=lenient).drop("value")
 
 
 def stream_boxes(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """The same as a stream of files."""
-    lines = spark.readStream.option("wholetext", True).text(path).select(F.input_file_name().alias("image_id"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    lines = spark.readStream.text(path, wholetext=True).select(F.input_file_name().alias("image_id"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
     return parse_boxes(lines, lenient=lenient).drop("value")
 
 
 def read_prototypes(spark: SparkSession, path: str) -> DataFrame:
     """``label, vector`` of a text matrix: two header lines (rows, columns), then one row a line."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.split(F.trim("value"), r"\s*\n\s*").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s*\n\s*").alias("l"))
     rows = lines.select(F.posexplode(F.slice("l", F.lit(3), F.size("l") - 2)).alias("label", "row"))
     return rows.select("label", F.transform(F.split(F.trim("row"), r"\s+"), lambda x: x.cast("smallint")).alias("vector"))
 
