@@ -16,7 +16,10 @@ With half of the steps agreeing, the chance of a miss is
 
 Before the embedding, windows that cannot be within the threshold are passed
 over: ``e`` edits leave at least ``n - 1 - 2 e`` of an item's ``n - 1`` word
-pairs in the window, so a window with fewer pairs of any item is out (lossless).
+pairs and ``n - e`` of its words in the window, so a window with fewer pairs or
+words of the items of its size is out, as is one with over ``e`` distinct words
+less than any of them, and so is a candidate with fewer words of its item
+(lossless).
 Items too short to have such a bound, and of one word, are compared at every
 window.
 
@@ -134,20 +137,27 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, bytes]], percent: int = PERCENT):
         codes, ends = word_codes([t for _, t in items], Normalised())
         self.percent = percent
-        self.by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        self.by_size: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
         for (item_id, _), a, b in zip(items, np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
             if b > a:
-                self.by_size[b - a].append((item_id, codes[a:b]))
+                self.by_size[b - a].append((item_id, codes[a:b].tolist()))
         #: For each hashed word pair, in bits, the sizes (modulo 64 in order) of the items that hold it.
         self.pairs = np.zeros(1 << PAIR_BITS, U64)
+        self.varied = {n: min(len(set(c)) for _, c in same) for n, same in self.by_size.items()}
+        self.words = np.zeros(1 << PAIR_BITS, U64)  # the same for words
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k, (n, same) in enumerate(sorted(self.by_size.items())):
-            rows = np.stack([c for _, c in same])
+            rows = np.array([c for _, c in same], U64)
             self.pairs[self.pair_codes(rows[:, :-1], rows[:, 1:]).ravel()] |= U64(1 << k % 64)
+            self.words[self.word_codes(rows).ravel()] |= U64(1 << k % 64)
             keys = sample_keys(rows)
             order = np.argsort(keys.ravel(), kind="stable")
             self.tables[n] = keys.ravel()[order], order // keys.shape[1]
 
+    @staticmethod
+    def word_codes(a: np.ndarray) -> np.ndarray:
+        return (a & U64((1 << PAIR_BITS) - 1)).astype(np.int64)
+
     @staticmethod
     def pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (mix64(a * U64(0x9E3779B97F4A7C15) + b) & U64((1 << PAIR_BITS) - 1)).astype(np.int64)
@@ -183,6 +193,10 @@ class ItemIndex:
             for first in range(0, len(starts), 20_000):
                 part = starts[first : first + 20_000]
                 windows = codes[part[:, None] + np.arange(n)]
+                ranked = np.sort(windows, axis=1)
+                varied = (ranked[:, 1:] != ranked[:, :-1]).sum(axis=1) + 1 >= self.varied[n] - self.most(n)
+                enough = varied & ((self.words[self.word_codes(windows)] & U64(1 << k % 64) != 0).sum(axis=1) >= n - self.most(n))
+                part, windows = part[enough], windows[enough]
                 keys = sample_keys(windows)
                 lo, hi = np.searchsorted(sorted_keys, keys), np.searchsorted(sorted_keys, keys, side="right")
                 met: Counter[tuple[int, int]] = Counter()
@@ -194,7 +208,11 @@ class ItemIndex:
                     text = int(text_of[at])
                     if best.get((text, item_id), (1, 0, 0))[0] == 0:
                         continue  # an exact copy is already found
-                    distance = 0 if (windows[i] == item).all() else edit_distance(item.tolist(), windows[i].tolist(), self.most(n))
+                    window = windows[i].tolist()
+                    present = set(window)
+                    if sum(x in present for x in item) < n - self.most(n):
+                        continue
+                    distance = 0 if item == window else edit_distance(item, window, self.most(n))
                     if distance <= self.most(n):
                         found = (distance, at - (int(ends[text - 1]) if text else 0), n)
                         if found < best.get((text, item_id), (n + 1, 0, 0)):
