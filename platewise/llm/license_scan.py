@@ -6,8 +6,11 @@ template as raw dictionary; templates are ranked by the share of bytes they save
 The best ``WINNERS`` are then compared word by word: the template is aligned with
 the block, whose surrounding words are free, and the least number of differing
 words decides.  A block is licensed by a template if that number is at most
-``DIFFERING`` percent of the template's words (so a notice of under ten words must be exact);
-the differences are returned.
+``DIFFERING``
+percent of the template's words; the differences are returned.  A notice of under
+ten words may differ in one word that neither belongs to the licence's name or
+version (any word but the ``PLAIN`` ones, "license" among them) nor negates the
+notice; between two words of a name only a ``PLAIN`` word may come.
 
 Rows: null texts and texts without candidates give no row; each matching line
 gives one; ties go to the larger saving, then to the first name; repeated rows
@@ -43,12 +46,16 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "Copyright. All rights reserved.",
+    "Proprietary-notice": "All rights reserved.",
     "Public-domain": "This work is released into the public domain.",
 }
-MENTIONS = r"(?i)licen[sc]|copyright|all rights reserved|permission (?:to use|is hereby)|redistribut|public domain|spdx"
+MENTIONS = r"(?i)licen[sc]|copyright|rights\W+(?:\w+\W+)?reserved|\bcc\W+by\b|permission (?:to use|is hereby)|redistribut|public domain|spdx"
 #: Longer lines are taken sentence by sentence.
 LINE_CHARS = 4000
 WINNERS, DIFFERING, LEVEL = 4, 10, 3
+#: Words of notices that name no licence, and words that turn a notice round.
+PLAIN = frozenset("a an and are be been copyright distributed file in into is it licensed of or program released software terms the this to under version work".split())
+NEGATIONS = frozenset("cannot except neither never no non nor not without".split())
 MEMO_LIMIT = 50_000
 FOUND = "doc_id long, line long, license string, saved double, n_words long, n_different long, differences string"
 
@@ -57,28 +64,33 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"\w+(?:[.'-]\w+)*", text.lower())
 
 
-def wording(template: list[str], block: list[str]) -> tuple[int, list[str]]:
+def wording(template: list[str], block: list[str], names: frozenset[str] = frozenset()) -> tuple[int, list[str]]:
     """Least number of differing words of ``template`` against any stretch of ``block``, and the differences.
 
     Differences are written ``-word`` (only in the template) and ``+word`` (only in the block).
+    Those that touch ``names``, or negate a template that has some, count as more than the whole template.
     """
-    m, n = len(template), len(block)
-    cost = [[0] * (n + 1)]
+    m, n, far = len(template), len(block), len(template) + 1
+    gone = [far if w in names else 1 for w in template]
+    added = [far if names and w in NEGATIONS else 1 for w in block]
+    foreign = [max(c, 1 if w in PLAIN else far) for w, c in zip(block, added)]
+    cost, inside = [[0] * (n + 1)], [added]
     for i in range(1, m + 1):
-        row, above = [i], cost[-1]
+        w, g = template[i - 1], gone[i - 1]
+        inside.append(foreign if i < m and w in names and template[i] in names else added)
+        row, above, plus = [cost[-1][0] + g], cost[-1], inside[-1]
         for j in range(1, n + 1):
-            same = template[i - 1] == block[j - 1]
-            row.append(min(above[j - 1] + (0 if same else 1), above[j] + 1, row[j - 1] + 1))
+            row.append(min(above[j - 1] + (0 if w == block[j - 1] else max(g, added[j - 1])), above[j] + g, row[j - 1] + plus[j - 1]))
         cost.append(row)
     j = min(range(n + 1), key=lambda k: (cost[m][k], k))
     least, i, changes = cost[m][j], m, []
     while i:
         if j and template[i - 1] == block[j - 1] and cost[i][j] == cost[i - 1][j - 1]:
             i, j = i - 1, j - 1
-        elif j and cost[i][j] == cost[i - 1][j - 1] + 1:
+        elif j and template[i - 1] != block[j - 1] and cost[i][j] == cost[i - 1][j - 1] + max(gone[i - 1], added[j - 1]):
             changes += [f"+{block[j - 1]}", f"-{template[i - 1]}"]
             i, j = i - 1, j - 1
-        elif cost[i][j] == cost[i - 1][j] + 1:
+        elif cost[i][j] == cost[i - 1][j] + gone[i - 1]:
             changes.append(f"-{template[i - 1]}")
             i -= 1
         else:
@@ -87,6 +99,12 @@ def wording(template: list[str], block: list[str]) -> tuple[int, list[str]]:
     return least, changes[::-1]
 
 
+def tolerance(template: list[str]) -> tuple[int, frozenset[str]]:
+    """How many words of a template may differ, and the words that must not."""
+    most, names = len(template) * DIFFERING // 100, frozenset(template) - PLAIN
+    return (most, frozenset()) if most or not names else (1, names)
+
+
 class Scanner:
     """Ranks and confirms templates for blocks; equal blocks are answered from a bounded memo."""
 
@@ -95,6 +113,7 @@ class Scanner:
 
         self.templates = templates or TEMPLATES
         self.words = {k: words_of(t) for k, t in self.templates.items()}
+        self.tolerance = {k: tolerance(w) for k, w in self.words.items()}
         params = z.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = z.ZstdCompressor(compression_params=params)
         self.conditional = {
@@ -115,8 +134,9 @@ class Scanner:
         ranked = sorted(saved, key=lambda k: (-saved[k], k))[:WINNERS]
         words, best = words_of(block), None
         for k in ranked:
-            least, changes = wording(self.words[k], words)
-            if saved[k] > 0 and 100 * least <= DIFFERING * len(self.words[k]):
+            most, names = self.tolerance[k]
+            least, changes = wording(self.words[k], words, names)
+            if saved[k] > 0 and least <= most:
                 key = (least / len(self.words[k]), -saved[k], k)
                 if best is None or key < best[0]:
                     best = (key, (k, round(saved[k], 6), len(self.words[k]), least, " ".join(changes)))

@@ -166,6 +166,17 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.scan_licenses(odd).count() == 0 and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_short_notices_may_differ_in_one_word(spark):
+    rows = [
+        (1, "All rights reserved."), (2, "Copyright (c) 2024 X. All rights reserved."), (3, "Distributed under the MIT License."), (4, "Licensed under Apache License, Version 2.0."), (5, "All rights are reserved."), (6, "Released under CC BY 4.0."),
+        (11, "Some rights reserved; no rights reserved. License"), (12, "Licensed under CC BY SA 4.0."), (13, "Licensed under CC BY 3.0."), (14, "Released under the BSD License."), (15, "This work is not released into the public domain."), (16, "Licensed under the Apache License, Version 1.1."),
+    ]
+    got = {r.doc_id: (r.license, r.n_different, r.differences) for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()}
+    assert got == {
+        1: ("Proprietary-notice", 0, ""), 2: ("Proprietary-notice", 0, ""), 3: ("MIT", 1, "-released +distributed"), 4: ("Apache-2.0", 1, "-the"), 5: ("Proprietary-notice", 1, "+are"), 6: ("CC-BY-4.0", 1, "-licensed +released"),
+    }
+
+
 def test_wording_is_least():
     rng = random.Random(2)
     for _ in range(200):
