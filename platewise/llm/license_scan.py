@@ -3,7 +3,7 @@
 Lines that mention licensing are candidate blocks (of a very long line, its
 sentences that do).  A block is compressed by zstandard alone and with each
 template as raw dictionary; templates are ranked by the share of bytes they save.
-The best ``WINNERS`` are then compared word by word: the template is aligned with
+Each of them is compared word by word: the template is aligned with
 the block, whose surrounding words are free, and the least number of differing
 words decides.  A block is licensed by a template if that number is at most
 ``DIFFERING``
@@ -52,7 +52,7 @@ TEMPLATES = {
 MENTIONS = r"(?i)licen[sc]|copyright|rights\W+(?:\w+\W+)?reserved|\bcc\W+by\b|permission (?:to use|is hereby)|redistribut|public domain|spdx"
 #: Longer lines are taken sentence by sentence.
 LINE_CHARS = 4000
-WINNERS, DIFFERING, LEVEL = 4, 10, 3
+DIFFERING, LEVEL = 10, 3
 #: Words of notices that name no licence, and words that turn a notice round.
 PLAIN = frozenset("a an and are be been copyright distributed file in into is it licensed of or program released software terms the this to under version work".split())
 NEGATIONS = frozenset("cannot except neither never no non nor not without".split())
@@ -131,12 +131,14 @@ class Scanner:
         if block in self.memo:
             return self.memo[block]
         saved = self.savings(block)
-        ranked = sorted(saved, key=lambda k: (-saved[k], k))[:WINNERS]
         words, best = words_of(block), None
-        for k in ranked:
+        present = set(words)
+        for k in saved:
             most, names = self.tolerance[k]
+            if sum(w in present for w in self.words[k]) < len(self.words[k]) - most:
+                continue
             least, changes = wording(self.words[k], words, names)
-            if saved[k] > 0 and least <= most:
+            if least <= most:
                 key = (least / len(self.words[k]), -saved[k], k)
                 if best is None or key < best[0]:
                     best = (key, (k, round(saved[k], 6), len(self.words[k]), least, " ".join(changes)))

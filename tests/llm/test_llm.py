@@ -177,6 +177,13 @@ def test_short_notices_may_differ_in_one_word(spark):
     }
 
 
+def test_every_license_template_is_compared(spark):
+    t = license_scan.TEMPLATES
+    half = " ".join(t[k][: len(t[k]) // 2] for k in ("GPL-header", "ISC", "BSD", "CC0-1.0", "MIT-text", "BSD-notice", "MPL-2.0"))
+    rows = [(1, f"{half} {t['MIT']}"), (2, f"{half} {t['Proprietary-notice']}"), (3, t["Apache-2.0"].upper())]
+    assert {r.doc_id: r.license for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()} == {1: "MIT", 2: "Proprietary-notice", 3: "Apache-2.0"}
+
+
 def test_wording_is_least():
     rng = random.Random(2)
     for _ in range(200):
