@@ -1,19 +1,20 @@
 """License scans by conditional compression (operator 4).
 
-Lines that mention licensing are candidate blocks (of a very long line, its
-sentences that do).  A block is compressed by zstandard alone and with each
-template as raw dictionary; templates are ranked by the share of bytes they save.
-Each of them is compared word by word: the template is aligned with
-the block, whose surrounding words are free, and the least number of differing
-words decides.  A block is licensed by a template if that number is at most
-``DIFFERING``
-percent of the template's words; the differences are returned.  A notice of under
-ten words may differ in one word that neither belongs to the licence's name or
+Lines that mention licensing are searched in stretches: each reaches as many words
+before and after a mention as the longest template has with its differences, and
+stretches that meet are one, so that the length of a line does not matter.  Every
+template is compared with a stretch word by word: each place where at most
+``DIFFERING`` percent of its words differ is a match; the differences are returned.
+A match is compressed by zstandard alone and with the template as raw dictionary,
+and templates are ranked by the share of bytes they save.  A notice of
+under ten words may differ in one word that neither belongs to the licence's name or
 version (any word but the ``PLAIN`` ones, "license" among them) nor negates the
-notice; between two words of a name only a ``PLAIN`` word may come.
+notice; between two words of a name only a ``PLAIN`` word may come.  Of matches that
+overlap, the one with the smallest share of differing words is kept, and what is left between
+kept ones is searched again.
 
-Rows: null texts and texts without candidates give no row; each matching line
-gives one; ties go to the larger saving, then to the first name; repeated rows
+Rows: null texts and texts without candidates give no row; each match that
+is kept gives one; ties go to the larger saving, then to the first name; repeated rows
 are scanned one by one; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -21,7 +22,9 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,53 +53,123 @@ TEMPLATES = {
     "Public-domain": "This work is released into the public domain.",
 }
 MENTIONS = r"(?i)licen[sc]|copyright|rights\W+(?:\w+\W+)?reserved|\bcc\W+by\b|permission (?:to use|is hereby)|redistribut|public domain|spdx"
-#: Longer lines are taken sentence by sentence.
-LINE_CHARS = 4000
 DIFFERING, LEVEL = 10, 3
 #: Words of notices that name no licence, and words that turn a notice round.
 PLAIN = frozenset("a an and are be been copyright distributed file in into is it licensed of or program released software terms the this to under version work".split())
 NEGATIONS = frozenset("cannot except neither never no non nor not without".split())
-MEMO_LIMIT = 50_000
 FOUND = "doc_id long, line long, license string, saved double, n_words long, n_different long, differences string"
 
 
+WORD = re.compile(r"\w+(?:[.'-]\w+)*")
+MENTION = re.compile(MENTIONS, re.ASCII)  # as Spark reads it
+
+
 def words_of(text: str) -> list[str]:
-    return re.findall(r"\w+(?:[.'-]\w+)*", text.lower())
+    return WORD.findall(text.lower())
+
+
+class Alignment:
+    """Costs of ``template`` against the stretches of ``block`` that end at each place.
+
+    Differences that touch ``names``, or negate a template that has some, count as more than the whole template.
+    """
+
+    def __init__(self, template: list[str], block: list[str], names: frozenset[str] = frozenset()):
+        m, n, far = len(template), len(block), len(template) + 1
+        self.template, self.block = template, block
+        self.gone = gone = [far if w in names else 1 for w in template]
+        self.added = added = [far if names and w in NEGATIONS else 1 for w in block]
+        foreign = [max(c, 1 if w in PLAIN else far) for w, c in zip(block, added)]
+        self.cost = cost = [[0] * (n + 1)]
+        for i in range(1, m + 1):
+            w, g = template[i - 1], gone[i - 1]
+            plus = foreign if i < m and w in names and template[i] in names else added
+            row, above = [cost[-1][0] + g], cost[-1]
+            for j in range(1, n + 1):
+                row.append(min(above[j - 1] + (0 if w == block[j - 1] else max(g, added[j - 1])), above[j] + g, row[j - 1] + plus[j - 1]))
+            cost.append(row)
+
+    def trace(self, j: int) -> tuple[int, list[str]]:
+        """Where the best stretch that ends at ``j`` begins, and its differences."""
+        template, block, cost, i, changes = self.template, self.block, self.cost, len(self.template), []
+        while i:
+            if j and template[i - 1] == block[j - 1] and cost[i][j] == cost[i - 1][j - 1]:
+                i, j = i - 1, j - 1
+            elif j and template[i - 1] != block[j - 1] and cost[i][j] == cost[i - 1][j - 1] + max(self.gone[i - 1], self.added[j - 1]):
+                changes += [f"+{block[j - 1]}", f"-{template[i - 1]}"]
+                i, j = i - 1, j - 1
+            elif cost[i][j] == cost[i - 1][j] + self.gone[i - 1]:
+                changes.append(f"-{template[i - 1]}")
+                i -= 1
+            else:
+                changes.append(f"+{block[j - 1]}")
+                j -= 1
+        return j, changes[::-1]
 
 
 def wording(template: list[str], block: list[str], names: frozenset[str] = frozenset()) -> tuple[int, list[str]]:
     """Least number of differing words of ``template`` against any stretch of ``block``, and the differences.
 
     Differences are written ``-word`` (only in the template) and ``+word`` (only in the block).
-    Those that touch ``names``, or negate a template that has some, count as more than the whole template.
     """
-    m, n, far = len(template), len(block), len(template) + 1
-    gone = [far if w in names else 1 for w in template]
-    added = [far if names and w in NEGATIONS else 1 for w in block]
-    foreign = [max(c, 1 if w in PLAIN else far) for w, c in zip(block, added)]
-    cost, inside = [[0] * (n + 1)], [added]
-    for i in range(1, m + 1):
-        w, g = template[i - 1], gone[i - 1]
-        inside.append(foreign if i < m and w in names and template[i] in names else added)
-        row, above, plus = [cost[-1][0] + g], cost[-1], inside[-1]
-        for j in range(1, n + 1):
-            row.append(min(above[j - 1] + (0 if w == block[j - 1] else max(g, added[j - 1])), above[j] + g, row[j - 1] + plus[j - 1]))
-        cost.append(row)
-    j = min(range(n + 1), key=lambda k: (cost[m][k], k))
-    least, i, changes = cost[m][j], m, []
-    while i:
-        if j and template[i - 1] == block[j - 1] and cost[i][j] == cost[i - 1][j - 1]:
-            i, j = i - 1, j - 1
-        elif j and template[i - 1] != block[j - 1] and cost[i][j] == cost[i - 1][j - 1] + max(gone[i - 1], added[j - 1]):
-            changes += [f"+{block[j - 1]}", f"-{template[i - 1]}"]
-            i, j = i - 1, j - 1
-        elif cost[i][j] == cost[i - 1][j] + gone[i - 1]:
-            changes.append(f"-{template[i - 1]}")
-            i -= 1
+    found = Alignment(template, block, names)
+    least = found.cost[-1]
+    j = min(range(len(least)), key=lambda k: (least[k], k))
+    return least[j], found.trace(j)[1]
+
+
+def near_ends(template: list[str], block: list[str], most: int) -> list[int]:
+    """Places where a stretch with at most ``most`` differing words ends (bit-parallel)."""
+    present = set(block)
+    if sum(w in present for w in template) < len(template) - most:
+        return []
+    peq: dict = defaultdict(int)
+    for k, x in enumerate(template):
+        peq[x] |= 1 << k
+    mask, top = (1 << len(template)) - 1, 1 << (len(template) - 1)
+    pv, mv, score, ends = mask, 0, len(template), []
+    for j, x in enumerate(block, 1):
+        eq = peq.get(x, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        score += bool(ph & top) - bool(mh & top)
+        ph, mh = ph << 1, mh << 1
+        pv, mv = (mh | ~(xv | ph)) & mask, ph & xv & mask
+        if score <= most:
+            ends.append(j)
+    return ends
+
+
+def apart(matches: list[tuple]) -> list[tuple]:
+    """The matches ``(..., begin, end)`` that overlap none before them."""
+    kept: list[tuple[int, int]] = []
+    out = []
+    for x in matches:
+        k = bisect_right(kept, x[-2:])
+        if (k == 0 or kept[k - 1][1] <= x[-2]) and (k == len(kept) or x[-1] <= kept[k][0]):
+            kept.insert(k, x[-2:])
+            out.append(x)
+    return out
+
+
+def matches_of(template: list[str], block: list[str], most: int, names: frozenset[str]) -> list[tuple[int, str, int, int]]:
+    """``(differing words, differences, begin, end)`` of the matches in a block that do not overlap better ones."""
+    runs: list[list[int]] = []
+    for j in near_ends(template, block, most):
+        if runs and j == runs[-1][-1] + 1:
+            runs[-1].append(j)
         else:
-            changes.append(f"+{block[j - 1]}")
-            j -= 1
-    return least, changes[::-1]
+            runs.append([j])
+    found = []
+    for run in runs:
+        first = max(0, run[0] - len(template) - most)
+        part = Alignment(template, block[first : run[-1]], names)
+        for j in run:
+            if (least := part.cost[-1][j - first]) <= most:
+                begin, changes = part.trace(j - first)
+                found.append((least, " ".join(changes), first + begin, j))
+    return apart(sorted(found, key=lambda x: (x[0], x[3], x[2])))
 
 
 def tolerance(template: list[str]) -> tuple[int, frozenset[str]]:
@@ -105,8 +178,21 @@ def tolerance(template: list[str]) -> tuple[int, frozenset[str]]:
     return (most, frozenset()) if most or not names else (1, names)
 
 
+def cover(find: Callable[[int, int], list[tuple]], lo: int, hi: int) -> list[tuple]:
+    """The best of the matches ``(..., begin, end)`` that ``find`` gives, and of those in the gaps they leave, in order."""
+    out, pieces = [], [(lo, hi)]
+    while pieces:
+        lo, hi = pieces.pop()
+        kept = sorted(apart(sorted(find(lo, hi))), key=lambda x: x[-2:])
+        out += kept
+        if kept:
+            edges = [lo, *(e for x in kept for e in x[-2:]), hi]
+            pieces += [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+    return sorted(out, key=lambda x: x[-2:])
+
+
 class Scanner:
-    """Ranks and confirms templates for blocks; equal blocks are answered from a bounded memo."""
+    """Ranks and confirms templates for the stretches of a block around mentions."""
 
     def __init__(self, templates: dict[str, str] | None = None, level: int = LEVEL):
         import zstandard as z
@@ -119,47 +205,58 @@ class Scanner:
         self.conditional = {
             k: z.ZstdCompressor(compression_params=params, dict_data=z.ZstdCompressionDict(t.encode("utf-8"), dict_type=z.DICT_TYPE_RAWCONTENT)) for k, t in self.templates.items()
         }
-        self.memo: dict[str, tuple | None] = {}
+        self.reach = max((len(w) + self.tolerance[k][0] for k, w in self.words.items()), default=0)
 
-    def savings(self, block: str) -> dict[str, float]:
-        """Share of compressed bytes that each template saves."""
+    def saving(self, name: str, block: str) -> float:
+        """Share of compressed bytes that a template saves."""
         data = block.encode("utf-8")
-        alone = len(self.plain.compress(data))
-        return {k: 1 - len(c.compress(data)) / alone for k, c in self.conditional.items()}
-
-    def scan(self, block: str) -> tuple[str, float, int, int, str] | None:
-        if block in self.memo:
-            return self.memo[block]
-        saved = self.savings(block)
-        words, best = words_of(block), None
-        present = set(words)
-        for k in saved:
-            most, names = self.tolerance[k]
-            if sum(w in present for w in self.words[k]) < len(self.words[k]) - most:
-                continue
-            least, changes = wording(self.words[k], words, names)
-            if least <= most:
-                key = (least / len(self.words[k]), -saved[k], k)
-                if best is None or key < best[0]:
-                    best = (key, (k, round(saved[k], 6), len(self.words[k]), least, " ".join(changes)))
-        found = best[1] if best else None
-        if len(self.memo) >= MEMO_LIMIT:
-            self.memo.clear()
-        if len(block) <= 1000:
-            self.memo[block] = found
+        return 1 - len(self.conditional[name].compress(data)) / len(self.plain.compress(data))
+
+    def stretches(self, block: str, places: list[tuple[int, int]]) -> list[list[int]]:
+        """Runs of words (first, last + 1) within reach of a mention."""
+        starts, ends, found = [a for a, _ in places], [b for _, b in places], []
+        for x in MENTION.finditer(block):
+            lo, hi = max(0, bisect_right(ends, x.start()) - self.reach), min(len(places), bisect_left(starts, x.end()) + self.reach)
+            if found and lo <= found[-1][1]:
+                found[-1][1] = max(hi, found[-1][1])
+            else:
+                found.append([lo, hi])
         return found
 
+    def scan(self, block: str) -> list[tuple[str, float, int, int, str]]:
+        """``(license, saved, n_words, n_different, differences)`` of the matches, in order."""
+        places = [x.span() for x in WORD.finditer(block)]
+        words = [block[a:b].lower() for a, b in places]
+
+        def find(lo: int, hi: int) -> list[tuple]:
+            found = []
+            for k, template in self.words.items():
+                for least, changes, begin, end in matches_of(template, words[lo:hi], *self.tolerance[k]):
+                    saved = self.saving(k, self.cited(block, places[lo + begin][0], places[lo + end - 1][1]))
+                    found.append((least / len(template), -saved, k, least, changes, lo + begin, lo + end))
+            return found
+
+        out = []
+        for lo, hi in self.stretches(block, places):
+            for _, saved, k, least, changes, _, _ in cover(find, lo, hi):
+                out.append((k, round(-saved, 6), len(self.words[k]), least, changes))
+        return out
+
+    @staticmethod
+    def cited(block: str, begin: int, end: int) -> str:
+        """The words of a match with the stop after them."""
+        return block[begin : end + (block[end : end + 1] in (".", ",", ";", ":"))]
+
 
 def candidate_blocks(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, block``: lines (of long ones, sentences) that mention licensing."""
+    """``doc_id, line, block``: lines that mention licensing."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(MENTIONS))
-    lines = plain.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "block")).where(F.col("block").rlike(MENTIONS))
-    parts = F.when(F.length("block") <= LINE_CHARS, F.array("block")).otherwise(F.split("block", r"(?<=[.!?])\s+", -1))
-    return lines.select("doc_id", F.col("line").cast("long").alias("line"), F.explode(parts).alias("block")).where(F.col("block").rlike(MENTIONS))
+    lines = plain.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), "block").where(F.col("block").rlike(MENTIONS))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """One row for each line that a template confirms."""
+    """One row for each match that is kept."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
@@ -167,8 +264,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
         for batch in batches:
             rows = []
             for doc_id, line, block in zip(*(c.to_pylist() for c in batch.columns)):
-                if found := scanner.scan(block):
-                    rows.append((doc_id, line, *found))
+                rows += [(doc_id, line, *found) for found in scanner.scan(block)]
             columns = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in FOUND.split(", ")])
 

@@ -184,6 +184,30 @@ def test_every_license_template_is_compared(spark):
     assert {r.doc_id: r.license for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()} == {1: "MIT", 2: "Proprietary-notice", 3: "Apache-2.0"}
 
 
+def test_license_matches_do_not_depend_on_the_length_of_a_line(spark, prose):
+    t = license_scan.TEMPLATES
+    notices = [t["Proprietary"], t["Apache-2.0-header"] + ".", t["MIT"] + " " + t["GPL-2.0"]]
+    rows = [(10 * k + pad, f"{prose(pad * 300, 1)}. {x} {prose(pad * 300, 2)}") for k, x in enumerate(notices) for pad in (0, 5)]
+    assert max(len(text) for _, text in rows) > 12_000
+    got = defaultdict(list)
+    for r in license_scan.scan_licenses(docs_of(spark, rows)).collect():
+        got[r.doc_id].append((r.license, r.saved, r.n_different, r.line))
+    for k, names in enumerate([["Proprietary"], ["Apache-2.0-header"], ["MIT", "GPL-2.0"]]):
+        assert [x[0] for x in got[10 * k]] == names and got[10 * k] == got[10 * k + 5]
+
+
+def test_license_matches_are_all_found():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = [rng.choice("xyz") for _ in range(rng.randint(2, 6))], [rng.choice("xyzw") for _ in range(rng.randint(0, 20))]
+        most = rng.randint(0, len(a) // 2)
+        spans = {(i, j): decontaminate.edit_distance(a, b[i:j], 99) for i in range(len(b)) for j in range(i + 1, len(b) + 1)}
+        found = license_scan.cover(lambda lo, hi: [(*x[:2], x[2] + lo, x[3] + lo) for x in license_scan.matches_of(a, b[lo:hi], most, frozenset())], 0, len(b))
+        assert all(spans[i, j] == least <= most for least, _, i, j in found)
+        assert all(any(x < j and i < y for _, _, x, y in found) for (i, j), least in spans.items() if least <= most)
+        assert all(p[3] <= q[2] for p, q in zip(found, found[1:]))
+
+
 def test_wording_is_least():
     rng = random.Random(2)
     for _ in range(200):
