@@ -1,8 +1,10 @@
 """License scans by conditional compression (operator 4).
 
-Lines that mention licensing are searched in stretches: each reaches as many words
-before and after a mention as the longest template has with its differences, and
-stretches that meet are one, so that the length of a line does not matter.  Every
+Texts that mention licensing are searched in stretches: each reaches as many words
+before and after a mention as the longest template has with its differences, across
+the ends of lines, and stretches that meet are one, so that neither the length of a
+line nor the wrapping of a notice matters.  Comment marks that begin a line (signs,
+and the words of ``MARKS``) do not count; a match is on the line of its first word.  Every
 template is compared with a stretch word by word: each place where at most
 ``DIFFERING`` percent of its words differ is a match; the differences are returned.
 A match is compressed by zstandard alone and with the template as raw dictionary,
@@ -52,7 +54,9 @@ TEMPLATES = {
     "Proprietary-notice": "All rights reserved.",
     "Public-domain": "This work is released into the public domain.",
 }
-MENTIONS = r"(?i)licen[sc]|copyright|rights\W+(?:\w+\W+)?reserved|\bcc\W+by\b|permission (?:to use|is hereby)|redistribut|public domain|spdx"
+MENTIONS = r"(?i)licen[sc]|copyright|rights\W+(?:\w+\W+)?reserved|\bcc\W+by\b|permission\W+(?:to\W+use|is\W+hereby)|redistribut|public\W+domain|spdx"
+#: Comment marks of letters, at the beginning of a line.
+MARKS = r"(?im)^[ \t]*(?:rem|dnl)(?=[ \t])|^c(?=[ \t])"
 DIFFERING, LEVEL = 10, 3
 #: Words of notices that name no licence, and words that turn a notice round.
 PLAIN = frozenset("a an and are be been copyright distributed file in into is it licensed of or program released software terms the this to under version work".split())
@@ -62,6 +66,8 @@ FOUND = "doc_id long, line long, license string, saved double, n_words long, n_d
 
 WORD = re.compile(r"\w+(?:[.'-]\w+)*")
 MENTION = re.compile(MENTIONS, re.ASCII)  # as Spark reads it
+MARK = re.compile(MARKS)
+WRAP = re.compile(r"\s*\n[^\w\n(\"']*")
 
 
 def words_of(text: str) -> list[str]:
@@ -192,7 +198,7 @@ def cover(find: Callable[[int, int], list[tuple]], lo: int, hi: int) -> list[tup
 
 
 class Scanner:
-    """Ranks and confirms templates for the stretches of a block around mentions."""
+    """Ranks and confirms templates for the stretches of a text around mentions."""
 
     def __init__(self, templates: dict[str, str] | None = None, level: int = LEVEL):
         import zstandard as z
@@ -223,10 +229,12 @@ class Scanner:
                 found.append([lo, hi])
         return found
 
-    def scan(self, block: str) -> list[tuple[str, float, int, int, str]]:
-        """``(license, saved, n_words, n_different, differences)`` of the matches, in order."""
+    def scan(self, text: str) -> list[tuple[int, str, float, int, int, str]]:
+        """``(line, license, saved, n_words, n_different, differences)`` of the matches, in order."""
+        block = MARK.sub(lambda x: " " * len(x.group()), text)
         places = [x.span() for x in WORD.finditer(block)]
         words = [block[a:b].lower() for a, b in places]
+        breaks = [x.start() for x in re.finditer("\n", block)]
 
         def find(lo: int, hi: int) -> list[tuple]:
             found = []
@@ -238,21 +246,19 @@ class Scanner:
 
         out = []
         for lo, hi in self.stretches(block, places):
-            for _, saved, k, least, changes, _, _ in cover(find, lo, hi):
-                out.append((k, round(-saved, 6), len(self.words[k]), least, changes))
+            for _, saved, k, least, changes, begin, _ in cover(find, lo, hi):
+                out.append((bisect_left(breaks, places[begin][0]), k, round(-saved, 6), len(self.words[k]), least, changes))
         return out
 
     @staticmethod
     def cited(block: str, begin: int, end: int) -> str:
-        """The words of a match with the stop after them."""
-        return block[begin : end + (block[end : end + 1] in (".", ",", ";", ":"))]
+        """The words of a match with the stop after them; the end of a line, and the signs that begin the next, are one blank."""
+        return WRAP.sub(" ", block[begin : end + (block[end : end + 1] in (".", ",", ";", ":"))])
 
 
-def candidate_blocks(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, block``: lines that mention licensing."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(MENTIONS))
-    lines = plain.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "block"))
-    return lines.select("doc_id", F.col("line").cast("long").alias("line"), "block").where(F.col("block").rlike(MENTIONS))
+def candidate_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: texts that mention licensing."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(MENTIONS))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -263,9 +269,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             rows = []
-            for doc_id, line, block in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(doc_id, line, *found) for found in scanner.scan(block)]
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(doc_id, *found) for found in scanner.scan(text)]
             columns = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [x.split()[0] for x in FOUND.split(", ")])
 
-    return candidate_blocks(docs).mapInArrow(scan, FOUND)
+    return candidate_texts(docs).mapInArrow(scan, FOUND)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -196,6 +197,22 @@ def test_license_matches_do_not_depend_on_the_length_of_a_line(spark, prose):
         assert [x[0] for x in got[10 * k]] == names and got[10 * k] == got[10 * k + 5]
 
 
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", ";; ", "-- ", "rem ", "dnl ", "C     "])
+def test_wrapped_license_notices(mark):
+    scanner = license_scan.Scanner()
+    for name, text in license_scan.TEMPLATES.items():
+        for width in (24, 70):
+            wrapped = "\n".join(mark + x for x in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
+            found = scanner.scan(f"/*\n{mark}Some file, by someone\n{mark}\n{wrapped}\n{mark}\n*/\nint main() {{}}\n")
+            assert [(x[0], x[1], x[4]) for x in found] == [(3, name, 0)], (name, width)
+
+
+def test_wrapped_license_notice_in_a_table(spark):
+    t = license_scan.TEMPLATES
+    rows = [(1, "x = 1\n" + "\n".join("# " + x for x in textwrap.wrap(f"{t['MIT-text']}. {t['Proprietary-notice']}", 72)) + "\nend"), (2, "Permission\nis hereby\ngranted to none")]
+    assert [(r.doc_id, r.line, r.license, r.n_different) for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()] == [(1, 1, "MIT-text", 0), (1, 5, "Proprietary-notice", 0)]
+
+
 def test_license_matches_are_all_found():
     rng = random.Random(4)
     for _ in range(300):
