@@ -500,3 +500,10 @@ def test_pii_added_kinds_and_redaction(spark, odd):
     assert "a@b.cd" not in masked[1].text and "[IBAN]" in masked[1].text and "[SECRET]" in masked[1].text and "DE88" in masked[1].text
     assert masked[2].text == "no data" and masked[3].text is None and masked[4].text == "\U0001f600 [EMAIL] \U0001f600" and masked[4].n_chars == 11
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == len(ODD)
+
+
+def test_pii_secrets_after_a_sign_and_of_any_length(spark):
+    key, long = "24be6443" * 5, "a1B2" * 300
+    rows = [(1, f"api_key={key} end"), (2, f"GET https://example.org/x?token={key}&y=1"), (3, f'token = "{long}" end'), (4, f"password={long}"), (5, f"token={key[:19]} end")]
+    got = {r.doc_id: r.text for r in pii.redact(docs_of(spark, rows)).collect()}
+    assert got == {1: "api_key=[SECRET] end", 2: "GET https://example.org/x?token=[SECRET]&y=1", 3: 'token = "[SECRET]" end', 4: "password=[SECRET]", 5: rows[4][1]}
