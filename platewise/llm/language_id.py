@@ -10,8 +10,8 @@ and the score is that mean.
 
 *Training.*  At most about ``TRAIN_DOCS`` labelled rows outside the held-out fold,
 chosen by the hash of their id, give one stretch of ``TRAIN_CHARS`` characters
-each.  Stretches are also joined in pairs, so that transitions between languages
-are seen.  The likelihood is climbed by full-batch Adagrad on the driver.
+each.  Stretches are also joined, short ones until they give ``SEQUENCE`` words, so
+that transitions between languages are seen.  The likelihood is climbed by full-batch Adagrad on the driver.
 
 *Long texts.*  Recursions run over blocks of ``BLOCK`` words at once: the
 transition products of all blocks are formed in parallel, boundary vectors pass
@@ -191,16 +191,20 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Field:
     field = Field(languages, np.zeros((1 << FEATURE_BITS, label_count)), lexicon, np.array([table[int(x)] for x in lexicon], np.int64), np.zeros((label_count, label_count)), np.zeros((label_count, label_count)))
     lettered = np.fromiter((bool(w) for w in words), bool, len(words))
     in_lexicon = field.in_lexicon(whole)
-    # sequences: one stretch, or the beginning of one and that of another
+    # sequences: one stretch, or the beginning of one, and others after it until they are long enough
     rows, gold = [], []
-    for k in range(sets):
+    filled = np.nonzero(np.diff(bounds))[0]
+    for k in filled.tolist():
         own = codes[bounds[k] : bounds[k + 1]]
-        other = int(rng.integers(sets))
         cut = len(own) if k % 2 else int(rng.integers(1, max(2, min(SEQUENCE, len(own)))))
-        row = np.concatenate([own[:cut], codes[bounds[other] : bounds[other + 1]]])[:SEQUENCE]
-        if len(row) == SEQUENCE:
-            rows.append(row)
-            gold.append(np.concatenate([np.full(min(cut, len(own)), gold_of[k]), np.full(SEQUENCE, gold_of[other])])[:SEQUENCE])
+        parts, marks, size = [own[:cut]], [np.full(cut, gold_of[k])], cut
+        while size < SEQUENCE:
+            other = int(rng.choice(filled))
+            parts.append(codes[bounds[other] : bounds[other + 1]])
+            marks.append(np.full(len(parts[-1]), gold_of[other]))
+            size += len(parts[-1])
+        rows.append(np.concatenate(parts)[:SEQUENCE])
+        gold.append(np.concatenate(marks)[:SEQUENCE])
     if not rows:
         return field
     rows, gold = np.stack(rows), np.stack(gold)

@@ -155,6 +155,15 @@ def test_marginals_match_enumeration():
     assert whole == pytest.approx(out, abs=1e-9)
 
 
+def test_language_is_learned_from_short_texts():
+    rng = random.Random(5)
+    words = {"aa": ["the", "house", "with", "green", "water", "and"], "bb": ["der", "haus", "mit", "blau", "wasser", "und"]}
+    field = language_id.train([(" ".join(rng.choices(words[y], k=rng.randint(0, 6))), y) for _ in range(60) for y in words])
+    assert np.abs(field.weights).max() > 0
+    scores, _ = field.potentials([b"house", b"haus"])
+    assert scores.argmax(axis=1).tolist() == [0, 1]
+
+
 # 4 license scans
 
 
