@@ -8,10 +8,14 @@ Words are compared lower-cased and without signs at their ends.
 word under it at each of ``3 n`` steps; a random bit of the step and the word
 says whether the pointer moves on.  Sequences a few edits apart fall back into
 step after each edit, so their edit distance becomes a Hamming distance.
-*Sampling.*  Each of ``WALKS`` independent walks is sampled ``SAMPLES`` times at
-``DRAWS`` steps; a window and an item that agree on one sample are candidates.
-With half of the steps agreeing, the chance of a miss is
-``(1 - 0.5**DRAWS)**(WALKS * SAMPLES)``, below 1 in 100,000.
+*Sampling.*  Each of several independent walks is sampled several times at
+``DRAWS`` steps; a window and an item that agree on one sample are candidates.  The
+share of agreeing steps falls with the item's size (at the threshold 0.55 at 20
+words, 0.43 at 59, 0.32 at 120, 0.23 at 300, 0.17 at 600), so walks and samples grow
+with it (``rounds``).  With these shares the chance of a miss at the threshold,
+``(1 - share**DRAWS)**samples`` over all walks, is below 1 in 100,000 at each of the
+sizes simulated (16, 32, 59, 65, 120, 320, 321 and 1,000 words); larger ones were
+not measured.
 *Verification.*  Candidates are confirmed by their exact word edit distance.
 
 Before the embedding, windows that cannot be within the threshold are passed
@@ -47,7 +51,7 @@ from platewise.llm.common import U64, WordHashes, Words, mix64, raw_texts, slice
 
 #: Word edits allowed, in percent of the item's words.
 PERCENT = 20
-WALKS, SAMPLES, DRAWS = 6, 8, 2
+DRAWS = 2
 BLOCK_BYTES = 4_000_000
 PAIR_BITS = 20
 SIGNS = b".,;:!?\"'()[]{}<>#*$%&|=+-_/\\`~^@"
@@ -91,20 +95,28 @@ def walk(windows: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+def rounds(n: int) -> tuple[int, int]:
+    """Walks, and samples of each, for sequences of ``n`` words."""
+    if n < 60:
+        return 12, 12
+    return 24 if n <= 320 else 48, 16 * -(-n // 160)
+
+
 def sample_steps(n: int) -> np.ndarray:
     """Steps (walks x samples x draws) that are compared; from the first two thirds, where the pointer is inside."""
     rng = np.random.default_rng(n)
-    return rng.integers(0, max(1, 2 * n - n // 4), (WALKS, SAMPLES, DRAWS))
+    return rng.integers(0, max(1, 2 * n - n // 4), (*rounds(n), DRAWS))
 
 
 def sample_keys(windows: np.ndarray) -> np.ndarray:
     """Keys (windows x walks * samples) of equally long sequences."""
     steps = sample_steps(windows.shape[1])
+    walks, samples, _ = steps.shape
     keys = []
-    for w in range(WALKS):
+    for w in range(walks):
         embedded = walk(windows, w)
-        for s in range(SAMPLES):
-            h = np.full(len(windows), w * SAMPLES + s + 1, U64)
+        for s in range(samples):
+            h = np.full(len(windows), w * samples + s + 1, U64)
             for d in range(DRAWS):
                 h = mix64(h * U64(0x9E3779B97F4A7C15) + embedded[:, steps[w, s, d]])
             keys.append(h)
@@ -190,8 +202,9 @@ class ItemIndex:
                 starts = np.arange(len(codes) - n + 1)
             starts = starts[text_of[starts] == text_of[starts + n - 1]]
             sorted_keys, owners = self.tables[n]
-            for first in range(0, len(starts), 20_000):
-                part = starts[first : first + 20_000]
+            step = max(64, min(20_000, 1_200_000 // n))
+            for first in range(0, len(starts), step):
+                part = starts[first : first + step]
                 windows = codes[part[:, None] + np.arange(n)]
                 ranked = np.sort(windows, axis=1)
                 varied = (ranked[:, 1:] != ranked[:, :-1]).sum(axis=1) + 1 >= self.varied[n] - self.most(n)

@@ -394,6 +394,23 @@ def test_leaks_match_brute_force(spark, prose, odd, empty):
     assert decontaminate.drop_leaks(odd, bench.where("item_id = 42")).count() == len(ODD)
 
 
+@pytest.mark.parametrize("n", [59, 120, 300])
+def test_long_items_at_the_threshold_are_candidates(n):
+    rng, rows = np.random.default_rng(n), ([], [])
+    for _ in range(150):
+        item = rng.integers(1, 2**62, n).tolist()
+        window, moved = list(item), int(rng.integers(0, n // 10 + 1))
+        for k in rng.integers(0, n, n // 5 - 2 * moved).tolist():
+            window[k] = int(rng.integers(1, 2**62))
+        for _ in range(moved):
+            window.pop(int(rng.integers(len(window))))
+            window.insert(int(rng.integers(len(window) + 1)), int(rng.integers(1, 2**62)))
+        rows[0].append(item)
+        rows[1].append(window)
+    a, b = (decontaminate.sample_keys(np.array(x, np.uint64)) for x in rows)
+    assert (a == b).any(axis=1).all()
+
+
 # 8 token counts
 
 
