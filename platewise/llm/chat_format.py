@@ -13,26 +13,80 @@ neither ``#`` nor ``<`` and no control string can arise from it.
 
 Rows: a null role or text counts as empty; a null conversation id forms one
 conversation; null turns sort first; equal turns are ordered by role, then text;
-repeated rows are separate turns; an empty table gives an empty result; other
-columns are ignored.  One conversation is one output row, so its turns meet in
-one task by nature.
+repeated rows are separate turns; very long texts are copied as they are; an
+empty table gives an empty result; other columns are ignored.  One conversation
+is one output row, so its turns meet in one task by nature; the work on it grows
+with its turns (times the logarithm of their number, for the places of the spans).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The role whose texts are learned.
 LOSS_ROLE = "assistant"
+#: Spans that are cut out together, from the widest groups to the narrowest.
+SPAN_GROUPS = (16_384, 128)
 
 
-def _escape(c: str) -> str:
-    return rf"replace(replace(replace({c}, '\\', '\\\\'), '#', '\\h'), '<', '\\l')"
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _unescape(c: str) -> str:
-    return rf"array_join(transform(split({c}, '\\\\\\\\', -1), p -> replace(replace(replace(p, '\\h', '#'), '\\l', '<'), '\\n', '\n')), '\\')"
+def _escape(c: Column) -> Column:
+    for sign, written in (("\\", "\\\\"), ("#", "\\h"), ("<", "\\l")):
+        c = F.replace(c, F.lit(sign), F.lit(written))
+    return c
+
+
+def _unescape(c: Column) -> Column:
+    def part(p: Column) -> Column:
+        for written, sign in (("\\h", "#"), ("\\l", "<"), ("\\n", "\n")):
+            p = F.replace(p, F.lit(written), F.lit(sign))
+        return p
+
+    return F.array_join(F.transform(F.split(c, r"\\\\", -1), part), "\\")
+
+
+def _running_sums(lengths: Column) -> Column:
+    """Inclusive prefix sums of an array, by doubling: round ``k`` adds what lies ``2**k`` places before."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(2)))).cast("int") - 1)
+    return F.aggregate(
+        rounds,
+        lengths,
+        lambda sums, k: F.transform(sums, lambda x, i: x + F.when(i >= F.call_function("shiftleft", F.lit(1), k), F.get(sums, i - F.call_function("shiftleft", F.lit(1), k))).otherwise(F.lit(0).cast("long"))),
+    )
+
+
+def _blocks(turns: Column) -> Column:
+    """Blocks (role, texts) of adjacent turns of one role."""
+    places = F.sequence(F.lit(0), F.size(turns) - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
+
+    def cut(v: Column) -> Column:
+        stops = F.concat(F.slice(v, F.lit(2), F.size(v)), F.array(F.size(turns)))
+        return F.zip_with(
+            v, stops, lambda a, b: F.struct(F.get(turns, a)["role"].alias("role"), F.transform(F.slice(turns, a + 1, b - a), lambda t: t["text"]).alias("texts"))
+        )
+
+    return let(starts, cut)
+
+
+def _pieces(blocks: Column, loss_role: str) -> Column:
+    """The strings (s, loss) whose concatenation is the formatted conversation."""
+    piece = lambda s, loss: F.struct(s.alias("s"), loss.alias("loss"))
+    plain = F.lit(False)
+
+    def of_block(b: Column) -> Column:
+        role = F.replace(_escape(b["role"]), F.lit("\n"), F.lit("\\n"))
+        texts = F.transform(
+            b["texts"], lambda t, i: F.array(piece(F.when(i == 0, F.lit("")).otherwise(F.lit("<seg>")), plain), piece(_escape(t), b["role"] == loss_role))
+        )
+        return F.concat(F.array(piece(F.concat(F.lit("### "), role, F.lit("\n")), plain)), F.flatten(texts), F.array(piece(F.lit("</turn>\n"), plain)))
+
+    return F.flatten(F.transform(blocks, of_block))
 
 
 def format_chats(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
@@ -44,42 +98,52 @@ def format_chats(turns: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    merged = sorted_turns.select(
-        "conv_id",
-        F.expr(
-            """aggregate(turns, cast(array() as array<struct<role: string, texts: array<string>>>), (done, t) ->
-                 if(size(done) > 0 and element_at(done, -1).role = t.role,
-                    concat(slice(done, 1, size(done) - 1),
-                           array(struct(t.role as role, concat(element_at(done, -1).texts, array(t.text)) as texts))),
-                    concat(done, array(struct(t.role as role, array(t.text) as texts)))))"""
-        ).alias("blocks"),
-    )
-    role = rf"replace({_escape('b.role')}, '\n', '\\n')"
-    pieces = merged.select(
-        "conv_id",
-        F.expr(
-            rf"""flatten(transform(blocks, b -> concat(
-                 array(struct(concat('### ', {role}, '\n') as s, false as loss)),
-                 flatten(transform(b.texts, (t, i) -> array(
-                   struct(if(i = 0, '', '<seg>') as s, false as loss),
-                   struct({_escape('t')} as s, b.role = '{loss_role}' as loss)))),
-                 array(struct('</turn>\n' as s, false as loss)))))"""
-        ).alias("pieces"),
+
+    def spans(p: Column, ends: Column) -> Column:
+        found = F.transform(p, lambda x, i: F.when(x["loss"], F.struct((F.get(ends, i) - F.length(x["s"])).alias("start"), F.get(ends, i).alias("end"))))
+        return F.filter(found, lambda x: x.isNotNull())
+
+    def formatted(p: Column) -> Column:
+        lengths = F.transform(p, lambda x: F.length(x["s"]).cast("long"))
+        found = let(let(lengths, _running_sums), lambda ends: spans(p, ends))
+        return F.struct(F.array_join(F.transform(p, lambda x: x["s"]), "").alias("formatted"), found.alias("loss_spans"))
+
+    pieces = let(F.col("turns"), lambda t: _pieces(_blocks(t), loss_role))
+    return sorted_turns.select("conv_id", F.explode(F.array(let(pieces, formatted))).alias("f")).select("conv_id", "f.formatted", "f.loss_spans")
+
+
+def _cut(text: Column, spans: Column, base: Column, groups: tuple[int, ...] = SPAN_GROUPS) -> Column:
+    """The unescaped strings of all ``spans`` of ``text``, which begins at place ``base``.
+
+    Finding a place in a string takes time in proportion to it, so spans are cut out
+    of the stretch of their group, and groups out of that of theirs.
+    """
+    if not groups:
+        one = lambda s: _unescape(F.substr(text, (s["start"] - base + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+        return F.array_join(F.transform(spans, one), "")
+    grouped = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / groups[0]).cast("int")), lambda k: F.slice(spans, k * groups[0] + 1, F.lit(groups[0]))
     )
-    spans = """aggregate(pieces, struct(0L as at, cast(array() as array<struct<start: bigint, end: bigint>>) as spans), (a, p) ->
-        struct(a.at + length(p.s) as at,
-               if(p.loss, concat(a.spans, array(struct(a.at as start, a.at + length(p.s) as end))), a.spans) as spans)).spans"""
-    return pieces.select("conv_id", F.expr("array_join(pieces.s, '')").alias("formatted"), F.expr(spans).alias("loss_spans"))
+
+    def stretch(v: Column) -> Column:
+        first, end = F.get(v, F.lit(0))["start"], F.element_at(v, -1)["end"]
+        part = F.struct(F.substr(text, (first - base + 1).cast("int"), (end - first).cast("int")).alias("text"), first.alias("first"), v.alias("spans"))
+        return let(part, lambda p: _cut(p["text"], p["spans"], p["first"], groups[1:]))
+
+    return F.when(F.size(spans) == 0, F.lit("")).otherwise(F.array_join(F.transform(grouped, stretch), ""))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """Adds ``turns`` (role, text), and ``loss_text``, both read from the formatted text alone and its spans."""
-    blocks = r"filter(split(formatted, '</turn>\n', -1), (b, i) -> b <> '')"
-    turns = rf"""flatten(transform({blocks}, b -> transform(
-        split(substring(b, length(substring_index(b, '\n', 1)) + 2), '<seg>', -1),
-        t -> struct({_unescape("substring(substring_index(b, '\n', 1), 5)")} as role, {_unescape('t')} as text))))"""
-    loss = f"array_join(transform(loss_spans, s -> {_unescape('substring(formatted, cast(s.start + 1 as int), cast(s.end - s.start as int))')}), '')"
-    return formatted.withColumns({"turns": F.expr(turns), "loss_text": F.expr(loss)})
+    blocks = F.filter(F.split("formatted", "</turn>\n", -1), lambda b: b != "")
+
+    def turns(b: Column) -> Column:
+        head = F.substring_index(b, "\n", 1)
+        texts = F.split(F.substr(b, F.length(head) + 2), "<seg>", -1)
+        return F.transform(texts, lambda t: F.struct(_unescape(F.substr(head, F.lit(5))).alias("role"), _unescape(t).alias("text")))
+
+    loss = _cut(F.col("formatted"), F.col("loss_spans"), F.lit(0).cast("long"))
+    return formatted.withColumns({"turns": F.flatten(F.transform(blocks, turns)), "loss_text": loss})
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

@@ -17,12 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, local mode gets a folder of its own; on a cluster, whose
+    machines could not share such a folder, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="platewise-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -81,11 +87,6 @@ class WordHashes(dict):
         return value
 
 
-def ascii_lower_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; null text has none."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 #: Low bytes of a 64-bit word, by how many of them belong to the word.
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 #: Bytes of text whose words are handled together.

@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from platewise.llm import chat_format, decontaminate, language_id, license_scan, near_dedup, packing, pii, quality, sharding, token_counts
 from platewise.llm.common import table
 
-#: Fixed conversation that queries of chat formatting add: control strings inside texts.
-EXTRA_CHAT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+#: Fixed text of the conversation that the query of chat formatting adds: control strings.
+EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame(EXTRA_CHAT, "conv_id long, turn long, role string, text string")
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :text), (-7L, 1L, 'assistant', :text) AS t(conv_id, turn, role, text)", args={"text": EXTRA_TEXT})
     return chat_format.chat_digests(chat_format.format_chats(turns.unionByName(extra)))
 
 
