@@ -19,16 +19,19 @@ an outgoing state and a count.  No piece spans from a non-blank to a blank nor
 across a character without a piece, so after the first such point (the
 synchronising point) the map no longer depends on the incoming state; a map is
 kept as the head before it, the count after it and the state at the end.  Maps
-compose associatively and are combined by a parallel-prefix (doubling) scan.
+compose associatively; the count of a text is the last element of their prefix
+scan, so only the scan's up-sweep is made: neighbours are composed in rounds.
 
 Rows: null text counts as empty; an empty text has no tokens; repeated rows and
 ties are counted row by row; an empty table gives an empty result; other
-columns are ignored.  Memory: one row and a bounded number of memoised
-transitions a worker.
+columns are ignored.  A very long text, with or without blanks, takes time and
+memory in proportion to its length: a batch of rows, the chunks of one text and
+a bounded number of memoised states and words a worker.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,7 +43,7 @@ BLANK = "▁"
 CHUNK_CHARS = 65_536
 #: Memoised whole-word transitions and states kept before starting afresh.
 MEMO_LIMIT = 800_000
-STATE_LIMIT = 300_000
+STATE_LIMIT = 100_000
 #: The context length above which ``over_limit`` is true.
 CONTEXT_TOKENS = 4096
 
@@ -73,12 +76,22 @@ class CountingTransducer:
         self.states: dict[tuple, State] = {}
         self.start = self._state("", (("", 0),))
         self.words: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.segments: dict[str, int] = {}
         self.heads: dict[str, tuple[State, int]] = {}
 
+    def _forget(self) -> None:
+        """Drop all transitions and states but the start; a state that is still held goes on working."""
+        for state in self.states.values():
+            state.arcs = {}
+        self.heads.clear()
+        self.states = {("", self.start.window): self.start}
+
     def _state(self, suffix: str, window: tuple) -> State:
         key = (suffix, window)
         found = self.states.get(key)
         if found is None:
+            if len(self.states) >= 2 * STATE_LIMIT:
+                self._forget()
             found = self.states[key] = State(suffix, window)
         return found
 
@@ -155,14 +168,16 @@ class CountingTransducer:
         after = tuple((at[0], at[1] - delta) if at is not None and seen[keep + k :] in self.prefixes else None for k, at in enumerate(window[keep:])) + ((last, 0),)
         return self._state(seen[keep:], after), delta
 
-    def run(self, state: State, text: str) -> tuple[State, int]:
+    def run(self, state: State, text: str | tuple[str, ...]) -> tuple[State, int]:
+        """State after a text, or the strings it consists of, and the change of the count."""
         total = 0
-        for ch in text:
-            found = state.arcs.get(ch)
-            if found is None:
-                found = self.step(state, ch)
-            state, delta = found
-            total += delta
+        for part in (text,) if isinstance(text, str) else text:
+            for ch in part:
+                found = state.arcs.get(ch)
+                if found is None:
+                    found = self.step(state, ch)
+                state, delta = found
+                total += delta
         return state, total
 
     def word(self, word: str, blank: bool) -> int:
@@ -183,57 +198,73 @@ class CountingTransducer:
                 memo[word] = found
         return found
 
+    def segment(self, text: str) -> int:
+        """The count, from the start state, of blanks and what follows them (memoised)."""
+        found = self.segments.get(text)
+        if found is None:
+            found = self.run(self.start, text)[1]
+            if len(text) <= 40:
+                if len(self.segments) >= MEMO_LIMIT:
+                    self.segments.clear()
+                self.segments[text] = found
+        return found
+
     def tidy(self) -> None:
-        """Forget the compiled part when it has grown past its bound; only between texts."""
+        """Forget the words once the compiled part has grown past its bound; only between texts."""
         if len(self.states) > STATE_LIMIT:
             self._reset()
 
 
 class ChunkMap:
-    """State map of a chunk; ``tail is None`` while it has no synchronising point."""
+    """State map of a chunk: strings before its synchronising point, the count after it, and the state at the end.
+
+    ``tail is None`` while it has no synchronising point; the strings are parts of
+    the text, never joined, so that maps of a text without one stay as small as it.
+    """
 
     __slots__ = ("head", "count", "tail")
 
-    def __init__(self, head: str, count: int = 0, tail: State | None = None):
+    def __init__(self, head: tuple[str, ...], count: int = 0, tail: State | None = None):
         self.head, self.count, self.tail = head, count, tail
 
 
+#: A word's first blank after a non-blank, where no piece can span; and blanks with what follows them.
+SEAM = re.compile(f"[^{BLANK}]{BLANK}")
+SEGMENT = re.compile(f"{BLANK}+[^{BLANK}]*")
+
+
 def chunk_map(t: CountingTransducer, chunk: str) -> ChunkMap:
     """The map of one chunk of text in which blanks stand for spaces."""
-    at = next((i for i in range(1, len(chunk)) if chunk[i] == BLANK and chunk[i - 1] != BLANK), None)
-    if at is None:
-        return ChunkMap(chunk)
-    body, count, end = chunk[at:], 0, chunk.rfind(BLANK)
+    seam = SEAM.search(chunk)
+    if seam is None:
+        # a character without a piece leads every state to the start
+        foreign = min((chunk.find(c) for c in set(chunk) if c not in t.ranks), default=-1)
+        if foreign < 0:
+            return ChunkMap((chunk,))
+        tail, count = t.run(t.start, chunk[foreign + 1 :])
+        return ChunkMap((chunk[: foreign + 1],), count, tail)
+    at, end = seam.start() + 1, chunk.rfind(BLANK)
     while end > at and chunk[end - 1] == BLANK:
         end -= 1
     end = max(end, at)
-    last = chunk[end:]
-    body = chunk[at:end]
-    if body:
-        if BLANK * 2 in body or body[0] != BLANK:
-            state, count = t.start, 0
-            for i, ch in enumerate(body):
-                if ch == BLANK and i and body[i - 1] != BLANK:
-                    state = t.start
-                state, delta = t.step(state, ch)
-                count += delta
-        else:
-            count = count_words(t, body[1:], True)
-    tail, more = t.run(t.start, last)
-    return ChunkMap(chunk[:at], count + more, tail)
+    count = count_words(t, chunk[at:end]) if end > at else 0
+    tail, more = t.run(t.start, chunk[end:])
+    return ChunkMap((chunk[:at],), count + more, tail)
 
 
-def count_words(t: CountingTransducer, text: str, blank: bool) -> int:
-    """Count of words with one blank between; a line feed, having no piece, also separates."""
+def count_words(t: CountingTransducer, text: str) -> int:
+    """Count of a text that begins and ends at seams; a line feed, having no piece, also parts words."""
+    if BLANK * 2 in text:
+        return sum(t.segment(x) for x in SEGMENT.findall(text))
     newline = "\n" not in t.ranks
     total = 0
     after, plain = t.words[1], t.words[0]
-    for k, line in enumerate(text.split("\n") if newline else [text]):
+    for k, line in enumerate(text[1:].split("\n") if newline else [text[1:]]):
         words = line.split(BLANK)
         if k:
             total += 1
         first = words[0]
-        if k or not blank:
+        if k:
             found = plain.get(first)
             total += t.word(first, False) if found is None else found
         else:
@@ -246,28 +277,28 @@ def count_words(t: CountingTransducer, text: str, blank: bool) -> int:
 
 def compose(t: CountingTransducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
     """The map of ``a`` followed by ``b``; associative."""
+    opens = b.head[0][:1] == BLANK
     if a.tail is None:
-        head = a.head + b.head
-        if b.tail is None and not (b.head[:1] == BLANK and a.head[-1:] not in ("", BLANK)):
-            return ChunkMap(head)
-        if b.head[:1] == BLANK and a.head[-1:] not in ("", BLANK):
+        if opens and a.head[-1][-1:] != BLANK:
             state, count = t.run(t.start, b.head)
             return ChunkMap(a.head, count + b.count, b.tail or state)
-        return ChunkMap(head, b.count, b.tail)
+        return ChunkMap(a.head + b.head, b.count, b.tail)
     state = a.tail
-    if b.head[:1] == BLANK and state.suffix[-1:] != BLANK and (state.window[-1][0][-1:] != BLANK):
+    if opens and state.suffix[-1:] != BLANK and (state.window[-1][0][-1:] != BLANK):
         state = t.start
     state, count = t.run(state, b.head)
     return ChunkMap(a.head, a.count + count + b.count, b.tail or state)
 
 
-def prefix_scan(t: CountingTransducer, maps: list[ChunkMap]) -> list[ChunkMap]:
-    """Inclusive scan by doubling: every round composes each map with the one ``gap`` before it."""
-    maps, gap = list(maps), 1
-    while gap < len(maps):
-        maps = maps[:gap] + [compose(t, maps[i - gap], maps[i]) for i in range(gap, len(maps))]
-        gap *= 2
-    return maps
+def composed(t: CountingTransducer, maps: list[ChunkMap]) -> ChunkMap:
+    """The composition of all maps: the up-sweep of a prefix scan, whose last element alone is asked for.
+
+    Every round composes neighbours; half as many maps are left.
+    """
+    while len(maps) > 1:
+        pairs = [compose(t, a, b) for a, b in zip(maps[::2], maps[1::2])]
+        maps = pairs + maps[-1:] if len(maps) % 2 else pairs
+    return maps[0]
 
 
 def count_tokens(t: CountingTransducer, text: str | None, chunk_chars: int = CHUNK_CHARS) -> int:
@@ -275,13 +306,9 @@ def count_tokens(t: CountingTransducer, text: str | None, chunk_chars: int = CHU
     if not text:
         return 0
     t.tidy()
-    if len(text) <= chunk_chars and "  " not in text and BLANK not in text and text[0] != " " and text[-1] != " ":
-        return count_words(t, text.replace(" ", BLANK), True)
-    spaced = BLANK + text.replace(" ", BLANK)
-    maps = [chunk_map(t, spaced[i : i + chunk_chars]) for i in range(0, len(spaced), chunk_chars)]
-    whole = prefix_scan(t, maps)[-1]
-    _, head = t.run(t.start, whole.head)
-    return head + whole.count
+    maps = [chunk_map(t, BLANK * (not i) + text[i : i + chunk_chars].replace(" ", BLANK)) for i in range(0, len(text), chunk_chars)]
+    whole = composed(t, maps)
+    return t.run(t.start, whole.head)[1] + whole.count
 
 
 _COMPILED: dict[str, CountingTransducer] = {}
