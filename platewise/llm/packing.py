@@ -1,15 +1,18 @@
 """Order-preserving packing of documents into token sequences (operator 9).
 
 Documents keep their order.  The token stream of a task's rows is cut into
-windows of at most ``max_len`` tokens by dynamic programming over candidate cuts
-(document ends, sentence ends, and places inside sentences).  A window costs its padding; a cut inside a
-document costs a truncation penalty that depends on its kind.  With ``best[j] = cut[j] + max_len - pos[j] +
-min(best[i] + pos[i])`` over the ``i`` at most ``max_len`` tokens back, the
-minimum slides with ``j`` and a monotone queue gives it in constant time.
-
-A window is padded to ``max_len`` unless its length is a power of two, so the
-rest of a task's stream, shorter than a window, is laid out in windows of
-descending powers of two and needs no padding.
+windows of at most ``max_len`` tokens by dynamic programming over candidate cuts.
+A window costs its padding; a cut inside a document costs a truncation penalty:
+little at the end of a sentence (a word that ends in a stop, perhaps with closing
+signs, or the last word of a line), much inside one, so that a sentence is cut
+only where that saves more padding than ``INNER_CUT`` tokens.  With
+``best[j] = cut[j] + max_len - pos[j] + min(best[i] + pos[i])`` over the ``i`` at
+most ``max_len`` tokens back, the minimum slides with ``j`` and a monotone queue
+gives it in constant time.
+
+A window is padded to ``max_len`` unless its length is a power of two.  The rest
+of a task's stream, shorter than a window, is cut by the same costs with that
+exemption (``tail_cuts``).
 
 The stream is solved in blocks of about ``BLOCK_TOKENS`` tokens; the last window
 of a block is carried into the next.  Memory is one block, or one document where
@@ -40,9 +43,11 @@ MAX_LEN = 4096
 #: The id that ends each document.
 END_ID = 2
 #: Cost, in tokens of padding, of a cut at a sentence end and within a sentence.
-SENTENCE_CUT, INNER_CUT = 4, 12
+SENTENCE_CUT, INNER_CUT = 4, 128
 #: Cuts within a sentence are considered at multiples of this from its start.
 INNER_STEP = 16
+#: Bytes that end a sentence, and that may follow them.
+STOPS, CLOSING = list(b".!?"), list(b"\"')]")
 BLOCK_TOKENS = 1_000_000
 MEMO_LIMIT = 800_000
 
@@ -122,7 +127,12 @@ def encode(texts: list[bytes], memo: WordIds, end_id: int = END_ID) -> tuple[np.
     flat = np.frombuffer(b"".join(values), "<u4")
     sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
     places = np.cumsum(sizes) - sizes
-    last = np.frombuffer(raw, np.uint8)[words.stops - 1]
+    signs = np.frombuffer(raw, np.uint8)
+    last = signs[words.stops - 1]
+    inner = np.isin(last, CLOSING) & (words.stops - words.starts > 1)
+    last = np.where(inner, signs[np.maximum(words.stops - 2, 0)], last)
+    lines = np.cumsum(signs == 10)
+    turn = np.append(lines[words.starts[1:]] > lines[words.stops[:-1] - 1], False) if len(words.starts) else np.zeros(0, bool)
     stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     upto = np.searchsorted(words.starts, stops)  # words of the documents so far
     codes = np.insert(codes, upto, len(values) - 1)
@@ -130,7 +140,9 @@ def encode(texts: list[bytes], memo: WordIds, end_id: int = END_ID) -> tuple[np.
     n = sizes[codes]
     after = np.cumsum(n)
     ids = flat[np.arange(after[-1]) + np.repeat(places[codes] - after + n, n)]
-    sentence = np.insert((last == 46) | (last == 33) | (last == 63), upto, False)
+    stopped = np.isin(last, STOPS) | turn
+    stopped[upto[np.diff(np.concatenate([[0], upto])) > 0] - 1] = False  # the end token follows
+    sentence = np.insert(stopped, upto, False)
     return ids, np.diff(np.concatenate([[0], after[ends]])), after[sentence]
 
 
@@ -157,7 +169,7 @@ def best_cuts(pos: np.ndarray, cost: np.ndarray, max_len: int = MAX_LEN) -> list
     """Indices of the cheapest cuts, from the first candidate to the last.
 
     ``pos`` rises from 0 in gaps of at most ``max_len``.  The last window costs
-    nothing: it is carried into the next block or laid out without padding.
+    nothing: it is carried into the next block or cut by ``tail_cuts``.
     """
     p, c = pos.tolist(), cost.tolist()
     n = len(p)
@@ -180,11 +192,25 @@ def best_cuts(pos: np.ndarray, cost: np.ndarray, max_len: int = MAX_LEN) -> list
     return cuts[::-1]
 
 
-def binary_lengths(n: int, max_len: int) -> list[int]:
-    """``n`` (at most ``max_len``) as one window if that is full or a power of two, else descending powers."""
-    if n == max_len:
-        return [n]
-    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
+def tail_cuts(size: int, ends: set[int], sentences: set[int], max_len: int) -> list[int]:
+    """Cheapest cuts of ``size`` tokens (at most ``max_len``), from 0 to ``size``, where powers of two need no padding."""
+    powers = [1 << k for k in range(max_len.bit_length()) if 1 << k <= max_len]
+    best, back, lead = [0], [0], 0  # ``lead`` is the cut with the least cost plus place so far
+    for j in range(1, size + 1):
+        cost, i = best[lead] + max_len - (j - lead), lead
+        for n in powers:
+            if n > j:
+                break
+            if best[j - n] <= cost:
+                cost, i = best[j - n], j - n
+        best.append(cost + (0 if j == size or j in ends else SENTENCE_CUT if j in sentences else INNER_CUT))
+        back.append(i)
+        if best[j] + j < best[lead] + lead:
+            lead = j
+    cuts = [size]
+    while cuts[-1]:
+        cuts.append(back[cuts[-1]])
+    return cuts[::-1]
 
 
 class Packer:
@@ -219,8 +245,9 @@ class Packer:
         edges = pos[best_cuts(pos, cost, self.max_len)].tolist()
         if final:
             tail = edges[-1] - edges[-2]
-            if tail < self.max_len:
-                edges = edges[:-1] + (edges[-2] + np.cumsum(binary_lengths(tail, self.max_len))).tolist()
+            at = edges[-2]
+            inside = lambda x: set((x[(x > at) & (x < self.size)] - at).tolist())
+            edges = edges[:-2] + [at + k for k in tail_cuts(tail, inside(ends), inside(sentences), self.max_len)]
             keep = self.size
         else:
             edges = edges[:-1]
