@@ -5,16 +5,20 @@ for international account numbers, ranges and digit counts elsewhere) confirm
 them; words near a span raise its score.  Base kinds are ``email``, ``ip``,
 ``card`` and ``phone``: every match that its validator confirms is a span,
 whatever its score.  Added kinds are ``iban`` (mod-97), ``ssn`` (a number of the
-form 3-2-4, only with a context word near) and ``secret`` (a long token only
-after a context word).
+form 3-2-4) and ``secret`` (a long token), the last two only with a context word
+near, before or after.  The score is 0.6 for a confirmed match and 0.9 with a
+context word near.
 
 Offsets are code points, end exclusive.  The places of the matches of a pattern
 come from the lengths of the matches and of the pieces between them.  Patterns
 hold possessive repeats and look-behinds where these leave the matches as they
 are and keep the time linear in the text.
 
-Rows: null text counts as empty; repeated rows are kept; an empty table gives an
-empty result; other columns are kept by ``redact`` and ignored by ``find_spans``.
+Rows: null text counts as empty; very long texts are searched in whole; repeated
+rows are kept and searched one by one; spans of different kinds may share
+characters (``redact`` merges those that do, and the one that begins first names
+them; a tie goes to the shorter, then to the first name); an empty table gives
+an empty result; other columns are kept by ``redact`` and ignored by ``find_spans``.
 """
 
 from __future__ import annotations
@@ -154,8 +158,9 @@ def redact(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFra
 
 
 def span_digests(found: DataFrame) -> DataFrame:
-    """Counts and digests of the base kinds, and all spans as text."""
+    """Counts and digests of the base kinds, all spans as text, and their scores in the same order."""
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda x: x["score"].cast("decimal(2,1)").cast("string")), ",")
+    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores.alias("scores"))

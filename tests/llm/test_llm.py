@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import textwrap
 import zlib
 from collections import Counter, defaultdict
@@ -440,6 +442,18 @@ def test_chunk_maps_compose_associatively():
         assert left.tail is right.tail
 
 
+def test_unbroken_text_takes_bounded_memory():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    code = (
+        "import resource, random, sys; from platewise.llm import token_counts as c; import public_tokenizers as p\n"
+        "t = c.compiled(p.path('piece_bpe_32k.model')); random.seed(1)\n"
+        "text = ''.join(random.choices('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/', k=20_000)) * int(sys.argv[1])\n"
+        "n = c.count_tokens(t, text); print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"
+    )
+    found = [list(map(int, subprocess.run([sys.executable, "-c", code, str(k)], capture_output=True, text=True, check=True).stdout.split())) for k in (1, 1000)]
+    assert abs(found[1][0] - 1000 * found[0][0]) < 5000 and found[1][1] < 500
+
+
 # 9 packing
 
 
@@ -488,6 +502,37 @@ def test_cuts_are_optimal():
         assert sum(most - (pos[b] - pos[a]) + cost[b] for a, b in zip(cuts[:-1], cuts[1:-1])) == best[n - 1]
 
 
+def test_tail_cuts_are_optimal():
+    rng, most = random.Random(4), 16
+    for _ in range(300):
+        size = rng.randint(1, most)
+        ends, sentences = (set(rng.sample(range(1, size + 1), rng.randint(0, size // 2))) for _ in range(2))
+        price = lambda j: 0 if j == size or j in ends else packing.SENTENCE_CUT if j in sentences else packing.INNER_CUT  # noqa: B023, E731
+        pad = lambda n: 0 if n & (n - 1) == 0 else most - n
+        best = {0: 0}
+        for j in range(1, size + 1):
+            best[j] = min(best[i] + pad(j - i) + price(j) for i in range(j))
+        cuts = packing.tail_cuts(size, ends, sentences, most)
+        assert cuts[0] == 0 and cuts[-1] == size and sum(pad(b - a) + price(b) for a, b in zip(cuts, cuts[1:])) == best[size]
+
+
+def test_sentences_are_cut_only_to_save_padding(prose):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    memo = packing.word_ids(tokenizers.path("word_bpe_49k.json"))
+    texts = [". ".join(prose(9, 100 * d + k) for k in range(80)).encode() + b".\nA line\n(and an end.) It" for d in range(30)]
+    ids, sizes, sentences = packing.encode(texts, memo)
+    assert (sizes > 0).all() and len(sentences) == 30 * (80 + 2)
+    packer = packing.Packer(0)
+    packer.add(list(range(30)), sizes, ids, sentences)
+    ends, places = np.cumsum(sizes), set(sentences.tolist())
+    cuts, before = [], np.concatenate([[0], ends[:-1]])
+    pieces = packer.flush()
+    for p, q in zip(pieces, pieces[1:]):
+        if p[5] != q[5]:
+            cuts.append(int(before[p[0]]) + p[1] + p[2])
+    assert len(cuts) > 5 and all(c in places or c in set(ends.tolist()) for c in cuts)
+
+
 # 10 personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -528,6 +573,12 @@ def test_pii_added_kinds_and_redaction(spark, odd):
     assert pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == len(ODD)
 
 
+def test_pii_scores_follow_context(spark):
+    rows = [(1, "mail me: a@b.cd"), (2, "x a@b.cd"), (3, None)]
+    got = {r.doc_id: (r.spans, r.scores) for r in pii.span_digests(pii.find_spans(docs_of(spark, rows))).collect()}
+    assert got == {1: ("email:9:15", "0.9"), 2: ("email:2:8", "0.6"), 3: ("", "")}
+
+
 def test_pii_secrets_after_a_sign_and_of_any_length(spark):
     key, long = "24be6443" * 5, "a1B2" * 300
     rows = [(1, f"api_key={key} end"), (2, f"GET https://example.org/x?token={key}&y=1"), (3, f'token = "{long}" end'), (4, f"password={long}"), (5, f"token={key[:19]} end")]
