@@ -18,8 +18,11 @@ share a band with probability ``1 - (1 - s**ROWS)**BANDS`` (at 0.8: all but abou
 first paired with the bucket's least id only (a star, never all pairs); verified
 links are grouped.  A later round does so again with other hubs.  Only where a
 bucket then still holds members of different groups are members of different
-groups paired, if sizes and a 4-bit sketch of the signature leave the threshold
-possible (the sketch errs on a pair at the threshold with probability below 1e-6).
+groups paired, if their sizes and bitmaps, which lose nothing, and a 4-bit sketch of
+the signature leave the threshold possible (the sketch errs on a pair at the
+threshold with probability below 1e-6; ``sketch=False`` does without it).  A large
+bucket is dealt to blocks of ``BLOCK_MEMBERS``, and each pair of blocks is a key of
+its own, so that no task gets a whole hot bucket.
 
 *Verification* compares full sets: a link needs ``100 * common >= percent * union``.
 
@@ -27,10 +30,12 @@ possible (the sketch errs on a pair at the threshold with probability below 1e-6
 small-star steps over the tables, to the least reachable id.
 
 Rows: null text counts as having no words; a document without words is linked
-with nothing; rows of one id are one document with links
-through any of its texts; a null id is kept as its
-own, unlinked row; an empty table gives an empty result; other columns are
-ignored by ``near_duplicates`` and kept by ``keep_first``.
+with nothing; very long texts are taken in whole; rows of one id are one document
+with links through any of its texts, so they have one component (``keep_first``
+keeps one row of an id: that of the text with the least hash, then of the least
+text and other columns); of a group the least id stands for it, so ties cannot
+arise; a null id is kept as its own, unlinked row; an empty table gives an empty
+result; other columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -50,6 +55,8 @@ BANDS, ROWS = 36, 6
 BROADCAST_IDS = 500_000
 #: Rounds of stars before members of different groups are paired.
 STAR_ROUNDS = 2
+#: Members of a bucket that are paired within one key.
+BLOCK_MEMBERS = 256
 SKETCH_BITS = 4
 #: Bits of the bitmap of a set's members.
 BITMAP = 2048
@@ -177,8 +184,8 @@ def _signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>, bits array<long>")
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
-    """Whether sizes, sketches and bitmaps of two members leave a similarity of ``percent`` possible."""
+def _possible(a: str, b: str, percent: int, sketch: bool = True) -> Column:
+    """Whether sizes, bitmaps and (if wished) sketches of two members leave a similarity of ``percent`` possible."""
     slots = BANDS * ROWS
     expected = 1 - (1 - percent / 100) / 2
     spread = (percent / 100 * (1 - percent / 100) / 4 / slots + 0.25 * (1 - percent / 100) / (slots * SKETCH_BITS)) ** 0.5
@@ -188,7 +195,8 @@ def _possible(a: str, b: str, percent: int) -> Column:
     count = lambda side: f"aggregate({side}.bits, 0, (s, x) -> s + bit_count(x))"
     common = f"least({a}.n - {count(a)} + {held}, {b}.n - {count(b)} + {held})"
     bounded = f"{100 + percent} * ({common}) >= {percent} * ({a}.n + {b}.n)"
-    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {differing} <= {most} and {bounded}")
+    alike = f"{differing} <= {most}" if sketch else "true"
+    return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {alike} and {bounded}")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -270,44 +278,85 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def _repeated(signed: DataFrame) -> DataFrame:
+    """``doc_id, many`` of ids with several rows; ``many`` tells that their sets differ."""
+    counted = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), (F.min("f1") < F.max("f1")).alias("many"))
+    return counted.where("rows > 1").select("doc_id", "many")
+
+
+def _block_pairs(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join that pairs members of a bucket: each side is dealt to the pairs of blocks it takes part in.
+
+    ``members`` has ``key, id, members``; the keys of the join are ``key, i, j``.
+    """
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    placed = members.withColumn("last", blocks - 1).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    left = placed.withColumn("j", F.explode(F.sequence("own", "last"))).withColumn("i", F.col("own"))
+    right = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("j", F.col("own"))
+    return left, right
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS, sketch: bool = True, block: int = BLOCK_MEMBERS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; sets are of ``shingle``-word shingles."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     signed = materialize(_signed(plain, shingle, bands, rows), "signed")
+    used = [signed]
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        used.append(materialize(df, label))
+        return used[-1]
+
     # one class for each set: its least id stands for it
-    classes = materialize(signed.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = keep(signed.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "n"), ["doc_id", "f1", "f2", "n"], "left_semi")
     banded = reps.select(F.explode("bands").alias("key"), F.struct(F.col("doc_id").alias("id"), "n").alias("m"))
     hubs = banded.groupBy("key").agg(F.min("m").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = materialize(banded.join(hubs.select("key", "hub"), "key").select("key", F.col("m.id").alias("id"), F.col("m.n").alias("n"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
+    shared = keep(banded.join(hubs.select("key", "hub"), "key").select("key", F.col("m.id").alias("id"), F.col("m.n").alias("n"), F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
     fits = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
     pairs = shared.where(f"id <> hub and {fits}").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
-    links = verify(pairs, plain, shingle, percent)
+    links = verify(keep(pairs, "pairs"), plain, shingle, percent)
+    used.append(links)
+    # an id with several sets ties their classes together
+    repeated = keep(_repeated(signed), "repeated")
+    split = repeated.where("many").select("doc_id")
+    if not split.isEmpty():
+        tied = signed.where("n > 0").join(split, "doc_id", "left_semi").join(classes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        links = links.union(keep(tied.where("a <> b").distinct(), "tied"))
     found = components(links)
-    sketch = reps.select(F.col("doc_id").alias("id"), "sketch", "bits")
+    used.append(found)
     for k in range(star_rounds):
-        named = shared.select("key", "id", "n").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        groups = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        left = materialize(named.join(groups.select("key"), "key", "left_semi"), "open")
-        if left.isEmpty():
+        named = keep(shared.select("key", "id", "n").join(found, "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
+        groups = keep(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi"), "groups")
+        if groups.isEmpty():
             break
+        left = named.join(groups.select("key", "members"), "key")
         if k < star_rounds - 1:
             order = F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id"), F.col("n"), F.col("root"))
-            hub = left.groupBy("key").agg(F.min(order).alias("hub"))
+            hub = keep(left.groupBy("key").agg(F.min(order).alias("hub")), "hubs")
             tried = left.join(hub, "key").where("root <> hub.root").withColumns({"hub_n": F.col("hub.n"), "hub": F.col("hub.id")}).where(fits)
             pairs = tried.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         else:
-            full = left.join(sketch, "id")
-            a, b = full.alias("a"), full.alias("b")
-            pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent))
-            pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-        more = verify(materialize(pairs, "pairs"), plain, shingle, percent)
+            full = left.join(reps.select(F.col("doc_id").alias("id"), "sketch", "bits"), "id")
+            a, b = (side.alias(name) for side, name in zip(_block_pairs(full, block), "ab"))
+            once = (F.col("a.own") != F.col("b.own")) | (F.col("a.id") < F.col("b.id"))
+            meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+            pairs = a.join(b, meet & once & (F.col("a.root") != F.col("b.root")) & _possible("a", "b", percent, sketch))
+            pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+        more = verify(keep(pairs, "pairs"), plain, shingle, percent)
+        used.append(more)
         links = links.union(more)
         found = components(links)
+        used.append(found)
     named = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("root", "rep").alias("component_id"))
     result = signed.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    result = result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if not split.isEmpty():  # rows without words of such an id, too
+        one = result.join(split, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("one"))
+        result = result.join(one, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("one", "component_id").alias("component_id"))
+    result = materialize(result, "components")
+    for table in used:
+        release(table)
+    return result
 
 
 def dedup_table(docs: DataFrame, *, shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -315,8 +364,15 @@ def dedup_table(docs: DataFrame, *, shingle: int = 4, percent: int = 80) -> Data
 
 
 def keep_first(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those in the group of a lesser id."""
+    """The rows of ``docs`` without those in the group of a lesser id; one row of each id."""
     found = near_duplicates(docs, shingle=shingle, percent=percent)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     clashing = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"))
-    return clashing.join(gone, "doc_id", "left_anti").select("_row.*")
+    kept = clashing.join(gone, "doc_id", "left_anti")
+    several = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not several.isEmpty():
+        again = kept.join(several, "doc_id", "left_semi")
+        order = F.struct(F.xxhash64("_row.text").alias("h"), F.coalesce(F.col("_row.text"), F.lit("")).alias("text"), F.to_json("_row").alias("row"))
+        first = again.groupBy("doc_id").agg(F.min_by("_row", order).alias("_row"))
+        kept = kept.join(several, "doc_id", "left_anti").select("_row").union(first.select("_row"))
+    return kept.select("_row.*")
