@@ -28,19 +28,25 @@ Items too short to have such a bound, and of one word, are compared at every
 window.
 
 The items are the query set: they are taken in blocks of ``BLOCK_BYTES`` of text,
-and each block's index goes to the tasks, so its size is bounded whatever the
-number of items.  Documents are never shuffled.
-
-Rows: null or wordless items match nothing; null texts have no window; repeated
-items are told apart by id; repeated rows are searched one by one; an empty table
-gives an empty result; other columns are ignored by ``find_leaks`` and kept by
-``drop_leaks``.
+each a broadcast of its own, and a task holds the index of one block at a time,
+so its memory is bounded whatever the number of items.  Up to ``PASS_BLOCKS``
+blocks meet the documents in one pass: a task sets aside ``BUFFER_BYTES`` of
+texts and searches them with one block after another.  Documents are never shuffled.
+
+Rows: null or wordless items match nothing; null texts have no window; very long
+texts are searched in whole; repeated items are told apart by id, and rows of one
+item id give one row with the best of their matches, or one for each block that
+holds some of them; of windows with the
+same distance the first counts; repeated rows are searched one by one; an empty
+table gives an empty result; other columns are ignored by ``find_leaks`` and kept
+by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +59,7 @@ from platewise.llm.common import U64, WordHashes, Words, mix64, raw_texts, slice
 PERCENT = 20
 DRAWS = 2
 BLOCK_BYTES = 4_000_000
+PASS_BLOCKS, BUFFER_BYTES = 16, 32_000_000
 PAIR_BITS = 20
 SIGNS = b".,;:!?\"'()[]{}<>#*$%&|=+-_/\\`~^@"
 HIT = "doc_id long, item_id long, start long, n_words long, distance long"
@@ -249,21 +256,39 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterato
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, pass_blocks: int = PASS_BLOCKS, buffer_bytes: int = BUFFER_BYTES) -> DataFrame:
     """``doc_id, item_id, start, n_words, distance``: the best window of every document and item that match."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    context = docs.sparkSession.sparkContext
     found = None
-    for items in item_blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    blocks = item_blocks(benchmark, block_bytes)
+    while shared := [context.broadcast(items) for items in islice(blocks, pass_blocks)]:
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, memo = ItemIndex(shared.value, percent), Normalised()
+            memo = Normalised()
+            index = ItemIndex(shared[0].value, percent) if len(shared) == 1 else None
+
+            def hits(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+                for block in shared:
+                    own, rows = index or ItemIndex(block.value, percent), []
+                    for a, b in slices(texts):
+                        rows += [(ids[a + t], *rest) for t, *rest in own.search(*word_codes(texts[a:b], memo))]
+                    columns = list(zip(*rows)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in HIT.split(", ")])
+
+            ids: list = []
+            texts: list[bytes] = []
+            size = 0
             for batch in batches:
-                ids, texts, rows = batch.column(0).to_pylist(), raw_texts(batch.column(1)), []
-                for a, b in slices(texts):
-                    rows += [(ids[a + t], *rest) for t, *rest in index.search(*word_codes(texts[a:b], memo))]
-                columns = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [x.split()[0] for x in HIT.split(", ")])
+                for doc_id, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                    ids.append(doc_id)
+                    texts.append(text)
+                    size += len(text)
+                    if size >= buffer_bytes:
+                        yield from hits(ids, texts)
+                        ids, texts, size = [], [], 0
+            if texts:
+                yield from hits(ids, texts)
 
         part = plain.mapInArrow(search, HIT)
         found = part if found is None else found.unionByName(part)
