@@ -8,10 +8,14 @@ their own labels.  Marginals come from the forward-backward recursions; a text's
 language is the one with the largest mean marginal over its words with letters,
 and the score is that mean.
 
-*Training.*  At most about ``TRAIN_DOCS`` labelled rows outside the held-out fold,
-chosen by the hash of their id, give one stretch of ``TRAIN_CHARS`` characters
-each.  Stretches are also joined, short ones until they give ``SEQUENCE`` words, so
-that transitions between languages are seen.  The likelihood is climbed by full-batch Adagrad on the driver.
+*Training.*  The sample is bounded: at most ``TRAIN_DOCS`` labelled rows outside the
+held-out fold, those of the least hashes of id and text among the rows of at most
+``TRAIN_CHARS`` characters.  Their texts are learned from in whole: they are cut into
+stretches, which are shuffled and laid one after another into sequences of
+``SEQUENCE`` words (the end of the last one is filled from the first), so that
+every word counts and transitions between languages are seen.  The likelihood is
+climbed by full-batch Adagrad on the driver.  The sample is sorted, so the field
+does not depend on how the table is partitioned.
 
 *Long texts.*  Recursions run over blocks of ``BLOCK`` words at once: the
 transition products of all blocks are formed in parallel, boundary vectors pass
@@ -19,7 +23,8 @@ from block to block, and the inside of all blocks is filled in in parallel.
 
 Rows: a null text, and one without letters, gets ``und`` and score 0; a null
 ``lang`` is never learned from; repeated rows are predicted one by one; ties go to
-the first language in order; with nothing to learn from, every text is ``und``;
+the first language in order; very long texts are predicted in whole (but never
+drawn for training); with nothing to learn from, every text is ``und``;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from platewise.llm.common import U64, Words, mix64, raw_texts, slices
 
-TRAIN_DOCS, TRAIN_CHARS, SEQUENCE = 3000, 900, 64
+TRAIN_DOCS, TRAIN_CHARS, SEQUENCE = 600, 100_000, 64
 FEATURE_BITS, LEXICON_WORDS = 16, 400
 EPOCHS, RATE, DECAY = 40, 0.3, 1e-3
 BLOCK = 64
@@ -191,53 +196,21 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Field:
     field = Field(languages, np.zeros((1 << FEATURE_BITS, label_count)), lexicon, np.array([table[int(x)] for x in lexicon], np.int64), np.zeros((label_count, label_count)), np.zeros((label_count, label_count)))
     lettered = np.fromiter((bool(w) for w in words), bool, len(words))
     in_lexicon = field.in_lexicon(whole)
-    # sequences: one stretch, or the beginning of one, and others after it until they are long enough
-    rows, gold = [], []
-    filled = np.nonzero(np.diff(bounds))[0]
-    for k in filled.tolist():
-        own = codes[bounds[k] : bounds[k + 1]]
-        cut = len(own) if k % 2 else int(rng.integers(1, max(2, min(SEQUENCE, len(own)))))
-        parts, marks, size = [own[:cut]], [np.full(cut, gold_of[k])], cut
-        while size < SEQUENCE:
-            other = int(rng.choice(filled))
-            parts.append(codes[bounds[other] : bounds[other + 1]])
-            marks.append(np.full(len(parts[-1]), gold_of[other]))
-            size += len(parts[-1])
-        rows.append(np.concatenate(parts)[:SEQUENCE])
-        gold.append(np.concatenate(marks)[:SEQUENCE])
-    if not rows:
+    rows, gold = sequences([codes[bounds[k] : bounds[k + 1]] for k in range(sets)], gold_of, rng)
+    if not len(rows):
         return field
-    rows, gold = np.stack(rows), np.stack(gold)
     hot = np.eye(label_count)[gold]
     pair_gold = np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
     squares = [np.full(x.shape, 1e-6) for x in (field.weights, field.lexicon_weights, field.transitions)]
     for _ in range(EPOCHS):
-        scores, _ = field.potentials(words)
-        e = np.exp(scores - scores.max(axis=1, keepdims=True))[rows]
-        a = np.exp(field.transitions)
-        alpha, beta = np.empty_like(e), np.empty_like(e)
-        v = np.full((len(rows), label_count), 1 / label_count)
-        for t in range(SEQUENCE):
-            v = (v @ a) * e[:, t]
-            v /= v.sum(axis=1, keepdims=True)
-            alpha[:, t] = v
-        v = np.ones((len(rows), label_count))
-        for t in range(SEQUENCE - 1, -1, -1):
-            beta[:, t] = v
-            v = (e[:, t] * v) @ a.T
-            v /= v.sum(axis=1, keepdims=True)
-        post = alpha * beta
-        post /= post.sum(axis=2, keepdims=True)
-        pairs = alpha[:, :-1, :, None] * a * (e * beta)[:, 1:, None, :]
-        pairs /= pairs.sum(axis=(2, 3), keepdims=True)
-        slope = hot - post
+        slope, pair_slope = gradient(field.potentials(words)[0], field.transitions, rows, hot, pair_gold)
         by_code = np.stack([np.bincount(rows.ravel(), slope[:, :, k].ravel(), len(words)) for k in range(label_count)], axis=1)
         by_code[~lettered] = 0
         per = len(rows)
         steps = [
             np.stack([np.bincount(features, by_code[owners, k], 1 << FEATURE_BITS) for k in range(label_count)], axis=1) / per - DECAY * field.weights,
             np.stack([by_code[(in_lexicon >= 0) & (field.lexicon_of[in_lexicon] == k)].sum(axis=0) if len(lexicon) else np.zeros(label_count) for k in range(label_count)]) / per - DECAY * field.lexicon_weights,
-            (pair_gold - pairs.sum(axis=(0, 1))) / per - DECAY * field.transitions,
+            pair_slope / per - DECAY * field.transitions,
         ]
         for x, g, s in zip((field.weights, field.lexicon_weights, field.transitions), steps, squares):
             s += g * g
@@ -245,14 +218,75 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Field:
     return field
 
 
+def sequences(texts: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Word codes and gold labels (sequences x ``SEQUENCE``): every word of every text, in shuffled stretches."""
+    stretches = []
+    for k, own in enumerate(texts):
+        at = 0
+        while at < len(own):  # every second text in stretches of any length
+            size = SEQUENCE if k % 2 else int(rng.integers(1, SEQUENCE + 1))
+            stretches.append((own[at : at + size], labels[k]))
+            at += size
+    if not stretches:
+        return np.zeros((0, SEQUENCE), np.int64), np.zeros((0, SEQUENCE), np.int64)
+    order = [stretches[k] for k in rng.permutation(len(stretches))]
+    stream, marks = np.concatenate([x for x, _ in order]), np.concatenate([np.full(len(x), y) for x, y in order])
+    places = np.arange(-(-len(stream) // SEQUENCE) * SEQUENCE).reshape(-1, SEQUENCE) % len(stream)
+    return stream[places], marks[places]
+
+
+def log_likelihood(scores: np.ndarray, transitions: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> float:
+    """Log probability of gold labels, the label before a sequence being any; for comparison in tests."""
+    total, labels = 0.0, scores.shape[1]
+    for codes, marks in zip(rows, gold):
+        v = np.full(labels, 1 / labels)
+        path = scores[codes, marks].sum() + transitions[marks[:-1], marks[1:]].sum() + np.log(np.exp(transitions)[:, marks[0]].sum() / labels)
+        log_z = 0.0
+        for c in codes:
+            v = (v @ np.exp(transitions)) * np.exp(scores[c])
+            log_z += np.log(v.sum())
+            v /= v.sum()
+        total += path - log_z
+    return total
+
+
+def gradient(scores: np.ndarray, transitions: np.ndarray, rows: np.ndarray, hot: np.ndarray, pair_gold: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Gold minus expected labels of every word (sequences x words x labels), and of neighbours (labels x labels)."""
+    labels = scores.shape[1]
+    potentials, a = np.exp(scores - scores.max(axis=1, keepdims=True)), np.exp(transitions)
+    post, pairs = np.empty(hot.shape), np.zeros((labels, labels))
+    for at in range(0, len(rows), block):
+        e = potentials[rows[at : at + block]]
+        alpha, beta = np.empty_like(e), np.empty_like(e)
+        v = np.full((len(e), labels), 1 / labels)
+        for t in range(e.shape[1]):
+            v = (v @ a) * e[:, t]
+            v /= v.sum(axis=1, keepdims=True)
+            alpha[:, t] = v
+        v = np.ones((len(e), labels))
+        for t in range(e.shape[1] - 1, -1, -1):
+            beta[:, t] = v
+            v = (e[:, t] * v) @ a.T
+            v /= v.sum(axis=1, keepdims=True)
+        found = alpha * beta
+        post[at : at + block] = found / found.sum(axis=2, keepdims=True)
+        both = alpha[:, :-1, :, None] * a * (e * beta)[:, 1:, None, :]
+        pairs += (both / both.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1))
+    return hot - post, pair_gold - pairs
+
+
 def training_sample(docs: DataFrame, limit: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """About ``limit`` labelled stretches from outside the held-out fold (never over twice as many)."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    """At most ``limit`` labelled whole texts from outside the held-out fold, the same in any partitioning."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.where(F.length("text") <= chars).withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
     n = rows.count()
     if not n:
         return []
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(n)) < limit).limit(2 * limit)
-    return [(r.text, r.lang) for r in picked.select(F.substring("text", 1, chars).alias("text"), F.col("lang").cast("string").alias("lang")).collect()]
+    # about four times as many as wanted go into the choice of the least hashes
+    near = rows.withColumn("h", F.pmod("h", F.lit(n))).where(F.col("h") < 4 * limit)
+    picked = near.orderBy("h", "doc_id", "text", "lang").limit(limit).collect()
+    return [(r.text, r.lang) for r in picked]
 
 
 def predict(docs: DataFrame, field: Field) -> DataFrame:
@@ -281,7 +315,7 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
                 for k, b in enumerate(best.tolist()):
                     sure = bool(field.languages) and known[lo + k] and mean[k, b] > 0
                     langs.append(field.languages[b] if sure else "und")
-                    scores.append(min(1.0, float(mean[k, b])) if sure else 0.0)
+                    scores.append(round(min(1.0, float(mean[k, b])), 9) if sure else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("known"))

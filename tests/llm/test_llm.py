@@ -166,6 +166,49 @@ def test_language_is_learned_from_short_texts():
     assert scores.argmax(axis=1).tolist() == [0, 1]
 
 
+def test_gradient_matches_finite_differences():
+    rng = np.random.default_rng(3)
+    scores, a = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
+    rows, gold = rng.integers(0, 7, (5, 6)), rng.integers(0, 3, (5, 6))
+    hot = np.eye(3)[gold]
+    slope, pairs = language_id.gradient(scores, a, rows, hot, np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:]), block=2)
+    by_code = np.stack([np.bincount(rows.ravel(), slope[:, :, k].ravel(), 7) for k in range(3)], axis=1)
+    step = 1e-6
+    for (i, j), value in np.ndenumerate(by_code):
+        moved = scores.copy()
+        moved[i, j] += step
+        assert (language_id.log_likelihood(moved, a, rows, gold) - language_id.log_likelihood(scores, a, rows, gold)) / step == pytest.approx(value, abs=1e-4)
+    # the first word's free predecessor is left out of the transitions' slope
+    first = np.zeros((3, 3))
+    for codes, marks in zip(rows, gold):
+        z = np.exp(a) / np.exp(a)[:, marks[0]].sum()
+        first[:, marks[0]] += z[:, marks[0]]
+        v = np.ones(3)
+        for c in codes[:0:-1]:
+            v = np.exp(a) @ (np.exp(scores[c]) * v)
+        both = np.exp(a) * (np.exp(scores[codes[0]]) * v)
+        first -= both / both.sum()
+    for (i, j), value in np.ndenumerate(pairs + first):
+        moved = a.copy()
+        moved[i, j] += step
+        assert (language_id.log_likelihood(scores, moved, rows, gold) - language_id.log_likelihood(scores, a, rows, gold)) / step == pytest.approx(value, abs=1e-4)
+
+
+def test_whole_texts_are_learned_from():
+    texts = [np.arange(k * 1000, k * 1000 + n) for k, n in enumerate((0, 3, 70, 500))]
+    rows, gold = language_id.sequences(texts, np.array([0, 0, 1, 2]), np.random.default_rng(0))
+    assert set(rows.ravel().tolist()) == set(np.concatenate(texts).tolist()) and rows.shape[1] == language_id.SEQUENCE
+    assert all(g == {0: 0, 1: 0, 2: 1, 3: 2}[c // 1000] for c, g in zip(rows.ravel().tolist(), gold.ravel().tolist()))
+
+
+def test_sample_and_predictions_do_not_depend_on_partitions(spark, prose):
+    docs = docs_of(spark, [(i, prose(30, i) + f" {'the' if i % 2 else 'der'}", "en" if i % 2 else "de") for i in range(200)] + [(7, "the same", "en")] * 50)
+    one, two = (language_id.training_sample(d, 60) for d in (docs.repartition(2, "text"), docs.repartition(7)))
+    assert one == two and len(one) == 60
+    a, b = ({(r.doc_id, r.lang_pred, round(r.score, 6)) for r in language_id.identify(d).collect()} for d in (docs.repartition(2, "text"), docs.repartition(7)))
+    assert a == b
+
+
 # 4 license scans
 
 
@@ -328,6 +371,31 @@ def test_near_duplicates_odd_rows(odd, empty):
     assert near_dedup.dedup_table(empty).count() == 0 and near_dedup.keep_first(empty).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark, prose):
+    a, b, c, d = (prose(60, 500 + k) for k in range(4))
+    rows = [(1, a), (5, a), (5, b), (9, b), (3, c), (3, c), (7, d), (7, None), (8, d), (2, None), (2, "")]
+    got = near_dedup.dedup_table(docs_of(spark, rows)).collect()
+    want = {1: 1, 5: 1, 9: 1, 3: 3, 7: 7, 8: 7, 2: 2}
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] and r.kept == (want[r.doc_id] == r.doc_id) for r in got)
+    kept = near_dedup.keep_first(docs_of(spark, rows)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 3, 7] and {r.doc_id: r.text for r in kept}[3] == c
+
+
+@pytest.mark.parametrize("block", [2, 5, 256])
+def test_every_pair_of_a_bucket_meets_once(spark, block):
+    members = spark.createDataFrame([(1, i, 11) for i in range(11)] + [(2, i, 3) for i in range(3)] + [(3, 7, 1)], "key long, id long, members long")
+    a, b = (x.alias(n) for x, n in zip(near_dedup._block_pairs(members, block), "ab"))
+    meet = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("key", "i", "j")]).where("a.own <> b.own or a.id < b.id")
+    got = Counter((r[0], *sorted(r[1:])) for r in meet.select("a.key", "a.id", "b.id").collect())
+    assert got == Counter((k, i, j) for k, n in ((1, 11), (2, 3)) for j in range(n) for i in range(j))
+
+
+def test_intermediate_tables_are_released(spark, prose, tmp_path, monkeypatch):
+    monkeypatch.setattr("platewise.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    near_dedup.dedup_table(docs_of(spark, [(i, prose(60, i // 3) + f" {i}") for i in range(30)])).collect()
+    assert [p.name.split("-")[1] for p in tmp_path.iterdir() if p.is_dir()] == ["components"]
+
+
 def test_components_of_a_long_path(spark):
     rng = random.Random(1)
     order = list(range(200))
@@ -390,6 +458,8 @@ def test_leaks_match_brute_force(spark, prose, odd, empty):
     assert {(r.doc_id, r.item_id): r.distance for r in got} == want and len(want) > 15
     blocks = decontaminate.find_leaks(docs_of(spark, rows), bench, block_bytes=500).collect()
     assert {(r.doc_id, r.item_id): r.distance for r in blocks} == want
+    passes = decontaminate.find_leaks(docs_of(spark, rows), bench, block_bytes=500, pass_blocks=3, buffer_bytes=2000).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in passes} == want
     kept = decontaminate.drop_leaks(docs_of(spark, rows), bench)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in rows} - {d for d, _ in want})
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
