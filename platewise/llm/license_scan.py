@@ -8,15 +8,18 @@ and the words of ``MARKS``) do not count; a match is on the line of its first wo
 template is compared with a stretch word by word: each place where at most
 ``DIFFERING`` percent of its words differ is a match; the differences are returned.
 A match is compressed by zstandard alone and with the template as raw dictionary,
-and templates are ranked by the share of bytes they save.  A notice of
+and templates are ranked by the bytes they save, less ``DIFFERENCE_BYTES`` for each
+differing word.  A notice of
 under ten words may differ in one word that neither belongs to the licence's name or
 version (any word but the ``PLAIN`` ones, "license" among them) nor negates the
 notice; between two words of a name only a ``PLAIN`` word may come.  Of matches that
-overlap, the one with the smallest share of differing words is kept, and what is left between
-kept ones is searched again.
+overlap, the one that ranks first is kept, and what is left between
+kept ones is searched again.  Templates are one-sentence notices, headers, whole
+short licences and machine-readable tags; a whole licence saves more bytes than the
+notice it begins with, and so stands for both.
 
-Rows: null texts and texts without candidates give no row; each match that
-is kept gives one; ties go to the larger saving, then to the first name; repeated rows
+Rows: very long texts are searched in whole; null texts and texts without candidates give no row; each match that
+is kept gives one; ties go to the smaller share of differing words, then to the first name; repeated rows
 are scanned one by one; an empty table gives an empty result; other columns are
 ignored.
 """
@@ -32,32 +35,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The disclaimers that several licences end with.
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_HOLDERS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_BSD_TERMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 #: Fixed wordings of public licences and notices.
 TEMPLATES = {
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "Apache-2.0-header-full": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": f"{_BSD_TERMS} {_HOLDERS}",
+    "BSD-3-Clause": f"{_BSD_TERMS} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_HOLDERS}",
     "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC-full": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
+    "MIT-full": f"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "Copyright. All rights reserved.",
     "Proprietary-notice": "All rights reserved.",
     "Public-domain": "This work is released into the public domain.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
+# Identifiers that machine-readable tags name.
+SPDX = "0BSD AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
+TEMPLATES |= {f"SPDX:{name}": f"SPDX-License-Identifier: {name}" for name in SPDX}
 MENTIONS = r"(?i)licen[sc]|copyright|rights\W+(?:\w+\W+)?reserved|\bcc\W+by\b|permission\W+(?:to\W+use|is\W+hereby)|redistribut|public\W+domain|spdx"
 #: Comment marks of letters, at the beginning of a line.
 MARKS = r"(?im)^[ \t]*(?:rem|dnl)(?=[ \t])|^c(?=[ \t])"
 DIFFERING, LEVEL = 10, 3
+#: Bytes that a differing word counts against what a template saves.
+DIFFERENCE_BYTES = 8
 #: Words of notices that name no licence, and words that turn a notice round.
 PLAIN = frozenset("a an and are be been copyright distributed file in into is it licensed of or program released software terms the this to under version work".split())
 NEGATIONS = frozenset("cannot except neither never no non nor not without".split())
@@ -213,10 +237,12 @@ class Scanner:
         }
         self.reach = max((len(w) + self.tolerance[k][0] for k, w in self.words.items()), default=0)
 
-    def saving(self, name: str, block: str) -> float:
-        """Share of compressed bytes that a template saves."""
+    def saving(self, name: str, block: str) -> tuple[int, float]:
+        """Compressed bytes that a template saves, and their share."""
         data = block.encode("utf-8")
-        return 1 - len(self.conditional[name].compress(data)) / len(self.plain.compress(data))
+        alone = len(self.plain.compress(data))
+        saved = alone - len(self.conditional[name].compress(data))
+        return saved, saved / alone
 
     def stretches(self, block: str, places: list[tuple[int, int]]) -> list[list[int]]:
         """Runs of words (first, last + 1) within reach of a mention."""
@@ -240,14 +266,14 @@ class Scanner:
             found = []
             for k, template in self.words.items():
                 for least, changes, begin, end in matches_of(template, words[lo:hi], *self.tolerance[k]):
-                    saved = self.saving(k, self.cited(block, places[lo + begin][0], places[lo + end - 1][1]))
-                    found.append((least / len(template), -saved, k, least, changes, lo + begin, lo + end))
+                    saved, share = self.saving(k, self.cited(block, places[lo + begin][0], places[lo + end - 1][1]))
+                    found.append((DIFFERENCE_BYTES * least - saved, least / len(template), k, share, least, changes, lo + begin, lo + end))
             return found
 
         out = []
         for lo, hi in self.stretches(block, places):
-            for _, saved, k, least, changes, begin, _ in cover(find, lo, hi):
-                out.append((bisect_left(breaks, places[begin][0]), k, round(-saved, 6), len(self.words[k]), least, changes))
+            for _, _, k, share, least, changes, begin, _ in cover(find, lo, hi):
+                out.append((bisect_left(breaks, places[begin][0]), k, round(share, 6), len(self.words[k]), least, changes))
         return out
 
     @staticmethod
