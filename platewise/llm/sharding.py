@@ -13,7 +13,8 @@ within its arc is its rank within its sub-bucket plus a sum of counts.
 Sub-buckets come from a hash of id and text, so a hot id is split unless its rows
 are equal in full.
 
-Rows: null ids hash as null and null texts count as empty (size 16); repeated rows take
+Rows: null ids hash as null and null texts count as empty (size 16); of a very long
+text only its size and CRC go on; repeated rows take
 places of their own; ties are ordered by hash, size and CRC; an empty table gives
 an empty result; other columns are ignored.
 """
