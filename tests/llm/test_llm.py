@@ -279,6 +279,40 @@ def test_license_matches_are_all_found():
         assert all(p[3] <= q[2] for p, q in zip(found, found[1:]))
 
 
+def test_templates_on_blocks_match_brute_force():
+    rng, scanner = random.Random(12), license_scan.Scanner()
+    names = sorted(n for n in license_scan.TEMPLATES if len(scanner.words[n]) <= 24)
+    filler = "some other words that say little of the work and of its licence to the reader".split()
+    for _ in range(40):
+        parts = []
+        for name in rng.sample(names, 2):
+            words = license_scan.TEMPLATES[name].split()
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = rng.choice(filler)
+            parts += [*rng.choices(filler, k=rng.randint(0, 6)), *words]
+        text = " ".join(parts)
+        block = license_scan.words_of(text)
+        found = scanner.scan(text)
+        near = set()
+        for name in names:
+            template, (most, protected) = scanner.words[name], scanner.tolerance[name]
+            for i in range(len(block)):
+                for j in range(i + 1, min(len(block), i + len(template) + most) + 1):
+                    if license_scan.Alignment(template, block[i:j], protected).trace(j - i)[0] == 0 and license_scan.Alignment(template, block[i:j], protected).cost[-1][j - i] <= most:
+                        near.add((name, i, j))
+        assert {x[1] for x in found} <= {n for n, _, _ in near} and bool(found) == bool(near)
+
+
+def test_whole_licenses_and_tags():
+    scanner = license_scan.Scanner()
+    for name in ("MIT-full", "ISC-full", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense"):
+        body = license_scan.TEMPLATES[name].replace("THE SOFTWARE", "THE PROGRAM", 1)
+        assert [x[1] for x in scanner.scan(f"Copyright (c) 2024 Some Body\n\n{body}\n")] == [name]
+    tags = "// SPDX-License-Identifier: MIT\n// SPDX-License-Identifier: GPL-3.0-or-later\n# SPDX-License-Identifier: Unknown-1.0"
+    assert [(x[0], x[1]) for x in scanner.scan(tags)] == [(0, "SPDX:MIT"), (1, "SPDX:GPL-3.0-or-later")]
+    assert [x[1] for x in scanner.scan("This work is licensed under the GNU Affero General Public License, version 3")] == ["AGPL-3.0"]
+
+
 def test_wording_is_least():
     rng = random.Random(2)
     for _ in range(200):
@@ -304,6 +338,58 @@ def test_sharding_rows_law(spark, n):
     assert all(r.law == "rows" and r.grown_shard is None and r.size == 20 and r.text_crc32 == zlib.crc32(b"same") for r in got)
 
 
+def test_overflow_walks_the_ring_clockwise():
+    rng = random.Random(3)
+    for _ in range(60):
+        shards = rng.randint(1, 6)
+        points = sharding.ring_points(shards, rng.randint(1, 5))
+        owners = [s for _, s in points]
+        counts = [rng.choice([0, 1, 3, 40]) for _ in owners]
+        got = sharding.settle(counts, owners, shards)
+        # row by row: keys at their own shard first, then each that found it full goes to the next point clockwise
+        low, extra = divmod(sum(counts), shards)
+        wish = Counter()
+        for n, s in zip(counts, owners):
+            wish[s] += n
+        room = {s: low for s in range(shards)}
+        for s in sorted(range(shards), key=lambda s: (-wish[s], s))[:extra]:
+            room[s] += 1
+        filled, placed = Counter(), defaultdict(dict)
+        waiting = []
+        for arc, n in enumerate(counts):
+            for rank in range(n):
+                s = owners[arc]
+                if filled[s] < room[s]:
+                    placed[arc][rank] = (s, filled[s])
+                    filled[s] += 1
+                else:
+                    waiting.append((arc, rank))
+        for arc, rank in waiting:
+            step = 1
+            while filled[s := owners[(arc + step) % len(owners)]] >= room[s]:
+                step += 1
+            placed[arc][rank] = (s, filled[s])
+            filled[s] += 1
+        for arc, spans in enumerate(got):
+            assert {lo + k: (s, slot + k) for lo, hi, s, slot in spans for k in range(hi - lo)} == placed[arc]
+
+
+def test_rows_belong_to_the_next_point_clockwise(spark):
+    from bisect import bisect_left
+
+    shards = 9
+    points = sharding.ring_points(shards)
+    docs = docs_of(spark, [(i, str(i)) for i in range(2000)])
+    places = {r.doc_id: r.p for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("p")).collect()}
+    owner = {i: points[bisect_left([p for p, _ in points], p) % len(points)][1] for i, p in places.items()}
+    got = {r.doc_id: r.shard for r in sharding.assign(docs, shards).collect()}
+    counts, wish = Counter(got.values()), Counter(owner.values())
+    # a shard that is not full beyond its own keys has lost none of them
+    assert all(got[i] == owner[i] for i in got if wish[owner[i]] <= counts[owner[i]])
+    stayed = Counter(s for i, s in got.items() if s == owner[i])
+    assert all(stayed[s] == min(wish[s], counts[s]) for s in range(shards))
+
+
 def test_sharding_odd_rows_and_movement(spark, odd):
     got = sharding.shard_table(odd).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in ODD)

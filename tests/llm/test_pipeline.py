@@ -46,6 +46,27 @@ def test_run_packs_what_is_left(spark, corpus):
     assert decontaminate.PERCENT == 20
 
 
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, score string, _row string"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_bear_odd_rows(spark, corpus, empty):
+    folder, _ = corpus
+    long = " ".join(f"word{k}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (3, "the same text"), (3, "the same text"), (4, long), (5, long), (None, long + " more"), (6, "\n \t")]
+    docs = spark.createDataFrame([] if empty else [(i, t, "en", None, None, "x", "y", "z", "w") for i, t in rows], ODD_SCHEMA)
+    left = [0, 5, 8, 8] if not empty else [0] * 4
+    for (_, stage), n in zip(corpus_pipeline.STAGES[1:-1], left[1:]):
+        found = stage(spark, docs, folder)
+        assert found.columns == docs.columns and (found.count() == n or not empty and stage is corpus_pipeline.near_dedup_stage)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, folder).collect()
+    assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == ([] if empty else [1, 2, 3, 4, 6])
+    good = corpus_pipeline.quality_rules(spark, docs, folder)
+    assert good.columns == docs.columns and {r.doc_id for r in good.collect()} <= {4, 5, None}
+    pieces = corpus_pipeline.packed(spark, docs, folder).collect()
+    assert {p.doc_id for p in pieces} == (set() if empty else {i for i, _ in rows})
+
+
 def test_entry_lists_operators():
     import __spark_entry__
 
