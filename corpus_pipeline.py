@@ -15,27 +15,51 @@ from platewise.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the likelihood ratio keep."""
+    """Documents that the rules and the likelihood ratio keep.
+
+    Null and empty texts fail the rules and go; very long texts are judged in whole;
+    repeated rows are judged one by one; a score equal to the threshold is kept; an
+    empty table stays empty; all columns are kept, whatever their names.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the least id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the least id.
+
+    Null and empty texts are linked with nothing and stay, as do rows with a null id;
+    very long texts are compared in whole; of the rows of one id one stays (see
+    ``near_dedup``); an empty table stays empty; all columns are kept.
+    """
     return near_dedup.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage.
+
+    Null and empty texts hold none and stay; very long texts are searched in whole;
+    all rows of an id go if one of them holds a passage; an empty table, or an empty
+    benchmark, changes nothing; all columns are kept.
+    """
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data masked and ``n_chars`` renewed.
+
+    Null texts stay null; very long texts are masked in whole; repeated rows stay;
+    spans that overlap are masked as one; an empty table stays empty; all columns are kept.
+    """
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences.
+
+    A null or empty text is its end token alone; a text longer than a sequence is
+    cut; repeated rows are packed one by one; an empty table gives no pieces; other
+    columns are left out.
+    """
     return packing.piece_digests(packing.pack_documents(docs))
 
 
