@@ -15,8 +15,10 @@ most, whatever the input.
 Rows: null text has no words; such a document, as any of under 20 words, fails
 the base rules; a document without n-grams scores 0; a label for an unknown or a
 null id has no effect and repeated labels count once; repeated rows are counted
-and judged one by one; without labelled rows every score is 0; an empty table
-gives an empty result; other columns are kept by ``keep_good``.
+and judged one by one; very long texts are counted and judged in whole; a score
+equal to the threshold is kept; of ids with one hash the least come first into
+the trusted sample; without labelled rows every score is 0; an empty table gives
+an empty result; other columns are kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -124,8 +126,11 @@ def ratio_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with the base columns, ``score`` and ``kept``."""
-    ratios = ratio_table(docs, labels).scalar()
+    """The rows of ``docs`` with the base columns, ``score`` and ``kept``.
+
+    All of them come out of a generator, which the optimiser neither repeats nor
+    moves a filter through, so that a text is taken apart once.
+    """
     rules = base_rules(F.col("text"))
     words = rules.pop("words")
     score = let(
@@ -133,8 +138,12 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
         lambda v: F.aggregate(v["grams"], F.lit(0.0), lambda a, b: a + F.get(v["ratios"], b)) / F.greatest(F.size(v["grams"]), F.lit(1)),
     )
     counted = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
-    found = docs.withColumn("_ratios", ratios).withColumns({"_words": counted, **rules, "score": score})
-    found = found.withColumns({"n_words": F.col("_words.n_words"), "n_repeat_words": F.col("_words.n_repeat_words")}).drop("_words", "_ratios")
+    whole = F.struct(counted.alias("w"), *(c.alias(k) for k, c in rules.items()), score.alias("score"))
+    own = docs.columns
+    ratios = ratio_table(docs, labels).scalar()
+    found = docs.withColumn("_ratios", ratios).select(*own, F.explode(F.array(whole)).alias("_v"))
+    fields = [F.col("_v.w.n_words"), F.col("_v.w.n_repeat_words"), *(F.col(f"_v.{k}") for k in rules), F.col("_v.score")]
+    found = found.select(*(c for c in own if c not in {*rules, "n_words", "n_repeat_words", "score"}), *fields)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
