@@ -2,9 +2,10 @@
 
 They have no relational form that pays: each needs a whole raster.  Kernels are
 arrays of 0 and 1; borders count as unset.  ``apply_to_images`` runs one of them
-over a table of encoded images with bounded batches.  Detectors are approximate:
-edges, circles and the foreground split follow the published algorithms, not any
-library's rounding.
+over a table of decoded images, one image at a time.  Areas are those of the polygon
+through the centres of the outline's pixels.  Detectors are approximate: edges,
+circles and the foreground split follow the published algorithms, not any library's
+rounding.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ def rectangle(height: int, width: int | None = None) -> np.ndarray:
     return np.ones((height, width or height), bool)
 
 
+#: Kernel of a pixel and its four neighbours; places outside the image count as unset in ``outline_distance``.
+CROSS_OPEN = np.array([[0, 1, 0], [1, 1, 1], [0, 1, 0]], bool)
+
+
 def ellipse(height: int, width: int | None = None) -> np.ndarray:
     """Filled ellipse inscribed in a rectangle."""
     width = width or height
@@ -63,8 +68,9 @@ def open_(mask: np.ndarray, kernel: np.ndarray, times: int = 1) -> np.ndarray:
     return dilate(erode(mask, kernel, times), kernel, times)
 
 
-def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """8-connected components numbered from 1 in scan order (union-find over row runs)."""
+def components(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarray, int]:
+    """Components (8-connected, or 4-connected) numbered from 1 in scan order (union-find over row runs)."""
+    touch = 0 if diagonal else 1
     h, w = mask.shape
     ids, parent = np.zeros((h, w), np.int64), [0]
 
@@ -80,10 +86,10 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
         runs, k = [], 0
         for a, b in zip(np.nonzero(edge == 1)[0].tolist(), np.nonzero(edge == -1)[0].tolist()):
             own = 0
-            while k < len(before) and before[k][1] < a:
+            while k < len(before) and before[k][1] < a + touch:
                 k += 1
             j = k
-            while j < len(before) and before[j][0] <= b:
+            while j < len(before) and before[j][0] <= b - touch:
                 other = root(before[j][2])
                 own = other if not own else own
                 if other != own:
@@ -102,32 +108,74 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
     return table[ids], len(names)
 
 
+def boxes_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """Bounding rows and columns (first, last + 1 of each) of the components 1 to ``n``."""
+    ys, xs = np.nonzero(ids)
+    k = ids[ys, xs] - 1
+    out = np.empty((n, 4), np.int64)
+    for at, values in ((0, ys), (2, xs)):
+        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+        np.minimum.at(low, k, values)
+        np.maximum.at(high, k, values)
+        out[:, at], out[:, at + 1] = low, high + 1
+    return out
+
+
 def fill_holes(mask: np.ndarray) -> np.ndarray:
-    """The mask with everything it encloses (4-connected background)."""
-    outside = np.zeros((mask.shape[0] + 2, mask.shape[1] + 2), bool)
-    free = np.ones_like(outside)
-    free[1:-1, 1:-1] = ~mask
-    outside[0, 0] = True
-    while True:
-        grown = outside.copy()
-        grown[1:] |= outside[:-1]
-        grown[:-1] |= outside[1:]
-        grown[:, 1:] |= outside[:, :-1]
-        grown[:, :-1] |= outside[:, 1:]
-        grown &= free
-        if (grown == outside).all():
-            return ~outside[1:-1, 1:-1]
-        outside = grown
+    """The mask with everything it encloses: the background's 4-connected parts that touch no border."""
+    ids, n = components(~np.pad(mask, 1), diagonal=False)
+    return (ids != ids[0, 0])[1:-1, 1:-1] if n else np.ones_like(mask)
+
+
+def filled(ids: np.ndarray, k: int, box: np.ndarray) -> np.ndarray:
+    """Component ``k`` with its holes, within its bounding box."""
+    return fill_holes(ids[box[0] : box[1], box[2] : box[3]] == k)
+
+
+def outline_area(part: np.ndarray) -> float:
+    """Area of the polygon through the centres of the outline's pixels, of a filled region: less than its pixels."""
+    p = part.astype(np.int8)
+    held = p[:-1, :-1] + p[1:, :-1] + p[:-1, 1:] + p[1:, 1:]
+    return float((held == 4).sum() + 0.5 * (held == 3).sum())
+
+
+def outline_distance(part: np.ndarray, y: float, x: float) -> float:
+    """Distance of a place to the outline of a filled region, whether it lies inside or outside."""
+    edge = part & ~erode(np.pad(part, 1), CROSS_OPEN)[1:-1, 1:-1]
+    ys, xs = np.nonzero(edge)
+    return float(np.hypot(ys - y, xs - x).min())
+
+
+def by_area(mask: np.ndarray) -> list[tuple[float, int, np.ndarray, np.ndarray]]:
+    """Components as (outline area, number, box, filled part), largest first, ties by number."""
+    ids, n = components(mask)
+    boxes = boxes_of(ids, n)
+    parts = [(k, filled(ids, k, boxes[k - 1])) for k in range(1, n + 1)]
+    return sorted(((outline_area(part), k, boxes[k - 1], part) for k, part in parts), key=lambda a: (-a[0], a[1]))
+
+
+def paste(shape: tuple[int, int], box: np.ndarray, part: np.ndarray) -> np.ndarray:
+    out = np.zeros(shape, bool)
+    out[box[0] : box[1], box[2] : box[3]] = part
+    return out
 
 
 def largest_filled(mask: np.ndarray, least: float = 0) -> np.ndarray:
-    """The component with the largest filled area (first on ties) if above ``least``, filled."""
+    """The component with the largest outline area (first on ties) if above ``least``, filled.
+
+    A bounding box bounds the area, so components are filled from the largest box on until no other can win.
+    """
     ids, n = components(mask)
-    best, area = np.zeros_like(mask), least
-    for k in range(1, n + 1):
-        whole = fill_holes(ids == k)
-        if whole.sum() > area:
-            best, area = whole, whole.sum()
+    boxes = boxes_of(ids, n)
+    most = (boxes[:, 1] - boxes[:, 0] - 1) * (boxes[:, 3] - boxes[:, 2] - 1) if n else np.zeros(0)
+    best, area, number = np.zeros_like(mask), least, 0
+    for k in np.argsort(-most, kind="stable").tolist():
+        if most[k] < area or most[k] <= least:
+            break
+        part = filled(ids, k + 1, boxes[k])
+        own = outline_area(part)
+        if own > area or own == area > least and k + 1 < number:
+            best, area, number = paste(mask.shape, boxes[k], part), own, k + 1
     return best
 
 
@@ -141,13 +189,14 @@ def gaussian5(image: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(sum(k[j] * rows[:, j : j + image.shape[1]] for j in range(5))), 0, 255).astype(np.uint8)
 
 
-def box_mean(image: np.ndarray, size: int, weight: float | None = None) -> np.ndarray:
-    """Square neighbourhood sums times ``weight`` (default: the mean), by cumulated sums; borders reflected."""
+def box_mean(image: np.ndarray, size: int, weight: float | None = None, most: float | None = 255) -> np.ndarray:
+    """Square neighbourhood sums times ``weight`` (default: the mean), at most ``most``, by cumulated sums; borders reflected."""
     half = size // 2
     pad = np.pad(image.astype(float), half, mode="reflect" if min(image.shape) > half else "edge")
     sums = np.pad(pad.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
     total = sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]
-    return np.minimum(total * (weight if weight is not None else 1 / size**2), 255)
+    total = total * (weight if weight is not None else 1 / size**2)
+    return total if most is None else np.minimum(total, most)
 
 
 def to_hsv(bgr: np.ndarray) -> np.ndarray:
@@ -206,17 +255,20 @@ def hough_circles(grey: np.ndarray, low: int, high: int, apart: float, edge: flo
             cx, cy = np.rint(xs + sign * radius * ux).astype(int), np.rint(ys + sign * radius * uy).astype(int)
             inside = (cx >= 0) & (cx < w) & (cy >= 0) & (cy < h)
             tally += np.bincount(cy[inside] * w + cx[inside], minlength=h * w)
-    tally = box_mean(tally.reshape(h, w).clip(0, 1 << 20), 3, 1.0) if tally.max() < 256 else tally.reshape(h, w)
+    tally = box_mean(tally.reshape(h, w), 3, 1.0, most=None)
     found: list[tuple[float, float, float, int]] = []
-    for flat in np.argsort(-tally, axis=None, kind="stable")[:5000]:
-        y, x = divmod(int(flat), w)
-        if tally[y, x] < votes:
-            break
-        if all(np.hypot(x - a, y - b) >= apart for a, b, _, _ in found):
-            far = np.rint(np.hypot(xs - x, ys - y)).astype(int)
-            counts = np.bincount(far[(far >= low) & (far <= high)], minlength=high + 1)
-            if counts.max() >= votes:
-                found.append((float(x), float(y), float(counts.argmax()), int(counts.max())))
+    order = np.argsort(-tally, axis=None, kind="stable")
+    order = order[: int((tally >= votes).sum())]
+    cy, cx = np.divmod(order, w)
+    while len(order):  # the best cell left; then the cells around it are passed over
+        y, x = int(cy[0]), int(cx[0])
+        far = np.rint(np.hypot(xs - x, ys - y)).astype(int)
+        counts = np.bincount(far[(far >= low) & (far <= high)], minlength=high + 1)
+        left = np.arange(len(order)) > 0
+        if counts.max() >= votes:
+            found.append((float(x), float(y), float(counts.argmax()), int(counts.max())))
+            left = np.hypot(cx - x, cy - y) >= apart
+        order, cy, cx = order[left], cy[left], cx[left]
     return found
 
 
@@ -253,15 +305,12 @@ def plate_mask(bgr: np.ndarray, circle: tuple[float, float, float]) -> np.ndarra
     """Food on a plate: colour and disc tests, the large regions near the centre, filled and closed."""
     hsv = to_hsv(gaussian5(bgr))
     h, s = hsv[..., 0], hsv[..., 1]
-    ids, n = components(((s > 80) | ((h > 20) & (h < 25))) & disc(h.shape, circle))
     full = 3.141 * circle[2] ** 2
-    areas = sorted(((int((w := fill_holes(ids == k)).sum()), -k, w) for k in range(1, n + 1)), key=lambda a: a[:2], reverse=True)
-    areas = [a for a in areas if a[0] >= 0.005 * full]
+    areas = [a for a in by_area(((s > 80) | ((h > 20) & (h < 25))) & disc(h.shape, circle)) if a[0] >= 0.005 * full]
     out = np.zeros(h.shape, bool)
-    for area, _, whole in areas[: 1 if any(a[0] > 0.07 * full for a in areas) else 2]:
-        ys, xs = np.nonzero(whole)
-        if np.hypot(ys - circle[1], xs - circle[0]).min() <= 0.75 * circle[2]:
-            out |= whole
+    for _, _, box, part in areas[: 1 if any(a[0] > 0.07 * full for a in areas) else 2]:
+        if outline_distance(part, circle[1] - box[0], circle[0] - box[2]) <= 0.75 * circle[2]:
+            out |= paste(h.shape, box, part)
     size = int(circle[2] / 5)
     return close(out, ellipse(size)) if size and out.any() else out
 
@@ -269,11 +318,10 @@ def plate_mask(bgr: np.ndarray, circle: tuple[float, float, float]) -> np.ndarra
 def salad_mask(bgr: np.ndarray, circle: tuple[float, float, float]) -> np.ndarray:
     hsv = to_hsv(gaussian5(bgr))
     mask = close(((hsv[..., 1] > 175) | (hsv[..., 2] > 245)) & disc(hsv.shape[:2], circle), ellipse(max(1, int(circle[2] / 3))))
-    ids, n = components(mask)
     out = np.zeros_like(mask)
-    for k in range(1, n + 1):
-        if (part := fill_holes(ids == k)).sum() >= 0.001 * 3.141 * circle[2] ** 2:
-            out |= part
+    for area, _, box, part in by_area(mask):
+        if area >= 0.001 * 3.141 * circle[2] ** 2:
+            out |= paste(mask.shape, box, part)
     return out
 
 
@@ -337,8 +385,7 @@ def split_foreground(bgr: np.ndarray, mask: np.ndarray, rounds: int = 3, parts:
     for _ in range(rounds):
         if fore.all() or not fore.any():
             break
-        pick = lambda m: colours[m][:: max(1, int(m.sum()) // 20_000)]
-        a, b = spread(pick(fore)), spread(pick(~fore))
+        a, b = spread(colours[fore]), spread(colours[~fore])
         gap = lambda c: ((colours[..., None, :] - c) ** 2).sum(-1).min(-1)
         fore = box & (box_mean((gap(a) < gap(b)) * 255, 5) > 127)
     return fore
@@ -399,6 +446,47 @@ def components_by_bfs(mask: np.ndarray) -> tuple[np.ndarray, int]:
     return ids, n
 
 
+def assemble(pixels: DataFrame) -> DataFrame:
+    """``image_id, h, w, channels, data`` of dense colour pixels ``image_id, r, c, b, g, red``; places not given are black."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((int(rows["r"].max()) + 1, int(rows["c"].max()) + 1, 3), np.uint8)
+        out[rows["r"], rows["c"]] = rows[["b", "g", "red"]].to_numpy(np.uint8)
+        return pd.DataFrame([(key[0], *out.shape, out.tobytes())], columns=["image_id", "h", "w", "channels", "data"])
+
+    return pixels.groupBy("image_id").applyInPandas(run, "image_id long, h int, w int, channels int, data binary")
+
+
+def raster(h: int, w: int, channels: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape((h, w, channels) if channels > 1 else (h, w))
+
+
+def apply_to_images(images: DataFrame, op: Callable[[np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows that ``op`` gives for every image of ``image_id, h, w, channels, data``, with its ``image_id`` before them."""
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for image_id, *rest in rows[["image_id", "h", "w", "channels", "data"]].itertuples(index=False):
+                found = op(raster(*rest))
+                found.insert(0, "image_id", image_id)
+                yield found
+
+    return images.select("image_id", "h", "w", "channels", "data").mapInPandas(run, f"image_id {kind}, {schema}")
+
+
+def dense(values: np.ndarray, name: str = "v") -> pd.DataFrame:
+    """Rows ``r, c`` and the value of every pixel."""
+    r, c = np.indices(values.shape)
+    return pd.DataFrame({"r": r.ravel(), "c": c.ravel(), name: values.ravel().astype(np.int64)})
+
+
+def sparse(mask: np.ndarray) -> pd.DataFrame:
+    """Rows ``r, c`` of set pixels."""
+    r, c = np.nonzero(mask)
+    return pd.DataFrame({"r": r.astype(np.int64), "c": c.astype(np.int64)})
+
+
 def apply_to_pixels(pixels: DataFrame, op: Callable[[np.ndarray], np.ndarray], out: str = "label") -> DataFrame:
     """Run a mask operator on every image of sparse pixels ``image_id, r, c``; returns set pixels with the value under ``out``.
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from platewise.functions.scalars import l2_distance
 
-#: Prototype tables up to this many rows are broadcast.
-BROADCAST_ROWS = 10_000
+#: Prototype tables up to this many rows are held as one array beside each vector.
+ARRAY_ROWS = 10_000
+#: Vectors and prototypes of larger tables are dealt to this many blocks each.
+BLOCKS = 32
 
 
 def histogram(pixels: DataFrame, keys: list[str], value: str, bins: int, width: float, total: float = 100.0) -> DataFrame:
@@ -30,23 +32,38 @@ def equalise(pixels: DataFrame, keys: list[str], value: str, levels: int = 256)
     return counted.select(*keys, "value", "n", level.cast("int").alias("level"))
 
 
+def _allowed(prototypes: DataFrame, whitelist: list[int] | None) -> DataFrame:
+    allowed = prototypes.where(F.col("label").isin(whitelist)) if whitelist is not None else prototypes
+    return allowed.select("label", F.transform("vector", lambda x: x.cast("double")).alias("prototype"))
+
+
+def _held(allowed: DataFrame) -> Column | None:
+    """All prototypes as one array, read by a scalar subquery; None if they are too many."""
+    if allowed.limit(ARRAY_ROWS + 1).count() > ARRAY_ROWS:
+        return None
+    return allowed.agg(F.collect_list(F.struct("label", "prototype")).alias("protos")).scalar()
+
+
+def _met(vectors: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Vectors and prototypes dealt to blocks: every pair of blocks is a key of its own, so no task holds either side."""
+    side = lambda df, key, own, other: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(BLOCKS))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    left = side(vectors.select("key", "vector"), "key", "i", "j")
+    right = side(allowed, "label", "j", "i")
+    return left.join(right, ["i", "j"]).select("key", "label", l2_distance(F.col("vector"), F.col("prototype")).alias("distance"))
+
+
 def distances(vectors: DataFrame, prototypes: DataFrame, whitelist: list[int] | None = None) -> DataFrame:
     """``key, label, distance`` of every vector to every allowed prototype.
 
-    Prototypes are counted and collected into one array column if they are few, so
-    that a vector meets them without a join; beyond the bound the tables are joined.
+    A few prototypes (checked) are one array that each vector is measured against
+    without a join; beyond the bound both tables are dealt to blocks.
     """
-    allowed = prototypes.where(F.col("label").isin(whitelist)) if whitelist is not None else prototypes
-    allowed = allowed.select("label", F.col("vector").alias("prototype"))
-    rows = allowed.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) <= BROADCAST_ROWS:
-        held = vectors.sparkSession.createDataFrame([(0, [(r.label, [float(x) for x in r.prototype]) for r in rows])], "one int, protos array<struct<label: int, prototype: array<double>>>")
-        met = vectors.withColumn("one", F.lit(0)).join(F.broadcast(held), "one").select("key", "vector", F.explode("protos").alias("p")).select("key", "vector", "p.label", "p.prototype")
-    else:
-        salt = 16
-        left = vectors.withColumn("s", F.pmod(F.xxhash64("key"), F.lit(salt)))
-        met = left.join(allowed.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))), "s")
-    return met.select("key", "label", l2_distance(F.col("vector"), F.col("prototype")).alias("distance"))
+    allowed = _allowed(prototypes, whitelist)
+    held = _held(allowed)
+    if held is None:
+        return _met(vectors, allowed)
+    found = F.transform("protos", lambda p: F.struct(p["label"].alias("label"), l2_distance(F.col("vector"), p["prototype"]).alias("distance")))
+    return vectors.withColumn("protos", held).select("key", F.explode(found).alias("d")).select("key", "d.label", "d.distance")
 
 
 def nearest(found: DataFrame) -> DataFrame:
@@ -54,6 +71,20 @@ def nearest(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(F.min(F.struct("distance", "label")).alias("m")).select("key", "m.label", "m.distance")
 
 
+def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, whitelist: list[int] | None = None) -> DataFrame:
+    """The nearest allowed label of each vector (a tie: the smaller), without a shuffle where prototypes are few.
+
+    One row for each row of ``vectors``; without allowed prototypes there is none.
+    """
+    allowed = _allowed(prototypes, whitelist)
+    held = _held(allowed)
+    if held is None:
+        return nearest(_met(vectors, allowed))
+    best = F.array_min(F.transform("protos", lambda p: F.struct(l2_distance(F.col("vector"), p["prototype"]).alias("distance"), p["label"].alias("label"))))
+    found = vectors.withColumn("protos", held).select("key", F.explode(F.array(best)).alias("m"))
+    return found.where("m is not null").select("key", "m.label", "m.distance")
+
+
 def by_frequency(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Distinct values with counts and rank: most frequent first, ties by value."""
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))

@@ -14,6 +14,8 @@ from platewise.model import RECALL_POINTS
 
 #: A prediction is a true positive above this confidence.
 TRUE_POSITIVE = 0.5
+#: Slices of confidence that a class is ranked in, so that no task holds all of a class.
+CONFIDENCE_SLICES = 256
 
 
 def first_match(gt: DataFrame, pred: DataFrame) -> DataFrame:
@@ -49,12 +51,18 @@ def average_precision(preds: DataFrame, counts: DataFrame, *scope: str) -> DataF
     """
     keys = [*scope, "class_id"]
     ties = [c for c in preds.columns if c not in (*keys, "confidence", "is_tp")]
-    w = Window.partitionBy(*keys).orderBy(F.desc("confidence"), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = preds.join(counts, keys, "left").select(
+    # a class is ranked in slices of confidence: sums within a slice, and sums of the slices before
+    sliced = preds.withColumns({"_s": F.floor(F.coalesce(F.when(F.isnan("confidence"), 2.0).otherwise(F.col("confidence")), F.lit(-1.0)) * CONFIDENCE_SLICES), "_t": F.col("is_tp").cast("long")})
+    sums = sliced.groupBy(*keys, "_s").agg(F.sum("_t").alias("_st"), F.count("*").alias("_sn"))
+    before = Window.partitionBy(*keys).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_s", F.coalesce(F.sum("_st").over(before), F.lit(0)).alias("_bt"), F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_bn"))
+    w = Window.partitionBy(*keys, "_s").orderBy(F.desc("confidence"), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    within = sliced.select(*keys, "_s", F.sum("_t").over(w).alias("_t"), F.count("*").over(w).alias("_n"))
+    ranked = within.join(sums, [*keys, "_s"]).join(counts, keys, "left").select(
         *keys,
         F.coalesce("n_gt", F.lit(-1)).alias("n_gt"),
-        F.sum(F.col("is_tp").cast("int")).over(w).alias("tp"),
-        F.count("*").over(w).alias("n"),
+        (F.col("_bt") + F.col("_t")).alias("tp"),
+        (F.col("_bn") + F.col("_n")).alias("n"),
     )
     recall = F.col("tp").cast("double") / F.col("n_gt")
     points = F.array(*(F.struct(F.abs(recall - v).alias("d"), F.lit(-k).alias("k")) for k, v in enumerate(RECALL_POINTS)))

@@ -63,32 +63,43 @@ def pixels_in_boxes(mask: DataFrame, boxes: DataFrame) -> DataFrame:
     return boxes.select("image_id", "pos", "class_id").join(counted, ["image_id", "pos"], "left").withColumn("pixels", F.coalesce("pixels", F.lit(0)).cast("long"))
 
 
+def _disc_cells(circles: DataFrame, radius: Column) -> DataFrame:
+    """Circles as ``image_id, id, cx, cy, cr`` (truncated), one row for each cell that their square touches."""
+    ints = circles.select("image_id", "id", F.col("x").cast("int").alias("cx"), F.col("y").cast("int").alias("cy"), radius.cast("int").alias("cr"))
+    return ints.withColumn("ty", F.explode(_cells("cy - cr", "cy + cr"))).withColumn("tx", F.explode(_cells("cx - cr", "cx + cr")))
+
+
 def drop_circles_holding(circles: DataFrame, others: DataFrame) -> DataFrame:
     """Circles that hold no other circle's centre (strictly nearer than their radius; truncated coordinates).
 
     Both have ``image_id, id, x, y, radius``; a circle is not compared with itself.
+    Circles are dealt to the cells they touch and centres to theirs.
     """
-    ints = lambda df, p: df.select("image_id", F.col("id").alias(f"{p}id"), F.col("x").cast("int").alias(f"{p}x"), F.col("y").cast("int").alias(f"{p}y"))
-    a = circles.withColumns({"ax": F.col("x").cast("int"), "ay": F.col("y").cast("int"), "ar": F.col("radius").cast("int")})
-    b = ints(others, "b")
-    near = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")) < F.col("ar") * F.col("ar")
-    on = (a["image_id"] == b["image_id"]) & (F.col("id") != F.col("bid")) & near
-    return a.join(b, on, "left_anti").select(*circles.columns)
+    dealt = _disc_cells(circles, F.col("radius"))
+    centres = others.select("image_id", F.col("id").alias("bid"), F.col("x").cast("int").alias("bx"), F.col("y").cast("int").alias("by"))
+    centres = centres.withColumns({"ty": F.floor(F.col("by") / CELL), "tx": F.floor(F.col("bx") / CELL)})
+    met = dealt.join(centres, ["image_id", "ty", "tx"]).where("id <> bid and (cx - bx) * (cx - bx) + (cy - by) * (cy - by) < cr * cr")
+    return circles.join(met.select("image_id", "id").distinct(), ["image_id", "id"], "left_anti").select(*circles.columns)
+
+
+def _pixels_met(pixels: DataFrame, circles: DataFrame, scale: float) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """Pixels with their cell, circles dealt to cells, and the condition that a circle holds a pixel (its edge included)."""
+    placed = pixels.withColumns({"ty": F.floor(F.col("r") / CELL), "tx": F.floor(F.col("c") / CELL)}).alias("a")
+    dealt = _disc_cells(circles, F.col("radius") * scale).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("image_id", "ty", "tx")]
+    return placed, dealt, [*on, in_disc(F.col("a.r"), F.col("a.c"), F.col("b.cy"), F.col("b.cx"), F.col("b.cr"))]
 
 
 def pixels_in_disc(pixels: DataFrame, circles: DataFrame, scale: float = 1.0) -> DataFrame:
     """Pixels with the circles of their image that hold them (edge included); ``scale`` enlarges radii."""
-    a, b = pixels.alias("a"), circles.alias("b")
-    radius = (F.col("b.radius") * scale).cast("int")
-    on = (F.col("a.image_id") == F.col("b.image_id")) & in_disc(F.col("a.r"), F.col("a.c"), F.col("b.y").cast("int"), F.col("b.x").cast("int"), radius)
-    return a.join(b, on).select("a.*", F.col("b.id").alias("circle_id"))
+    placed, dealt, on = _pixels_met(pixels, circles, scale)
+    return placed.join(dealt, on).select(*(F.col(f"a.{c}") for c in pixels.columns), F.col("b.id").alias("circle_id"))
 
 
 def erase_circles(pixels: DataFrame, circles: DataFrame, scale: float = 1.0) -> DataFrame:
     """Pixels that no circle of their image holds."""
-    a, b = pixels.alias("a"), circles.alias("b")
-    on = (F.col("a.image_id") == F.col("b.image_id")) & in_disc(F.col("a.r"), F.col("a.c"), F.col("b.y").cast("int"), F.col("b.x").cast("int"), (F.col("b.radius") * scale).cast("int"))
-    return a.join(b, on, "left_anti")
+    placed, dealt, on = _pixels_met(pixels, circles, scale)
+    return placed.join(dealt, on, "left_anti").select(*pixels.columns)
 
 
 def large_areas(regions: DataFrame, radius: str = "radius", small: float = 0.005, big: float = 0.07, circle: float = 3.141) -> DataFrame:

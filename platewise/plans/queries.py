@@ -155,20 +155,20 @@ PROTO_SQL = "SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings WHERE
 NEAR_SQL = f"WITH proto AS ({PROTO_SQL}), dist AS (SELECT e.vec_id AS key, p.label, list_distance(e.embedding::DOUBLE[], p.v::DOUBLE[]) AS distance FROM embeddings e CROSS JOIN proto p)"
 
 
-def _distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[int]]:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     prototypes = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector"))
-    return labels.distances(vectors.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), prototypes, [1, 2, 3, 4, 5])
+    return vectors.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), prototypes, [1, 2, 3, 4, 5]
 
 
 @query(NEAR_SQL + " SELECT key, label, round(distance, 6) AS distance FROM dist")
 def label_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _distances(spark, sf_dir).select("key", "label", F.round("distance", 6).alias("distance"))
+    return labels.distances(*_vectors(spark, sf_dir)).select("key", "label", F.round("distance", 6).alias("distance"))
 
 
 @query(NEAR_SQL + " SELECT key, arg_min(label, {'d': distance, 'l': label}) AS label, round(min(distance), 6) AS distance FROM dist GROUP BY key")
 def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.nearest(_distances(spark, sf_dir)).select("key", "label", F.round("distance", 6).alias("distance"))
+    return labels.nearest_prototype(*_vectors(spark, sf_dir)).select("key", "label", F.round("distance", 6).alias("distance"))
 
 
 @query("""WITH n AS (SELECT l_returnflag AS key, least(floor(l_quantity / 3), 15)::INT AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2)
@@ -210,21 +210,21 @@ def mode_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLATE_SQL = """SELECT floor(vec_id / 2)::BIGINT AS tray, (vec_id % 2)::INT AS plate, p.label, list_distance(e.embedding::DOUBLE[], p.v::DOUBLE[]) AS distance
- FROM embeddings e CROSS JOIN (SELECT label + 1 AS label, arg_min(embedding, vec_id) AS v FROM embeddings WHERE label < 9 GROUP BY 1) p"""
+ FROM embeddings e CROSS JOIN (SELECT label + 1 AS label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY 1) p"""
 
 
-@query(f"""WITH d AS ({PLATE_SQL}), b AS (SELECT tray, plate, min(CASE WHEN label <= 5 THEN distance END) AS a, min(CASE WHEN label > 5 THEN distance END) AS b,
-   arg_min(label, distance) FILTER (label <= 5) AS al, arg_min(label, distance) FILTER (label > 5) AS bl, max(distance) AS worst FROM d GROUP BY 1, 2),
+@query(f"""WITH d AS ({PLATE_SQL}), b AS (SELECT tray, plate, min(CASE WHEN label <= 5 THEN distance END) AS a, min(CASE WHEN label BETWEEN 6 AND 9 THEN distance END) AS b,
+   arg_min(label, distance) FILTER (label <= 5) AS al, arg_min(label, distance) FILTER (label BETWEEN 6 AND 9) AS bl, max(distance) AS worst FROM d GROUP BY 1, 2),
  l AS (SELECT *, coalesce(abs(a - b) / nullif(worst, 0), 0) AS loss, count(*) OVER (PARTITION BY tray) AS n FROM b),
  t AS (SELECT tray, arg_max({{'p': plate, 'f': a < b OR (a = b AND al < bl)}}, {{'l': loss, 'q': -plate}}) AS lead FROM l GROUP BY 1),
  c AS (SELECT l.*, CASE WHEN n < 2 THEN a <= b WHEN plate = lead.p THEN lead.f ELSE NOT lead.f END AS f FROM l JOIN t USING (tray))
  SELECT tray, plate, CASE WHEN f THEN al ELSE bl END::INT AS label, round(CASE WHEN f THEN a ELSE b END, 6) AS distance FROM c""")
 def two_plate_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    prototypes = vectors.where("label < 9").groupBy((F.col("label") + 1).alias("label")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    prototypes = vectors.groupBy((F.col("label") + 1).alias("label")).agg(F.min_by("embedding", "vec_id").alias("vector"))
     found = labels.distances(vectors.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), prototypes)
     found = found.select(F.floor(F.col("key") / 2).alias("tray"), (F.col("key") % 2).cast("int").alias("plate"), "label", "distance")
-    families = labels_dim(spark).where("family in ('first', 'second')").select(F.col("id").alias("label"), "family")
+    families = labels_dim(spark).select(F.col("id").alias("label"), "family")
     return labels.assign_two_plates(found, families).select("tray", "plate", F.col("label").cast("int").alias("label"), F.round("distance", 6).alias("distance"))
 
 
@@ -304,7 +304,7 @@ def colourise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.colourise(mask(spark, sf_dir), colours_dim(spark))
 
 
-THIN_SQL = f"SELECT DISTINCT image_id, CAST(floor(r / 4) AS BIGINT) AS r, CAST(floor(c / 4) AS BIGINT) AS c FROM ({MASK_SQL}) m0 WHERE label < 12"
+THIN_SQL = f"SELECT DISTINCT image_id, CAST(floor(r / 4) AS BIGINT) AS r, CAST(floor(c / 4) AS BIGINT) AS c FROM ({MASK_SQL}) m0"
 COARSE_SQL = THIN_SQL.replace("/ 4", "/ 16")
 SQUARE = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 

@@ -43,6 +43,26 @@ def read_prototypes(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("label", F.transform(F.split(F.trim("row"), r"\s+"), lambda x: x.cast("smallint")).alias("vector"))
 
 
+def _unfiltered(kind: int, line: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """A PNG line (pixels x channels) whose filter looks to the left: 1 by sums, 3 and 4 pixel by pixel."""
+    if kind == 1:
+        return np.cumsum(line, axis=0) & 255
+    channels = []
+    for own, over in zip(line.T.tolist(), up.T.tolist()):
+        out, left, corner = [], 0, 0
+        for x, above in zip(own, over):
+            if kind == 3:
+                guess = (left + above) // 2
+            else:
+                p, q, r = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+                guess = left if p <= q and p <= r else above if q <= r else corner
+            left = (x + guess) & 255
+            corner = above
+            out.append(left)
+        channels.append(out)
+    return np.array(channels, np.int64).T
+
+
 def decode(data: bytes) -> np.ndarray | None:
     """A raster from binary PGM, PPM (to blue, green, red) or 8-bit PNG without interlacing; None if it is none of them."""
     if data[:2] in (b"P5", b"P6"):
@@ -87,17 +107,7 @@ def decode(data: bytes) -> np.ndarray | None:
             elif kind == 2:
                 row = line + above
             else:
-                row, up = line.copy(), above.astype(np.int64)
-                for x in range(w * depth):
-                    left = row[x - depth] if x >= depth else 0
-                    corner = up[x - depth] if x >= depth else 0
-                    if kind == 1:
-                        guess = left
-                    elif kind == 3:
-                        guess = (left + up[x]) // 2
-                    else:
-                        guess = min((abs(left + up[x] - corner - v), k, v) for k, v in enumerate((left, up[x], corner)))[2]
-                    row[x] = (row[x] + guess) & 255
+                row = _unfiltered(kind, line.reshape(w, depth), above.astype(np.int64).reshape(w, depth)).ravel()
             above = out[y] = (row & 255).astype(np.uint8)
         raster = out.reshape(h, w, depth)
         if palette is not None:
@@ -126,6 +136,25 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "image_id string, h int, w int, channels int, data binary")
 
 
+def read_photos(spark: SparkSession, path: str) -> DataFrame:
+    """The same of JPEG, PNG, BMP and GIF files, decoded by Spark's image source; files it cannot decode drop out."""
+    found = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return found.select(F.col("origin").alias("image_id"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("channels"), "data")
+
+
+def photo_pairs(pairs: DataFrame, photos: DataFrame, key: str = "image_id") -> DataFrame:
+    """``pair_id, h, w, before, after`` of pairs with ``pair_id, before_path, after_path``; pairs without both photos, or of two sizes, drop out.
+
+    ``key`` names the column of ``photos`` that paths end with or equal.
+    """
+    ends = lambda side: F.col(f"{side}.{key}").endswith(F.col(f"p.{side}_path"))
+    named = photos.where("channels = 3").withColumn("_n", F.element_at(F.split(key, "/"), -1))
+    p = pairs.withColumns({f"_{k}": F.element_at(F.split(f"{k}_path", "/"), -1) for k in ("before", "after")}).alias("p")
+    met = p.join(named.alias("before"), (F.col("p._before") == F.col("before._n")) & ends("before")).join(named.alias("after"), (F.col("p._after") == F.col("after._n")) & ends("after"))
+    met = met.where("before.h = after.h and before.w = after.w")
+    return met.select("p.pair_id", "before.h", "before.w", F.col("before.data").alias("before"), F.col("after.data").alias("after"))
+
+
 def mask_pixels(images: DataFrame) -> DataFrame:
     """Sparse pixels ``image_id, r, c, label`` of one-channel rasters, without background."""
 
