@@ -373,21 +373,30 @@ def split_foreground(bgr: np.ndarray, mask: np.ndarray, rounds: int = 3, parts:
     box[ys.min() : ys.max() + 1, xs.min() : xs.max() + 1] = True
     fore, colours = box.copy(), bgr.astype(float)
 
-    def spread(points: np.ndarray) -> np.ndarray:
-        """Centres of a mixture, by a few rounds of k-means from quantiles of brightness."""
+    def spread(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Centres, weights and pooled variance of a mixture, by a few rounds of k-means from quantiles of brightness."""
         order = points[np.argsort(points.sum(axis=1), kind="stable")]
         centres = order[np.linspace(0, len(order) - 1, parts).astype(int)]
         for _ in range(5):
-            near = ((points[:, None] - centres) ** 2).sum(-1).argmin(1)
+            near = nearest(points, centres)[0]
             centres = np.stack([points[near == k].mean(0) if (near == k).any() else centres[k] for k in range(parts)])
-        return centres
+        near, far = nearest(points, centres)
+        return centres, np.bincount(near, minlength=parts) / len(points), float(far.mean()) / 3 + 25.0
+
+    def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        far = np.stack([((points - c) ** 2).sum(-1) for c in centres])
+        return far.argmin(0), far.min(0)
+
+    def fit(mixture: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+        """Log likelihood of every pixel under the best component."""
+        centres, weights, variance = mixture
+        return np.stack([np.log(max(w, 1e-9)) - ((colours - c) ** 2).sum(-1) / (2 * variance) for c, w in zip(centres, weights)]).max(0) - 1.5 * np.log(variance)
 
     for _ in range(rounds):
         if fore.all() or not fore.any():
             break
         a, b = spread(colours[fore]), spread(colours[~fore])
-        gap = lambda c: ((colours[..., None, :] - c) ** 2).sum(-1).min(-1)
-        fore = box & (box_mean((gap(a) < gap(b)) * 255, 5) > 127)
+        fore = box & (box_mean((fit(a) > fit(b)) * 255, 5) > 127)
     return fore
 
 

@@ -85,6 +85,25 @@ def mean_average_precision(ap: DataFrame, *scope: str) -> DataFrame:
     return ap.groupBy(*scope).agg(F.avg("ap").alias("map"), F.count("*").alias("n_classes"))
 
 
+def detected(rows: DataFrame, code: str = "code") -> DataFrame:
+    """Rows whose leftover code takes part in IoU and AP: before (0) and after of the first two kinds."""
+    return rows.where(F.col(code).isin(0, 1, 2))
+
+
+def left_over(rows: DataFrame, code: str = "code") -> DataFrame:
+    """Rows whose leftover code takes part in leftover ratios: all but before (0)."""
+    return rows.where(F.col(code) != 0)
+
+
+def evaluate(gt: DataFrame, pred: DataFrame, scopes: dict[str, str]) -> DataFrame:
+    """``scope, scope_id, miou, n_gt, n_matched, map, n_classes``; ``map`` is null where nothing is predicted."""
+    keys = ["scope", "scope_id"]
+    overlap = mean_iou(with_scopes(first_match(gt, pred), scopes), *keys)
+    preds = with_scopes(predictions(gt, pred), scopes).select(*keys, "class_id", "confidence", "is_tp", "image_id", "pos")
+    ap = average_precision(preds, class_counts(with_scopes(gt, scopes), *keys), *keys)
+    return overlap.join(mean_average_precision(ap, *keys), keys, "left")
+
+
 def leftover_ratios(gt_before: DataFrame, gt_after: DataFrame, pred_before: DataFrame, pred_after: DataFrame) -> DataFrame:
     """Leftover ratio of every item, true and predicted, and their difference.
 

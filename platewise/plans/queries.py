@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as fn
 from platewise.model import COLOURS, LABELS, colours_dim, labels_dim
 from platewise.operators import images, labels, metrics, raster
+from platewise.plans import image_queries  # noqa: F401 (registers its queries)
+from platewise.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from platewise.plans.views import CIRCLES_SQL, COLOUR_SQL, GRID_SQL, GT_SQL, MASK_SQL, PRED_SQL, run_sql
 from platewise.sources import boxes as box_source
 from platewise.sources import sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 SCENE = f"WITH gt AS ({GT_SQL}), pred AS ({PRED_SQL}), "
 MATCH = (
     SCENE
@@ -107,6 +93,30 @@ def map_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mean_average_precision(_ap(spark, sf_dir, SCOPES), "scope", "scope_id").select("scope", "scope_id", F.round("map", 9).alias("map"), "n_classes")
 
 
+#: Every fourth image is a leftover of the third kind, which takes no part in IoU and AP.
+GATED = SCOPED.replace(f"({GT_SQL})", f"(SELECT * FROM ({GT_SQL}) WHERE image_id % 4 IN (0, 1, 2))", 1).replace(f"({PRED_SQL})", f"(SELECT * FROM ({PRED_SQL}) WHERE image_id % 4 IN (0, 1, 2))", 1)
+
+
+@query(GATED + """, m AS (SELECT scope, scope_id, avg(ap) AS map, count(*) AS n_classes FROM ap GROUP BY 1, 2),
+ sm AS (SELECT 'image' AS scope, image_id AS scope_id, iou FROM matched UNION ALL SELECT 'tray', image_id % 8, iou FROM matched UNION ALL SELECT 'all', 0, iou FROM matched),
+ i AS (SELECT scope, scope_id, sum(coalesce(iou, 0)) / count(*) AS miou, count(*) AS n_gt FROM sm GROUP BY 1, 2)
+ SELECT i.scope, i.scope_id, round(miou, 9) AS miou, n_gt, round(coalesce(map, -1), 9) AS map, coalesce(n_classes, 0) AS n_classes FROM i LEFT JOIN m ON i.scope = m.scope AND i.scope_id = m.scope_id""")
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean IoU and mean AP by image, tray and overall, of the images whose leftover code takes part."""
+    gt, pred = (metrics.detected(d.withColumn("code", F.col("image_id") % 4)).drop("code") for d in scene(spark, sf_dir))
+    found = metrics.evaluate(gt, pred, SCOPES)
+    return found.select("scope", "scope_id", F.round("miou", 9).alias("miou"), "n_gt", F.round(F.coalesce("map", F.lit(-1.0)), 9).alias("map"), F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"))
+
+
+@query(GATED + """, i AS (SELECT sum(coalesce(iou, 0)) / count(*) AS miou FROM matched)
+ SELECT 'tray ' || scope_id || ' mAP: ' || CAST(CAST(round(avg(ap), 4) AS DECIMAL(10, 4)) AS VARCHAR) AS line FROM ap WHERE scope = 'tray' GROUP BY scope_id
+ UNION ALL SELECT 'overall mAP: ' || CAST(CAST(round(avg(ap), 4) AS DECIMAL(10, 4)) AS VARCHAR) FROM ap WHERE scope = 'all'
+ UNION ALL SELECT 'overall mIoU: ' || CAST(CAST(round(miou, 4) AS DECIMAL(10, 4)) AS VARCHAR) FROM i""")
+def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gt, pred = (metrics.detected(d.withColumn("code", F.col("image_id") % 4)).drop("code") for d in scene(spark, sf_dir))
+    return sinks.metric_lines(metrics.evaluate(gt, pred, SCOPES))
+
+
 PAIRED = SCENE + """ga AS (SELECT floor(image_id / 2)::BIGINT AS pair_id, pos, class_id, w::BIGINT * h AS px, image_id % 2 AS after FROM gt),
  pa AS (SELECT floor(image_id / 2)::BIGINT AS pair_id, pos, class_id, w::BIGINT * h AS px, image_id % 2 AS after FROM pred),
  lastb AS (SELECT pair_id, class_id, arg_max(px, pos) AS gt_b FROM ga WHERE after = 0 GROUP BY 1, 2),
@@ -265,6 +275,31 @@ def pixel_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.pixels_in_boxes(mask(spark, sf_dir), run_sql(spark, sf_dir, SMALL_BOXES))
 
 
+SMALL_PREDS = f"SELECT image_id % 40 AS image_id, pos, class_id, x + 3 AS x, y + 2 AS y, w, h FROM ({SMALL_BOXES}) p0 WHERE pos % 5 <> 0"
+
+
+@query(f"""WITH m AS ({MASK_SQL}), b AS (SELECT 'gt' AS kind, * FROM ({SMALL_BOXES}) UNION ALL SELECT 'our', * FROM ({SMALL_PREDS})),
+ px AS (SELECT b.kind, floor(b.image_id / 2)::BIGINT AS pair_id, b.image_id % 2 AS after, b.pos, b.class_id, count(m.r) AS px FROM b LEFT JOIN m
+   ON m.image_id = b.image_id AND m.label = b.class_id AND m.r >= b.y AND m.r < b.y + b.h AND m.c >= b.x AND m.c < b.x + b.w GROUP BY ALL),
+ lastb AS (SELECT pair_id, class_id, arg_max(px, pos) AS gt_b FROM px WHERE kind = 'gt' AND after = 0 GROUP BY 1, 2),
+ firstb AS (SELECT pair_id, class_id, arg_min(px, pos) AS our_b FROM px WHERE kind = 'our' AND after = 0 GROUP BY 1, 2)
+ SELECT g.pair_id, g.class_id, g.pos, p.pos AS pred_pos, round(CASE WHEN l.gt_b IS NULL THEN 0 WHEN l.gt_b = 0 THEN -1 ELSE g.px::DOUBLE / l.gt_b END, 9) AS gt_ratio,
+  round(CASE WHEN f.our_b = 0 THEN -1 ELSE p.px::DOUBLE / f.our_b END, 9) AS our_ratio
+ FROM px g LEFT JOIN lastb l ON g.pair_id = l.pair_id AND g.class_id = l.class_id JOIN px p ON p.kind = 'our' AND p.after = 1 AND g.pair_id = p.pair_id AND g.class_id = p.class_id
+ JOIN firstb f ON g.pair_id = f.pair_id AND g.class_id = f.class_id WHERE g.kind = 'gt' AND g.after = 1""")
+def leftover_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leftover ratios from the pixels of a box's own label inside it; -1 where the before-item has none."""
+
+    def items(boxes: DataFrame, after: int) -> DataFrame:
+        counted = raster.pixels_in_boxes(mask(spark, sf_dir), boxes.where(F.col("image_id") % 2 == after))
+        return counted.select(F.floor(F.col("image_id") / 2).alias("pair_id"), "pos", "class_id", "pixels")
+
+    gt, pred = run_sql(spark, sf_dir, SMALL_BOXES), run_sql(spark, sf_dir, SMALL_PREDS)
+    found = metrics.leftover_ratios(items(gt, 0), items(gt, 1), items(pred, 0), items(pred, 1))
+    finite = lambda c: F.round(F.when(F.isnan(c) | (F.col(c) == float("inf")), -1.0).otherwise(F.col(c)), 9).alias(c)
+    return found.select("pair_id", "class_id", "pos", "pred_pos", finite("gt_ratio"), finite("our_ratio"))
+
+
 DISC_SQL = f"SELECT image_id, id, x % 320 AS x, y % 240 AS y, radius FROM ({CIRCLES_SQL}) c0"
 
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from platewise.model import LABELS
 from platewise.operators import images as im
@@ -78,16 +79,25 @@ def mixed_plate(bgr: np.ndarray, mask: np.ndarray, prototypes: np.ndarray, allow
     for r, c, part, _ in found:
         if grid[r, c] in out:
             out[grid[r, c]] |= part
-    if len(kept) == 2:
-        moved = {k: np.zeros_like(mask) for k in kept}
-        for k, other in (kept, kept[::-1]):
-            ids, n = im.components(out[k])
-            parts = sorted(((int((ids == j).sum()), -j, ids == j) for j in range(1, n + 1)), key=lambda p: p[:2], reverse=True)
-            for i, (area, _, part) in enumerate(parts):
-                stays = area > PIECE and (i == 0 or i == 1 and area > 0.9 * parts[0][0])
-                moved[k if stays else other] |= part
-        out = moved
-    return out
+    return reassign(out, kept) if len(kept) == 2 else out
+
+
+def reassign(masks: dict[int, np.ndarray], kept: list[int]) -> dict[int, np.ndarray]:
+    """Masks of two labels with small pieces moved to the other one.
+
+    Of a label's pieces the largest stays if it has over ``PIECE`` pixels of outline
+    area, and the second if it also has over nine tenths of the largest.
+    """
+    moved = {k: np.zeros_like(masks[k]) for k in kept}
+    for k, other in (kept, kept[::-1]):
+        ids, n = im.components(masks[k])
+        boxes = im.boxes_of(ids, n)
+        areas = {j: im.outline_area(im.filled(ids, j, boxes[j - 1])) for j in range(1, n + 1)}
+        order = sorted(areas, key=lambda j: (-areas[j], j))
+        for i, j in enumerate(order):
+            stays = areas[j] > PIECE and (i == 0 or i == 1 and areas[j] > 0.9 * areas[order[0]])
+            moved[k if stays else other] |= ids == j
+    return moved
 
 
 def segment(bgr: np.ndarray, prototypes: np.ndarray, labels: set[int] | None = None) -> tuple[np.ndarray, set[int]]:
@@ -128,3 +138,9 @@ def segment_pairs(pairs: DataFrame, prototypes: np.ndarray) -> DataFrame:
             yield pd.DataFrame(out, columns=["pair_id", "h", "w", "before_mask", "after_mask"])
 
     return pairs.mapInPandas(run, "pair_id long, h int, w int, before_mask binary, after_mask binary")
+
+
+def mask_images(found: DataFrame) -> DataFrame:
+    """The masks of ``segment_pairs`` as one-channel images ``image_id, h, w, channels, data``; ids are ``<pair>/before`` and ``<pair>/after``."""
+    side = lambda k: F.struct(F.concat(F.col("pair_id").cast("string"), F.lit(f"/{k}")).alias("image_id"), "h", "w", F.lit(1).alias("channels"), F.col(f"{k}_mask").alias("data"))
+    return found.select(F.explode(F.array(side("before"), side("after"))).alias("i")).select("i.*")

@@ -22,7 +22,7 @@ GRID_SQL = """SELECT 0 AS image_id, row, col, CAST(CASE WHEN label = 3 THEN -1 E
  SELECT row, col, label, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, label) AS k FROM (
   SELECT CAST(floor(event_id / 240) AS INT) AS row, CAST(floor(event_id / 10) % 24 AS INT) AS col, CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS INT) AS label, count(*) AS n
   FROM events GROUP BY 1, 2, 3) a) b WHERE k = 1"""
-TABLES = ("part", "events", "lineitem", "customer", "orders", "embeddings")
+TABLES = ("part", "events", "lineitem", "customer", "orders", "embeddings", "region")
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -33,3 +33,11 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **used)
+
+
+#: Small colour images, one for each region: a disc of saturated colour on a dull ground, 24 rows and 32 columns.
+PHOTO_SQL = """SELECT CAST(r_regionkey AS BIGINT) AS image_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c,
+ CAST(CASE WHEN held THEN (20 * r_regionkey + 3 * r) % 100 ELSE 60 + (r * 5 + c * 3 + r_regionkey * 11) % 40 END AS INT) AS b,
+ CAST(CASE WHEN held THEN 130 + (c * 2 + r_regionkey * 9) % 90 ELSE 55 + (r * 3 + c * 5) % 30 END AS INT) AS g,
+ CAST(CASE WHEN held THEN (c * 7 + r * 3 + r_regionkey * 13) % 200 ELSE 60 + (r + c * 2 + r_regionkey) % 25 END AS INT) AS red
+ FROM (SELECT r_regionkey, r, c, (r - 11) * (r - 11) + (c - 15) * (c - 15) <= (6 + r_regionkey) * (6 + r_regionkey) AS held FROM region CROSS JOIN range(24) AS t1(r) CROSS JOIN range(32) AS t2(c)) AS p"""

@@ -43,6 +43,14 @@ def mask_pngs(mask: DataFrame, height: int, width: int) -> DataFrame:
     return mask.groupBy("image_id").applyInPandas(run, "image_id string, png binary")
 
 
+def metric_lines(found: DataFrame) -> DataFrame:
+    """``line``: mean AP of every tray, then overall mean AP and mean IoU (scopes ``tray`` and ``all``), four decimals."""
+    number = lambda c: F.round(c, 4).cast("decimal(10,4)").cast("string")
+    trays = found.where("scope = 'tray' and map is not null").select(F.concat(F.lit("tray "), F.col("scope_id").cast("string"), F.lit(" mAP: "), number("map")).alias("line"))
+    whole = found.where("scope = 'all'")
+    return trays.union(whole.where("map is not null").select(F.concat(F.lit("overall mAP: "), number("map")))).union(whole.select(F.concat(F.lit("overall mIoU: "), number("miou"))))
+
+
 def report(rows: DataFrame) -> Iterator[str]:
     """Lines of a report, streamed."""
     for row in rows.toLocalIterator():

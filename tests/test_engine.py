@@ -192,6 +192,140 @@ def test_circles_and_segmentation_run():
     assert set(segmentation.mixed_plate(image, part, prototypes, {6, 7, 10})) <= {6, 7, 10}
 
 
+def planted(shape, *discs, ground=30):
+    """A photo with discs ``(x, y, radius, colour)``, later ones on top."""
+    yy, xx = np.ogrid[: shape[0], : shape[1]]
+    photo = np.full((*shape, 3), ground, np.uint8)
+    for x, y, radius, colour in discs:
+        photo[(yy - y) ** 2 + (xx - x) ** 2 <= radius**2] = colour
+    return photo
+
+
+def test_every_circle_is_found():
+    photo = planted((200, 420), (100, 100, 50, 250), (320, 100, 40, (70, 70, 70)))
+    photo[::2, 100:102] = 255
+    found = im.hough_circles(im.to_grey(photo), 36, 54, 100)
+    assert any(abs(x - 100) <= 3 and abs(y - 100) <= 3 and abs(r - 50) <= 3 for x, y, r, _ in found)
+    assert any(abs(x - 320) <= 3 and abs(y - 100) <= 3 and abs(r - 40) <= 3 for x, y, r, _ in found)
+
+
+def test_outlines_of_filled_regions():
+    part = np.zeros((9, 9), bool)
+    part[2:7, 2:7] = True
+    assert im.outline_area(part) == 16 and im.outline_distance(part, 4, 4) == 2 and im.outline_distance(part, 4, 0) == 2
+    yy, xx = np.ogrid[:101, :101]
+    disc = (yy - 50) ** 2 + (xx - 50) ** 2 <= 40**2
+    assert im.outline_area(disc) == pytest.approx(np.pi * 40**2, rel=0.03)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        mask = rng.random((15, 19)) < 0.5
+        ids, n = im.components(mask)
+        whole = [im.fill_holes(ids == k) for k in range(1, n + 1)]
+        areas = [im.outline_area(w) for w in whole]
+        best = whole[int(np.argmax(areas))] if max(areas, default=0) > 0 else np.zeros_like(mask)
+        assert (im.largest_filled(mask) == best).all()
+
+
+def test_refinements_and_masks():
+    green = planted((60, 80), (40, 30, 20, (20, 200, 30)))
+    whole = np.ones((60, 80), bool)
+    disc = im.disc((60, 80), (40, 30, 20))
+    pesto = im.refine(1, green, whole)
+    assert (pesto & disc).sum() >= 0.95 * disc.sum() and pesto.sum() <= 1.5 * disc.sum()
+    assert (im.refine(5, green, whole) == disc).all() and (im.refine(3, green, disc) == disc).all()
+    split = disc.copy()
+    split[:, 39:41] = False
+    assert im.refine(6, green, split)[30, 39] and im.refine(6, green, np.zeros_like(disc)).sum() == 0
+    red = planted((60, 80), (40, 30, 20, (10, 10, 220)))
+    assert (im.refine_tomato(red, whole) == disc).all()
+    bowl = planted((60, 80), (40, 30, 25, 120), (40, 30, 12, (0, 220, 30)))
+    salad = im.salad_mask(bowl, (40, 30, 25))
+    assert (salad & im.disc((60, 80), (40, 30, 12))).sum() >= 0.9 * salad.sum() > 0
+    loaf = planted((60, 80), (40, 30, 15, (60, 130, 190)), ground=220)
+    area = im.disc((60, 80), (40, 30, 22))
+    bread = im.bread_mask(loaf, area)
+    assert bread.any() and (bread & im.disc((60, 80), (40, 30, 15))).sum() >= 0.8 * bread.sum()
+    assert not im.find_bread(planted((120, 160)), [], []).any()
+
+
+def test_bowl_is_found():
+    photo = planted((200, 260), (120, 100, 60, 230))
+    x, y, radius = im.find_bowl(photo, [], True, ((58, 62), (61, 66)))[0]
+    assert abs(x - 120) <= 3 and abs(y - 100) <= 3 and abs(radius - 60) <= 3
+    assert im.find_bowl(planted((200, 260)), [], False, ((58, 62), (61, 66))) == []
+
+
+def test_small_pieces_move_to_the_other_label():
+    a, b = np.zeros((60, 90), bool), np.zeros((60, 90), bool)
+    a[0:40, 0:30], a[50:55, 80:85] = True, True
+    b[0:40, 40:75] = True
+    out = segmentation.reassign({6: a, 10: b}, [6, 10])
+    assert out[6].sum() == 1200 and out[10].sum() == 1400 + 25 and out[10][52, 82]
+
+
+def test_photos_and_pairs(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    (tmp_path / "tray1").mkdir()
+    for name, colour in (("food_image", 0x2040F0), ("leftover1", 0x108030)):
+        picture = jvm.java.awt.image.BufferedImage(160, 120, 1)
+        for x in range(0, 160, 4):
+            for y in range(0, 120, 4):
+                picture.setRGB(x, y, colour)
+        jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(str(tmp_path / "tray1" / f"{name}.jpg")))
+    (tmp_path / "tray1" / "broken.jpg").write_bytes(b"no photo")
+    photos = boxes.read_photos(spark, str(tmp_path / "tray1"))
+    assert sorted((r.h, r.w, r.channels, len(r.data)) for r in photos.collect()) == [(120, 160, 3, 57600)] * 2
+    pairs = spark.createDataFrame([(1, "tray1/food_image.jpg", "tray1/leftover1.jpg"), (2, "tray1/food_image.jpg", "tray2/leftover1.jpg")], "pair_id long, before_path string, after_path string")
+    found = segmentation.segment_pairs(boxes.photo_pairs(pairs, photos), np.zeros((14, 60)))
+    assert [(r.pair_id, r.h, r.w, len(r.before_mask), len(r.after_mask)) for r in found.collect()] == [(1, 120, 160, 19200, 19200)]
+    rasters = segmentation.mask_images(found)
+    assert sorted(r.image_id for r in rasters.collect()) == ["1/after", "1/before"] and boxes.mask_pixels(rasters).count() == 0
+
+
+def test_masks_written_and_encoded(spark, tmp_path):
+    mask = spark.createDataFrame([(1, 0, 2, 9), (1, 3, 1, 4), (2, 1, 1, 200)], "image_id long, r int, c int, label int")
+    sinks.write_masks(mask, str(tmp_path / "m"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "m")).select("image_id", "r", "c", "label").collect()} == {tuple(r) for r in mask.collect()}
+    for row in sinks.mask_pngs(mask, 5, 6).collect():
+        raster_ = boxes.decode(bytes(row.png))
+        assert {(int(row.image_id), int(r), int(c), int(raster_[r, c])) for r, c in zip(*np.nonzero(raster_))} == {tuple(x) for x in mask.collect() if x.image_id == int(row.image_id)}
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3, 4])
+def test_png_filters(kind):
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(kind)
+    image = rng.integers(0, 256, (6, 7, 3)).astype(np.int64)
+    lines, above = b"", np.zeros((7, 3), np.int64)
+    for line in image:
+        left, corner = np.vstack([np.zeros((1, 3), np.int64), line[:-1]]), np.vstack([np.zeros((1, 3), np.int64), above[:-1]])
+        p, q, r = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+        guess = {0: 0 * line, 1: left, 2: above, 3: (left + above) // 2, 4: np.where((p <= q) & (p <= r), left, np.where(q <= r, above, corner))}[kind]
+        lines += bytes([kind]) + ((line - guess) & 255).astype(np.uint8).tobytes()
+        above = line
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + b"\0\0\0\0"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 6, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert (boxes.decode(png) == image[..., ::-1]).all()
+
+
+def test_leftover_codes(spark):
+    rows = spark.createDataFrame([(k,) for k in range(4)], "code int")
+    assert [r.code for r in metrics.detected(rows).orderBy("code").collect()] == [0, 1, 2]
+    assert [r.code for r in metrics.left_over(rows).orderBy("code").collect()] == [1, 2, 3]
+
+
+def test_many_prototypes_are_dealt_to_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    make = lambda n, name: spark.createDataFrame([(k, rng.random(3).tolist()) for k in range(n)], f"{name} long, vector array<double>")
+    vectors, prototypes = make(50, "key"), make(20, "label")
+    few = {(r.key, r.label) for r in labels.nearest_prototype(vectors, prototypes).collect()}
+    monkeypatch.setattr(labels, "ARRAY_ROWS", 3)
+    many = {(r.key, r.label) for r in labels.nearest_prototype(vectors, prototypes).collect()}
+    assert few == many and len(many) == 50 and labels.distances(vectors, prototypes).count() == 1000
+
+
 def test_two_plates_agree(spark):
     dist = {0: {1: 1.0, 2: 5.0, 6: 4.0, 7: 9.0}, 1: {1: 2.0, 2: 8.0, 6: 2.5, 7: 8.0}}
     rows = spark.createDataFrame([(1, p, k, d) for p, v in dist.items() for k, d in v.items()], "tray int, plate int, label int, distance double")
