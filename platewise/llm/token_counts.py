@@ -43,7 +43,7 @@ BLANK = "▁"
 CHUNK_CHARS = 65_536
 #: Memoised whole-word transitions and states kept before starting afresh.
 MEMO_LIMIT = 800_000
-STATE_LIMIT = 100_000
+STATE_LIMIT = 300_000
 #: The context length above which ``over_limit`` is true.
 CONTEXT_TOKENS = 4096
 
@@ -80,7 +80,7 @@ class CountingTransducer:
         self.heads: dict[str, tuple[State, int]] = {}
 
     def _forget(self) -> None:
-        """Drop all transitions and states but the start; a state that is still held goes on working."""
+        """Drop all transitions and states but the start; a held state goes on working, and words keep their counts."""
         for state in self.states.values():
             state.arcs = {}
         self.heads.clear()
@@ -90,7 +90,7 @@ class CountingTransducer:
         key = (suffix, window)
         found = self.states.get(key)
         if found is None:
-            if len(self.states) >= 2 * STATE_LIMIT:
+            if len(self.states) >= STATE_LIMIT:
                 self._forget()
             found = self.states[key] = State(suffix, window)
         return found
@@ -209,11 +209,6 @@ class CountingTransducer:
                 self.segments[text] = found
         return found
 
-    def tidy(self) -> None:
-        """Forget the words once the compiled part has grown past its bound; only between texts."""
-        if len(self.states) > STATE_LIMIT:
-            self._reset()
-
 
 class ChunkMap:
     """State map of a chunk: strings before its synchronising point, the count after it, and the state at the end.
@@ -305,7 +300,8 @@ def count_tokens(t: CountingTransducer, text: str | None, chunk_chars: int = CHU
     """Tokens of a whole text (null: empty)."""
     if not text:
         return 0
-    t.tidy()
+    if len(text) <= chunk_chars:  # one map, applied to the start: nothing to compose
+        return count_words(t, BLANK + text.replace(" ", BLANK))
     maps = [chunk_map(t, BLANK * (not i) + text[i : i + chunk_chars].replace(" ", BLANK)) for i in range(0, len(text), chunk_chars)]
     whole = composed(t, maps)
     return t.run(t.start, whole.head)[1] + whole.count
