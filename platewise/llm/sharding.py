@@ -10,8 +10,10 @@ Only counts by arc and sub-bucket (at most ``shards * VIRTUAL * SPLITS`` numbers
 whatever the input) reach the driver, where the overflow is settled; it yields,
 for each arc, intervals of ranks with their shard and first slot.  A row's rank
 within its arc is its rank within its sub-bucket plus a sum of counts.
-Sub-buckets come from a hash of id and text, so a hot id is split unless its rows
-are equal in full.
+Sub-buckets come from a hash of id and text, so a hot id is split by its texts.
+Rows that are equal in full are interchangeable: they are counted first (partly
+before the shuffle), ranked as one row with a count, and dealt out afterwards in
+blocks of ``BLOCK`` that go to tasks of their own.
 
 Rows: null ids hash as null and null texts count as empty (size 16); of a very long
 text only its size and CRC go on; repeated rows take
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARDS, VIRTUAL, SPLITS = 40, 32, 16
+#: Equal rows that one task deals out at a time.
+BLOCK = 65_536
 #: Bytes counted for a row besides its text.
 ROW_BYTES = 16
 RING = 1 << 62
@@ -75,7 +79,20 @@ def settle(counts: list[int], owners: list[int], shards: int) -> list[list[tuple
     return out
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, splits: int = SPLITS) -> DataFrame:
+def deal_out(ranked: DataFrame, block: int) -> DataFrame:
+    """One row for each of the ``n`` equal rows of a group, whose first has rank ``before``, with its ``rank``.
+
+    Groups of more than a block are dealt to tasks by blocks, the others where they are.
+    """
+    few, many = ranked.where(F.col("n") <= block), ranked.where(F.col("n") > block)
+    starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))
+    blocks = many.withColumn("start", F.explode(starts)).repartition("doc_id", "text_crc32", "size", "start")
+    parts = few.withColumn("start", F.lit(0).cast("long")).unionByName(blocks)
+    last = F.least(F.col("n"), F.col("start") + block) - 1
+    return parts.withColumn("step", F.explode(F.sequence("start", last))).withColumn("rank", F.col("before") + F.col("step")).drop("n", "before", "start", "step")
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, splits: int = SPLITS, block: int = BLOCK) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of every row."""
     spark = docs.sparkSession
     points = ring_points(shards, virtual)
@@ -114,7 +131,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, splits
             at += n
     plan = spark.createDataFrame(rows, "arc int, sub int, lo long, hi long, shard int, first long")
     plan = plan.groupBy("arc", "sub").agg(F.collect_list(F.struct("lo", "hi", "shard", "first")).alias("spans"))
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "sub").orderBy("tie", "doc_id", "size", "text_crc32")) - 1)
+    groups = keyed.groupBy("arc", "sub", "tie", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("arc", "sub").orderBy("tie", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = deal_out(groups.withColumn("before", F.sum("n").over(order) - F.col("n")), block)
     # at most one row per arc and sub-bucket, and one more per interval: bounded by the ring
     found = ranked.join(F.broadcast(plan), ["arc", "sub"])
     mine = F.filter("spans", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0]

@@ -401,6 +401,15 @@ def test_sharding_odd_rows_and_movement(spark, odd):
     assert max(Counter(r.shard for r in sharding.assign(hot, 7).collect()).values()) <= 72
 
 
+def test_equal_rows_are_dealt_in_blocks(spark):
+    docs = docs_of(spark, [(7, "same")] * 501 + [(7, "other")] * 3 + [(i, str(i)) for i in range(100)] + [(None, None)] * 20)
+    columns = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    whole = Counter(sharding.assign(docs, 5).select(columns).collect())
+    assert len(whole) == sum(whole.values()) == 624
+    for block in (1, 10, 501):
+        assert Counter(sharding.assign(docs, 5, block=block).select(columns).collect()) == whole
+
+
 # 6 near-duplicates
 
 
