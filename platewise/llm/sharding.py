@@ -28,6 +28,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.llm.common import materialize
+
 SHARDS, VIRTUAL, SPLITS = 40, 32, 16
 #: Equal rows that one task deals out at a time.
 BLOCK = 65_536
@@ -115,7 +117,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, splits
     cell = F.get(table, F.expr(f"cast(place div {width} as int)"))
     arc = (F.get(cell, F.lit(0)) + F.size(F.filter(F.slice(cell, F.lit(2), F.greatest(F.size(cell) - 1, F.lit(0))), lambda p: p < F.col("place")))) % len(places)
     keyed = keyed.withColumns({"arc": arc.cast("int"), "sub": F.pmod("tie", F.lit(splits)).cast("int")})
-    counted = {(r.arc, r.sub): r.n for r in keyed.groupBy("arc", "sub").agg(F.count("*").alias("n")).collect()}
+    # texts are read once; counts and ranks come from the same narrow table
+    groups = materialize(keyed.groupBy("arc", "sub", "tie", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n")), "sizes")
+    counted = {(r.arc, r.sub): r.n for r in groups.groupBy("arc", "sub").agg(F.sum("n").alias("n")).collect()}
     counts = [sum(counted.get((k, b), 0) for b in range(splits)) for k in range(len(places))]
     intervals = settle(counts, owners, shards)
     # for each (arc, sub-bucket): intervals of ranks within it
@@ -131,7 +135,6 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, splits
             at += n
     plan = spark.createDataFrame(rows, "arc int, sub int, lo long, hi long, shard int, first long")
     plan = plan.groupBy("arc", "sub").agg(F.collect_list(F.struct("lo", "hi", "shard", "first")).alias("spans"))
-    groups = keyed.groupBy("arc", "sub", "tie", "doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
     order = Window.partitionBy("arc", "sub").orderBy("tie", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = deal_out(groups.withColumn("before", F.sum("n").over(order) - F.col("n")), block)
     # at most one row per arc and sub-bucket, and one more per interval: bounded by the ring
