@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.operators import images as im
-from platewise.plans.registry import query
+from platewise.plans import segmentation
+from platewise.plans.registry import ORACLE_SQL, query
 from platewise.plans.views import PHOTO_SQL, run_sql
 from platewise.sources import boxes as box_source
 
@@ -165,6 +166,80 @@ def masked_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return im.apply_to_images(photos(spark, sf_dir), op, f"{PLACE}, b bigint, high bigint")
 
 
+def _ball(n: int, keep: str = "true") -> str:
+    """SQL of offsets up to ``n`` in both directions."""
+    return f"(SELECT a.d AS dy, b.d AS dx FROM range({-n}, {n + 1}) a(d) CROSS JOIN range({-n}, {n + 1}) b(d) WHERE {keep})"
+
+
+def _cross(times: int) -> str:
+    """SQL of the offsets that a cross reaches in so many passes."""
+    return _ball(times, f"abs(a.d) + abs(b.d) <= {times}")
+
+
+def _passes(mask: str, *steps: tuple[str, str]) -> str:
+    """SQL of set places after passes ``(max or min, offsets)`` over a dense mask ``image_id, r, c, v``; places outside do not count."""
+    parts = [f"s0 AS ({mask})"]
+    for i, (how, offsets) in enumerate(steps):
+        parts.append(f"s{i + 1} AS (SELECT a.image_id, a.r, a.c, {how}(b.v) AS v FROM s{i} a CROSS JOIN {offsets} k JOIN s{i} b ON a.image_id = b.image_id AND b.r = a.r + k.dy AND b.c = a.c + k.dx GROUP BY 1, 2, 3)")
+    return f"WITH {', '.join(parts)} SELECT image_id, r::BIGINT AS r, c::BIGINT AS c FROM s{len(steps)} WHERE v = 1"
+
+
+#: Picks the region with the largest outline area, filled.
+LARGEST = ", best AS (SELECT image_id, root FROM areas WHERE area > 0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, root) = 1) SELECT w.image_id, w.r, w.c FROM whole w JOIN best b ON w.image_id = b.image_id AND w.root = b.root"
+#: Offsets of a filled ellipse inscribed in four by four places, from its centre.
+ELLIPSE4 = "(SELECT * FROM (VALUES (-2, 0), (-1, -2), (-1, -1), (-1, 0), (-1, 1), (0, -2), (0, -1), (0, 0), (0, 1), (1, -2), (1, -1), (1, 0), (1, 1)) v(dy, dx))"
+_PHOTO_HSV = _hsv(f"({PHOTO_SQL})", "b", "g", "red", "image_id, r, c, g")
+
+
+@query(_regions(_passes(f"SELECT image_id, r, c, ({INSIDE} AND s > 0.6::DOUBLE * 255 AND g >= 85)::INT AS v FROM {_PHOTO_HSV}",
+                        ("max", _ball(2)), ("max", _cross(10)), ("min", _cross(10)), ("min", _cross(2)), ("max", _cross(2)))) + LARGEST)
+def refine_pesto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.refine(1, bgr, inside(bgr))), PLACE)
+
+
+@query(_regions(_passes(f"SELECT image_id, r, c, ({INSIDE} AND red > 160)::INT AS v FROM ({PHOTO_SQL})", ("max", _cross(5)), ("min", _cross(5)))) + LARGEST)
+def refine_tomato(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.refine_tomato(bgr, inside(bgr))), PLACE)
+
+
+@query(_passes(f"SELECT image_id, r, c, ({INSIDE} AND ({NOISE} OR r IN (3, 21)))::INT AS v FROM ({PHOTO_SQL})", ("max", ELLIPSE4), ("min", ELLIPSE4)))
+def refine_pork(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scattered mask of 19 rows, closed with an ellipse of a quarter of them."""
+
+    def op(bgr: np.ndarray) -> pd.DataFrame:
+        mask = noise(bgr)
+        mask[[3, 21]] = True
+        return im.sparse(im.refine(6, bgr, mask & inside(bgr)))
+
+    return im.apply_to_images(photos(spark, sf_dir), op, PLACE)
+
+
+@query(_regions(_passes(f"SELECT image_id, r, c, ({INSIDE} AND (s > 175 OR v > 245))::INT AS v FROM {_hsv('(' + ORACLE_SQL['gaussian_blur'] + ')', 'b', 'g', 'red', 'image_id, r, c')}", ("max", _cross(1)), ("min", _cross(1))))
+       + ", large AS (SELECT image_id, root FROM areas WHERE area >= 0.001::DOUBLE * 3.141 * 81) SELECT DISTINCT w.image_id, w.r, w.c FROM whole w JOIN large b ON w.image_id = b.image_id AND w.root = b.root")
+def salad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.salad_mask(bgr, (14, 12, 9))), PLACE)
+
+
+#: Outline area over which the largest piece of a label stays, on the small photos.
+SMALL_PIECE = 20
+
+
+@query(_regions(f"SELECT 2 * image_id + CASE WHEN {NOISE} THEN 0 ELSE 1 END AS image_id, r::BIGINT AS r, c::BIGINT AS c FROM ({PHOTO_SQL}) WHERE {NOISE} OR r % 5 > 1")
+       + f""", rated AS (SELECT image_id, root, area, first_value(area) OVER w AS top, row_number() OVER w AS n FROM areas WINDOW w AS (PARTITION BY image_id ORDER BY area DESC, root)),
+ fate AS (SELECT image_id, root, area > {SMALL_PIECE} AND (n = 1 OR n = 2 AND area > 0.9::DOUBLE * top) AS stays FROM rated)
+ SELECT p.image_id // 2 AS image_id, p.r, p.c, CASE WHEN (p.image_id % 2 = 0) = f.stays THEN 6 ELSE 10 END::BIGINT AS label FROM root p JOIN fate f ON p.image_id = f.image_id AND p.root = f.root""")
+def piece_reassignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of two labels after small pieces went to the other one."""
+
+    def op(bgr: np.ndarray) -> pd.DataFrame:
+        mask = noise(bgr)
+        other = ~mask & (np.arange(H) % 5 > 1)[:, None]
+        found = segmentation.reassign({6: mask, 10: other}, [6, 10], SMALL_PIECE)
+        return pd.concat([im.sparse(part).assign(label=k) for k, part in found.items()], ignore_index=True)
+
+    return im.apply_to_images(photos(spark, sf_dir), op, f"{PLACE}, label bigint")
+
+
 def plate_photo(key: int) -> tuple[np.ndarray, tuple[int, int, int]]:
     """A photo of 120 x 160 with one bright plate, and food on it; with the plate's circle (x, y, radius)."""
     yy, xx = np.ogrid[:120, :160]
@@ -206,6 +281,24 @@ def plate_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plate_photos(spark, sf_dir).mapInPandas(run, "image_id long, plates long, near boolean, food boolean")
 
 
+@query("SELECT r_regionkey::BIGINT AS image_id, true AS bowl, true AS bread FROM region")
+def bowl_and_bread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the circle of a planted photo is found as a bowl (to 3 pixels), and its disc split from the ground around it as bread is (nine tenths)."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for k, h, w, channels, data in rows[["image_id", "h", "w", "channels", "data"]].itertuples(index=False):
+                bgr, (x, y, radius) = im.raster(h, w, channels, data), plate_photo(k)[1]
+                bowls = im.find_bowl(bgr, [], True, (BANDS[0], BANDS[0]))
+                near = len(bowls) == 1 and max(abs(bowls[0][0] - x), abs(bowls[0][1] - y), abs(bowls[0][2] - radius)) <= 3
+                loaf, truth = im.bread_mask(bgr, im.disc((h, w), (x, y, radius + 8))), im.disc((h, w), (x, y, radius))
+                out.append((k, near, bool((loaf & truth).sum() >= 0.9 * (loaf | truth).sum())))
+            yield pd.DataFrame(out, columns=["image_id", "bowl", "bread"])
+
+    return plate_photos(spark, sf_dir).mapInPandas(run, "image_id long, bowl boolean, bread boolean")
+
+
 @query("SELECT 'data/tray3/food_image.jpg' AS before_path, 'data/tray3/leftover2.jpg' AS after_path, 3 AS tray, 2 AS leftover")
 def explicit_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from platewise.functions.scalars import leftover_number, tray_number

@@ -82,10 +82,10 @@ def mixed_plate(bgr: np.ndarray, mask: np.ndarray, prototypes: np.ndarray, allow
     return reassign(out, kept) if len(kept) == 2 else out
 
 
-def reassign(masks: dict[int, np.ndarray], kept: list[int]) -> dict[int, np.ndarray]:
+def reassign(masks: dict[int, np.ndarray], kept: list[int], piece: int = PIECE) -> dict[int, np.ndarray]:
     """Masks of two labels with small pieces moved to the other one.
 
-    Of a label's pieces the largest stays if it has over ``PIECE`` pixels of outline
+    Of a label's pieces the largest stays if it has over ``piece`` pixels of outline
     area, and the second if it also has over nine tenths of the largest.
     """
     moved = {k: np.zeros_like(masks[k]) for k in kept}
@@ -95,7 +95,7 @@ def reassign(masks: dict[int, np.ndarray], kept: list[int]) -> dict[int, np.ndar
         areas = {j: im.outline_area(im.filled(ids, j, boxes[j - 1])) for j in range(1, n + 1)}
         order = sorted(areas, key=lambda j: (-areas[j], j))
         for i, j in enumerate(order):
-            stays = areas[j] > PIECE and (i == 0 or i == 1 and areas[j] > 0.9 * areas[order[0]])
+            stays = areas[j] > piece and (i == 0 or i == 1 and areas[j] > 0.9 * areas[order[0]])
             moved[k if stays else other] |= ids == j
     return moved
 
