@@ -111,19 +111,6 @@ def large_areas(regions: DataFrame, radius: str = "radius", small: float = 0.005
     return ranked.where("rank <= if(any_big, 1, 2)").drop("is_big")
 
 
-def box_filter(pixels: DataFrame, size: int, weight: float) -> DataFrame:
-    """Sum of the square neighbourhood of every stored pixel times ``weight``, at most 255.
-
-    ``pixels``: ``image_id, r, c, v``.  Two passes, along rows then columns; each
-    pixel sends its value to ``size`` places a pass.
-    """
-    half = size // 2
-    spread = lambda axis: F.explode(F.sequence(F.col(axis) - half, F.col(axis) + half)).alias(axis)
-    rows = pixels.where("v <> 0").select("image_id", "r", spread("c"), "v").groupBy("image_id", "r", "c").agg(F.sum("v").alias("v"))
-    sums = rows.select("image_id", spread("r"), "c", "v").groupBy("image_id", "r", "c").agg(F.sum("v").alias("v"))
-    return pixels.select("image_id", "r", "c").join(sums, ["image_id", "r", "c"], "left").select("image_id", "r", "c", F.least(F.coalesce("v", F.lit(0)) * weight, F.lit(255.0)).alias("v"))
-
-
 def dilate(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     """Set pixels spread over the offsets of a kernel."""
     o = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets))
@@ -135,9 +122,3 @@ def erode(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
     o = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets))
     votes = mask.select("image_id", "r", "c").distinct().withColumn("o", F.explode(o)).groupBy("image_id", (F.col("r") - F.col("o.dr")).alias("r"), (F.col("c") - F.col("o.dc")).alias("c")).agg(F.count("*").alias("n"))
     return votes.where(F.col("n") == len(offsets)).drop("n")
-
-
-def largest_component(components: DataFrame) -> DataFrame:
-    """The component with most pixels of every image; ties to the smaller id.  ``components``: image_id, component, r, c."""
-    counted = components.groupBy("image_id", "component").agg(F.count("*").alias("area"))
-    return counted.groupBy("image_id").agg(F.max(F.struct("area", (-F.col("component")).alias("neg"))).alias("m")).select("image_id", (-F.col("m.neg")).alias("component"), "m.area")

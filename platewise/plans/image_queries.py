@@ -1,32 +1,41 @@
-"""Queries of the dense image operators on small photos made from the driver tables, each with its SQL."""
+"""Queries of the raster operators over the driver tables: filters, edges, regions, circles and foods, each with its SQL."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewise.operators import images as im
-from platewise.plans import segmentation
+from platewise.functions import scalars as fn
+from platewise.functions.tables import written
+from platewise.operators import circles, filters, foods, regions
 from platewise.plans.registry import ORACLE_SQL, query
-from platewise.plans.views import PHOTO_SQL, run_sql
+from platewise.plans.views import BLOBS_SQL, EDGES_SPARK_SQL, EDGES_SQL, PHOTO_SPARK_SQL, PHOTO_SQL, run_sql
 from platewise.sources import boxes as box_source
 
 H, W = 24, 32
-PLACE = "r bigint, c bigint"
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.assemble(run_sql(spark, sf_dir, PHOTO_SQL))
+    return run_sql(spark, sf_dir, PHOTO_SPARK_SQL)
 
 
-def noise(bgr: np.ndarray) -> np.ndarray:
-    """A scattered mask of a photo."""
-    return (bgr.astype(int).sum(axis=2) * 7 + bgr[..., 0]) % 11 < 5
+def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_sql(spark, sf_dir, BLOBS_SQL)
 
 
 NOISE = "((b + g + red) * 7 + b) % 11 < 5"
+
+
+def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos' places with a scattered mask ``on``."""
+    return photos(spark, sf_dir).select("image_id", "r", "c", F.expr(NOISE).alias("on"))
+
+
+def root(component: Column, width: int = 100) -> Column:
+    """A region's name as the SQL has it: row times ``width`` and column of the first pixel."""
+    return regions.place_row(component) * width + regions.place_column(component)
+
+
 CROSS = "(VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) k(dy, dx)"
 
 
@@ -38,7 +47,7 @@ def _hsv(source: str, b: str, g: str, r: str, keep: str) -> str:
       (floor(CASE WHEN t < 0 THEN t + 180 ELSE t END + 0.5)::INT % 180)::INT AS h FROM (SELECT *, {turn} AS t FROM (SELECT *, {top} AS v, {top} - {low} AS d FROM {source})))"""
 
 
-BLUR = " + ".join(f"CASE WHEN abs(d) = {k} THEN {float(np.exp(-(k**2) / (2 * 1.1**2)) / sum(np.exp(-(i**2) / (2 * 1.1**2)) for i in range(-2, 3)))!r}::DOUBLE ELSE 0 END" for k in range(3))
+BLUR = " + ".join(f"CASE WHEN d = {k - 2} THEN {w!r}::DOUBLE ELSE 0 END" for k, w in enumerate(filters.gaussian_weights()))
 
 
 @query(f"""WITH p AS ({PHOTO_SQL}), w AS (SELECT d, {BLUR} AS w FROM range(-2, 3) t(d)), o AS (SELECT a.d AS dy, b.d AS dx, a.w * b.w AS w FROM w a CROSS JOIN w b),
@@ -46,11 +55,7 @@ BLUR = " + ".join(f"CASE WHEN abs(d) = {k} THEN {float(np.exp(-(k**2) / (2 * 1.1
  SELECT m.image_id, m.r::BIGINT AS r, m.c::BIGINT AS c, round_even(sum(m.w * q.b), 0)::BIGINT AS b, round_even(sum(m.w * q.g), 0)::BIGINT AS g, round_even(sum(m.w * q.red), 0)::BIGINT AS red
  FROM m JOIN p q ON m.image_id = q.image_id AND m.y = q.r AND m.x = q.c GROUP BY 1, 2, 3""")
 def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def op(bgr: np.ndarray) -> pd.DataFrame:
-        out = im.gaussian5(bgr)
-        return im.dense(out[..., 0], "b").assign(g=out[..., 1].ravel().astype(np.int64), red=out[..., 2].ravel().astype(np.int64))
-
-    return im.apply_to_images(photos(spark, sf_dir), op, f"{PLACE}, b bigint, g bigint, red bigint")
+    return filters.gaussian(photos(spark, sf_dir), "b", "g", "red")
 
 
 def _morphology(first: str, second: str) -> str:
@@ -61,12 +66,12 @@ def _morphology(first: str, second: str) -> str:
 
 @query(_morphology("max", "min"))
 def close_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.close(noise(bgr), im.ellipse(3))), PLACE)
+    return filters.close_cross(scattered(spark, sf_dir)).where("on").select("image_id", "r", "c")
 
 
 @query(_morphology("min", "max"))
 def open_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.open_(noise(bgr), im.ellipse(3))), PLACE)
+    return filters.open_cross(scattered(spark, sf_dir)).where("on").select("image_id", "r", "c")
 
 
 @query(f"""WITH RECURSIVE g AS (SELECT image_id, r, c, floor(b * 0.114::DOUBLE + g * 0.587::DOUBLE + red * 0.299::DOUBLE + 0.5)::INT AS v FROM ({PHOTO_SQL})),
@@ -79,14 +84,16 @@ def open_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
  reach AS (SELECT image_id, r, c FROM weak WHERE size > 150 UNION SELECT w.image_id, w.r, w.c FROM reach x JOIN weak w ON x.image_id = w.image_id AND abs(x.r - w.r) <= 1 AND abs(x.c - w.c) <= 1)
  SELECT image_id, r::BIGINT AS r, c::BIGINT AS c FROM reach""")
 def canny_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.canny(im.to_grey(bgr), 50, 150)), PLACE)
+    grey = photos(spark, sf_dir).withColumn("v", fn.grey(F.col("b"), F.col("g"), F.col("red")))
+    return filters.edges(grey, "v", 50, 150).select("image_id", "r", "c")
 
 
 INSIDE = "(r - 12) * (r - 12) + (c - 14) * (c - 14) <= 81"
 
 
-def inside(bgr: np.ndarray) -> np.ndarray:
-    return im.disc(bgr.shape[:2], (14, 12, 9))
+def inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photos with the disc ``held``."""
+    return photos(spark, sf_dir).withColumn("held", F.expr(INSIDE))
 
 
 @query(f"""WITH p AS (SELECT *, {INSIDE} AS held FROM ({PHOTO_SQL})), a AS (SELECT * FROM {_hsv('p', 'b', 'g', 'red', 'image_id, r, c, held')}),
@@ -97,13 +104,7 @@ def inside(bgr: np.ndarray) -> np.ndarray:
  SELECT image_id, bin, level FROM (SELECT image_id, bin, least(round_even(100.0::DOUBLE * n / sum(n) OVER (PARTITION BY image_id), 0), 255)::BIGINT AS level FROM k) WHERE level > 0""")
 def hue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hue histograms under a disc, with equalised values and the second conversion."""
-
-    def op(bgr: np.ndarray) -> pd.DataFrame:
-        levels = im.hue_histogram(bgr, inside(bgr))
-        bins = np.nonzero(levels)[0]
-        return pd.DataFrame({"bin": bins, "level": levels[bins].astype(np.int64)})
-
-    return im.apply_to_images(photos(spark, sf_dir), op, "bin bigint, level bigint")
+    return foods.hue_histogram(inside(spark, sf_dir)).where("level > 0").select("image_id", F.col("bin").cast("long").alias("bin"), F.col("level").cast("long").alias("level"))
 
 
 def _regions(mask: str) -> str:
@@ -119,51 +120,31 @@ def _regions(mask: str) -> str:
  areas AS (SELECT image_id, root, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0 END)::DOUBLE AS area FROM quads GROUP BY 1, 2)"""
 
 
-@query(_regions(f"SELECT image_id, r::BIGINT AS r, c::BIGINT AS c FROM ({PHOTO_SQL}) WHERE {NOISE}") + " SELECT a.image_id, a.root, a.area, count(*) AS pixels FROM areas a JOIN whole w ON a.image_id = w.image_id AND a.root = w.root GROUP BY 1, 2, 3")
+@query(_regions(f"SELECT image_id, r, c FROM ({PHOTO_SQL}) WHERE {NOISE}") + " SELECT a.image_id, a.root, a.area, count(*) AS pixels FROM areas a JOIN whole w ON a.image_id = w.image_id AND a.root = w.root GROUP BY 1, 2, 3")
 def region_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outline area and filled pixels of every region; ``root`` names its first pixel."""
-
-    def op(bgr: np.ndarray) -> pd.DataFrame:
-        mask = noise(bgr)
-        ids, n = im.components(mask)
-        ys, xs = np.nonzero(ids)
-        first = {}
-        for y, x in zip(ys.tolist(), xs.tolist()):
-            first.setdefault(int(ids[y, x]), y * 100 + x)
-        return pd.DataFrame([(first[k], area, int(part.sum())) for area, k, _, part in im.by_area(mask)], columns=["root", "area", "pixels"])
-
-    return im.apply_to_images(photos(spark, sf_dir), op, "root bigint, area double, pixels bigint")
+    found = regions.measured(scattered(spark, sf_dir).where("on"))[1]
+    return found.select("image_id", root(F.col("component")).alias("root"), "area", "pixels")
 
 
 @query(_regions(f"SELECT image_id, r::BIGINT AS r, c::BIGINT AS c FROM {_hsv(f'({PHOTO_SQL})', 'b', 'g', 'red', 'image_id, r, c')} WHERE s > 0.35::DOUBLE * 255 AND {INSIDE}")
        + ", best AS (SELECT image_id, root FROM areas WHERE area > 0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY area DESC, root) = 1) SELECT w.image_id, w.r, w.c FROM whole w JOIN best b ON w.image_id = b.image_id AND w.root = b.root")
 def refine_pilaf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.refine(5, bgr, inside(bgr))), PLACE)
+    return foods.refine_pilaf(inside(spark, sf_dir))
 
 
 @query(f"""WITH p AS (SELECT image_id, r, c FROM ({PHOTO_SQL}) WHERE {NOISE} AND r BETWEEN 3 AND 19), o AS (SELECT image_id, min(r) AS y0, min(c) AS x0, least(20, max(r) - min(r) + 1, max(c) - min(c) + 1) AS size FROM p GROUP BY 1)
  SELECT p.image_id, ((p.r - y0) // size)::BIGINT AS row, ((p.c - x0) // size)::BIGINT AS col, count(*) AS pixels FROM p JOIN o ON p.image_id = o.image_id GROUP BY 1, 2, 3""")
 def tile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels in square tiles of a mask's bounding box; tiles are no larger than the box."""
-
-    def op(bgr: np.ndarray) -> pd.DataFrame:
-        mask = noise(bgr)
-        mask[:3], mask[20:] = False, False
-        return pd.DataFrame([(r, c, int(part.sum())) for r, c, part in im.tiles(mask, 20)], columns=["row", "col", "pixels"])
-
-    return im.apply_to_images(photos(spark, sf_dir), op, "row bigint, col bigint, pixels bigint")
+    return foods.tile_counts(scattered(spark, sf_dir).where("on and r between 3 and 19"), 20)
 
 
 @query(f"""WITH p AS ({PHOTO_SQL}) SELECT image_id, r::BIGINT AS r, c::BIGINT AS c, CASE WHEN {INSIDE} THEN b ELSE 0 END::BIGINT AS b, CASE WHEN g > 115 THEN 255 ELSE 0 END::BIGINT AS high FROM p WHERE r BETWEEN 4 AND 15 AND c BETWEEN 6 AND 25""")
 def masked_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crop: one channel under a mask, another by a binary threshold."""
-
-    def op(bgr: np.ndarray) -> pd.DataFrame:
-        part, held = bgr[4:16, 6:26], inside(bgr)[4:16, 6:26]
-        rows = im.dense(np.where(held, part[..., 0], 0), "b").assign(high=np.where(part[..., 1] > 115, 255, 0).ravel().astype(np.int64))
-        return rows.assign(r=rows["r"] + 4, c=rows["c"] + 6)
-
-    return im.apply_to_images(photos(spark, sf_dir), op, f"{PLACE}, b bigint, high bigint")
+    part = inside(spark, sf_dir).where("r between 4 and 15 and c between 6 and 25")
+    return part.select("image_id", "r", "c", F.when(F.col("held"), F.col("b")).otherwise(0).cast("long").alias("b"), F.when(F.col("g") > 115, 255).otherwise(0).cast("long").alias("high"))
 
 
 def _ball(n: int, keep: str = "true") -> str:
@@ -194,114 +175,139 @@ _PHOTO_HSV = _hsv(f"({PHOTO_SQL})", "b", "g", "red", "image_id, r, c, g")
 @query(_regions(_passes(f"SELECT image_id, r, c, ({INSIDE} AND s > 0.6::DOUBLE * 255 AND g >= 85)::INT AS v FROM {_PHOTO_HSV}",
                         ("max", _ball(2)), ("max", _cross(10)), ("min", _cross(10)), ("min", _cross(2)), ("max", _cross(2)))) + LARGEST)
 def refine_pesto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.refine(1, bgr, inside(bgr))), PLACE)
+    return foods.refine_pesto(inside(spark, sf_dir))
 
 
 @query(_regions(_passes(f"SELECT image_id, r, c, ({INSIDE} AND red > 160)::INT AS v FROM ({PHOTO_SQL})", ("max", _cross(5)), ("min", _cross(5)))) + LARGEST)
 def refine_tomato(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.refine_tomato(bgr, inside(bgr))), PLACE)
+    return foods.refine_tomato(inside(spark, sf_dir))
 
 
 @query(_passes(f"SELECT image_id, r, c, ({INSIDE} AND ({NOISE} OR r IN (3, 21)))::INT AS v FROM ({PHOTO_SQL})", ("max", ELLIPSE4), ("min", ELLIPSE4)))
 def refine_pork(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scattered mask of 19 rows, closed with an ellipse of a quarter of them."""
-
-    def op(bgr: np.ndarray) -> pd.DataFrame:
-        mask = noise(bgr)
-        mask[[3, 21]] = True
-        return im.sparse(im.refine(6, bgr, mask & inside(bgr)))
-
-    return im.apply_to_images(photos(spark, sf_dir), op, PLACE)
+    return foods.refine_pork(inside(spark, sf_dir).withColumn("held", F.expr(f"held and ({NOISE} or r in (3, 21))")))
 
 
 @query(_regions(_passes(f"SELECT image_id, r, c, ({INSIDE} AND (s > 175 OR v > 245))::INT AS v FROM {_hsv('(' + ORACLE_SQL['gaussian_blur'] + ')', 'b', 'g', 'red', 'image_id, r, c')}", ("max", _cross(1)), ("min", _cross(1))))
        + ", large AS (SELECT image_id, root FROM areas WHERE area >= 0.001::DOUBLE * 3.141 * 81) SELECT DISTINCT w.image_id, w.r, w.c FROM whole w JOIN large b ON w.image_id = b.image_id AND w.root = b.root")
 def salad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return im.apply_to_images(photos(spark, sf_dir), lambda bgr: im.sparse(im.salad_mask(bgr, (14, 12, 9))), PLACE)
+    bowls = photos(spark, sf_dir).select("image_id").distinct().select("image_id", F.lit(14).alias("x"), F.lit(12).alias("y"), F.lit(9.0).alias("radius"))
+    return foods.salad_mask(photos(spark, sf_dir), bowls)
+
+
+#: Regions of the event masks: every pixel with the first pixel of its component, as row times 100 and column.
+_PIXELS = f"""WITH RECURSIVE m AS (SELECT DISTINCT image_id, r, c FROM ({BLOBS_SQL})),
+ reach AS (SELECT image_id, r * 100 + c AS u, r, c FROM m UNION SELECT x.image_id, x.u, y.r, y.c FROM reach x JOIN m y ON x.image_id = y.image_id AND abs(x.r - y.r) <= 1 AND abs(x.c - y.c) <= 1),
+ root AS (SELECT image_id, r, c, min(u) AS root FROM reach GROUP BY 1, 2, 3)"""
+
+
+@query(_PIXELS + " SELECT * FROM root")
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of the event masks with its component."""
+    return regions.pixels_of(regions.components(blobs(spark, sf_dir))).select("image_id", "r", "c", root(F.col("component")).alias("root"))
+
 
+@query(_PIXELS + """, n AS (SELECT image_id, root, count(*) AS pixels, min(c) AS x, min(r) AS y, max(c) - min(c) + 1 AS w, max(r) - min(r) + 1 AS h FROM root GROUP BY 1, 2)
+ SELECT image_id, root, root // 100 AS first_r, root % 100 AS first_c, pixels, x, y, w, h FROM n QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY pixels DESC, root) = 1""")
+def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component with most pixels of each event mask, ties to the first in a scan: its first pixel, area and bounds."""
+    found = regions.regions(regions.components(blobs(spark, sf_dir))).withColumn("area", F.col("pixels"))
+    best = regions.largest(found)
+    return best.select("image_id", root(F.col("component")).alias("root"), regions.place_row("component").alias("first_r"), regions.place_column("component").alias("first_c"), "pixels", "x", "y", "w", "h")
 
-#: Outline area over which the largest piece of a label stays, on the small photos.
-SMALL_PIECE = 20
 
+_HOLED = _regions(f"SELECT DISTINCT image_id, r, c FROM ({BLOBS_SQL})").replace(f"range(-1, {H + 1}) a(r) CROSS JOIN range(-1, {W + 1}) b(c)", "range(-1, 28) a(r) CROSS JOIN range(-1, 35) b(c)").replace(f"range(0, {H}) a(r) CROSS JOIN range(0, {W}) b(c)", "range(0, 27) a(r) CROSS JOIN range(0, 34) b(c)")
 
-@query(_regions(f"SELECT 2 * image_id + CASE WHEN {NOISE} THEN 0 ELSE 1 END AS image_id, r::BIGINT AS r, c::BIGINT AS c FROM ({PHOTO_SQL}) WHERE {NOISE} OR r % 5 > 1")
+
+@query(_HOLED + """, edge AS (SELECT w.image_id, w.root, w.r, w.c FROM whole w CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) k(dy, dx) LEFT JOIN whole o ON o.image_id = w.image_id AND o.root = w.root AND o.r = w.r + dy AND o.c = w.c + dx
+   GROUP BY 1, 2, 3, 4 HAVING count(o.r) < 4),
+ near AS (SELECT image_id, root, min((r - 13) * (r - 13) + (c - 17) * (c - 17)) AS d, arg_min(r * 100 + c, ((r - 13) * (r - 13) + (c - 17) * (c - 17)) * 10000 + r * 100 + c) AS nearest FROM edge GROUP BY 1, 2),
+ held AS (SELECT image_id, root, count(*) AS filled FROM whole GROUP BY 1, 2), own AS (SELECT image_id, root, count(*) AS pixels FROM root GROUP BY 1, 2)
+ SELECT image_id, root, own.pixels, filled, area, round(sqrt(d::DOUBLE), 9) AS distance, nearest FROM own JOIN held USING (image_id, root) JOIN areas USING (image_id, root) JOIN near USING (image_id, root)""")
+def region_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region of the event masks: pixels without and with its holes, outline area, and how far its outline is from the image's middle, with the nearest pixel."""
+    found = written(regions.components(blobs(spark, sf_dir)), "found")
+    whole = written(regions.filled(found), "whole")
+    middle = found.select("image_id").distinct().select("image_id", F.lit(13).alias("cy"), F.lit(17).alias("cx"))
+    own, held = (regions.regions(d).select("image_id", "component", F.col("pixels").alias(k)) for d, k in ((found, "pixels"), (whole, "filled")))
+    keys = ["image_id", "component"]
+    joined = own.join(held, keys).join(regions.outline_areas(whole), keys).join(regions.outline_distances(whole, middle), keys)
+    return joined.select("image_id", root(F.col("component")).alias("root"), "pixels", "filled", "area", F.round("distance", 9).alias("distance"), (F.col("r") * 100 + F.col("c")).alias("nearest"))
+
+
+#: Outline area over which the largest piece of a label stays, on the small masks.
+SMALL_PIECE = 12
+#: One label for each place of the event masks.
+_LABELLED = f"SELECT image_id, r, c, min(label) AS label FROM ({BLOBS_SQL}) b0 GROUP BY image_id, r, c"
+
+
+@query(_regions(f"SELECT 2 * image_id + CASE label WHEN 6 THEN 0 ELSE 1 END AS image_id, r, c FROM ({_LABELLED})").replace(f"range(-1, {H + 1}) a(r) CROSS JOIN range(-1, {W + 1}) b(c)", "range(-1, 28) a(r) CROSS JOIN range(-1, 35) b(c)").replace(f"range(0, {H}) a(r) CROSS JOIN range(0, {W}) b(c)", "range(0, 27) a(r) CROSS JOIN range(0, 34) b(c)")
        + f""", rated AS (SELECT image_id, root, area, first_value(area) OVER w AS top, row_number() OVER w AS n FROM areas WINDOW w AS (PARTITION BY image_id ORDER BY area DESC, root)),
- fate AS (SELECT image_id, root, area > {SMALL_PIECE} AND (n = 1 OR n = 2 AND area > 0.9::DOUBLE * top) AS stays FROM rated)
- SELECT p.image_id // 2 AS image_id, p.r, p.c, CASE WHEN (p.image_id % 2 = 0) = f.stays THEN 6 ELSE 10 END::BIGINT AS label FROM root p JOIN fate f ON p.image_id = f.image_id AND p.root = f.root""")
+ fate AS (SELECT image_id, root, area > {SMALL_PIECE} AND (n = 1 OR n = 2 AND area > 0.9::DOUBLE * top) AS stays FROM rated),
+ sides AS (SELECT image_id // 2 AS image_id, count(DISTINCT image_id) AS k FROM root GROUP BY 1)
+ SELECT p.image_id // 2 AS image_id, p.r, p.c, CASE WHEN (p.image_id % 2 = 0) = (f.stays OR b.k < 2) THEN 6 ELSE 10 END::INT AS label FROM root p JOIN fate f ON p.image_id = f.image_id AND p.root = f.root JOIN sides b ON b.image_id = p.image_id // 2""")
 def piece_reassignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of two labels after small pieces went to the other one."""
-
-    def op(bgr: np.ndarray) -> pd.DataFrame:
-        mask = noise(bgr)
-        other = ~mask & (np.arange(H) % 5 > 1)[:, None]
-        found = segmentation.reassign({6: mask, 10: other}, [6, 10], SMALL_PIECE)
-        return pd.concat([im.sparse(part).assign(label=k) for k, part in found.items()], ignore_index=True)
+    """Pixels of the event masks' two labels after small pieces went to the other one."""
+    return regions.reassign(run_sql(spark, sf_dir, _LABELLED), SMALL_PIECE).select("image_id", "r", "c", F.col("label").cast("int").alias("label"))
 
-    return im.apply_to_images(photos(spark, sf_dir), op, f"{PLACE}, label bigint")
 
+_BITS = f"SELECT image_id, r, c, coalesce(v, 0) AS v FROM (SELECT s.image_id, a.r, b.c FROM (SELECT DISTINCT image_id FROM ({BLOBS_SQL})) s CROSS JOIN range(0, 27) a(r) CROSS JOIN range(0, 34) b(c)) LEFT JOIN (SELECT DISTINCT image_id, r, c, 1 AS v FROM ({BLOBS_SQL}) WHERE (r * 7 + c * 3) % 23 = 0) USING (image_id, r, c)"
 
-def plate_photo(key: int) -> tuple[np.ndarray, tuple[int, int, int]]:
-    """A photo of 120 x 160 with one bright plate, and food on it; with the plate's circle (x, y, radius)."""
-    yy, xx = np.ogrid[:120, :160]
-    x, y, radius = 70 + 5 * key, 55 + 2 * key, 38 + key % 4
-    photo = np.full((120, 160, 3), 30, np.uint8)
-    photo[(yy - y) ** 2 + (xx - x) ** 2 <= radius**2] = (200, 200, 200)
-    photo[(yy - y) ** 2 + (xx - x) ** 2 <= 15**2] = (30, 120, 210)
-    return photo, (x, y, radius)
 
+def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense rasters of the event masks, thinned, with ``on``."""
+    found = blobs(spark, sf_dir)
+    frames = found.select("image_id").distinct().select("image_id", F.lit(0).alias("r0"), F.lit(26).alias("r1"), F.lit(0).alias("c0"), F.lit(33).alias("c1"))
+    return filters.framed(found.where("(r * 7 + c * 3) % 23 = 0").select("image_id", "r", "c").distinct().withColumn("on", F.lit(True)), frames, on=False)
 
-BANDS = ((36, 44), (1, 2), (1, 1))
 
+@query(f"""WITH p AS ({_BITS}) SELECT a.image_id, a.r, a.c, least(sum(b.v * 40) * {1 / 15**2!r}::DOUBLE, 255) AS v FROM p a JOIN p b ON a.image_id = b.image_id AND abs(a.r - b.r) <= 10 AND abs(a.c - b.c) <= 10 GROUP BY 1, 2, 3""")
+def wide_box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box sums of 21 by 21 places, with nothing beyond the borders, by cumulated sums."""
+    values = bits(spark, sf_dir).select("image_id", "r", "c", F.when(F.col("on"), 40).otherwise(0).alias("v"))
+    return filters.box_filter(values, "v", 21, 1 / 15**2, reflect=False)
 
-def plate_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(batches):
-        for rows in batches:
-            found = [(k, *plate_photo(k)[0].shape, plate_photo(k)[0].tobytes()) for k in rows["image_id"]]
-            yield pd.DataFrame(found, columns=["image_id", "h", "w", "channels", "data"])
 
-    keys = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("image_id"))
-    return keys.mapInPandas(run, "image_id long, h int, w int, channels int, data binary")
+@query(_passes(_BITS, ("max", _cross(6)), ("min", _cross(6)), ("min", _cross(2)), ("max", _cross(2))))
+def repeated_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six passes of closing and two of opening with a cross, as thresholds of distances."""
+    return filters.open_cross(filters.close_cross(bits(spark, sf_dir), 6), 2).where("on").select("image_id", "r", "c")
 
 
-@query("SELECT r_regionkey::BIGINT AS image_id, 1::BIGINT AS plates, true AS near, true AS food FROM region")
-def plate_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plates found in planted photos, whether their circles are the planted ones (to 3 pixels), and the food on them (nine tenths)."""
+_EDGES = f"""WITH RECURSIVE e AS ({EDGES_SQL}), f AS (SELECT image_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM e GROUP BY 1),
+ votes AS (SELECT image_id, round_even(r + k * (gy / sqrt(gx * gx + gy * gy)), 0)::BIGINT AS cy, round_even(c + k * (gx / sqrt(gx * gx + gy * gy)), 0)::BIGINT AS cx FROM e CROSS JOIN (SELECT unnest([10, 11, 12, 13, -10, -11, -12, -13]) AS k) WHERE gx <> 0 OR gy <> 0),
+ tally AS (SELECT image_id, cy, cx, count(*) AS n FROM votes JOIN f USING (image_id) WHERE cy BETWEEN r0 AND r1 AND cx BETWEEN c0 AND c1 GROUP BY 1, 2, 3),
+ sums AS (SELECT a.image_id, a.cy, a.cx, sum(b.n) AS n FROM tally a JOIN tally b ON a.image_id = b.image_id AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 GROUP BY 1, 2, 3 HAVING sum(b.n) >= 20),
+ peak AS (SELECT * FROM sums a WHERE NOT EXISTS (SELECT 1 FROM sums b WHERE a.image_id = b.image_id AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 AND (b.n > a.n OR b.n = a.n AND (b.cy < a.cy OR b.cy = a.cy AND b.cx < a.cx)))),
+ ring AS (SELECT p.image_id, p.cy, p.cx, p.n, round_even(sqrt(((r - cy) * (r - cy) + (c - cx) * (c - cx))::DOUBLE), 0)::INT AS radius, count(*) AS support FROM peak p JOIN e ON e.image_id = p.image_id GROUP BY ALL),
+ best AS (SELECT image_id, cy, cx, n, radius, support FROM ring WHERE radius BETWEEN 10 AND 13 QUALIFY row_number() OVER (PARTITION BY image_id, cy, cx ORDER BY support DESC, radius) = 1),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, cy, cx) AS k FROM best WHERE support >= 20),
+ greedy AS (SELECT image_id, k, [{{'cy': cy, 'cx': cx, 'k': k}}] AS kept FROM ranked WHERE k = 1
+   UNION ALL SELECT g.image_id, r.k, CASE WHEN len(list_filter(g.kept, lambda q: sqrt(((q.cy - r.cy) * (q.cy - r.cy) + (q.cx - r.cx) * (q.cx - r.cx))::DOUBLE) < 9)) > 0 THEN g.kept ELSE list_append(g.kept, {{'cy': r.cy, 'cx': r.cx, 'k': r.k}}) END
+   FROM greedy g JOIN ranked r ON r.image_id = g.image_id AND r.k = g.k + 1),
+ final AS (SELECT image_id, unnest(arg_max(kept, k)) AS q FROM greedy GROUP BY 1)"""
 
-    def run(batches):
-        for rows in batches:
-            out = []
-            for k, h, w, channels, data in rows[["image_id", "h", "w", "channels", "data"]].itertuples(index=False):
-                bgr, (x, y, radius) = im.raster(h, w, channels, data), plate_photo(k)[1]
-                plates = im.find_plates(bgr, BANDS)
-                near = bool(plates) and max(abs(plates[0][0] - x), abs(plates[0][1] - y), abs(plates[0][2] - radius)) <= 3
-                food, truth = im.plate_mask(bgr, plates[0]) if plates else np.zeros((h, w), bool), im.disc((h, w), (x, y, 15))
-                out.append((k, len(plates), near, bool((food & truth).sum() >= 0.9 * (food | truth).sum())))
-            yield pd.DataFrame(out, columns=["image_id", "plates", "near", "food"])
 
-    return plate_photos(spark, sf_dir).mapInPandas(run, "image_id long, plates long, near boolean, food boolean")
+@query(_EDGES + " SELECT r.image_id, cx AS x, cy AS y, radius, n::BIGINT AS votes, support FROM ranked r JOIN final f ON r.image_id = f.image_id AND r.k = f.q.k")
+def hough_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles of 10 to 13 pixels from the events' edges."""
+    found = written(run_sql(spark, sf_dir, EDGES_SPARK_SQL), "edges")
+    return circles.hough_circles(found, written(filters.bounds(found), "frames"), 10, 13, F.lit(9))
 
 
-@query("SELECT r_regionkey::BIGINT AS image_id, true AS bowl, true AS bread FROM region")
-def bowl_and_bread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the circle of a planted photo is found as a bowl (to 3 pixels), and its disc split from the ground around it as bread is (nine tenths)."""
+@query(_EDGES + " SELECT r.image_id, cx AS x, cy AS y, radius, n::BIGINT AS votes, support FROM ranked r JOIN final f ON r.image_id = f.image_id AND r.k = f.q.k QUALIFY row_number() OVER (PARTITION BY r.image_id ORDER BY n DESC, cy, cx) <= 2")
+def two_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most two circles of each image, those with most votes."""
+    return circles.strongest(hough_circles(spark, sf_dir), 2)
 
-    def run(batches):
-        for rows in batches:
-            out = []
-            for k, h, w, channels, data in rows[["image_id", "h", "w", "channels", "data"]].itertuples(index=False):
-                bgr, (x, y, radius) = im.raster(h, w, channels, data), plate_photo(k)[1]
-                bowls = im.find_bowl(bgr, [], True, (BANDS[0], BANDS[0]))
-                near = len(bowls) == 1 and max(abs(bowls[0][0] - x), abs(bowls[0][1] - y), abs(bowls[0][2] - radius)) <= 3
-                loaf, truth = im.bread_mask(bgr, im.disc((h, w), (x, y, radius + 8))), im.disc((h, w), (x, y, radius))
-                out.append((k, near, bool((loaf & truth).sum() >= 0.9 * (loaf | truth).sum())))
-            yield pd.DataFrame(out, columns=["image_id", "bowl", "bread"])
 
-    return plate_photos(spark, sf_dir).mapInPandas(run, "image_id long, bowl boolean, bread boolean")
+_PATHS = "'set/tray' || (p_partkey % 8 + 1)"
 
 
-@query("SELECT 'data/tray3/food_image.jpg' AS before_path, 'data/tray3/leftover2.jpg' AS after_path, 3 AS tray, 2 AS leftover")
+@query(f"SELECT p_partkey AS key, {_PATHS} || '/food_image.jpg' AS before_path, {_PATHS} || '/leftover' || (p_partkey % 3 + 1) || '.jpg' AS after_path, (p_partkey % 8 + 1)::INT AS tray, (p_partkey % 3 + 1)::INT AS leftover FROM part")
 def explicit_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from platewise.functions.scalars import leftover_number, tray_number
-
-    pair = box_source.explicit_pair(spark, "data/tray3/food_image.jpg", "data/tray3/leftover2.jpg")
-    return pair.withColumns({"tray": tray_number(F.col("after_path")), "leftover": leftover_number(F.col("after_path"))})
+    """Pairs given by their two paths, one for each part, with the keys read from the paths."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    given = part.select(F.col("p_partkey").alias("key"), F.expr(f"{_PATHS} || '/food_image.jpg'").alias("before"), F.expr(f"{_PATHS} || '/leftover' || (p_partkey % 3 + 1) || '.jpg'").alias("after"))
+    return box_source.explicit_pairs(given, "before", "after")

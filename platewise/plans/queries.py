@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions import scalars as fn
 from platewise.model import COLOURS, LABELS, colours_dim, labels_dim
-from platewise.operators import images, labels, metrics, raster
+from platewise.operators import filters, labels, metrics, raster
 from platewise.plans import image_queries  # noqa: F401 (registers its queries)
 from platewise.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from platewise.plans.views import CIRCLES_SQL, COLOUR_SQL, GRID_SQL, GT_SQL, MASK_SQL, PRED_SQL, run_sql
@@ -357,16 +357,7 @@ def erode_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH m AS ({THIN_SQL}) SELECT a.image_id, a.r, a.c, least(sum(10) * 2.0::DOUBLE, 255) AS v FROM m a JOIN m b ON a.image_id = b.image_id
  AND abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3 GROUP BY 1, 2, 3""")
 def box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.box_filter(run_sql(spark, sf_dir, THIN_SQL).withColumn("v", F.lit(10)), 7, 2.0)
-
-
-@query(f"""WITH RECURSIVE m AS ({THIN_SQL}), e AS (SELECT a.image_id, a.r * 1000 + a.c AS u, b.r * 1000 + b.c AS v FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
- reach AS (SELECT image_id, r * 1000 + c AS u, r * 1000 + c AS v FROM m UNION SELECT x.image_id, x.u, e.v FROM reach x JOIN e ON x.image_id = e.image_id AND x.v = e.u),
- root AS (SELECT image_id, u, min(v) AS root FROM reach GROUP BY 1, 2), n AS (SELECT image_id, root, count(*) AS area FROM root GROUP BY 1, 2)
- SELECT image_id, max(area) AS area FROM n GROUP BY 1""")
-def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = images.apply_to_pixels(run_sql(spark, sf_dir, THIN_SQL), lambda m: images.components(m)[0], "component")
-    return raster.largest_component(found).select("image_id", "area")
+    return filters.box_filter_at(run_sql(spark, sf_dir, THIN_SQL).withColumn("v", F.lit(10)), "v", 7, 2.0)
 
 
 LISTS = "SELECT o_custkey AS key, list(CAST(o_orderkey % 7 AS BIGINT) ORDER BY o_orderkey) AS a, list(CAST(floor(o_totalprice) AS BIGINT) % 5 ORDER BY o_orderkey) AS b FROM orders GROUP BY 1"
@@ -393,12 +384,11 @@ def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).select("key", fn.index_of(F.col("a"), F.lit(3).cast("long")).alias("at"))
 
 
-PATHS = "SELECT 'data/tray' || t AS base, t, l FROM (SELECT unnest(range(1, 9)) AS t) CROSS JOIN (SELECT unnest(range(1, 4)) AS l)"
-
-
-@query(f"SELECT t::INT AS tray, l::INT AS leftover, base || '/food_image.jpg' AS before_path, base || '/leftover' || l || '.jpg' AS after_path FROM ({PATHS})")
+@query("""SELECT s_suppkey AS tray, l::INT AS leftover, 'data/tray' || s_suppkey || '/food_image.jpg' AS before_path, 'data/tray' || s_suppkey || '/leftover' || l || '.jpg' AS after_path
+ FROM (SELECT s_suppkey, unnest(range(1, 4)) AS l FROM supplier)""")
 def pair_enumeration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return box_source.enumerate_pairs(spark, "data")
+    """Before and after paths of every tray, one for each supplier, and its three leftovers."""
+    return box_source.enumerate_pairs(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("tray")), "data")
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'set/tray' || p_size || '/leftover' || p_partkey % 3 || '.jpg' WHEN 1 THEN 'a/my_tray_data/tray1/x.jpg' WHEN 2 THEN 'no/number.png' ELSE 'my_leftover/tray' || p_size || 'b/food_image.jpg' END AS path FROM part)

@@ -22,7 +22,7 @@ GRID_SQL = """SELECT 0 AS image_id, row, col, CAST(CASE WHEN label = 3 THEN -1 E
  SELECT row, col, label, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, label) AS k FROM (
   SELECT CAST(floor(event_id / 240) AS INT) AS row, CAST(floor(event_id / 10) % 24 AS INT) AS col, CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS INT) AS label, count(*) AS n
   FROM events GROUP BY 1, 2, 3) a) b WHERE k = 1"""
-TABLES = ("part", "events", "lineitem", "customer", "orders", "embeddings", "region")
+TABLES = ("part", "events", "lineitem", "customer", "orders", "embeddings", "supplier")
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -35,9 +35,29 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
-#: Small colour images, one for each region: a disc of saturated colour on a dull ground, 24 rows and 32 columns.
-PHOTO_SQL = """SELECT CAST(r_regionkey AS BIGINT) AS image_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c,
- CAST(CASE WHEN held THEN (20 * r_regionkey + 3 * r) % 100 ELSE 60 + (r * 5 + c * 3 + r_regionkey * 11) % 40 END AS INT) AS b,
- CAST(CASE WHEN held THEN 130 + (c * 2 + r_regionkey * 9) % 90 ELSE 55 + (r * 3 + c * 5) % 30 END AS INT) AS g,
- CAST(CASE WHEN held THEN (c * 7 + r * 3 + r_regionkey * 13) % 200 ELSE 60 + (r + c * 2 + r_regionkey) % 25 END AS INT) AS red
- FROM (SELECT r_regionkey, r, c, (r - 11) * (r - 11) + (c - 15) * (c - 15) <= (6 + r_regionkey) * (6 + r_regionkey) AS held FROM region CROSS JOIN range(24) AS t1(r) CROSS JOIN range(32) AS t2(c)) AS p"""
+def _photo(places: str) -> str:
+    return f"""SELECT k AS image_id, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c,
+ CAST(CASE WHEN held THEN (20 * k + 3 * r) % 100 ELSE 60 + (r * 5 + c * 3 + k * 11) % 40 END AS INT) AS b,
+ CAST(CASE WHEN held THEN 130 + (c * 2 + k * 9) % 90 ELSE 55 + (r * 3 + c * 5) % 30 END AS INT) AS g,
+ CAST(CASE WHEN held THEN (c * 7 + r * 3 + k * 13) % 200 ELSE 60 + (r + c * 2 + k) % 25 END AS INT) AS red
+ FROM (SELECT k, r, c, (r - 11) * (r - 11) + (c - 15) * (c - 15) <= (6 + k % 5) * (6 + k % 5) AS held FROM {places}) AS p"""
+
+
+_KEYS = "SELECT DISTINCT CAST(floor(s_suppkey / 4) AS BIGINT) AS k FROM supplier"
+#: Small colour images, one for each four suppliers: a disc of saturated colour on a dull ground, 24 rows and 32 columns.
+PHOTO_SQL = _photo(f"(SELECT k, r, unnest(range(32)) AS c FROM (SELECT k, unnest(range(24)) AS r FROM ({_KEYS})))")
+PHOTO_SPARK_SQL = _photo(f"(SELECT k, r, c FROM ({_KEYS}) AS t LATERAL VIEW explode(sequence(0, 23)) AS r LATERAL VIEW explode(sequence(0, 31)) AS c)")
+#: Scattered masks, one for each 400 events, dense enough for regions of many sizes: all events are pixels.
+BLOBS_SQL = """SELECT CAST(floor(event_id / 400) AS BIGINT) AS image_id, CAST((event_id * 7919 + user_id * 13) % 27 AS BIGINT) AS r, CAST((event_id * 104729 + user_id * 31) % 34 AS BIGINT) AS c,
+ CAST(CASE event_type WHEN 'click' THEN 6 WHEN 'view' THEN 6 ELSE 10 END AS INT) AS label FROM events"""
+
+
+def _edges(rint: str) -> str:
+    at = lambda centre, g: f"CAST({centre} + CASE WHEN stray THEN {g} ELSE {rint.format(f'radius * ({g} / norm)')} END AS BIGINT)"
+    return f"""SELECT DISTINCT image_id, {at('cy', 'gy')} AS r, {at('cx', 'gx')} AS c, gx, gy
+ FROM (SELECT *, sqrt(gx * gx + gy * gy) AS norm FROM (SELECT CAST(floor(event_id / 300) AS BIGINT) AS image_id, CAST((event_id * 37) % 41 - 20 AS DOUBLE) AS gx, CAST((event_id * 53) % 39 - 19 AS DOUBLE) AS gy, user_id % 6 = 0 AS stray,
+ event_id % 3 * 26 + 24 AS cx, floor(event_id / 300) % 9 * 2 + 30 AS cy, event_id % 3 + 11 AS radius FROM events) AS e) AS f WHERE norm > 0"""
+
+
+#: Edge pixels with gradients, one for each event: three circles an image, and stray ones.
+EDGES_SQL, EDGES_SPARK_SQL = _edges("round_even({}, 0)"), _edges("rint({})")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from platewise.functions.scalars import leftover_number, tray_number
+
 STRICT = r"^\s*ID:\s*([+-]?\d+)\s*;\s*\[\s*([+-]?\d+)\s*,\s*([+-]?\d+)\s*,\s*([+-]?\d+)\s*,\s*([+-]?\d+)\s*\]"
 LENIENT = STRICT.replace("ID:", "ID:?")
 BOX = "class_id int, x int, y int, w int, h int"
@@ -168,16 +170,17 @@ def mask_pixels(images: DataFrame) -> DataFrame:
     return images.where("channels = 1").mapInPandas(run, "image_id string, r int, c int, label smallint")
 
 
-def enumerate_pairs(spark: SparkSession, root: str, trays: int = 8, leftovers: int = 3) -> DataFrame:
-    """Before and after paths of every tray and leftover, leftover outermost."""
-    found = spark.range(1, leftovers + 1).select(F.col("id").cast("int").alias("leftover")).withColumn("tray", F.explode(F.sequence(F.lit(1), F.lit(trays))))
+def enumerate_pairs(trays: DataFrame, root: str, leftovers: int = 3) -> DataFrame:
+    """Before and after paths of every tray (``tray``) and each of its leftovers."""
     base = F.concat(F.lit(f"{root}/tray"), F.col("tray").cast("string"))
-    found = found.withColumns({"before_path": F.concat(base, F.lit("/food_image.jpg")), "after_path": F.concat(base, F.lit("/leftover"), F.col("leftover").cast("string"), F.lit(".jpg"))})
-    return found.select("tray", "leftover", "before_path", "after_path")
+    found = trays.select("tray", F.explode(F.sequence(F.lit(1), F.lit(leftovers))).alias("leftover"))
+    return found.withColumns({"before_path": F.concat(base, F.lit("/food_image.jpg")), "after_path": F.concat(base, F.lit("/leftover"), F.col("leftover").cast("string"), F.lit(".jpg"))})
 
 
-def explicit_pair(spark: SparkSession, before: str, after: str) -> DataFrame:
-    return spark.createDataFrame([(before, after)], "before_path string, after_path string")
+def explicit_pairs(rows: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
+    """Pairs given by their two paths, with tray and leftover read from the second; other columns stay."""
+    named = rows.withColumnsRenamed({before: "before_path", after: "after_path"})
+    return named.withColumns({"tray": tray_number(F.col("after_path")), "leftover": leftover_number(F.col("after_path"))})
 
 
 def numbered(rows: DataFrame, *keys: str, order: str) -> DataFrame:
