@@ -196,24 +196,74 @@ def refine_pork(photo: DataFrame) -> DataFrame:
 REFINEMENTS = {1: refine_pesto, 5: refine_pilaf, 6: refine_pork}
 
 
-def hue_histogram(photo: DataFrame, bins: int = 60) -> DataFrame:
-    """``image_id, bin, n, share, level`` of hues under the mask ``held``.
+def hue_histograms(pixels: DataFrame, places: DataFrame, keys: tuple[str, ...] = ("image_id",), bins: int = 60) -> DataFrame:
+    """``keys, bin, n, share, level`` of the hues of masks, given as their pixels ``keys, h, s, v``.
 
-    Values are equalised over the raster, where places outside the mask count as 0, and
-    the result is converted once more as if it were blue, green and red.  The table of
-    levels of an image (256 at most) is a map beside its pixels.
+    Values are equalised over the raster of ``places`` (``image_id, places``), where those
+    outside the mask count as 0, and the result is converted once more as if it were
+    blue, green and red.  The table of levels of a mask (256 at most) is a map beside its pixels.
     """
-    hsv = coloured(photo).select("image_id", "held", *"hsv")
-    values = hsv.select("image_id", F.when(F.col("held"), F.col("v")).otherwise(0).alias("v"))
-    table = labels.equalise(values, ["image_id"], "v").groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "level"))).alias("_levels"))
-    level = F.col("_levels")[F.col("v").cast("int")]
-    even = hsv.where("held").join(table, "image_id").select("image_id", "h", "s", level.alias("v"))
+    keys = list(keys)
+    held = pixels.groupBy(*keys, F.col("v").cast("int").alias("value")).agg(F.count("*").alias("n"))
+    rest = held.groupBy(*keys).agg(F.sum("n").alias("_n")).join(places, "image_id").select(*keys, F.lit(0).alias("value"), (F.col("places") - F.col("_n")).alias("n"))
+    counted = held.unionByName(rest.where("n > 0")).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    table = labels.equalised(counted, keys).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("value", "level"))).alias("_levels"))
+    even = pixels.join(table, keys).select(*keys, "h", "s", F.col("_levels")[F.col("v").cast("int")].alias("v"))
     again = even.withColumn("hue", fn.hsv(F.col("h"), F.col("s"), F.col("v"))["h"])
-    return labels.histogram(again, ["image_id"], "hue", bins, 180 / bins)
+    return labels.histogram(again, keys, "hue", bins, 180 / bins)
+
+
+def hue_histogram(photo: DataFrame, bins: int = 60) -> DataFrame:
+    """The histogram of each photo's hues under the mask ``held``."""
+    places = photo.groupBy("image_id").agg(F.count("*").alias("places"))
+    return hue_histograms(coloured(photo).where("held").select("image_id", *"hsv"), places, bins=bins)
+
+
+def hue_vectors(found: DataFrame, keys: tuple[str, ...] = ("image_id",), bins: int = 60) -> DataFrame:
+    """``key, vector``: histograms as arrays of levels; ``key`` is the struct of ``keys``."""
+    by = F.map_from_entries(F.collect_list(F.struct("bin", F.col("level").cast("double"))))
+    rows = found.groupBy(*keys).agg(by.alias("_by"))
+    return rows.select(F.struct(*keys).alias("key"), F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.col("_by")[b], F.lit(0.0))).alias("vector"))
+
+
+def tiled(mask: DataFrame, size: int) -> DataFrame:
+    """Pixels with the ``row`` and ``col`` of their square tile of each mask's bounding box; tiles are no larger than the box."""
+    corner = mask.groupBy("image_id").agg(F.min("r").alias("_r0"), F.min("c").alias("_c0"), F.least(F.lit(size), F.max("r") - F.min("r") + 1, F.max("c") - F.min("c") + 1).alias("_size"))
+    row, col = labels.tile(F.col("r"), F.col("c"), F.col("_r0"), F.col("_c0"), F.col("_size"))
+    return mask.join(corner, "image_id").withColumns({"row": row, "col": col}).drop("_r0", "_c0", "_size")
 
 
 def tile_counts(mask: DataFrame, size: int) -> DataFrame:
-    """``image_id, row, col, pixels`` of square tiles of each mask's bounding box; tiles are no larger than the box."""
-    corner = mask.groupBy("image_id").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), F.least(F.lit(size), F.max("r") - F.min("r") + 1, F.max("c") - F.min("c") + 1).alias("_size"))
-    row, col = labels.tile(F.col("r"), F.col("c"), F.col("r0"), F.col("c0"), F.col("_size"))
-    return mask.join(corner, "image_id").groupBy("image_id", row.alias("row"), col.alias("col")).agg(F.count("*").alias("pixels"))
+    """``image_id, row, col, pixels`` of the tiles of each mask."""
+    return tiled(mask, size).groupBy("image_id", "row", "col").agg(F.count("*").alias("pixels"))
+
+
+# bread
+
+
+def split_foreground(photo: DataFrame, area: DataFrame, rounds: int = 3, shades: int = 8) -> DataFrame:
+    """Foreground pixels within the bounding box of each image's ``area``, by colour and neighbourhood.
+
+    Colours are dealt to ``shades`` shades a channel.  In each round the shades inside and
+    outside are counted, a place of the box goes where its shade is more frequent, and a vote of the
+    five by five places around it decides.  An approximation of iterated graph cuts, whose
+    cut the vote replaces.
+    """
+    box = area.groupBy("image_id").agg(F.min("r").alias("_r0"), F.max("r").alias("_r1"), F.min("c").alias("_c0"), F.max("c").alias("_c1"))
+    shade = sum((F.floor(F.col(k) * shades / 256) * shades**i for i, k in enumerate(("b", "g", "red"))), F.lit(0)).cast("int")
+    inside = F.col("r").between(F.col("_r0"), F.col("_r1")) & F.col("c").between(F.col("_c0"), F.col("_c1"))
+    rows = written(photo.join(box, "image_id").select(*PIXEL, shade.alias("shade"), inside.alias("box"), inside.alias("on")), "fore")
+    for _ in range(rounds):
+        counts = rows.groupBy("image_id", "shade").agg(F.count_if("on").alias("f"), F.count_if(~F.col("on")).alias("g"))
+        totals = counts.groupBy("image_id").agg(F.sum("f").alias("_f"), F.sum("g").alias("_g"))
+        likely = counts.join(totals, "image_id").select("image_id", "shade", ((F.col("f") + 1) * (F.col("_g") + shades**3) > (F.col("g") + 1) * (F.col("_f") + shades**3)).alias("_likely"))
+        scored = rows.join(likely, ["image_id", "shade"]).withColumn("v", F.when(F.col("box") & F.col("_likely"), 255).otherwise(0))
+        voted = filters.box_filter(scored, "v", 5, reflect=False)
+        rows = written(voted.select(*PIXEL, "shade", "box", (F.col("box") & (F.col("v") > 127)).alias("on")), "fore")
+    return rows.where("on").select(*PIXEL)
+
+
+def bread_mask(photo: DataFrame, area: DataFrame) -> DataFrame:
+    """Pixels of the bread: the largest foreground region of the area, which is first thinned from its upper left."""
+    thinned = filters.shifted(filters.erode(_marked(photo.select(*PIXEL), area), filters.ellipse(5), 3), 3, 3)
+    return regions.largest_filled(split_foreground(photo, thinned.where("on")))

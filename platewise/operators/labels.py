@@ -22,7 +22,11 @@ def histogram(pixels: DataFrame, keys: list[str], value: str, bins: int, width:
 
 def equalise(pixels: DataFrame, keys: list[str], value: str, levels: int = 256) -> DataFrame:
     """Lookup table of histogram equalisation: for each value the level its cumulated count gives."""
-    counted = pixels.groupBy(*keys, F.col(value).cast("int").alias("value")).agg(F.count("*").alias("n"))
+    return equalised(pixels.groupBy(*keys, F.col(value).cast("int").alias("value")).agg(F.count("*").alias("n")), keys, levels)
+
+
+def equalised(counted: DataFrame, keys: list[str], levels: int = 256) -> DataFrame:
+    """The lookup table of counts ``keys, value, n``."""
     up = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)
     least = F.min_by("n", "value").over(whole)

@@ -195,12 +195,13 @@ def outline_distances(whole: DataFrame, centres: DataFrame, *keys: str) -> DataF
     return best.select(*keys, "component", F.sqrt(F.col("_b._d").cast("double")).alias("distance"), "_b.r", "_b.c")
 
 
-def reassign(mask: DataFrame, piece: float = 500.0, share: float = 0.9) -> DataFrame:
+def reassign(mask: DataFrame, piece: float = 500.0, share: float = 0.9, both: DataFrame | None = None) -> DataFrame:
     """Pixels ``image_id, r, c, label`` of two labels with small pieces moved to the other label.
 
     Of a label's regions the largest stays if its outline area is above ``piece``, and
     the second if it also has over ``share`` of the largest's area; all others go to the other
-    label.  An image that has not exactly two labels stays as it is.
+    label.  An image that has not exactly two labels stays as it is; its labels are those of
+    ``both`` (``image_id, label``) where given, else those of its pixels.
     """
     keys = ("image_id", "label")
     pieces = written(components(mask, *keys), "pieces")
@@ -208,8 +209,8 @@ def reassign(mask: DataFrame, piece: float = 500.0, share: float = 0.9) -> DataF
     w = Window.partitionBy(*keys).orderBy(F.desc("area"), "component")
     rated = areas.withColumns({"_n": F.row_number().over(w), "_top": F.first("area").over(w)})
     stays = (F.col("area") > piece) & ((F.col("_n") == 1) | (F.col("_n") == 2) & (F.col("area") > share * F.col("_top")))
-    both = pieces.groupBy("image_id").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count_distinct("label").alias("_k"))
-    fate = rated.select(*keys, "component", stays.alias("_stays")).join(both, "image_id")
+    pair = (pieces if both is None else both).groupBy("image_id").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count_distinct("label").alias("_k"))
+    fate = rated.select(*keys, "component", stays.alias("_stays")).join(pair, "image_id")
     to = F.when(F.col("_stays") | (F.col("_k") != 2), F.col("label")).otherwise(F.col("_a") + F.col("_b") - F.col("label"))
     moved = pieces.join(fate, [*keys, "component"]).select("image_id", "r", "c0", "c1", to.alias("label"))
     return pixels_of(moved).select("image_id", "r", "c", "label")

@@ -1,146 +1,153 @@
-"""Segmentation of tray photos: plates, salad bowl and bread into one label mask.
+"""Segmentation of tray photos as one plan: plates, their foods, salad bowl and bread into a label mask.
 
-Approximate by nature (see ``operators.images``).  The after-photo of a pair is
-given the labels that its before-photo yielded, so one pair is one row of work.
+Photos are dense rasters ``image_id, r, c, b, g, red``.  The after-photo of a pair is
+limited to the labels that its before-photo yielded.  Approximate where the
+operators say so (the foreground split of bread; circles).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.functions.tables import written
 from platewise.model import LABELS
-from platewise.operators import images as im
+from platewise.operators import foods, labels, raster, regions
 
 FIRST, SECOND, SIDE = (tuple(i for i, _, f in LABELS if f == k) for k in ("first", "second", "side"))
-SALAD, BREAD, COARSE, FINE, PIECE = 12, 13, 150, 50, 500
-
-
-def ranked(histogram: np.ndarray, prototypes: np.ndarray, allowed: set[int]) -> list[tuple[float, int]]:
-    return sorted((float(np.sqrt(((prototypes[k].astype(float) - histogram) ** 2).sum())), k) for k in allowed)
-
-
-def two_plates(lists: list[list[tuple[float, int]]]) -> list[set[int]]:
-    """Family allowed on each of two plates: the plate with the larger relative gap chooses, the other gets the rest."""
-    def best(found, family):
-        return next((d for d, k in found if k in family), None)
-
-    gaps = [(best(f, FIRST), best(f, SECOND), f[-1][0] if f else 0) for f in lists]
-    if any(a is None or b is None for a, b, _ in gaps):
-        return [set(FIRST) if a is not None and (b is None or a < b) else set(SECOND + SIDE) for a, b, _ in gaps]
-    loss = [abs(a - b) / w if w else 0 for a, b, w in gaps]
-    lead = 0 if loss[0] >= loss[1] else 1
-    first = gaps[lead][0] < gaps[lead][1]
-    own, rest = (set(FIRST), set(SECOND + SIDE)) if first else (set(SECOND + SIDE), set(FIRST))
-    return [own, rest] if lead == 0 else [rest, own]
-
-
-def neighbours_mode(grid: np.ndarray) -> np.ndarray:
-    """Most frequent neighbour of every set cell; of labels with one count the first to reach it by rows; -1 without neighbours."""
-    out = np.full_like(grid, -1)
-    for r, c in zip(*np.nonzero(grid >= 0)):
-        counts, top, most = {}, -1, 0
-        for i in range(max(r - 1, 0), min(r + 2, grid.shape[0])):
-            for j in range(max(c - 1, 0), min(c + 2, grid.shape[1])):
-                k = grid[i, j]
-                if (i, j) != (r, c) and k >= 0:
-                    counts[k] = counts.get(k, 0) + 1
-                    if counts[k] > most:
-                        top, most = k, counts[k]
-        out[r, c] = top
-    return out
-
-
-def mixed_plate(bgr: np.ndarray, mask: np.ndarray, prototypes: np.ndarray, allowed: set[int]) -> dict[int, np.ndarray]:
-    """Masks by label of a plate with a second course and side dishes: coarse votes choose labels, fine tiles deal them out."""
-    if not allowed:
-        return {}
-    label = lambda part, among: ranked(im.hue_histogram(bgr, part), prototypes, among)[0][1]
-    votes: dict[int, int] = {}
-    for _, _, part in im.tiles(mask, COARSE):
-        k = label(part, allowed)
-        votes[k] = votes.get(k, 0) + 1
-    order = sorted(votes, key=lambda k: (-votes[k], k))
-    kept = [k for k in order if k in SECOND][:1] + [k for k in order if k in SIDE][:2]
-    if not kept:
-        return {}
-    found = [(r, c, part, label(part, set(kept))) for r, c, part in im.tiles(mask, FINE)]
-    if not found:
-        return {}
-    grid = np.full((max(f[0] for f in found) + 1, max(f[1] for f in found) + 1), -1)
-    for r, c, _, k in found:
-        grid[r, c] = k
-    grid = neighbours_mode(grid)
-    out: dict[int, np.ndarray] = {k: np.zeros_like(mask) for k in kept}
-    for r, c, part, _ in found:
-        if grid[r, c] in out:
-            out[grid[r, c]] |= part
-    return reassign(out, kept) if len(kept) == 2 else out
-
-
-def reassign(masks: dict[int, np.ndarray], kept: list[int], piece: int = PIECE) -> dict[int, np.ndarray]:
-    """Masks of two labels with small pieces moved to the other one.
-
-    Of a label's pieces the largest stays if it has over ``piece`` pixels of outline
-    area, and the second if it also has over nine tenths of the largest.
+SALAD, BREAD = 12, 13
+PIXEL = list(foods.PIXEL)
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Sizes in pixels that photos of the usual resolution are segmented by."""
+
+    plates: tuple[tuple[int, int], ...] = foods.PLATE_BANDS
+    bowls: tuple[tuple[int, int], ...] = foods.BOWL_BANDS
+    coarse: int = 150
+    fine: int = 50
+    piece: float = 500.0
+    bread: float = 20_000.0
+
+
+def _families(spark) -> DataFrame:
+    return spark.createDataFrame([(i, f) for i, _, f in LABELS if f in ("first", "second", "side")], "label int, family string")
+
+
+def _allowed(rows: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """Rows (``image_id`` a plate's key, ``label``) whose label the image may have; images without any labels given may have all."""
+    if allowed is None:
+        return rows
+    known = allowed.select("image_id").distinct().withColumn("_known", F.lit(True))
+    listed = allowed.select("image_id", "label").distinct().withColumn("_listed", F.lit(True))
+    keyed = rows.withColumn("_image", F.col("image_id.image_id"))
+    met = keyed.join(known.withColumnRenamed("image_id", "_image"), "_image", "left").join(listed.withColumnRenamed("image_id", "_image"), ["_image", "label"], "left")
+    return met.where("_known is null or _listed").select(*rows.columns)
+
+
+def _distances(found: DataFrame, prototypes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``keys, label, distance`` from histograms to prototypes."""
+    far = labels.distances(foods.hue_vectors(found, keys), prototypes)
+    return far.select("key.*", F.col("label").cast("int").alias("label"), "distance")
+
+
+def _nearest(found: DataFrame, *keys: str) -> DataFrame:
+    return found.groupBy(*keys).agg(F.min(F.struct("distance", "label")).alias("_m")).select(*keys, "_m.label", "_m.distance")
+
+
+def plate_courses(far: DataFrame, plates: DataFrame, families: DataFrame) -> DataFrame:
+    """``image_id, is_first``: whether a plate holds a first course.
+
+    ``far``: ``image_id, label, distance``; ``plates``: ``image_id`` (a plate's key) and ``plate``,
+    its number.  A photo's two plates are decided together, a single one by its nearest label.
+    """
+    numbered = far.join(plates, "image_id").withColumn("tray", F.col("image_id.image_id"))
+    counted = numbered.withColumn("_k", F.size(F.collect_set("plate").over(Window.partitionBy("tray"))))
+    pairs = labels.assign_two_plates(counted.where("_k = 2").select("tray", "plate", "label", "distance"), families)
+    of_pair = plates.withColumn("tray", F.col("image_id.image_id")).join(pairs, ["tray", "plate"]).select("image_id", "label")
+    single = _nearest(counted.where("_k = 1"), "image_id").select("image_id", "label")
+    return of_pair.unionByName(single).select("image_id", F.col("label").isin(*FIRST).alias("is_first"))
+
+
+def mixed_plates(pixels: DataFrame, places: DataFrame, prototypes: DataFrame, allowed: DataFrame | None, families: DataFrame, sizes: Sizes) -> DataFrame:
+    """``image_id, r, c, label, rank`` of plates with a second course and side dishes.
+
+    Votes of coarse tiles choose the labels; fine tiles, smoothed by their neighbours, deal
+    them out; then small pieces move.  ``pixels``: ``image_id, r, c, h, s, v`` of the food.
+    """
+    keys = ("image_id", "row", "col")
+    own = families.where("family <> 'first'")
+    coarse = _distances(foods.hue_histograms(foods.tiled(pixels, sizes.coarse), places, keys), prototypes, keys)
+    votes = _nearest(_allowed(coarse.join(F.broadcast(own.select("label")), "label"), allowed), *keys).groupBy("image_id", "label").agg(F.count("*").alias("n"))
+    chosen = labels.keep_courses(votes.join(F.broadcast(own), "label").withColumnRenamed("image_id", "plate"))
+    order = F.row_number().over(Window.partitionBy("plate").orderBy(F.when(F.col("family") == "second", 0).otherwise(1), "rank"))
+    chosen = written(chosen.select(F.col("plate").alias("image_id"), "label", order.alias("rank")), "chosen")
+    fine = written(foods.tiled(pixels, sizes.fine), "fine")
+    near = _distances(foods.hue_histograms(fine, places, keys), prototypes, keys).join(chosen.select("image_id", "label"), ["image_id", "label"])
+    grid = labels.mode_filter(_nearest(near, *keys))
+    parts = fine.select(*PIXEL, "row", "col").join(grid.where("label >= 0"), list(keys)).select(*PIXEL, "label")
+    return regions.reassign(parts, sizes.piece, both=chosen.select("image_id", "label")).join(chosen, ["image_id", "label"]).select(*PIXEL, "label", "rank")
+
+
+def plate_foods(photo: DataFrame, prototypes: DataFrame, allowed: DataFrame | None = None, sizes: Sizes = Sizes(), plates: DataFrame | None = None) -> DataFrame:
+    """``image_id, r, c, label`` of the foods on each photo's plates; a later plate overwrites an earlier one, and a later label an earlier one."""
+    circles = written(plates if plates is not None else foods.find_plates(photo, sizes.plates), "circles")
+    ranked = circles.withColumn("plate", F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("votes"), "y", "x")) - 1)
+    keyed, own = foods.by_plate(photo, ranked)
+    food = written(foods.plate_mask(keyed, own), "food")
+    colours = written(foods.coloured(keyed).join(food, PIXEL, "left_semi"), "colours")
+    places = photo.groupBy("image_id").agg(F.count("*").alias("places")).join(circles.select("image_id", "x", "y"), "image_id").select(F.struct("image_id", "x", "y").alias("image_id"), "places")
+    families = _families(photo.sparkSession)
+    far = _allowed(_distances(foods.hue_histograms(colours, places), prototypes, ("image_id",)).join(F.broadcast(families.select("label")), "label"), allowed)
+    far = written(far.select("image_id", "label", "distance"), "distances")
+    courses = written(plate_courses(far, own.select("image_id", "plate"), families), "courses")
+    first = _nearest(far.where(F.col("label").isin(*FIRST)), "image_id").join(courses.where("is_first"), "image_id").select("image_id", "label", F.lit(1).alias("rank"))
+    mixed = colours.join(courses.where("not is_first"), "image_id", "left_semi")
+    parts = food.join(first, "image_id").select(*PIXEL, "label", "rank").unionByName(mixed_plates(mixed, places, prototypes, allowed, families, sizes))
+    parts = written(parts, "parts")
+    refined = parts.where(~F.col("label").isin(*foods.REFINEMENTS))
+    for label, refine in foods.REFINEMENTS.items():
+        some = parts.where(F.col("label") == label)
+        ranks = some.select("image_id", "rank").distinct()
+        raster_ = keyed.join(ranks, "image_id", "left_semi").join(some.select(*PIXEL).withColumn("_in", F.lit(True)), PIXEL, "left").withColumn("held", F.coalesce("_in", F.lit(False))).drop("_in")
+        refined = refined.unionByName(refine(raster_).join(ranks, "image_id").select(*PIXEL, F.lit(label).alias("label"), "rank"))
+    layers = refined.join(own.select("image_id", "plate"), "image_id").select(F.col("image_id.image_id").alias("image_id"), "r", "c", "label", (F.col("plate") * 100 + F.col("rank")).alias("seq"))
+    return raster.merge_overwriting(layers)
+
+
+def _barred(label: int, allowed: DataFrame) -> DataFrame:
+    """Images whose labels are given without this one."""
+    return allowed.groupBy("image_id").agg(F.bool_or(F.col("label") == label).alias("_has")).where("not _has").select("image_id")
+
+
+def segment(photo: DataFrame, prototypes: DataFrame, allowed: DataFrame | None = None, sizes: Sizes = Sizes()) -> DataFrame:
+    """``image_id, r, c, label`` of every photo: foods of the plates, salad and bread, whose labels add up where they overlap.
+
+    ``allowed`` (``image_id, label``) limits the labels of the photos it lists.
     """
-    moved = {k: np.zeros_like(masks[k]) for k in kept}
-    for k, other in (kept, kept[::-1]):
-        ids, n = im.components(masks[k])
-        boxes = im.boxes_of(ids, n)
-        areas = {j: im.outline_area(im.filled(ids, j, boxes[j - 1])) for j in range(1, n + 1)}
-        order = sorted(areas, key=lambda j: (-areas[j], j))
-        for i, j in enumerate(order):
-            stays = areas[j] > piece and (i == 0 or i == 1 and areas[j] > 0.9 * areas[order[0]])
-            moved[k if stays else other] |= ids == j
-    return moved
-
-
-def segment(bgr: np.ndarray, prototypes: np.ndarray, labels: set[int] | None = None) -> tuple[np.ndarray, set[int]]:
-    """Label mask of a photo and its labels; ``labels`` limits them to those of an earlier photo."""
-    mask, seen = np.zeros(bgr.shape[:2], np.int64), set()
-    allowed = set(FIRST + SECOND + SIDE) & labels if labels else set(FIRST + SECOND + SIDE)
-    circles = im.find_plates(bgr)
-    foods = [m for m in (im.plate_mask(bgr, c) for c in circles) if m.any()]
-    lists = [ranked(im.hue_histogram(bgr, m), prototypes, allowed) for m in foods]
-    families = two_plates(lists) if len(foods) == 2 else [set(FIRST) if f and f[0][1] in FIRST else set(SECOND + SIDE) for f in lists]
-    for food, found, family in zip(foods, lists, families):
-        own = [k for _, k in found if k in family]
-        parts = {own[0]: food} if own and own[0] in FIRST else mixed_plate(bgr, food, prototypes, allowed & family)
-        for k, part in parts.items():
-            part = im.refine(k, bgr, part)
-            mask[part] = k
-            seen |= {k} if part.any() else set()
-    bowl = im.find_bowl(bgr, circles, labels is None or SALAD in labels)
-    if bowl and (salad := im.salad_mask(bgr, bowl[0])).any():
-        mask += salad * SALAD
-        seen.add(SALAD)
-    if (labels is None or BREAD in labels) and (bread := im.bread_mask(bgr, im.find_bread(bgr, circles, bowl))).any():
-        mask += bread * BREAD
-        seen.add(BREAD)
-    return np.minimum(mask, 255).astype(np.uint8), seen
-
-
-def segment_pairs(pairs: DataFrame, prototypes: np.ndarray) -> DataFrame:
-    """Masks of pairs with ``pair_id, h, w, before, after`` (raw blue-green-red bytes): ``pair_id, before_mask, after_mask``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for p, h, w, a, b in rows[["pair_id", "h", "w", "before", "after"]].itertuples(index=False):
-                first, labels = segment(np.frombuffer(a, np.uint8).reshape(h, w, 3), prototypes)
-                second, _ = segment(np.frombuffer(b, np.uint8).reshape(h, w, 3), prototypes, labels or None)
-                out.append((p, h, w, first.tobytes(), second.tobytes()))
-            yield pd.DataFrame(out, columns=["pair_id", "h", "w", "before_mask", "after_mask"])
-
-    return pairs.mapInPandas(run, "pair_id long, h int, w int, before_mask binary, after_mask binary")
-
-
-def mask_images(found: DataFrame) -> DataFrame:
-    """The masks of ``segment_pairs`` as one-channel images ``image_id, h, w, channels, data``; ids are ``<pair>/before`` and ``<pair>/after``."""
-    side = lambda k: F.struct(F.concat(F.col("pair_id").cast("string"), F.lit(f"/{k}")).alias("image_id"), "h", "w", F.lit(1).alias("channels"), F.col(f"{k}_mask").alias("data"))
-    return found.select(F.explode(F.array(side("before"), side("after"))).alias("i")).select("i.*")
+    plates = written(foods.find_plates(photo, sizes.plates), "plates")
+    courses = plate_foods(photo, prototypes, allowed, sizes, plates)
+    if allowed is None:
+        bowls, free = foods.find_bowl(photo, plates, True, sizes.bowls), photo
+    else:  # where no salad was, only a circle of the first band counts
+        barred = written(_barred(SALAD, allowed), "barred")
+        sought = foods.find_bowl(photo.join(barred, "image_id", "left_anti"), plates, True, sizes.bowls)
+        bowls = sought.unionByName(foods.find_bowl(photo.join(barred, "image_id", "left_semi"), plates, False, sizes.bowls))
+        free = photo.join(_barred(BREAD, allowed), "image_id", "left_anti")
+    bowls = written(bowls, "bowls")
+    salad = foods.salad_mask(photo, bowls).withColumn("label", F.lit(SALAD))
+    numbered = lambda d: d.withColumn("id", regions.place("y", "x"))
+    bread = foods.bread_mask(free, foods.bread_area(free, numbered(plates), numbered(bowls), sizes.bread)).withColumn("label", F.lit(BREAD))
+    layers = courses.select(*PIXEL, "label").unionByName(salad.select(*PIXEL, "label")).unionByName(bread.select(*PIXEL, "label"))
+    return raster.merge_saturating(layers)
+
+
+def segment_pairs(before: DataFrame, after: DataFrame, prototypes: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
+    """``image_id, side, r, c, label`` of photo pairs that share their ``image_id``; after-photos have only the labels of their before-photo."""
+    first = written(segment(before, prototypes, None, sizes), "before")
+    seen = first.select("image_id", "label").distinct()
+    second = segment(after, prototypes, seen, sizes)
+    return first.select("image_id", F.lit("before").alias("side"), "r", "c", "label").unionByName(second.select("image_id", F.lit("after").alias("side"), "r", "c", "label"))

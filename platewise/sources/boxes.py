@@ -144,17 +144,36 @@ def read_photos(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("origin").alias("image_id"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("channels"), "data")
 
 
+def photo_pixels(photos: DataFrame) -> DataFrame:
+    """``image_id, r, c, b, g, red`` of photos of three channels, one row for each pixel."""
+    kind = photos.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i, h, w, data in zip(rows["image_id"], rows["h"], rows["w"], rows["data"]):
+                r, c = np.indices((h, w), dtype=np.int64)
+                b, g, red = np.frombuffer(data, np.uint8).reshape(-1, 3).T.astype(np.int32)
+                yield pd.DataFrame({"image_id": i, "r": r.ravel(), "c": c.ravel(), "b": b, "g": g, "red": red})
+
+    return photos.where("channels = 3").select("image_id", "h", "w", "data").mapInPandas(run, f"image_id {kind}, r long, c long, b int, g int, red int")
+
+
 def photo_pairs(pairs: DataFrame, photos: DataFrame, key: str = "image_id") -> DataFrame:
-    """``pair_id, h, w, before, after`` of pairs with ``pair_id, before_path, after_path``; pairs without both photos, or of two sizes, drop out.
+    """``pair_id, before_id, after_id`` of pairs with ``pair_id, before_path, after_path``; pairs without both photos, or of two sizes, drop out.
 
     ``key`` names the column of ``photos`` that paths end with or equal.
     """
     ends = lambda side: F.col(f"{side}.{key}").endswith(F.col(f"p.{side}_path"))
-    named = photos.where("channels = 3").withColumn("_n", F.element_at(F.split(key, "/"), -1))
+    named = photos.where("channels = 3").withColumn("_n", F.element_at(F.split(key, "/"), -1)).select(key, "h", "w", "_n")
     p = pairs.withColumns({f"_{k}": F.element_at(F.split(f"{k}_path", "/"), -1) for k in ("before", "after")}).alias("p")
     met = p.join(named.alias("before"), (F.col("p._before") == F.col("before._n")) & ends("before")).join(named.alias("after"), (F.col("p._after") == F.col("after._n")) & ends("after"))
-    met = met.where("before.h = after.h and before.w = after.w")
-    return met.select("p.pair_id", "before.h", "before.w", F.col("before.data").alias("before"), F.col("after.data").alias("after"))
+    return met.where("before.h = after.h and before.w = after.w").select("p.pair_id", F.col(f"before.{key}").alias("before_id"), F.col(f"after.{key}").alias("after_id"))
+
+
+def pair_pixels(pairs: DataFrame, photos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pixels of the pairs' before- and after-photos, named by ``pair_id``."""
+    side = lambda k: photo_pixels(pairs.select(F.col("pair_id").alias("_p"), F.col(f"{k}_id").alias("image_id")).join(photos, "image_id").drop("image_id").withColumnRenamed("_p", "image_id"))
+    return side("before"), side("after")
 
 
 def mask_pixels(images: DataFrame) -> DataFrame:

@@ -1,21 +1,11 @@
-"""Dense image operators: numpy on one image at a time, run as Arrow functions over images.
-
-They have no relational form that pays: each needs a whole raster.  Kernels are
-arrays of 0 and 1; borders count as unset.  ``apply_to_images`` runs one of them
-over a table of decoded images, one image at a time.  Areas are those of the polygon
-through the centres of the outline's pixels.  Detectors are approximate: edges,
-circles and the foreground split follow the published algorithms, not any library's
-rounding.
-"""
+"""Plain image operators on arrays, one image at a time, that the plans are compared with."""
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 
 def rectangle(height: int, width: int | None = None) -> np.ndarray:
@@ -453,62 +443,3 @@ def components_by_bfs(mask: np.ndarray) -> tuple[np.ndarray, int]:
                         ids[i, j] = n
                         queue.append((i, j))
     return ids, n
-
-
-def assemble(pixels: DataFrame) -> DataFrame:
-    """``image_id, h, w, channels, data`` of dense colour pixels ``image_id, r, c, b, g, red``; places not given are black."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((int(rows["r"].max()) + 1, int(rows["c"].max()) + 1, 3), np.uint8)
-        out[rows["r"], rows["c"]] = rows[["b", "g", "red"]].to_numpy(np.uint8)
-        return pd.DataFrame([(key[0], *out.shape, out.tobytes())], columns=["image_id", "h", "w", "channels", "data"])
-
-    return pixels.groupBy("image_id").applyInPandas(run, "image_id long, h int, w int, channels int, data binary")
-
-
-def raster(h: int, w: int, channels: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape((h, w, channels) if channels > 1 else (h, w))
-
-
-def apply_to_images(images: DataFrame, op: Callable[[np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """Rows that ``op`` gives for every image of ``image_id, h, w, channels, data``, with its ``image_id`` before them."""
-    kind = images.schema["image_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for image_id, *rest in rows[["image_id", "h", "w", "channels", "data"]].itertuples(index=False):
-                found = op(raster(*rest))
-                found.insert(0, "image_id", image_id)
-                yield found
-
-    return images.select("image_id", "h", "w", "channels", "data").mapInPandas(run, f"image_id {kind}, {schema}")
-
-
-def dense(values: np.ndarray, name: str = "v") -> pd.DataFrame:
-    """Rows ``r, c`` and the value of every pixel."""
-    r, c = np.indices(values.shape)
-    return pd.DataFrame({"r": r.ravel(), "c": c.ravel(), name: values.ravel().astype(np.int64)})
-
-
-def sparse(mask: np.ndarray) -> pd.DataFrame:
-    """Rows ``r, c`` of set pixels."""
-    r, c = np.nonzero(mask)
-    return pd.DataFrame({"r": r.astype(np.int64), "c": c.astype(np.int64)})
-
-
-def apply_to_pixels(pixels: DataFrame, op: Callable[[np.ndarray], np.ndarray], out: str = "label") -> DataFrame:
-    """Run a mask operator on every image of sparse pixels ``image_id, r, c``; returns set pixels with the value under ``out``.
-
-    One image is one group: its size bounds the memory of a task.
-    """
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        r, c = rows["r"].to_numpy(), rows["c"].to_numpy()
-        y0, x0, margin = int(r.min()), int(c.min()), 2
-        mask = np.zeros((int(r.max()) - y0 + 1 + 2 * margin, int(c.max()) - x0 + 1 + 2 * margin), bool)
-        mask[r - y0 + margin, c - x0 + margin] = True
-        found = op(mask)
-        ys, xs = np.nonzero(found)
-        return pd.DataFrame({"image_id": key[0], "r": ys + y0 - margin, "c": xs + x0 - margin, out: found[ys, xs].astype(np.int64)})
-
-    return pixels.select("image_id", "r", "c").groupBy("image_id").applyInPandas(run, f"image_id long, r long, c long, {out} long")

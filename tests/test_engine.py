@@ -4,15 +4,16 @@ import math
 import random
 from collections import Counter
 
+import dense as im
+import dense_segmentation as segmentation
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as fn
 from platewise.model import RECALL_POINTS
-from platewise.operators import images as im
 from platewise.operators import labels, metrics, raster
-from platewise.plans import segmentation
+from platewise.plans import segmentation as plan
 from platewise.sources import boxes, sinks
 
 BEFORE = "ID: 6; [370, 436, 313, 331]\nID: 1; [737, 145, 384, 400]\nID: 10; [259, 532, 347, 357]\nID: 13; [235, 79, 243, 178]\n"
@@ -276,10 +277,12 @@ def test_photos_and_pairs(spark, tmp_path):
     photos = boxes.read_photos(spark, str(tmp_path / "tray1"))
     assert sorted((r.h, r.w, r.channels, len(r.data)) for r in photos.collect()) == [(120, 160, 3, 57600)] * 2
     pairs = spark.createDataFrame([(1, "tray1/food_image.jpg", "tray1/leftover1.jpg"), (2, "tray1/food_image.jpg", "tray2/leftover1.jpg")], "pair_id long, before_path string, after_path string")
-    found = segmentation.segment_pairs(boxes.photo_pairs(pairs, photos), np.zeros((14, 60)))
-    assert [(r.pair_id, r.h, r.w, len(r.before_mask), len(r.after_mask)) for r in found.collect()] == [(1, 120, 160, 19200, 19200)]
-    rasters = segmentation.mask_images(found)
-    assert sorted(r.image_id for r in rasters.collect()) == ["1/after", "1/before"] and boxes.mask_pixels(rasters).count() == 0
+    met = boxes.photo_pairs(pairs, photos)
+    assert [(r.pair_id, r.before_id[-20:], r.after_id[-19:]) for r in met.collect()] == [(1, "tray1/food_image.jpg", "tray1/leftover1.jpg")]
+    before, after = boxes.pair_pixels(met, photos)
+    assert (before.count(), after.count()) == (19200, 19200)
+    data = {r.image_id[-14:]: np.frombuffer(r.data, np.uint8).reshape(120, 160, 3) for r in photos.collect()}["food_image.jpg"]
+    assert all((r.b, r.g, r.red) == tuple(data[r.r, r.c].tolist()) for r in before.where("r % 7 = 0 and c % 5 = 0").collect())
 
 
 def test_masks_written_and_encoded(spark, tmp_path):
