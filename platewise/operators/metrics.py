@@ -6,7 +6,7 @@ source, which decides first and last matches.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.scalars import iou
@@ -48,11 +48,17 @@ def average_precision(preds: DataFrame, counts: DataFrame, *scope: str) -> DataF
 
     ``preds``: scope, class_id, confidence, is_tp, and further columns that break
     ties; ``counts``: scope, class_id, n_gt.  A class without ground truth counts -1.
+
+    Predictions less confident than a class's last true positive change no precision that
+    counts, so they are not ranked: those without any match, all of confidence 0, stay out.
     """
     keys = [*scope, "class_id"]
     ties = [c for c in preds.columns if c not in (*keys, "confidence", "is_tp")]
+    order = F.coalesce(F.when(F.isnan("confidence"), 2.0).otherwise(F.col("confidence")), F.lit(-1.0))
+    placed = preds.withColumns({"_o": order, "_t": F.col("is_tp").cast("long")})
+    classes = placed.groupBy(*keys).agg(F.min(F.when(F.col("is_tp"), F.col("_o"))).alias("_last"))
     # a class is ranked in slices of confidence: sums within a slice, and sums of the slices before
-    sliced = preds.withColumns({"_s": F.floor(F.coalesce(F.when(F.isnan("confidence"), 2.0).otherwise(F.col("confidence")), F.lit(-1.0)) * CONFIDENCE_SLICES), "_t": F.col("is_tp").cast("long")})
+    sliced = placed.join(classes.where("_last is not null"), keys).where("_o >= _last").withColumn("_s", F.floor(F.col("_o") * CONFIDENCE_SLICES))
     sums = sliced.groupBy(*keys, "_s").agg(F.sum("_t").alias("_st"), F.count("*").alias("_sn"))
     before = Window.partitionBy(*keys).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_s", F.coalesce(F.sum("_st").over(before), F.lit(0)).alias("_bt"), F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_bn"))
@@ -64,15 +70,21 @@ def average_precision(preds: DataFrame, counts: DataFrame, *scope: str) -> DataF
         (F.col("_bt") + F.col("_t")).alias("tp"),
         (F.col("_bn") + F.col("_n")).alias("n"),
     )
-    recall = F.col("tp").cast("double") / F.col("n_gt")
-    points = F.array(*(F.struct(F.abs(recall - v).alias("d"), F.lit(-k).alias("k")) for k, v in enumerate(RECALL_POINTS)))
-    snapped = ranked.withColumns({"k": -F.array_min(points)["k"], "p": F.col("tp").cast("double") / F.col("n")})
+    snapped = ranked.withColumns({"k": snapped_recall(F.col("tp"), F.col("n_gt")), "p": F.col("tp").cast("double") / F.col("n")})
     best = snapped.groupBy(*keys, "k").agg(F.max("p").alias("p"))
     # at most eleven points a class; the envelope is the largest precision at or above each
     curve = best.groupBy(*keys).agg(F.collect_list(F.struct("k", "p")).alias("curve"))
     at = lambda k: F.coalesce(F.array_max(F.transform(F.filter("curve", lambda x: x["k"] >= k), lambda x: x["p"])), F.lit(0.0))
     total = sum((at(k) for k in range(1, len(RECALL_POINTS))), at(0))
-    return curve.select(*keys, (total / len(RECALL_POINTS)).alias("ap"))
+    found = curve.select(*keys, (total / len(RECALL_POINTS)).alias("ap"))
+    return classes.select(*keys).join(found, keys, "left").fillna(0.0, ["ap"])
+
+
+def snapped_recall(tp: Column, n_gt: Column) -> Column:
+    """The number of the recall point nearest to ``tp / n_gt``; ties go to the larger point."""
+    recall = tp.cast("double") / n_gt
+    points = F.array(*(F.struct(F.abs(recall - v).alias("d"), F.lit(-k).alias("k")) for k, v in enumerate(RECALL_POINTS)))
+    return -F.array_min(points)["k"]
 
 
 def with_scopes(rows: DataFrame, scopes: dict[str, str]) -> DataFrame:

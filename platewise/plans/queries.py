@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import scalars as fn
 from platewise.model import COLOURS, LABELS, colours_dim, labels_dim
+from platewise.functions.tables import shared_folder, written
+from platewise.operators import evaluation as evaluation_state
 from platewise.operators import filters, labels, metrics, raster
 from platewise.plans import image_queries  # noqa: F401 (registers its queries)
 from platewise.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from platewise.plans.views import CIRCLES_SQL, COLOUR_SQL, GRID_SQL, GT_SQL, MASK_SQL, PRED_SQL, run_sql
 from platewise.sources import boxes as box_source
-from platewise.sources import sinks
+from platewise.sources import line_files, sinks
 
 SCENE = f"WITH gt AS ({GT_SQL}), pred AS ({PRED_SQL}), "
 MATCH = (
@@ -117,6 +121,20 @@ def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.metric_lines(metrics.evaluate(gt, pred, SCOPES))
 
 
+@query(ORACLE_SQL["evaluation"])
+def evaluation_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of ``evaluation`` from a state that grew in three batches, the first with every fourth image's boxes mistaken, which come again."""
+    gt, pred = (metrics.detected(d.withColumn("code", F.col("image_id") % 4)).drop("code") for d in scene(spark, sf_dir))
+    part = lambda d, k: d.where(F.col("image_id") % 3 == k)
+    mistaken = part(pred, 0).withColumn("x", F.when(F.col("image_id") % 4 == 0, F.col("x") + 500).otherwise(F.col("x")))
+    state = written(evaluation_state.contributions(part(gt, 0), mistaken), "state")
+    late = F.col("image_id") % 12 == 0
+    for k, (truth, found) in enumerate(((part(gt, 1), part(pred, 1)), (part(gt, 2).union(gt.where(late)), part(pred, 2).union(pred.where(late)))), 1):
+        state = written(evaluation_state.merged(state, evaluation_state.contributions(truth, found, k)), "state")
+    found = evaluation_state.scores(state, SCOPES)
+    return found.select("scope", "scope_id", F.round("miou", 9).alias("miou"), "n_gt", F.round(F.coalesce("map", F.lit(-1.0)), 9).alias("map"), F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"))
+
+
 PAIRED = SCENE + """ga AS (SELECT floor(image_id / 2)::BIGINT AS pair_id, pos, class_id, w::BIGINT * h AS px, image_id % 2 AS after FROM gt),
  pa AS (SELECT floor(image_id / 2)::BIGINT AS pair_id, pos, class_id, w::BIGINT * h AS px, image_id % 2 AS after FROM pred),
  lastb AS (SELECT pair_id, class_id, arg_max(px, pos) AS gt_b FROM ga WHERE after = 0 GROUP BY 1, 2),
@@ -128,14 +146,36 @@ PAIRED = SCENE + """ga AS (SELECT floor(image_id / 2)::BIGINT AS pair_id, pos, c
 
 @query(PAIRED + " SELECT pair_id, class_id, pos, pred_pos, round(gt_ratio, 9) AS gt_ratio, round(our_ratio, 9) AS our_ratio, round(abs(our_ratio - gt_ratio), 9) AS difference FROM led")
 def leftover_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leftovers(spark, sf_dir).select("pair_id", "class_id", "pos", "pred_pos", *(F.round(c, 9).alias(c) for c in ("gt_ratio", "our_ratio", "difference")))
+
+
+def _leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     def items(df: DataFrame, after: int) -> DataFrame:
         return df.where(F.col("image_id") % 2 == after).select(F.floor(F.col("image_id") / 2).alias("pair_id"), "pos", "class_id", (F.col("w").cast("long") * F.col("h")).alias("pixels"))
 
     gt, pred = scene(spark, sf_dir)
-    found = metrics.leftover_ratios(items(gt, 0), items(gt, 1), items(pred, 0), items(pred, 1))
-    return found.select("pair_id", "class_id", "pos", "pred_pos", *(F.round(c, 9).alias(c) for c in ("gt_ratio", "our_ratio", "difference")))
+    return metrics.leftover_ratios(items(gt, 0), items(gt, 1), items(pred, 0), items(pred, 1))
+
+
+def _digits(x: str) -> str:
+    """SQL of a finite number with six significant digits, without trailing zeros."""
+    return f"regexp_replace(CAST(CAST(printf('%.5e', ({x})::DOUBLE) AS DOUBLE)::DECIMAL(30, 12) AS VARCHAR), '\\.?0+$', '')"
+
 
+@query(MATCH + f" SELECT image_id, pos, 'Food ' || class_id || ', IoU = ' || {_digits('iou')} AS line FROM matched WHERE pred_pos IS NOT NULL")
+def iou_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line for every matched box."""
+    return sinks.iou_lines(metrics.first_match(*scene(spark, sf_dir)))
 
+
+@query(PAIRED + f""" SELECT pair_id, pos, pred_pos, n, 'Food item ' || class_id || ' : ' || name || ' = ' || {_digits('v')} AS line FROM led CROSS JOIN LATERAL
+ (VALUES (1, 'our R_i', our_ratio), (2, 'gT R_i', gt_ratio), (3, 'abs diff', abs(our_ratio - gt_ratio))) k(n, name, v)""")
+def leftover_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three lines for every item of a pair: its leftover ratio, the true one, and their difference."""
+    return sinks.leftover_lines(_leftovers(spark, sf_dir))
+
+
+NAMES_SQL = "(VALUES " + ", ".join(f"({i}, '{n}', '{f}')" for i, n, f in LABELS) + ")"
 ORDER_PIXELS = "SELECT CAST(o_custkey % 15 AS INT) AS label, o_orderstatus <> 'P' AS is_before, o_orderstatus = 'O' AS is_after FROM orders"
 
 
@@ -144,6 +184,12 @@ def food_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.quantities(run_sql(spark, sf_dir, ORDER_PIXELS))
 
 
+@query(f"""SELECT label, name || chr(10) || chr(9) || 'Before amount = ' || before || chr(10) || chr(9) || 'After amount = ' || after || chr(10) || chr(9) || 'Leftover amount = ' || (before - after) AS line
+ FROM (SELECT label, count(*) FILTER (is_before) AS before, count(*) FILTER (is_after) AS after FROM ({ORDER_PIXELS}) WHERE label BETWEEN 1 AND 13 GROUP BY 1) q JOIN {NAMES_SQL} d(id, name, family) ON q.label = d.id WHERE before <> 0""")
+def quantity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.quantity_lines(raster.quantities(run_sql(spark, sf_dir, ORDER_PIXELS)), labels_dim(spark))
+
+
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, MASK_SQL)
 
@@ -153,7 +199,6 @@ def bounding_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.bounding_boxes(mask(spark, sf_dir))
 
 
-NAMES_SQL = "(VALUES " + ", ".join(f"({i}, '{n}', '{f}')" for i, n, f in LABELS) + ")"
 
 
 @query(f"SELECT DISTINCT m.image_id, m.label, d.name FROM ({MASK_SQL}) m JOIN {NAMES_SQL} d(id, name, family) ON m.label = d.id")
@@ -410,6 +455,21 @@ def box_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box_source.parse_boxes(lines).select("image_id", "pos", "class_id", "x", "y", "w", "h")
 
 
+FILE_SQL = f"""SELECT 'image' || image_id AS image_id, pos, CASE WHEN pos % 17 = 5 THEN 'ID: x; [' || x || ', ' || y || ']' ELSE CASE WHEN pos % 10 = 3 THEN 'ID ' ELSE 'ID: ' END || class_id || '; [' || x || ', ' || y || ', ' || w || ', ' || h || ']' END AS value FROM ({GT_SQL}) g"""
+
+
+@query(f"""SELECT image_id, count(*) AS lines, count(*) FILTER (pos % 17 <> 5 AND pos % 10 <> 3) AS strict, count(*) FILTER (pos % 17 <> 5) AS lenient, count(*) FILTER (pos % 17 = 5) AS malformed,
+ coalesce(sum(x + y + w + h) FILTER (pos % 17 <> 5), 0)::BIGINT AS total FROM (SELECT 'image' || image_id AS image_id, pos, x, y, w, h FROM ({GT_SQL}) g) GROUP BY 1""")
+def box_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box files of all images written and read back, strictly and leniently, with their malformed lines counted."""
+    folder = f"{shared_folder(spark)}/box-files-{uuid.uuid4().hex}"
+    line_files.write_lines(run_sql(spark, sf_dir, FILE_SQL), folder, "_bounding_box.txt")
+    lines = line_files.read_lines(spark, folder, "_bounding_box.txt")
+    marked = box_source.marked_boxes(lines)
+    total = F.sum(F.when(F.col("lenient"), F.col("x") + F.col("y") + F.col("w") + F.col("h")))
+    return marked.groupBy("image_id").agg(F.count("*").alias("lines"), F.count_if("strict").alias("strict"), F.count_if("lenient").alias("lenient"), F.count_if(~F.col("lenient")).alias("malformed"), F.coalesce(total, F.lit(0)).cast("long").alias("total"))
+
+
 REGION_SQL = "SELECT CAST(o_custkey AS BIGINT) AS plate, o_orderkey AS region, o_totalprice AS area, 300.0 AS radius FROM orders"
 
 

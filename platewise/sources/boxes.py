@@ -26,6 +26,14 @@ def parse_boxes(lines: DataFrame, value: str = "value", lenient: bool = False) -
     return parsed.where(" and ".join(f"{n} is not null" for n in names))
 
 
+def marked_boxes(lines: DataFrame, value: str = "value") -> DataFrame:
+    """All lines with the box columns of the lenient pattern (null if malformed), and whether they match the ``strict`` and the ``lenient`` one."""
+    names = ["class_id", "x", "y", "w", "h"]
+    parsed = lines.withColumns({n: F.regexp_extract(value, LENIENT, k + 1).try_cast("int") for k, n in enumerate(names)})
+    whole = F.expr(" and ".join(f"{n} is not null" for n in names))
+    return parsed.withColumns({"lenient": whole, "strict": whole & F.coalesce(F.regexp_extract(value, STRICT, 1) != "", F.lit(False))})
+
+
 def read_boxes(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
     """``image_id`` (the file), ``pos`` (order in the file) and box columns.  A missing file is an empty table only as part of a glob."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("image_id"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))

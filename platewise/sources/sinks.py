@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.sources.boxes import encode_png
+from platewise.sources.line_files import write_lines
 
 
 def box_line(class_id: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -23,8 +24,9 @@ def box_lines(boxes: DataFrame) -> DataFrame:
 
 
 def write_boxes(boxes: DataFrame, path: str) -> None:
-    """One folder of text for each image (``image_id=...``), overwritten."""
-    box_lines(boxes).write.mode("overwrite").partitionBy("image_id").text(path)
+    """One text file for each image, ``<image_id>_bounding_box.txt``, classes ascending; files of the same names are replaced."""
+    lines = boxes.select(F.col("image_id").cast("string").alias("image_id"), F.col("class_id").cast("long").alias("pos"), box_line(*(F.col(k) for k in ("class_id", "x", "y", "w", "h"))).alias("value"))
+    write_lines(lines, path, "_bounding_box.txt")
 
 
 def write_masks(mask: DataFrame, path: str) -> None:
@@ -51,6 +53,38 @@ def metric_lines(found: DataFrame) -> DataFrame:
     return trays.union(whole.where("map is not null").select(F.concat(F.lit("overall mAP: "), number("map")))).union(whole.select(F.concat(F.lit("overall mIoU: "), number("miou"))))
 
 
+def digits(x: Column, n: int = 6) -> Column:
+    """A number with so many significant digits, half to even, without trailing zeros; ``nan`` and ``inf`` as such."""
+    exact = x.cast("decimal(38,20)")
+    rounded = lambda e: F.bround(exact, n - 1 - e).cast("decimal(38,16)").cast("string")
+    short = rounded(-8)
+    for e in range(-7, 12):
+        short = F.when(F.abs(x) >= 10.0**e, rounded(e)).otherwise(short)
+    plain = F.regexp_replace(short, r"\.?0+$", "")
+    return F.when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(plain)
+
+
+def iou_lines(matched: DataFrame) -> DataFrame:
+    """``image_id, pos, line`` of every box that a prediction matched."""
+    line = F.concat(F.lit("Food "), F.col("class_id").cast("string"), F.lit(", IoU = "), digits(F.col("iou")))
+    return matched.where("pred_pos is not null").select("image_id", "pos", line.alias("line"))
+
+
+def leftover_lines(ratios: DataFrame) -> DataFrame:
+    """``pair_id, pos, pred_pos, n, line``: three lines for every item, its ratio, the true one, and their difference."""
+    kinds = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(name).alias("name"), F.col(c).alias("v")) for n, (name, c) in enumerate((("our R_i", "our_ratio"), ("gT R_i", "gt_ratio"), ("abs diff", "difference")), 1)))
+    rows = ratios.select("pair_id", "class_id", "pos", "pred_pos", F.explode(kinds).alias("k"))
+    line = F.concat(F.lit("Food item "), F.col("class_id").cast("string"), F.lit(" : "), F.col("k.name"), F.lit(" = "), digits(F.col("k.v")))
+    return rows.select("pair_id", "pos", "pred_pos", "k.n", line.alias("line"))
+
+
+def quantity_lines(found: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """``keys, label, line``: the name of every food, and its amounts before, after and left, each on a line of its own."""
+    named = found.join(F.broadcast(names.select(F.col("id").alias("label"), "name")), "label")
+    amount = lambda k, c: F.concat(F.lit(f"\n\t{k} amount = "), F.col(c).cast("string"))
+    return named.select(*keys, "label", F.concat("name", amount("Before", "before"), amount("After", "after"), amount("Leftover", "leftover")).alias("line"))
+
+
 def report(rows: DataFrame) -> Iterator[str]:
     """Lines of a report, streamed."""
     for row in rows.toLocalIterator():

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from platewise.functions import scalars as fn
 from platewise.model import RECALL_POINTS
-from platewise.operators import labels, metrics, raster
+from platewise.operators import evaluation, labels, metrics, raster
 from platewise.plans import segmentation as plan
-from platewise.sources import boxes, sinks
+from platewise.sources import boxes, line_files, sinks
 
 BEFORE = "ID: 6; [370, 436, 313, 331]\nID: 1; [737, 145, 384, 400]\nID: 10; [259, 532, 347, 357]\nID: 13; [235, 79, 243, 178]\n"
 AFTER = "ID: 1; [681, 213, 459, 288]\nID: 6; [356, 421, 306, 362]\nID: 10; [225, 437, 368, 420]\nID: 13; [204, 48, 226, 199]\n"
@@ -336,3 +336,117 @@ def test_two_plates_agree(spark):
     assert {r.plate: r.label for r in labels.assign_two_plates(rows, families).collect()} == {0: 1, 1: 6}
     lists = [sorted((d, k) for k, d in dist[p].items()) for p in (0, 1)]
     assert segmentation.two_plates(lists)[0] == set(segmentation.FIRST)
+
+
+# reports, evaluation by batches, files of lines
+
+
+def test_significant_digits(spark):
+    values = {0.8210120367: "0.821012", 1.0: "1", 3.328125: "3.32812", 0.00012345678: "0.000123457", 10.0: "10", 123456.5: "123456", 1234567.0: "1234570", 0.0: "0", 9.9999996: "10", float("nan"): "nan", float("inf"): "inf", float("-inf"): "-inf", -0.25: "-0.25"}
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(sinks.digits(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == list(values.values())
+
+
+def test_lines_of_items(spark, scene):
+    lines = {r.pos: r.line for r in sinks.iou_lines(metrics.first_match(*scene)).collect()}
+    assert lines == {0: "Food 6, IoU = 0.821012", 1: "Food 1, IoU = 0.631233", 2: "Food 10, IoU = 0.638947", 3: "Food 13, IoU = 0.590611"}
+    ratios = spark.createDataFrame([(1, 6, 0, 2, 0.5, float("inf"), float("inf"))], "pair_id long, class_id int, pos int, pred_pos int, gt_ratio double, our_ratio double, difference double")
+    assert [r.line for r in sinks.leftover_lines(ratios).orderBy("n").collect()] == ["Food item 6 : our R_i = inf", "Food item 6 : gT R_i = 0.5", "Food item 6 : abs diff = inf"]
+
+
+BOXES = "image_id long, pos int, class_id int, x int, y int, w int, h int"
+
+
+def random_boxes(seed, images, per=7):
+    rng = random.Random(seed)
+    gt = [(i, p, rng.randint(1, 4), rng.randint(0, 40), rng.randint(0, 40), 30, 30) for i in images for p in range(rng.randint(0, per))]
+    pred = [(i, p, k if rng.random() < 0.9 else 5, x + rng.randint(-15, 15), y, w, h) for i, p, k, x, y, w, h in gt if rng.random() < 0.8] + [(i, 90, 7, 1, 1, 5, 5) for i in images if rng.random() < 0.2]
+    return gt, pred
+
+
+def rounded(found):
+    return sorted((r.scope, r.scope_id, round(r.miou, 9), r.n_gt, r.n_matched, None if r.map is None else round(r.map, 9), r.n_classes) for r in found.collect())
+
+
+SCOPES = {"image": "image_id", "tray": "image_id % 3", "all": "0"}
+
+
+@pytest.mark.parametrize("batches", [[range(12)], [range(0, 12, 2), range(1, 12, 2)], [range(5), range(3, 9), range(2, 12)]])
+def test_any_split_into_batches_gives_the_whole(spark, batches):
+    gt, pred = random_boxes(1, range(12))
+    table = lambda rows, keep=range(99): spark.createDataFrame([r for r in rows if r[0] in keep], BOXES)
+    state = evaluation.contributions(table([]), table([]))
+    for k, images in enumerate(batches):
+        state = evaluation.merged(state, evaluation.contributions(table(gt, images), table(pred, images), k)).cache()
+    assert rounded(evaluation.scores(state, SCOPES)) == rounded(metrics.evaluate(table(gt), table(pred), SCOPES))
+    assert evaluation.merged(state, evaluation.contributions(table([]), table([]), 9)).count() == state.count()
+
+
+def test_a_stream_keeps_the_state(spark, tmp_path):
+    source, state = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+
+    def arrive(name, gt, pred):
+        rows = [(*r, "gt") for r in gt] + [(*r, "pred") for r in pred]
+        spark.createDataFrame(rows, BOXES + ", kind string").coalesce(1).write.parquet(str(source / name))
+
+    def run():
+        stream = spark.readStream.schema(BOXES + ", kind string").option("recursiveFileLookup", True).parquet(str(source))
+        evaluation.evaluate_stream(stream, state, str(tmp_path / "c")).awaitTermination(120)
+
+    gt, pred = random_boxes(2, range(8))
+    arrive("a", *([r for r in rows if r[0] < 5] for rows in (gt, [(*r[:3], r[3] + 900, *r[4:]) for r in pred])))
+    run()
+    assert evaluation.kept_state(spark, state).agg(F.sum("n_tp")).first()[0] == 0
+    arrive("b", gt, pred)  # images 0 to 4 come again
+    run()
+    want = metrics.evaluate(spark.createDataFrame(gt, BOXES), spark.createDataFrame(pred, BOXES), SCOPES)
+    assert rounded(evaluation.scores(evaluation.kept_state(spark, state), SCOPES)) == rounded(want)
+
+
+def test_unmatched_predictions_are_not_ranked(spark):
+    rows = [(1, 0.9, True, 1), (1, 0.4, False, 2), (1, 0.3, True, 3)] + [(1, 0.0, False, 10 + k) for k in range(50)] + [(2, 0.0, False, k) for k in range(9)]
+    found = metrics.average_precision(spark.createDataFrame(rows, "class_id int, confidence double, is_tp boolean, pos int"), spark.createDataFrame([(1, 4), (2, 3)], "class_id int, n_gt long"))
+    # recalls 0.25 and 0.5 snap to points 3 and 5: precision 1 up to the former, two thirds up to the latter
+    assert {r.class_id: round(r.ap, 9) for r in found.collect()} == {1: round((4 * 1 + 2 * 2 / 3) / 11, 9), 2: 0.0}
+
+
+def test_files_of_lines(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    rows = [("a b", 1, "second"), ("a b", 0, "erste ü"), ("c", 0, ""), ("d", 0, None), ("e", 0, "x" * 100_000)]
+    line_files.write_lines(spark.createDataFrame(rows, "image_id string, pos int, value string").repartition(3), folder, ".txt")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a b.txt", "c.txt", "d.txt", "e.txt"]
+    got = {(r.image_id, r.pos, r.value) for r in line_files.read_lines(spark, folder, ".txt").collect()}
+    assert got == {("a b", 0, "erste ü"), ("a b", 1, "second"), ("c", 0, ""), ("e", 0, "x" * 100_000)}
+    line_files.write_lines(spark.createDataFrame([("c", 0, "new")], "image_id string, pos int, value string"), folder, ".txt")
+    assert line_files.read_lines(spark, folder, ".txt").where("image_id = 'c'").first().value == "new"
+    assert line_files.read_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_failed_write_of_lines_leaves_nothing(spark, tmp_path):
+    bad = spark.createDataFrame([("a", 0, "x"), ("b/c", 0, "y")], "image_id string, pos int, value string")
+    with pytest.raises(Exception, match="no place"):
+        line_files.write_lines(bad, str(tmp_path / "out"))
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+
+
+def test_stream_of_files_of_lines(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text(BEFORE)
+
+    def run():
+        stream = boxes.parse_boxes(line_files.stream_lines(spark, str(source), ".txt")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        stream.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    assert run().count() == 4
+    (source / "b.txt").write_text(AFTER + "ID: x; []\n")
+    found = run()
+    assert found.count() == 8 and {r.image_id for r in found.select("image_id").distinct().collect()} == {"a", "b"}
+
+
+def test_lines_are_marked(spark):
+    rows = ["ID: 6; [1, 2, 3, 4]", "ID 2; [1, 2, 3, 4]", "ID: x; [1, 2]", "", "ID: 99999999999; [1, 2, 3, 4]"]
+    got = [(r.strict, r.lenient) for r in boxes.marked_boxes(spark.createDataFrame([(v,) for v in rows], "value string")).collect()]
+    assert got == [(True, True), (False, True), (False, False), (False, False), (False, False)]
