@@ -39,7 +39,8 @@ item id give one row with the best of their matches, or one for each block that
 holds some of them; of windows with the
 same distance the first counts; repeated rows are searched one by one; an empty
 table gives an empty result; other columns are ignored by ``find_leaks`` and kept
-by ``drop_leaks``.
+by ``drop_leaks``, where all rows of an id go if one of them matches, and a row with a null
+id goes by its own text (it is known by a 64-bit hash of the text).
 """
 
 from __future__ import annotations
@@ -297,6 +298,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, bl
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document matches no item."""
-    leaked = find_leaks(docs, benchmark, percent).select("doc_id").distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"))
-    return packed.join(leaked, "doc_id", "left_anti").select("_row.*")
+    own = F.col("doc_id").cast("long")
+    keyed = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", F.coalesce(own, F.xxhash64("text")).alias("doc_id"), "text")
+    leaked = find_leaks(keyed, benchmark, percent).select("doc_id").distinct()
+    return keyed.join(leaked, "doc_id", "left_anti").select("_row.*")

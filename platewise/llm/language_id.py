@@ -8,9 +8,11 @@ their own labels.  Marginals come from the forward-backward recursions; a text's
 language is the one with the largest mean marginal over its words with letters,
 and the score is that mean.
 
-*Training.*  The sample is bounded: at most ``TRAIN_DOCS`` labelled rows outside the
-held-out fold, those of the least hashes of id and text among the rows of at most
-``TRAIN_CHARS`` characters.  Their texts are learned from in whole: they are cut into
+*Training.*  The sample is bounded: at most ``TRAIN_DOCS`` different labelled texts outside the
+held-out fold, dealt to the languages in turn, of each those of the least hashes (texts of
+over ``TRAIN_CHARS`` characters after the others, the shortest first), until
+``TRAIN_BUDGET`` characters are full; one text of each language is taken in any case.
+Their texts are learned from in whole: they are cut into
 stretches, which are shuffled and laid one after another into sequences of
 ``SEQUENCE`` words (the end of the last one is filled from the first), so that
 every word counts and transitions between languages are seen.  The likelihood is
@@ -23,8 +25,8 @@ from block to block, and the inside of all blocks is filled in in parallel.
 
 Rows: a null text, and one without letters, gets ``und`` and score 0; a null
 ``lang`` is never learned from; repeated rows are predicted one by one; ties go to
-the first language in order; very long texts are predicted in whole (but never
-drawn for training); with nothing to learn from, every text is ``und``;
+the first language in order; very long texts are predicted in whole, and learned from
+in whole where a language has too few others; equal texts of a language are learned from once; with nothing to learn from, every text is ``und``;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -36,12 +38,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.llm.common import U64, Words, mix64, raw_texts, slices
 
-TRAIN_DOCS, TRAIN_CHARS, SEQUENCE = 600, 100_000, 64
+#: Bounds of the training sample: rows, characters in all, and the length up to which texts come first.
+TRAIN_DOCS, TRAIN_BUDGET, TRAIN_CHARS = 600, 8_000_000, 100_000
+SEQUENCE = 64
 FEATURE_BITS, LEXICON_WORDS = 16, 400
 EPOCHS, RATE, DECAY = 40, 0.3, 1e-3
 BLOCK = 64
@@ -275,18 +279,25 @@ def gradient(scores: np.ndarray, transitions: np.ndarray, rows: np.ndarray, hot:
     return hot - post, pair_gold - pairs
 
 
-def training_sample(docs: DataFrame, limit: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """At most ``limit`` labelled whole texts from outside the held-out fold, the same in any partitioning."""
+def training_sample(docs: DataFrame, limit: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, budget: int = TRAIN_BUDGET) -> list[tuple[str, str]]:
+    """At most ``limit`` labelled whole texts from outside the held-out fold, the same in any partitioning (see the module)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.where(F.length("text") <= chars).withColumn("h", F.xxhash64("doc_id", "text", F.lit(17)))
-    n = rows.count()
-    if not n:
+    size = F.length("text")
+    keys = rows.select("lang", F.xxhash64("text", F.lit(17)).alias("h"), size.alias("size"), F.greatest(size - chars, F.lit(0)).alias("beyond"))
+    # a task passes on no more rows of a language than are wanted
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("beyond", "h"))
+    first = keys.groupBy("lang", "h", "size", "beyond").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= limit)
+    chosen, total = {}, 0
+    for r in first.orderBy("rank", "lang").limit(limit).collect():
+        if r["rank"] == 1 or total + r["size"] <= budget:
+            chosen[r["lang"], r["h"]] = r["rank"]
+            total += r["size"]
+    if not chosen:
         return []
-    # about four times as many as wanted go into the choice of the least hashes
-    near = rows.withColumn("h", F.pmod("h", F.lit(n))).where(F.col("h") < 4 * limit)
-    picked = near.orderBy("h", "doc_id", "text", "lang").limit(limit).collect()
-    return [(r.text, r.lang) for r in picked]
+    wanted = docs.sparkSession.createDataFrame([(lang, h) for lang, h in chosen], "lang string, h long")
+    texts = rows.withColumn("h", F.xxhash64("text", F.lit(17))).join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return [(r["text"], r["lang"]) for r in sorted(texts.collect(), key=lambda r: (chosen[r["lang"], r["h"]], r["lang"]))]
 
 
 def predict(docs: DataFrame, field: Field) -> DataFrame:

@@ -18,9 +18,9 @@ share a band with probability ``1 - (1 - s**ROWS)**BANDS`` (at 0.8: all but abou
 first paired with the bucket's least id only (a star, never all pairs); verified
 links are grouped.  A later round does so again with other hubs.  Only where a
 bucket then still holds members of different groups are members of different
-groups paired, if their sizes and bitmaps, which lose nothing, and a 4-bit sketch of
-the signature leave the threshold possible (the sketch errs on a pair at the
-threshold with probability below 1e-6; ``sketch=False`` does without it).  A large
+groups paired, if their sizes and bitmaps, which lose nothing, leave the
+threshold possible (``sketch=True`` also asks a 4-bit sketch of the signature, which
+errs on a pair at the threshold with probability below 1e-6).  A large
 bucket is dealt to blocks of ``BLOCK_MEMBERS``, and each pair of blocks is a key of
 its own, so that no task gets a whole hot bucket.
 
@@ -296,7 +296,7 @@ def _block_pairs(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS, sketch: bool = True, block: int = BLOCK_MEMBERS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, star_rounds: int = STAR_ROUNDS, sketch: bool = False, block: int = BLOCK_MEMBERS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row; sets are of ``shingle``-word shingles."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     signed = materialize(_signed(plain, shingle, bands, rows), "signed")

@@ -38,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.llm.common import slices
+
 BLANK = "▁"
 #: Characters of text that one chunk map covers.
-CHUNK_CHARS = 65_536
+CHUNK_CHARS = 4096
 #: Memoised whole-word transitions and states kept before starting afresh.
 MEMO_LIMIT = 800_000
 STATE_LIMIT = 300_000
@@ -285,26 +287,29 @@ def compose(t: CountingTransducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
     return ChunkMap(a.head, a.count + count + b.count, b.tail or state)
 
 
-def composed(t: CountingTransducer, maps: list[ChunkMap]) -> ChunkMap:
-    """The composition of all maps: the up-sweep of a prefix scan, whose last element alone is asked for.
+def composed(t: CountingTransducer, texts: list[list[ChunkMap]]) -> list[ChunkMap]:
+    """The composition of the maps of each text: the up-sweep of a prefix scan, whose last element alone is asked for.
 
-    Every round composes neighbours; half as many maps are left.
+    Every round composes neighbours of all texts that have several maps left, which halves them.
     """
-    while len(maps) > 1:
-        pairs = [compose(t, a, b) for a, b in zip(maps[::2], maps[1::2])]
-        maps = pairs + maps[-1:] if len(maps) % 2 else pairs
-    return maps[0]
+    left = [k for k, maps in enumerate(texts) if len(maps) > 1]
+    while left:
+        for k in left:
+            maps = texts[k]
+            texts[k] = [compose(t, a, b) for a, b in zip(maps[::2], maps[1::2])] + (maps[-1:] if len(maps) % 2 else [])
+        left = [k for k in left if len(texts[k]) > 1]
+    return [maps[0] for maps in texts]
+
+
+def count_batch(t: CountingTransducer, texts: list[str], chunk_chars: int = CHUNK_CHARS) -> list[int]:
+    """Tokens of whole texts that are not empty."""
+    chunks = [[chunk_map(t, BLANK * (not i) + text[i : i + chunk_chars].replace(" ", BLANK)) for i in range(0, len(text), chunk_chars)] for text in texts]
+    return [t.run(t.start, whole.head)[1] + whole.count for whole in composed(t, chunks)]
 
 
 def count_tokens(t: CountingTransducer, text: str | None, chunk_chars: int = CHUNK_CHARS) -> int:
     """Tokens of a whole text (null: empty)."""
-    if not text:
-        return 0
-    if len(text) <= chunk_chars:  # one map, applied to the start: nothing to compose
-        return count_words(t, BLANK + text.replace(" ", BLANK))
-    maps = [chunk_map(t, BLANK * (not i) + text[i : i + chunk_chars].replace(" ", BLANK)) for i in range(0, len(text), chunk_chars)]
-    whole = composed(t, maps)
-    return t.run(t.start, whole.head)[1] + whole.count
+    return count_batch(t, [text], chunk_chars)[0] if text else 0
 
 
 _COMPILED: dict[str, CountingTransducer] = {}
@@ -338,7 +343,12 @@ def count_documents(docs: DataFrame, model_path: str | None = None, *, id_col: s
         else:
             t = compiled(model_path)
         for batch in batches:
-            n = [count_tokens(t, x.as_py()) for x in batch.column(1)]
+            texts = batch.column(1).to_pylist()
+            n = [0] * len(texts)
+            full = [k for k, x in enumerate(texts) if x]
+            for a, b in slices([texts[k] for k in full]):
+                for k, found in zip(full[a:b], count_batch(t, [texts[k] for k in full[a:b]])):
+                    n[k] = found
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -209,6 +209,48 @@ def test_sample_and_predictions_do_not_depend_on_partitions(spark, prose):
     assert a == b
 
 
+def test_no_language_is_lost_to_lengths_or_repeats(spark, prose):
+    long = "ein sehr langes wort und noch eines " * 4000
+    rows = [(i, "the same english row", "en") for i in range(1, 900)] + [(1000 + i, f"une ligne {prose(20, i)}", "fr") for i in range(700)] + [(2001 + i, long + str(i), "de") for i in range(9)]
+    docs = docs_of(spark, rows)
+    sample = language_id.training_sample(docs, 60)
+    counts = Counter(y for _, y in sample)
+    assert counts["en"] == 1 and counts["de"] >= 3 and sum(counts.values()) <= 60 and set(counts) == {"en", "fr", "de"}
+    assert Counter(y for _, y in language_id.training_sample(docs, 60, budget=1000)) == {"en": 1, "de": 1, "fr": 1}
+    only = docs_of(spark, [(i, long + prose(5, i), "de") for i in range(1, 12)])
+    assert {r.lang_pred for r in language_id.identify(only).collect()} == {"de"}
+
+
+def test_a_prediction_follows_from_the_field_word_by_word():
+    """Potentials and marginals of whole documents, feature by feature and path by path, against the operator."""
+    rng = random.Random(4)
+    words = {"aa": ["the", "house", "green", "water"], "bb": ["der", "haus", "blau", "wasser"]}
+    field = language_id.train([(" ".join(rng.choices(words[y], k=9)), y) for _ in range(40) for y in words])
+    texts = [" ".join(rng.choices(words["aa"] + words["bb"] + ["zz", "12", "Haus!"], k=n)) for n in (1, 4, 7)]
+    a = np.exp(field.transitions)
+    for text in texts:
+        own, codes, _ = language_id.split([text.encode()])
+        scores, lettered = field.potentials(own)
+        features, owners, whole = language_id.word_features(own)
+        inside = field.in_lexicon(whole)
+        for k in range(len(own)):
+            want = field.weights[features[owners == k]].sum(axis=0) + (field.lexicon_weights[field.lexicon_of[inside[k]]] if inside[k] >= 0 else 0)
+            assert scores[k] == pytest.approx(want if lettered[k] else scores[k])
+        e = np.exp(scores)[codes]
+        mean = np.zeros(2)
+        total = 0.0
+        for path in np.ndindex(*[2] * len(codes)):
+            p = a.sum(axis=0)[path[0]] * e[0, path[0]]
+            for t in range(1, len(codes)):
+                p *= a[path[t - 1], path[t]] * e[t, path[t]]
+            total += p
+            for t, k in enumerate(path):
+                mean[k] += p * lettered[codes[t]]
+        mean /= total
+        post = language_id.marginals(e, np.array([len(codes)]), a) * lettered[codes][:, None]
+        assert post.sum(axis=0) == pytest.approx(mean)
+
+
 # 4 license scans
 
 
@@ -559,6 +601,10 @@ def test_leaks_match_brute_force(spark, prose, odd, empty):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in rows} - {d for d, _ in want})
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, bench.where("item_id = 42")).count() == len(ODD)
+    unnamed = [(None, t) for _, t in rows[25:40]] + [(None, "clean"), (None, None), (None, ""), (60, "clean")]
+    left = decontaminate.drop_leaks(docs_of(spark, unnamed), bench).collect()
+    bad = {rows[d][1] for d, _ in want if d < 40}
+    assert Counter((r.doc_id, r.text) for r in left) == Counter((i, t) for i, t in unnamed if t not in bad) and len(left) < len(unnamed)
 
 
 @pytest.mark.parametrize("n", [59, 120, 300])
@@ -595,6 +641,21 @@ def test_token_counts_match_library(spark, odd, empty):
     assert token_counts.count_documents(empty).count() == 0
 
 
+def test_every_text_goes_through_chunk_maps(monkeypatch):
+    sentencepiece, tokenizers = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    t, rng, seen = token_counts.compiled(tokenizers.path("piece_bpe_32k.model")), random.Random(9), []
+    plain = token_counts.chunk_map
+    monkeypatch.setattr(token_counts, "chunk_map", lambda t, chunk: seen.append(chunk) or plain(t, chunk))
+    for chunk in (1, 2, 5, 17, 64):
+        texts = ["".join(rng.choice(["a", " ", "the ", "ing", "▁", "\n", "日", "  ", "é", "1", "ZZ", "."]) for _ in range(rng.randint(1, 60))) for _ in range(120)]
+        assert token_counts.count_batch(t, texts, chunk) == [len(lib.encode(x)) for x in texts]
+    seen.clear()
+    texts = ["one short text", "x", "words " * 5000]
+    token_counts.count_batch(t, texts)
+    assert len(seen) == 2 + -(-len(texts[2]) // token_counts.CHUNK_CHARS)
+
+
 def test_chunk_maps_compose_associatively():
     tokenizers = pytest.importorskip("public_tokenizers")
     t, rng = token_counts.compiled(tokenizers.path("piece_bpe_32k.model")), random.Random(5)
