@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from platewise.llm import decontaminate, near_dedup, packing, pii, quality
-from platewise.llm.common import materialize, table
+from platewise.llm.common import materialize, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +38,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold no benchmark passage.
 
     Null and empty texts hold none and stay; very long texts are searched in whole;
-    all rows of an id go if one of them holds a passage; an empty table, or an empty
-    benchmark, changes nothing; all columns are kept.
+    all rows of an id go if one of them holds a passage, rows with a null id by their own
+    texts; an empty table, or an empty benchmark, changes nothing; all columns are kept.
     """
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +77,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:  # what the stage before has written
+            release(before)
     return docs
