@@ -10,7 +10,9 @@ near, before or after.  The score is 0.6 for a confirmed match and 0.9 with a
 context word near.
 
 Offsets are code points, end exclusive.  The places of the matches of a pattern
-come from the lengths of the matches and of the pieces between them.  Patterns
+come from the lengths of the matches and of the pieces between them, by prefix sums,
+and what lies around a place is read from the text cut into stretches, so that the work
+on a text follows its length and its matches.  Patterns
 hold possessive repeats and look-behinds where these leave the matches as they
 are and keep the time linear in the text.
 
@@ -50,6 +52,8 @@ CONTEXT = {
     "secret": "token|secret|password|passwd|api[_ -]?key",
 }
 CONTEXT_CHARS = 40
+#: Code points of the stretches that a text is cut into, to find places in it.
+STRETCH = 1024
 #: Score of a confirmed match, what a context word adds, and the least score of a span of each added kind.
 CONFIRMED, CONTEXT_BONUS = 0.6, 0.3
 LEAST = {"iban": 0.5, "ssn": 0.8, "secret": 0.8}
@@ -96,61 +100,92 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """Array of the spans of one kind, by start."""
+def _stretches(text: Column) -> Column:
+    """A text cut into stretches of ``STRETCH`` code points, so that a place in it is found without a way from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+
+
+def _between(stretches: Column, a: Column, b: Column) -> Column:
+    """The text from place ``a`` to before ``b``."""
+    first = F.floor(a / STRETCH).cast("int")
+    last = F.floor(F.greatest(b - 1, a) / STRETCH).cast("int")
+    return F.substr(F.array_join(F.slice(stretches, first + 1, last - first + 1), ""), (a - first * STRETCH + 1).cast("int"), (b - a).cast("int"))
+
+
+def _running(values: Column, join) -> Column:
+    """Sums (or maxima, as ``join`` says) of an array up to each place, by doubling: round ``k`` takes in what lies ``2**k`` places before."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(2)))).cast("int") - 1)
+    back = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    return F.aggregate(rounds, values, lambda done, k: F.transform(done, lambda x, i: F.when(i >= back(k), join(x, F.get(done, i - back(k)))).otherwise(x)))
+
+
+def _spans(text: Column, stretches: Column, size: Column, kind: str) -> Column:
+    """Array of the spans of one kind, by start; ``size`` is the text's length."""
     pattern, empty = PATTERNS[kind], F.array().cast(f"array<{SPAN}>")
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(matches, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    pairs = F.zip_with(matches, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("m"), (F.length(gap) + F.coalesce(F.length(m), F.lit(0))).alias("n")))
 
     def score(start: Column, end: Column) -> Column:
-        begin = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-        near = F.concat(F.substr(text, begin + 1, start - begin), F.lit(" "), F.substr(text, end + 1, F.lit(CONTEXT_CHARS)))
+        near = F.concat(_between(stretches, F.greatest(start - CONTEXT_CHARS, F.lit(0)), start), F.lit(" "), _between(stretches, end, F.least(end + CONTEXT_CHARS, size)))
         return F.lit(CONFIRMED) + F.when(near.rlike(f"(?i)(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"), CONTEXT_BONUS).otherwise(0.0)
 
-    def add(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        width = F.coalesce(F.length(x["m"]), F.lit(0))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + width).alias("end"), score(start, start + width).alias("score"))
-        return F.struct((start + width).alias("at"), F.when(x["m"].isNotNull() & _valid(kind, x["m"]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+    def placed(p: Column) -> Column:
+        def span(x: Column, end: Column) -> Column:
+            start = end - F.length(x["m"])
+            return F.when(x["m"].isNotNull() & _valid(kind, x["m"]), F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score(start, end).alias("score")))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda a: a["out"])
+        ends = _running(F.transform(p, lambda x: x["n"]), lambda a, b: a + b)
+        return F.filter(F.zip_with(p, ends, span), lambda x: x.isNotNull())
+
+    found = let(pairs, placed)
     if kind in LEAST:
         found = F.filter(found, lambda x: x["score"] >= LEAST[kind])
     possible = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("(?i)" + CONTEXT[kind]) if kind == "secret" else text.rlike(pattern)
     return F.when(possible, found).otherwise(empty)
 
 
+def all_spans(text: Column, kinds: tuple[str, ...]) -> Column:
+    """The spans of all ``kinds`` of a text, by kind as listed, then start."""
+    return let(F.struct(_stretches(text).alias("parts"), F.length(text).alias("size")), lambda v: F.concat(*(_spans(text, v["parts"], v["size"], k) for k in kinds)))
+
+
 def find_spans(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """``doc_id, text, spans``: arrays of (kind, start, end, score) by kind as listed, then start."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return plain.withColumn("spans", F.concat(*(_spans(F.col("text"), k) for k in kinds)))
+    return plain.withColumn("spans", all_spans(F.col("text"), kinds))
 
 
 def masked(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by ``[KIND]``; spans that meet are one, named by the first."""
+    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-    def join(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))))
-        return F.when((F.size(done) > 0) & (x["start"] < last["end"]), grown).otherwise(F.concat(done, F.array(F.struct(x["start"], x["end"], x["kind"]))))
+    def merge(v: Column) -> Column:
+        """Spans that none before them reaches, each with the end that those up to the next one reach."""
+        reached = v["reached"]
+        firsts = F.filter(F.sequence(F.lit(0), F.size(reached) - 1), lambda i: (i == 0) | (F.get(v["all"], i)["start"] >= F.get(reached, i - 1)))
 
-    ordered = F.sort_array(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    merged = F.aggregate(ordered, F.array().cast("array<struct<start: int, end: int, kind: string>>"), join)
+        def cut(at: Column) -> Column:
+            lasts = F.concat(F.transform(F.slice(at, F.lit(2), F.size(at)), lambda i: i - 1), F.array(F.size(reached) - 1))
+            return F.zip_with(at, lasts, lambda i, k: F.struct(F.get(v["all"], i)["start"].alias("start"), F.get(reached, k).alias("end"), F.get(v["all"], i)["kind"].alias("kind")))
+
+        return let(firsts, cut)
 
     def build(v: Column) -> Column:
         def piece(x: Column, i: Column) -> Column:
-            begin = F.when(i > 0, F.get(v, i - 1)["end"]).otherwise(0)
-            return F.concat(F.substr(text, begin + 1, x["start"] - begin), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+            begin = F.when(i > 0, F.get(v["spans"], i - 1)["end"]).otherwise(0)
+            return F.concat(_between(v["parts"], begin, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
 
-        return F.concat(F.array_join(F.transform(v, piece), ""), F.substr(text, F.element_at(v, -1)["end"] + 1))
+        return F.concat(F.array_join(F.transform(v["spans"], piece), ""), _between(v["parts"], F.element_at(v["spans"], -1)["end"], F.length(text)))
 
-    return F.when(F.size(spans) > 0, let(merged, build)).otherwise(text)
+    furthest = lambda s: F.struct(s.alias("all"), _running(F.transform(s, lambda x: x["end"]), F.greatest).alias("reached"))
+    merged = let(let(ordered, furthest), merge)
+    return F.when(F.size(spans) > 0, let(F.struct(merged.alias("spans"), _stretches(text).alias("parts")), build)).otherwise(text)
 
 
 def redact(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
     """The rows of ``docs`` with spans masked in ``text`` and, where there is such a column, ``n_chars`` renewed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = F.concat(*(_spans(text, k) for k in kinds))
+    spans = all_spans(text, kinds)
     found = docs.withColumn("text", F.when(F.col("text").isNotNull(), let(spans, lambda s: masked(text, s))))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))

@@ -810,3 +810,39 @@ def test_pii_secrets_after_a_sign_and_of_any_length(spark):
     rows = [(1, f"api_key={key} end"), (2, f"GET https://example.org/x?token={key}&y=1"), (3, f'token = "{long}" end'), (4, f"password={long}"), (5, f"token={key[:19]} end")]
     got = {r.doc_id: r.text for r in pii.redact(docs_of(spark, rows)).collect()}
     assert got == {1: "api_key=[SECRET] end", 2: "GET https://example.org/x?token=[SECRET]&y=1", 3: 'token = "[SECRET]" end', 4: "password=[SECRET]", 5: rows[4][1]}
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """Work in proportion to the matches; every span and every context by Python."""
+    rng = random.Random(12)
+    few = ["a@b.cd", "mail c@d.ef", "10.0.0.1", "host 10.0.0.2", "+44 20 7946 0958", "call +1 (743) 555-3824", "4111 1111 1111 1111", "plain words here", "\U0001f600", "é\n"]
+    text = "; ".join(rng.choice(few) for _ in range(5000))
+    found = pii.find_spans(docs_of(spark, [(1, text)])).first().spans
+    for kind, pattern in KINDS.items():
+        want = [(m.start(), m.end()) for m in re.finditer(pattern, text) if valid(kind, m.group())]
+        assert [(x.start, x.end) for x in found if x.kind == kind] == want and len(want) > 500
+    for x in found:
+        near = text[max(0, x.start - 40) : x.start] + " " + text[x.end : x.end + 40]
+        assert x.score == pytest.approx(0.9 if re.search(f"(?i)(?<![a-z])(?:{pii.CONTEXT[x.kind]})(?![a-z])", near) else 0.6)
+    plain, at = [], 0
+    for x in sorted(found, key=lambda x: (x.start, x.end, x.kind)):
+        if plain and x.start < plain[-1][1]:
+            plain[-1][1] = max(plain[-1][1], x.end)
+        else:
+            plain.append([x.start, x.end, x.kind])
+    want = ""
+    for a, b, kind in plain:
+        want, at = want + text[at:a] + f"[{kind.upper()}]", b
+    assert pii.redact(docs_of(spark, [(1, text)])).first().text == want + text[at:]
+
+
+def test_pii_time_follows_the_matches(spark):
+    import time
+
+    def seconds(n):
+        began = time.time()
+        assert pii.redact(docs_of(spark, [(1, "; ".join(f"user{k}@mail{k}.org" for k in range(n)))])).first().text.count("[EMAIL]") == n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(40_000) < 60
