@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.scalars import l2_distance
+from platewise.functions.tables import written
 
 #: Prototype tables up to this many rows are held as one array beside each vector.
 ARRAY_ROWS = 10_000
@@ -92,9 +93,23 @@ def nearest_prototype(vectors: DataFrame, prototypes: DataFrame, whitelist: list
 def by_frequency(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """Distinct values with counts and rank: most frequent first, ties by value."""
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    if not keys:
+        return _numbered(counted.orderBy(F.desc("n"), value))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), value)))
 
 
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """Sorted rows with their ``rank``: the place within a partition, after the rows of the partitions before.
+
+    Only the partitions' sizes come together in one task.
+    """
+    placed = written(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumns({"_p": F.shiftright("_at", 33), "_k": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_p", before.alias("_b"))
+    return placed.join(F.broadcast(offsets), "_p").withColumn("rank", (F.col("_b") + F.col("_k") + 1).cast("int")).drop("_p", "_k", "_at", "_b")
+
+
 def tile(r: Column, c: Column, r0: Column, c0: Column, size: Column) -> tuple[Column, Column]:
     """Row and column of the square tile of a pixel."""
     return F.floor((r - r0) / size).cast("long"), F.floor((c - c0) / size).cast("long")

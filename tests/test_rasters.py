@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platewise.operators import circles, filters, foods, regions
+from platewise.operators import circles, filters, foods, labels, regions
 from platewise.plans import segmentation
 
 PHOTO = "image_id long, r long, c long, b int, g int, red int"
@@ -287,3 +287,12 @@ def test_segmentation_matches_arrays(spark, monkeypatch):
     for i, m in photos.items():
         want, _ = ds.segment(m, prototypes)
         assert got[i] == {p: int(want[p]) for p in pixels(want)} and len(set(got[i].values())) >= 1
+
+
+def test_values_by_frequency_are_numbered_over_partitions(spark):
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 400, 3000).tolist()
+    got = labels.by_frequency(spark.createDataFrame([(v,) for v in values], "v int").repartition(5), "v").collect()
+    counts = {v: values.count(v) for v in set(values)}
+    assert [(r.v, r.n) for r in sorted(got, key=lambda r: r["rank"])] == sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+    assert sorted(r["rank"] for r in got) == list(range(1, len(counts) + 1))
