@@ -355,6 +355,12 @@ def test_whole_licenses_and_tags():
     assert [x[1] for x in scanner.scan("This work is licensed under the GNU Affero General Public License, version 3")] == ["AGPL-3.0"]
 
 
+def test_headings_and_variants_of_names():
+    scanner = license_scan.Scanner()
+    wanted = {"MIT License": "MIT-heading", "The MIT License (MIT)": "MIT-heading", "This project is MIT licensed.": "MIT-licensed", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Released under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Released under the MIT License.": "MIT"}
+    assert {t: [x[1] for x in scanner.scan(f"words before\n{t}\nwords after")] for t in wanted} == {t: [k] for t, k in wanted.items()}
+
+
 def test_wording_is_least():
     rng = random.Random(2)
     for _ in range(200):
