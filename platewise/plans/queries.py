@@ -94,7 +94,9 @@ def ap_11pt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCOPED + " SELECT scope, scope_id, round(avg(ap), 9) AS map, count(*) AS n_classes FROM ap GROUP BY 1, 2")
 def map_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.mean_average_precision(_ap(spark, sf_dir, SCOPES), "scope", "scope_id").select("scope", "scope_id", F.round("map", 9).alias("map"), "n_classes")
+    """Mean AP by image, tray and overall, from the counts of each image and class."""
+    found = evaluation_state.scores(evaluation_state.contributions(*scene(spark, sf_dir)), SCOPES)
+    return found.where("map is not null").select("scope", "scope_id", F.round("map", 9).alias("map"), "n_classes")
 
 
 #: Every fourth image is a leftover of the third kind, which takes no part in IoU and AP.
@@ -107,8 +109,16 @@ GATED = SCOPED.replace(f"({GT_SQL})", f"(SELECT * FROM ({GT_SQL}) WHERE image_id
  SELECT i.scope, i.scope_id, round(miou, 9) AS miou, n_gt, round(coalesce(map, -1), 9) AS map, coalesce(n_classes, 0) AS n_classes FROM i LEFT JOIN m ON i.scope = m.scope AND i.scope_id = m.scope_id""")
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean IoU and mean AP by image, tray and overall, of the images whose leftover code takes part."""
+    return _rounded(evaluation_state.scores(evaluation_state.contributions(*_detected(spark, sf_dir)), SCOPES))
+
+
+def _detected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The scene's boxes of images whose leftover code takes part."""
     gt, pred = (metrics.detected(d.withColumn("code", F.col("image_id") % 4)).drop("code") for d in scene(spark, sf_dir))
-    found = metrics.evaluate(gt, pred, SCOPES)
+    return gt, pred
+
+
+def _rounded(found: DataFrame) -> DataFrame:
     return found.select("scope", "scope_id", F.round("miou", 9).alias("miou"), "n_gt", F.round(F.coalesce("map", F.lit(-1.0)), 9).alias("map"), F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"))
 
 
@@ -117,22 +127,20 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT 'overall mAP: ' || CAST(CAST(round(avg(ap), 4) AS DECIMAL(10, 4)) AS VARCHAR) FROM ap WHERE scope = 'all'
  UNION ALL SELECT 'overall mIoU: ' || CAST(CAST(round(miou, 4) AS DECIMAL(10, 4)) AS VARCHAR) FROM i""")
 def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gt, pred = (metrics.detected(d.withColumn("code", F.col("image_id") % 4)).drop("code") for d in scene(spark, sf_dir))
-    return sinks.metric_lines(metrics.evaluate(gt, pred, SCOPES))
+    return sinks.metric_lines(metrics.evaluate(*_detected(spark, sf_dir), SCOPES))
 
 
 @query(ORACLE_SQL["evaluation"])
 def evaluation_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The numbers of ``evaluation`` from a state that grew in three batches, the first with every fourth image's boxes mistaken, which come again."""
-    gt, pred = (metrics.detected(d.withColumn("code", F.col("image_id") % 4)).drop("code") for d in scene(spark, sf_dir))
+    gt, pred = _detected(spark, sf_dir)
     part = lambda d, k: d.where(F.col("image_id") % 3 == k)
     mistaken = part(pred, 0).withColumn("x", F.when(F.col("image_id") % 4 == 0, F.col("x") + 500).otherwise(F.col("x")))
     state = written(evaluation_state.contributions(part(gt, 0), mistaken), "state")
     late = F.col("image_id") % 12 == 0
     for k, (truth, found) in enumerate(((part(gt, 1), part(pred, 1)), (part(gt, 2).union(gt.where(late)), part(pred, 2).union(pred.where(late)))), 1):
         state = written(evaluation_state.merged(state, evaluation_state.contributions(truth, found, k)), "state")
-    found = evaluation_state.scores(state, SCOPES)
-    return found.select("scope", "scope_id", F.round("miou", 9).alias("miou"), "n_gt", F.round(F.coalesce("map", F.lit(-1.0)), 9).alias("map"), F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_classes"))
+    return _rounded(evaluation_state.scores(state, SCOPES))
 
 
 PAIRED = SCENE + """ga AS (SELECT floor(image_id / 2)::BIGINT AS pair_id, pos, class_id, w::BIGINT * h AS px, image_id % 2 AS after FROM gt),
