@@ -74,15 +74,19 @@ def open_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.open_cross(scattered(spark, sf_dir)).where("on").select("image_id", "r", "c")
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT image_id, r, c, floor(b * 0.114::DOUBLE + g * 0.587::DOUBLE + red * 0.299::DOUBLE + 0.5)::INT AS v FROM ({PHOTO_SQL})),
+def _canny(low: int, high: int) -> str:
+    """SQL of the photos' edges: ``reach`` holds the places, ``n`` the gradients."""
+    return f"""g AS (SELECT image_id, r, c, floor(b * 0.114::DOUBLE + g * 0.587::DOUBLE + red * 0.299::DOUBLE + 0.5)::INT AS v FROM ({PHOTO_SQL})),
  n AS (SELECT a.image_id, a.r, a.c, sum(b.v * kx) AS gx, sum(b.v * ky) AS gy FROM g a CROSS JOIN (VALUES (-1, -1, -1, -1), (-1, 0, 0, -2), (-1, 1, 1, -1), (0, -1, -2, 0), (0, 1, 2, 0), (1, -1, -1, 1), (1, 0, 0, 2), (1, 1, 1, 1)) k(dy, dx, kx, ky)
    JOIN g b ON a.image_id = b.image_id AND b.r = least(greatest(a.r + dy, 0), {H - 1}) AND b.c = least(greatest(a.c + dx, 0), {W - 1}) GROUP BY 1, 2, 3),
  s AS (SELECT *, abs(gx) + abs(gy) AS size, ((round_even(atan2(gy, gx) / (pi() / 4), 0)::INT % 4) + 4) % 4 AS turn FROM n),
  d AS (SELECT s.*, CASE turn WHEN 2 THEN 0 WHEN 3 THEN -1 ELSE 1 END AS dx, CASE turn WHEN 0 THEN 0 ELSE 1 END AS dy FROM s),
  weak AS (SELECT d.image_id, d.r, d.c, d.size FROM d LEFT JOIN s a ON a.image_id = d.image_id AND a.r = d.r + dy AND a.c = d.c + dx LEFT JOIN s z ON z.image_id = d.image_id AND z.r = d.r - dy AND z.c = d.c - dx
-   WHERE d.size >= coalesce(a.size, 0) AND d.size > coalesce(z.size, 0) AND d.size > 50),
- reach AS (SELECT image_id, r, c FROM weak WHERE size > 150 UNION SELECT w.image_id, w.r, w.c FROM reach x JOIN weak w ON x.image_id = w.image_id AND abs(x.r - w.r) <= 1 AND abs(x.c - w.c) <= 1)
- SELECT image_id, r::BIGINT AS r, c::BIGINT AS c FROM reach""")
+   WHERE d.size >= coalesce(a.size, 0) AND d.size > coalesce(z.size, 0) AND d.size > {low}),
+ reach AS (SELECT image_id, r, c FROM weak WHERE size > {high} UNION SELECT w.image_id, w.r, w.c FROM reach x JOIN weak w ON x.image_id = w.image_id AND abs(x.r - w.r) <= 1 AND abs(x.c - w.c) <= 1)"""
+
+
+@query("WITH RECURSIVE " + _canny(50, 150) + " SELECT image_id, r::BIGINT AS r, c::BIGINT AS c FROM reach")
 def canny_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     grey = photos(spark, sf_dir).withColumn("v", fn.grey(F.col("b"), F.col("g"), F.col("red")))
     return filters.edges(grey, "v", 50, 150).select("image_id", "r", "c")
@@ -275,33 +279,72 @@ def repeated_morphology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.open_cross(filters.close_cross(bits(spark, sf_dir), 6), 2).where("on").select("image_id", "r", "c")
 
 
-_EDGES = f"""WITH RECURSIVE e AS ({EDGES_SQL}), f AS (SELECT image_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM e GROUP BY 1),
- votes AS (SELECT image_id, round_even(r + k * (gy / sqrt(gx * gx + gy * gy)), 0)::BIGINT AS cy, round_even(c + k * (gx / sqrt(gx * gx + gy * gy)), 0)::BIGINT AS cx FROM e CROSS JOIN (SELECT unnest([10, 11, 12, 13, -10, -11, -12, -13]) AS k) WHERE gx <> 0 OR gy <> 0),
- tally AS (SELECT image_id, cy, cx, count(*) AS n FROM votes JOIN f USING (image_id) WHERE cy BETWEEN r0 AND r1 AND cx BETWEEN c0 AND c1 GROUP BY 1, 2, 3),
- sums AS (SELECT a.image_id, a.cy, a.cx, sum(b.n) AS n FROM tally a JOIN tally b ON a.image_id = b.image_id AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 GROUP BY 1, 2, 3 HAVING sum(b.n) >= 20),
- peak AS (SELECT * FROM sums a WHERE NOT EXISTS (SELECT 1 FROM sums b WHERE a.image_id = b.image_id AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 AND (b.n > a.n OR b.n = a.n AND (b.cy < a.cy OR b.cy = a.cy AND b.cx < a.cx)))),
- ring AS (SELECT p.image_id, p.cy, p.cx, p.n, round_even(sqrt(((r - cy) * (r - cy) + (c - cx) * (c - cx))::DOUBLE), 0)::INT AS radius, count(*) AS support FROM peak p JOIN e ON e.image_id = p.image_id GROUP BY ALL),
- best AS (SELECT image_id, cy, cx, n, radius, support FROM ring WHERE radius BETWEEN 10 AND 13 QUALIFY row_number() OVER (PARTITION BY image_id, cy, cx ORDER BY support DESC, radius) = 1),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, cy, cx) AS k FROM best WHERE support >= 20),
- greedy AS (SELECT image_id, k, [{{'cy': cy, 'cx': cx, 'k': k}}] AS kept FROM ranked WHERE k = 1
-   UNION ALL SELECT g.image_id, r.k, CASE WHEN len(list_filter(g.kept, lambda q: sqrt(((q.cy - r.cy) * (q.cy - r.cy) + (q.cx - r.cx) * (q.cx - r.cx))::DOUBLE) < 9)) > 0 THEN g.kept ELSE list_append(g.kept, {{'cy': r.cy, 'cx': r.cx, 'k': r.k}}) END
-   FROM greedy g JOIN ranked r ON r.image_id = g.image_id AND r.k = g.k + 1),
- final AS (SELECT image_id, unnest(arg_max(kept, k)) AS q FROM greedy GROUP BY 1)"""
+def _hough(k: str, low: int, high: int, far: str) -> str:
+    """SQL of circles from edges ``e`` (with gradients) in frames ``f``: ``circles{k}``, their centres ``far`` apart at least (SQL over ``f``).
+
+    Votes are counted for every edge at every radius, and every candidate is compared with every better one that stays.
+    """
+    steps = ", ".join(str(x) for r in range(low, high + 1) for x in (r, -r))
+    gap = lambda a, b: f"sqrt((({a}.cy - {b}.cy) * ({a}.cy - {b}.cy) + ({a}.cx - {b}.cx) * ({a}.cx - {b}.cx))::DOUBLE)"
+    return f"""votes{k} AS (SELECT image_id, round_even(r + k * (gy / sqrt(gx * gx + gy * gy)), 0)::BIGINT AS cy, round_even(c + k * (gx / sqrt(gx * gx + gy * gy)), 0)::BIGINT AS cx FROM e CROSS JOIN (SELECT unnest([{steps}]) AS k) WHERE gx <> 0 OR gy <> 0),
+ tally{k} AS (SELECT image_id, cy, cx, count(*) AS n FROM votes{k} JOIN f USING (image_id) WHERE cy BETWEEN r0 AND r1 AND cx BETWEEN c0 AND c1 GROUP BY 1, 2, 3),
+ sums{k} AS (SELECT a.image_id, a.cy, a.cx, sum(b.n) AS n FROM tally{k} a JOIN tally{k} b ON a.image_id = b.image_id AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 GROUP BY 1, 2, 3 HAVING sum(b.n) >= 20),
+ peak{k} AS (SELECT * FROM sums{k} a WHERE NOT EXISTS (SELECT 1 FROM sums{k} b WHERE a.image_id = b.image_id AND abs(a.cy - b.cy) <= 1 AND abs(a.cx - b.cx) <= 1 AND (b.n > a.n OR b.n = a.n AND (b.cy < a.cy OR b.cy = a.cy AND b.cx < a.cx)))),
+ ring{k} AS (SELECT p.image_id, p.cy, p.cx, p.n, round_even(sqrt(((r - cy) * (r - cy) + (c - cx) * (c - cx))::DOUBLE), 0)::INT AS radius, count(*) AS support FROM peak{k} p JOIN e ON e.image_id = p.image_id GROUP BY ALL),
+ best{k} AS (SELECT image_id, cy, cx, n, radius, support FROM ring{k} WHERE radius BETWEEN {low} AND {high} QUALIFY row_number() OVER (PARTITION BY image_id, cy, cx ORDER BY support DESC, radius) = 1),
+ ranked{k} AS (SELECT b.*, {far} AS far, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, cy, cx) AS k FROM best{k} b JOIN f USING (image_id) WHERE support >= 20),
+ greedy{k} AS (SELECT image_id, k, [{{'cy': cy, 'cx': cx, 'k': k}}] AS kept FROM ranked{k} WHERE k = 1
+   UNION ALL SELECT g.image_id, r.k, CASE WHEN len(list_filter(g.kept, lambda q: {gap('q', 'r')} < r.far)) > 0 THEN g.kept ELSE list_append(g.kept, {{'cy': r.cy, 'cx': r.cx, 'k': r.k}}) END
+   FROM greedy{k} g JOIN ranked{k} r ON r.image_id = g.image_id AND r.k = g.k + 1),
+ final{k} AS (SELECT image_id, unnest(arg_max(kept, k)) AS q FROM greedy{k} GROUP BY 1),
+ circles{k} AS (SELECT r.image_id, cx AS x, cy AS y, radius, n::BIGINT AS votes, support FROM ranked{k} r JOIN final{k} f ON r.image_id = f.image_id AND r.k = f.q.k)"""
 
 
-@query(_EDGES + " SELECT r.image_id, cx AS x, cy AS y, radius, n::BIGINT AS votes, support FROM ranked r JOIN final f ON r.image_id = f.image_id AND r.k = f.q.k")
+_EDGES = f"WITH RECURSIVE e AS ({EDGES_SQL}), f AS (SELECT image_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM e GROUP BY 1), {_hough('', 10, 13, '9')}"
+#: Radii of the small photos' plates, and of the circles that are none.
+SMALL_BANDS = ((7, 10), (3, 4), (2, 2))
+
+
+@query(_EDGES + " SELECT * FROM circles")
 def hough_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Circles of 10 to 13 pixels from the events' edges."""
     found = written(run_sql(spark, sf_dir, EDGES_SPARK_SQL), "edges")
     return circles.hough_circles(found, written(filters.bounds(found), "frames"), 10, 13, F.lit(9))
 
 
-@query(_EDGES + " SELECT r.image_id, cx AS x, cy AS y, radius, n::BIGINT AS votes, support FROM ranked r JOIN final f ON r.image_id = f.image_id AND r.k = f.q.k QUALIFY row_number() OVER (PARTITION BY r.image_id ORDER BY n DESC, cy, cx) <= 2")
+@query(_EDGES + " SELECT * FROM circles QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, y, x) <= 2")
 def two_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two circles of each image, those with most votes."""
     return circles.strongest(hough_circles(spark, sf_dir), 2)
 
 
+@query("WITH RECURSIVE " + _canny(50, 100) + f""", e AS (SELECT x.image_id, x.r, x.c, n.gx, n.gy FROM reach x JOIN n USING (image_id, r, c)),
+ f AS (SELECT image_id, 0 AS r0, {H - 1} AS r1, 0 AS c0, {W - 1} AS c1 FROM (SELECT DISTINCT image_id FROM ({PHOTO_SQL}))), {', '.join(_hough(str(k), *band, '(r1 - r0 + 1) / 2') for k, band in enumerate(SMALL_BANDS))},
+ held AS (SELECT * FROM circles0 p WHERE NOT EXISTS (SELECT 1 FROM circles1 o WHERE o.image_id = p.image_id AND (p.x - o.x) ** 2 + (p.y - o.y) ** 2 < p.radius ** 2)),
+ crowd AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS k FROM held),
+ left_ AS (SELECT * FROM crowd p WHERE k <= 2 OR NOT EXISTS (SELECT 1 FROM circles2 o WHERE o.image_id = p.image_id AND (p.x - o.x) ** 2 + (p.y - o.y) ** 2 < o.radius ** 2))
+ SELECT image_id, x, y, radius, votes, support FROM left_ QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY votes DESC, y, x) <= 2""")
+def plate_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plates of the photos: circles of a band of radii without those that small circles rule out."""
+    return foods.find_plates(photos(spark, sf_dir), SMALL_BANDS)
+
+
+_DISC = "(r - 12) * (r - 12) + (c - 14) * (c - 14) <= 121"
+_FULL = "3.141::DOUBLE * 11 * 11"
+
+
+@query(_passes("SELECT p.image_id, p.r, p.c, (o.r IS NOT NULL)::INT AS v FROM (SELECT image_id, r, c FROM (" + PHOTO_SQL + ")) p LEFT JOIN (" + _regions(f"SELECT image_id, r, c FROM {_hsv('(' + ORACLE_SQL['gaussian_blur'] + ')', 'b', 'g', 'red', 'image_id, r, c')} WHERE {_DISC} AND (s > 80 OR (h > 20 AND h < 25))")
+       + f""", edge AS (SELECT w.image_id, w.root, w.r, w.c FROM whole w CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) k(dy, dx) LEFT JOIN whole o ON o.image_id = w.image_id AND o.root = w.root AND o.r = w.r + dy AND o.c = w.c + dx GROUP BY 1, 2, 3, 4 HAVING count(o.r) < 4),
+ far AS (SELECT image_id, root, sqrt(min((r - 12) * (r - 12) + (c - 14) * (c - 14))::DOUBLE) AS d FROM edge GROUP BY 1, 2),
+ large AS (SELECT *, bool_or(area > 0.07::DOUBLE * {_FULL}) OVER (PARTITION BY image_id) AS big, row_number() OVER (PARTITION BY image_id ORDER BY area DESC, root) AS k FROM areas WHERE area >= 0.005::DOUBLE * {_FULL})
+ SELECT DISTINCT w.image_id, w.r, w.c FROM whole w JOIN large USING (image_id, root) JOIN far USING (image_id, root) WHERE k <= CASE WHEN big THEN 1 ELSE 2 END AND d <= 0.75::DOUBLE * 11) o USING (image_id, r, c)""",
+               ("max", "(VALUES (-1, 0), (0, -1), (0, 0)) v(dy, dx)"), ("min", "(VALUES (-1, 0), (0, -1), (0, 0)) v(dy, dx)")).replace(") v(dy, dx) k JOIN", ") k(dy, dx) JOIN"))
+def plate_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Food on a plate of eleven pixels: colours in the disc, large regions near its middle, closed with an ellipse of two."""
+    plates = photos(spark, sf_dir).select("image_id").distinct().select("image_id", F.lit(14).alias("x"), F.lit(12).alias("y"), F.lit(11.0).alias("radius"))
+    return foods.plate_mask(photos(spark, sf_dir), plates)
+
+
 _PATHS = "'set/tray' || (p_partkey % 8 + 1)"
 
 
