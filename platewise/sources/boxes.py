@@ -135,7 +135,7 @@ def encode_png(mask: np.ndarray) -> bytes:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """``image_id, h, w, channels, data`` of encoded images; files of other kinds drop out."""
+    """``image_id, h, w, channels, data`` of masks and photos: PNG by Spark's image source, binary PGM and PPM; files of other kinds drop out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -143,7 +143,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
             found = [(p, a) for p, a in found if a is not None]
             yield pd.DataFrame([(p, a.shape[0], a.shape[1], a.shape[2] if a.ndim == 3 else 1, a.tobytes()) for p, a in found], columns=["image_id", "h", "w", "channels", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "image_id string, h int, w int, channels int, data binary")
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.p[gpn]m").load(path).select("path", "content")
+    coded = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*.png").load(path).select("image.*")
+    coded = coded.select(F.regexp_replace("origin", "^file:/+", "file:/").alias("image_id"), F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("channels"), "data")
+    return coded.unionByName(plain.mapInPandas(run, "image_id string, h int, w int, channels int, data binary"))
 
 
 def read_photos(spark: SparkSession, path: str) -> DataFrame:

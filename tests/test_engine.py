@@ -154,6 +154,17 @@ def test_prototype_scan_and_round_trips(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first().value == "ID: 9; [2, 1, 4, 2]"
 
 
+def test_masks_of_all_kinds_are_read(spark, tmp_path):
+    mask = np.arange(35, dtype=np.uint8).reshape(5, 7)
+    (tmp_path / "a.png").write_bytes(sinks.encode_png(mask))
+    (tmp_path / "b.pgm").write_bytes(b"P5\n7 5\n255\n" + mask.tobytes())
+    (tmp_path / "c.ppm").write_bytes(b"P6\n7 5\n255\n" + np.repeat(mask[..., None], 3, axis=2).tobytes())
+    (tmp_path / "d.txt").write_bytes(b"no mask")
+    (tmp_path / "e.png").write_bytes(b"no mask")
+    found = {r.image_id.rsplit("/", 1)[1]: (r.h, r.w, r.channels, bytes(r.data)) for r in boxes.read_images(spark, str(tmp_path)).collect()}
+    assert found == {"a.png": (5, 7, 1, mask.tobytes()), "b.pgm": (5, 7, 1, mask.tobytes()), "c.ppm": (5, 7, 3, np.repeat(mask.ravel(), 3).tobytes())}
+
+
 def test_box_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text(BEFORE)
