@@ -43,12 +43,12 @@ ORDERS = ["".join(p) for p in permutations(FILTERS)]
 def text_mask(text: Column) -> Column:
     """Bits of the filters A to D that a text fails."""
     words = F.array_remove(F.split(text, BLANKS, -1), "")
-    counted = F.struct(F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("distinct"))
-    capitals = F.regexp_count(text, F.lit("[A-Z]"))
+    counted = F.struct(F.size(words).cast("long").alias("n"), F.size(F.array_distinct(words)).cast("long").alias("distinct"))
+    capitals = F.regexp_count(text, F.lit("[A-Z]")).cast("long")
     fails = [
         counted["n"] < LEAST_WORDS,
         100 * counted["distinct"] < DISTINCT_PERCENT * counted["n"],
-        100 * capitals > CAPITAL_PERCENT * F.length(text),
+        100 * capitals > CAPITAL_PERCENT * F.length(text).cast("long"),
         text.rlike(SIGNS),
     ]
     return sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails)), F.lit(0)).cast("int")
