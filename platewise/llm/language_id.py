@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.llm.common import U64, Words, mix64, raw_texts, slices
+from platewise.llm.common import U64, Words, materialize, mix64, raw_texts, release, slices
 
 #: Bounds of the training sample: rows, characters in all, and the length up to which texts come first.
 TRAIN_DOCS, TRAIN_BUDGET, TRAIN_CHARS = 600, 8_000_000, 100_000
@@ -285,14 +285,17 @@ def training_sample(docs: DataFrame, limit: int = TRAIN_DOCS, chars: int = TRAIN
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     size = F.length("text")
     keys = rows.select("lang", F.xxhash64("text", F.lit(17)).alias("h"), size.alias("size"), F.greatest(size - chars, F.lit(0)).alias("beyond"))
-    # a task passes on no more rows of a language than are wanted
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("beyond", "h"))
-    first = keys.groupBy("lang", "h", "size", "beyond").agg(F.count("*").alias("n")).withColumn("rank", rank).where(F.col("rank") <= limit)
+    keys = materialize(keys.distinct().withColumn("long", F.col("beyond") > 0), "keys")
+    # about four times as many of a language as are wanted go into the choice of the least hashes
+    counts = keys.groupBy("lang", "long").agg(F.count("*").alias("n"))
+    near = keys.join(counts, ["lang", "long"]).where(F.pmod(F.xxhash64("h", F.lit(18)), F.col("n")) < 4 * limit)
+    first = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("beyond", "h")))
     chosen, total = {}, 0
     for r in first.orderBy("rank", "lang").limit(limit).collect():
         if r["rank"] == 1 or total + r["size"] <= budget:
             chosen[r["lang"], r["h"]] = r["rank"]
             total += r["size"]
+    release(keys)
     if not chosen:
         return []
     wanted = docs.sparkSession.createDataFrame([(lang, h) for lang, h in chosen], "lang string, h long")
