@@ -1,6 +1,7 @@
 """Regions, filters, circles and foods as plans against plain code on arrays and against values worked out by hand."""
 
 import functools
+import os
 
 import dense as im
 import dense_segmentation as ds
@@ -296,3 +297,25 @@ def test_values_by_frequency_are_numbered_over_partitions(spark):
     counts = {v: values.count(v) for v in set(values)}
     assert [(r.v, r.n) for r in sorted(got, key=lambda r: r["rank"])] == sorted(counts.items(), key=lambda x: (-x[1], x[0]))
     assert sorted(r["rank"] for r in got) == list(range(1, len(counts) + 1))
+
+
+def test_bowls_match_arrays(spark):
+    photos = {0: planted((100, 130), (60, 50, 30, 230)), 1: planted((100, 130), (70, 45, 34, 230), seed=1)}
+    bands, rows = ((28, 31), (33, 36)), photo_of(spark, photos)
+    plates = spark.createDataFrame([], "image_id long, x long, y long, radius int")
+    for seen in (True, False):
+        got = {x.image_id: (x.x, x.y, x.radius) for x in foods.find_bowl(rows, plates, seen, bands).collect()}
+        want = {i: im.find_bowl(m, [], seen, bands) for i, m in photos.items()}
+        assert got == {i: tuple(map(int, c[0])) for i, c in want.items() if c}
+
+
+@pytest.mark.skipif(not os.environ.get("LONG_TESTS"), reason="takes three minutes; set LONG_TESTS")
+def test_after_photos_have_only_the_labels_of_before_photos(spark):
+    before = planted((70, 90), (45, 35, 24, 120), (45, 35, 12, (0, 220, 30)))
+    rows = photo_of(spark, {0: before})
+    prototypes = spark.createDataFrame([(k, [float(k == b) for b in range(60)]) for k in range(14)], "label int, vector array<double>")
+    sizes = segmentation.Sizes(plates=((60, 61), (1, 2), (1, 1)), bowls=((22, 26), (26, 27)), bread=100_000.0)
+    found = segmentation.segment_pairs(rows, rows, prototypes, sizes)
+    labels_ = {x["side"]: (x["labels"], x["n"]) for x in found.groupBy("side").agg(F.collect_set("label").alias("labels"), F.count("*").alias("n")).collect()}
+    circle = im.find_bowl(before, [], True, sizes.bowls)[0]
+    assert labels_["before"] == labels_["after"] == ([segmentation.SALAD], int(im.salad_mask(before, circle).sum()))
