@@ -131,6 +131,15 @@ def _dealt(members: DataFrame, radius: int, level: int) -> DataFrame:
     return members.select("*", masks).select(F.xxhash64(*within, F.lit(level), "t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
 
 
+def _shared(dealt: DataFrame) -> DataFrame:
+    """Members of buckets of two or more, with the least member ``hub`` and the number of ``members``.
+
+    A plan counts an exploded table as no larger than its source, so the join is told to broadcast neither side.
+    """
+    hubs = dealt.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    return dealt.join(hubs.hint("merge"), "key")
+
+
 def _near(a: Column, b: Column, radius: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= radius
 
@@ -170,27 +179,24 @@ def link_fingerprints(classes: DataFrame, radius: int, block: int = BLOCK) -> Da
         used.append(materialize(df, label))
         return used[-1]
 
-    banded = _dealt(classes.select("fp"), radius, 0)
-    hubs = banded.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = keep(banded.join(hubs, "key"), "shared")
+    shared = keep(_shared(_dealt(classes.select("fp"), radius, 0)), "shared")
     links = keep(shared.where((F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), radius)).select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), "links")
     level, todo = 0, shared
     while True:
         found = components(links)
         used.append(found)
         roots = found.withColumnRenamed("id", "fp")
-        named = todo.select("key", "fp").join(roots, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+        named = todo.select("key", "fp").join(roots.hint("merge"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
         groups = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
         groups = keep(groups.where("lo < hi").select("key", "members"), "groups")
-        open_rows = todo.select("key", "fp").join(groups, "key")
+        open_rows = todo.select("key", "fp").join(groups.hint("merge"), "key")
         whole = open_rows.where(F.col("members") <= block).groupBy("key").agg(F.collect_list("fp").alias("fps"))
         links = keep(links.union(_stars(whole.select("fps"), radius)), "links")
         if groups.where(F.col("members") > block).isEmpty():
             break
         level += 1
         split = _dealt(open_rows.where(F.col("members") > block).select("key", "fp"), radius, level)
-        sizes = split.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-        todo = keep(split.join(sizes, "key"), "todo")
+        todo = keep(_shared(split).select("key", "fp"), "todo")
     found = components(links)
     used.append(found)
     result = keep(classes.select("fp").join(found.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")

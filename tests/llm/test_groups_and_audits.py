@@ -112,6 +112,21 @@ def test_links_of_fingerprints_match_brute_force(spark, block):
     assert sorted((r.fp, r.root) for r in got) == sorted((signed[i], signed[r]) for i, r in enumerate(slow_groups(order, 4)))
 
 
+def test_simhash_buckets_are_not_broadcast(spark, monkeypatch):
+    plans, write = {}, simhash.materialize
+
+    def noted(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    near = spark.range(72).select(F.expr("xxhash64(id div 12) ^ shiftleft(1L, int(id % 12))").alias("fp"))  # of known, small size
+    found = simhash.link_fingerprints(near, 4).agg(F.count("*"), F.count_distinct("root")).first()
+    assert tuple(found) == (72, 6)
+    # a member is in 31 buckets, which a plan counts as one row
+    assert not [p for label in ("shared", "groups") for p in plans[label] if "BroadcastHashJoin" in p]
+
+
 def test_null_ids_link_but_name_no_group(spark):
     rows = [(None, "one two three four five"), (9, "one two three four five"), (None, "lone text of its own here"), (4, None), (7, " ")]
     got = sorted(((r.doc_id, r.component_id) for r in simhash.group_table(docs_of(spark, rows)).collect()), key=str)
