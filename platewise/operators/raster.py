@@ -10,6 +10,8 @@ from platewise.model import FOOD_HIGH, FOOD_LOW
 
 #: Side of the square cells that equi-join pixels with boxes and circles.
 CELL = 64
+#: Stretches of columns in which pixels are counted are up to this power of two long.
+LEVELS = 8
 
 
 def bounding_boxes(mask: DataFrame, low: int = FOOD_LOW, high: int = FOOD_HIGH) -> DataFrame:
@@ -49,18 +51,38 @@ def _cells(low: str, high: str) -> Column:
     return F.expr(f"if({high} >= {low}, sequence(cast(floor(({low}) / {CELL}) as bigint), cast(floor(({high}) / {CELL}) as bigint)), cast(array() as array<bigint>))")
 
 
+def _stretches(low: Column, high: Column) -> Column:
+    """The columns from ``low`` to before ``high`` as stretches of powers of two, each starting at a multiple of its length: at most two of a length (``level``) below the longest."""
+
+    def of(k: Column) -> Column:
+        first, end = -F.floor(-low / F.pow(F.lit(2), k)), F.floor(high / F.pow(F.lit(2), k))  # whole stretches inside
+        ends = F.array(F.when(first % 2 != 0, first), F.when(end % 2 != 0, end - 1))
+        found = F.when(k < LEVELS, F.filter(ends, lambda at: at.isNotNull())).otherwise(F.sequence(first, F.greatest(end - 1, first)))
+        return F.transform(F.when(first < end, found).otherwise(F.expr("cast(array() as array<bigint>)")), lambda at: F.struct(k.alias("level"), at.alias("at")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), of))
+
+
 def pixels_in_boxes(mask: DataFrame, boxes: DataFrame) -> DataFrame:
     """Number of pixels of a box's own label inside it, for every box (0 included).
 
-    Boxes are dealt to the cells they touch and pixels to theirs, so that the join
-    has image, label and cell as keys.  Boxes: ``image_id, pos, class_id, x, y, w, h``.
+    Pixels are counted down the rows of each stretch of columns; a box asks the stretches
+    that its columns consist of for the counts above its first row and below its last.
+    So boxes and pixels are never paired, and nothing is broadcast.
+    Boxes: ``image_id, pos, class_id, x, y, w, h``.
     """
-    dealt = boxes.withColumn("ty", F.explode(_cells("y", "y + h - 1"))).withColumn("tx", F.explode(_cells("x", "x + w - 1")))
-    keyed = mask.select("image_id", F.col("label").alias("class_id"), "r", "c", F.floor(F.col("r") / CELL).alias("ty"), F.floor(F.col("c") / CELL).alias("tx"))
-    keyed = keyed.groupBy("image_id", "class_id", "r", "c", "ty", "tx").agg(F.count("*").alias("n"))
-    met = dealt.join(keyed, ["image_id", "class_id", "ty", "tx"]).where("r >= y and r < y + h and c >= x and c < x + w")
-    counted = met.groupBy("image_id", "pos").agg(F.sum("n").alias("pixels"))
-    return boxes.select("image_id", "pos", "class_id").join(counted, ["image_id", "pos"], "left").withColumn("pixels", F.coalesce("pixels", F.lit(0)).cast("long"))
+    long = lambda c: F.col(c).cast("long")
+    key, item = ("image_id", "class_id", "level", "at"), ("image_id", "pos", "class_id")
+    levels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), F.floor(long("c") / F.pow(F.lit(2), k)).alias("at")))).alias("s")
+    places = mask.select("image_id", F.col("label").alias("class_id"), "r", "c").dropna().groupBy("image_id", "class_id", "r", "c").agg(F.count("*").alias("n"))
+    counts = places.select("image_id", "class_id", long("r").alias("r"), "n", levels).groupBy("image_id", "class_id", "s.level", "s.at", "r").agg(F.sum("n").alias("n"))
+    asked = boxes.where("h > 0").select(*item, long("y").alias("y"), (long("y") + F.col("h")).alias("below"), F.explode(_stretches(long("x"), long("x") + F.col("w"))).alias("s"))
+    sides = F.explode(F.array(F.struct(F.col("y").alias("r"), F.lit(-1).alias("sign")), F.struct(F.col("below").alias("r"), F.lit(1).alias("sign")))).alias("q")
+    asked = asked.select(*item, "s.level", "s.at", sides).select(*key, "q.r", F.lit(None).cast("long").alias("n"), "pos", "q.sign")
+    both = asked.unionByName(counts, allowMissingColumns=True)
+    above = F.sum("n").over(Window.partitionBy(*key).orderBy("r").rangeBetween(Window.unboundedPreceding, -1))  # rows before this one
+    told = both.withColumn("pixels", F.col("sign") * F.coalesce(above, F.lit(0))).where("sign is not null").select(*item, "pixels")
+    return told.unionByName(boxes.select(*item, F.lit(0).cast("long").alias("pixels"))).groupBy(*item).agg(F.sum("pixels").alias("pixels"))
 
 
 def _disc_cells(circles: DataFrame, radius: Column) -> DataFrame:

@@ -461,3 +461,13 @@ def test_lines_are_marked(spark):
     rows = ["ID: 6; [1, 2, 3, 4]", "ID 2; [1, 2, 3, 4]", "ID: x; [1, 2]", "", "ID: 99999999999; [1, 2, 3, 4]"]
     got = [(r.strict, r.lenient) for r in boxes.marked_boxes(spark.createDataFrame([(v,) for v in rows], "value string")).collect()]
     assert got == [(True, True), (False, True), (False, False), (False, False), (False, False)]
+
+
+def test_pixels_in_boxes_are_counted_without_pairs(spark):
+    rng = np.random.default_rng(11)
+    pixels = [(int(rng.integers(2)), int(r), int(c), int(rng.integers(1, 3))) for r, c in zip(rng.integers(-20, 40, 700), rng.integers(-30, 700, 700))] + [(None, 1, 1, 1), (0, None, 1, 1), (0, 1, 1, None)]
+    boxes = [(int(rng.integers(2)), k, int(rng.integers(1, 3)), int(rng.integers(-40, 300)), int(rng.integers(-25, 30)), int(rng.integers(-3, 700)), int(rng.integers(-3, 50))) for k in range(60)] + [(0, 60, None, 0, 0, 9, 9), (None, 61, 1, 0, 0, 9, 9)]
+    found = raster.pixels_in_boxes(spark.createDataFrame(pixels, "image_id long, r int, c int, label int"), spark.createDataFrame(boxes, "image_id long, pos long, class_id int, x int, y int, w int, h int"))
+    want = {pos: sum(None not in p and (i, k) == (p[0], p[3]) and y <= p[1] < y + h and x <= p[2] < x + w for p in pixels) for i, pos, k, x, y, w, h in boxes}
+    assert {r.pos: r.pixels for r in found.collect()} == want and max(want.values()) > 50
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
