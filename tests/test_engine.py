@@ -368,6 +368,12 @@ def test_digits_round_the_exact_value(spark):
     assert [Decimal(r.s) for r in got] == short
 
 
+def test_leftover_lines_round_the_exact_value(spark):
+    ratios = spark.createDataFrame([(1, 9, 1, 2, 0.5890625, 4.681875, 4.0928125)], "pair_id int, class_id int, pos int, pred_pos int, gt_ratio double, our_ratio double, difference double")
+    lines = [r.line for r in sinks.leftover_lines(ratios).sort("n").collect()]
+    assert [x.split(" = ")[1] for x in lines] == [f"{4.681875:.6g}", f"{0.5890625:.6g}", f"{4.0928125:.6g}"] and lines[0].endswith("4.68187")
+
+
 def test_lines_of_items(spark, scene):
     lines = {r.pos: r.line for r in sinks.iou_lines(metrics.first_match(*scene)).collect()}
     assert lines == {0: "Food 6, IoU = 0.821012", 1: "Food 1, IoU = 0.631233", 2: "Food 10, IoU = 0.638947", 3: "Food 13, IoU = 0.590611"}
