@@ -12,6 +12,8 @@ from platewise.model import FOOD_HIGH, FOOD_LOW
 CELL = 64
 #: Stretches of columns in which pixels are counted are up to this power of two long.
 LEVELS = 8
+#: Equal pixels that come out of one array at most.
+BLOCK = 4096
 
 
 def bounding_boxes(mask: DataFrame, low: int = FOOD_LOW, high: int = FOOD_HIGH) -> DataFrame:
@@ -113,9 +115,22 @@ def _pixels_met(pixels: DataFrame, circles: DataFrame, scale: float) -> tuple[Da
 
 
 def pixels_in_disc(pixels: DataFrame, circles: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Pixels with the circles of their image that hold them (edge included); ``scale`` enlarges radii."""
-    placed, dealt, on = _pixels_met(pixels, circles, scale)
-    return placed.join(dealt, on).select(*(F.col(f"a.{c}") for c in pixels.columns), F.col("b.id").alias("circle_id"))
+    """Pixels with the circles of their image that hold them (edge included); ``scale`` enlarges radii.
+
+    Equal pixels are compared as one, and so are circles that cover the same places;
+    what met comes out once for every pixel and circle that it stands for.
+    """
+    once = pixels.groupBy(*pixels.columns).agg(F.count("*").alias("_n"))
+    ints = circles.select("image_id", "id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), (F.col("radius") * scale).cast("int").alias("radius"))
+    place = F.struct("image_id", "x", "y", "radius")
+    discs = ints.select("image_id", "x", "y", "radius").distinct().withColumn("id", place)
+    placed, dealt, on = _pixels_met(once, discs, 1.0)
+    met = placed.join(dealt.hint("merge"), on).select("a.*", F.col("b.id").alias("_disc"))
+    # counts come out in blocks, so that no array grows with them
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / BLOCK)))
+    named = met.join(ints.select(place.alias("_disc"), F.col("id").alias("circle_id")).hint("merge"), "_disc").withColumn("_b", blocks)
+    copies = F.explode(F.array_repeat(F.lit(0).cast("byte"), F.least(F.lit(BLOCK), F.col("_n") - F.col("_b") * BLOCK).cast("int")))
+    return named.select(*pixels.columns, "circle_id", copies.alias("_c")).drop("_c")
 
 
 def erase_circles(pixels: DataFrame, circles: DataFrame, scale: float = 1.0) -> DataFrame:

@@ -487,3 +487,11 @@ def test_pixels_in_boxes_are_counted_without_pairs(spark):
     want = {pos: sum(None not in p and (i, k) == (p[0], p[3]) and y <= p[1] < y + h and x <= p[2] < x + w for p in pixels) for i, pos, k, x, y, w, h in boxes}
     assert {r.pos: r.pixels for r in found.collect()} == want and max(want.values()) > 50
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_pixels_and_discs_meet_once(spark):
+    pixels = [(1, 3, 4, 6)] * 9000 + [(1, 3, 5, 6), (1, 90, 90, 6), (2, 3, 4, 6), (None, 3, 4, 6)]
+    circles = [(1, 7, 4.5, 3.25, 2.0), (1, 8, 4.9, 3.9, 2.9), (1, 9, 70.0, 70.0, 30.0), (1, 10, 40.0, 3.0, 5.0)]
+    found = raster.pixels_in_disc(spark.createDataFrame(pixels, "image_id long, r int, c int, label int"), spark.createDataFrame(circles, "image_id int, id long, x double, y double, radius double"))
+    assert {(r.r, r.c, r.circle_id): r["count"] for r in found.groupBy("r", "c", "circle_id").count().collect()} == {(3, 4, 7): 9000, (3, 4, 8): 9000, (3, 5, 7): 1, (3, 5, 8): 1, (90, 90, 9): 1}
+    assert "Aggregate [image_id#" in found._jdf.queryExecution().optimizedPlan().toString()  # before pixels and discs meet
