@@ -116,6 +116,22 @@ def evaluate(gt: DataFrame, pred: DataFrame, scopes: dict[str, str]) -> DataFram
     return overlap.join(mean_average_precision(ap, *keys), keys, "left")
 
 
+def leftover_sides(gt_before: DataFrame, gt_after: DataFrame, pred_before: DataFrame, pred_after: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pair_id, class_id, pos, gt_ratio`` of the true after-items and ``pair_id, class_id, pred_pos, our_ratio`` of the predicted ones (see ``leftover_ratios``)."""
+    keys = ["pair_id", "class_id"]
+    last = gt_before.groupBy(*keys).agg(F.max_by("pixels", "pos").alias("gt_b"), F.lit(True).alias("has_b"))
+    first = pred_before.groupBy(*keys).agg(F.min_by("pixels", "pos").alias("our_b"))
+    ratio = lambda a, b: F.when(F.col(b) == 0, F.when(F.col(a) == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col(a).cast("double") / F.when(F.col(b) == 0, 1).otherwise(F.col(b)))
+    true = gt_after.join(last, keys, "left").select(*keys, "pos", F.when(F.col("has_b").isNull(), 0.0).otherwise(ratio("pixels", "gt_b")).alias("gt_ratio"))
+    ours = pred_after.join(first, keys).select(*keys, F.col("pos").alias("pred_pos"), ratio("pixels", "our_b").alias("our_ratio"))
+    return true, ours
+
+
+def paired(true: DataFrame, ours: DataFrame) -> DataFrame:
+    """True and predicted items of a pair and class, each with each; neither side is broadcast, as plans take both for small."""
+    return true.join(ours.hint("merge"), ["pair_id", "class_id"]).select("pair_id", "class_id", "pos", "pred_pos", "gt_ratio", "our_ratio")
+
+
 def leftover_ratios(gt_before: DataFrame, gt_after: DataFrame, pred_before: DataFrame, pred_after: DataFrame) -> DataFrame:
     """Leftover ratio of every item, true and predicted, and their difference.
 
@@ -123,10 +139,5 @@ def leftover_ratios(gt_before: DataFrame, gt_after: DataFrame, pred_before: Data
     class counts (0 ratio without one), each predicted after-item gives a row,
     the first predicted before-item counts; items without both predictions drop out.
     """
-    last = gt_before.groupBy("pair_id", "class_id").agg(F.max_by("pixels", "pos").alias("gt_b"), F.lit(True).alias("has_b"))
-    first = pred_before.groupBy("pair_id", "class_id").agg(F.min_by("pixels", "pos").alias("our_b"))
-    ours = pred_after.select("pair_id", "class_id", F.col("pos").alias("pred_pos"), F.col("pixels").alias("our_a"))
-    joined = gt_after.select("pair_id", "class_id", "pos", F.col("pixels").alias("gt_a")).join(last, ["pair_id", "class_id"], "left").join(ours, ["pair_id", "class_id"]).join(first, ["pair_id", "class_id"])
-    ratio = lambda a, b: F.when(F.col(b) == 0, F.when(F.col(a) == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col(a).cast("double") / F.when(F.col(b) == 0, 1).otherwise(F.col(b)))
-    rows = joined.withColumns({"gt_ratio": F.when(F.col("has_b").isNull(), 0.0).otherwise(ratio("gt_a", "gt_b")), "our_ratio": ratio("our_a", "our_b")})
-    return rows.select("pair_id", "class_id", "pos", "pred_pos", "gt_ratio", "our_ratio", F.abs(F.col("our_ratio") - F.col("gt_ratio")).alias("difference"))
+    rows = paired(*leftover_sides(gt_before, gt_after, pred_before, pred_after))
+    return rows.withColumn("difference", F.abs(F.col("our_ratio") - F.col("gt_ratio")))

@@ -348,9 +348,9 @@ def leftover_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         return counted.select(F.floor(F.col("image_id") / 2).alias("pair_id"), "pos", "class_id", "pixels")
 
     gt, pred = run_sql(spark, sf_dir, SMALL_BOXES), run_sql(spark, sf_dir, SMALL_PREDS)
-    found = metrics.leftover_ratios(items(gt, 0), items(gt, 1), items(pred, 0), items(pred, 1))
+    true, ours = metrics.leftover_sides(items(gt, 0), items(gt, 1), items(pred, 0), items(pred, 1))
     finite = lambda c: F.round(F.when(F.isnan(c) | (F.col(c) == float("inf")), -1.0).otherwise(F.col(c)), 9).alias(c)
-    return found.select("pair_id", "class_id", "pos", "pred_pos", finite("gt_ratio"), finite("our_ratio"))
+    return metrics.paired(true.withColumn("gt_ratio", finite("gt_ratio")), ours.withColumn("our_ratio", finite("our_ratio")))
 
 
 DISC_SQL = f"SELECT image_id, id, x % 320 AS x, y % 240 AS y, radius FROM ({CIRCLES_SQL}) c0"

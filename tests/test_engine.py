@@ -495,3 +495,12 @@ def test_equal_pixels_and_discs_meet_once(spark):
     found = raster.pixels_in_disc(spark.createDataFrame(pixels, "image_id long, r int, c int, label int"), spark.createDataFrame(circles, "image_id int, id long, x double, y double, radius double"))
     assert {(r.r, r.c, r.circle_id): r["count"] for r in found.groupBy("r", "c", "circle_id").count().collect()} == {(3, 4, 7): 9000, (3, 4, 8): 9000, (3, 5, 7): 1, (3, 5, 8): 1, (90, 90, 9): 1}
     assert "Aggregate [image_id#" in found._jdf.queryExecution().optimizedPlan().toString()  # before pixels and discs meet
+
+
+def test_leftovers_of_counted_boxes_are_not_broadcast(spark):
+    pixels = spark.range(400).selectExpr("id % 2 image_id", "int(id div 20) r", "int(id % 20) c", "1 label")
+    box = lambda n, x: spark.range(n).selectExpr("0L image_id", "id pos", "1 class_id", f"int(id + {x}) x", "0 y", "4 w", "20 h")
+    items = [raster.pixels_in_boxes(pixels, box(n, x)).select(F.lit(1).alias("pair_id"), "pos", "class_id", "pixels") for n, x in ((2, 0), (3, 17), (2, 0), (2, 16))]
+    found = metrics.leftover_ratios(*items)
+    assert {(r.pos, r.pred_pos, r.gt_ratio, r.our_ratio) for r in found.collect()} == {(g, p, (0.5, 0.5, 0.0)[g], (1.0, 0.5)[p]) for g in range(3) for p in range(2)}
+    assert "hint" in found._jdf.queryExecution().analyzed().toString().lower() or "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()  # true and predicted items
