@@ -299,6 +299,6 @@ def edges(raster: DataFrame, value: str, low: float, high: float) -> DataFrame:
     behind = [F.col("_t.l"), F.col("_a.l"), F.col("_a.m"), F.col("_a.n")]
     pick = lambda found: F.element_at(F.array(*found), F.col("_k") + 1)
     weak = around.where((F.col("_z") >= pick(ahead)) & (F.col("_z") > pick(behind)) & (F.col("_z") > low)).select(*PLACE, "gx", "gy", (F.col("_z") > high).alias("_strong"))
-    named = weak.join(pixels_of(components(weak)), list(PLACE))
+    named = weak.join(pixels_of(components(weak)).hint("merge"), list(PLACE))  # plans take exploded places for few
     strong = named.where("_strong").select("image_id", "component").distinct()
-    return named.join(strong, ["image_id", "component"], "left_semi").select(*PLACE, "gx", "gy")
+    return named.join(strong.hint("merge"), ["image_id", "component"], "left_semi").select(*PLACE, "gx", "gy")

@@ -62,7 +62,7 @@ def touching(above: DataFrame, below: DataFrame, keys: tuple[str, ...], diagonal
     low, high = F.col("c0") - reach, F.col("c1") + reach
     upper = above.select(*keys, (F.col("r") + 1).alias("_r"), F.col("c0").alias("a0"), F.col("c1").alias("a1"), F.explode(F.sequence(cell(low), cell(high))).alias("_x"))
     lower = below.select(*keys, F.col("r").alias("_r"), F.col("c0").alias("b0"), F.col("c1").alias("b1"), F.explode(F.sequence(cell(F.col("c0")), cell(F.col("c1")))).alias("_x"))
-    met = upper.join(lower, [*keys, "_r", "_x"]).where((F.col("b0") <= F.col("a1") + reach) & (F.col("b1") >= F.col("a0") - reach))
+    met = upper.join(lower.hint("merge"), [*keys, "_r", "_x"]).where((F.col("b0") <= F.col("a1") + reach) & (F.col("b1") >= F.col("a0") - reach))
     return met.where(cell(F.greatest(F.col("a0") - reach, F.col("b0"))) == F.col("_x")).select(*keys, (F.col("_r") - 1).alias("r"), "a0", "a1", "b0", "b1")
 
 
@@ -70,9 +70,9 @@ def _stars(edges: DataFrame, keys: list[str]) -> DataFrame:
     """A large star (neighbours above an id move to its least neighbour), then a small one (an id and those below it, too)."""
     both = edges.union(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(*keys, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    large = both.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
+    large = both.where("v > u").join(least.hint("merge"), [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
     below = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-    small = large.join(below, [*keys, "u"]).select(*keys, F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+    small = large.join(below.hint("merge"), [*keys, "u"]).select(*keys, F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
     return small.select(*keys, F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
 
 
@@ -101,7 +101,7 @@ def components(mask: DataFrame, *keys: str, diagonal: bool = True) -> DataFrame:
     links = touching(found, found, keys, diagonal).select(*keys, place(F.col("r") + 1, "b0").alias("u"), place("r", "a0").alias("v"))
     roots = contract(links, keys)
     own = place("r", "c0")
-    return found.withColumn("id", own).join(roots, [*keys, "id"], "left").withColumn("component", F.coalesce("root", "id")).drop("id", "root")
+    return found.withColumn("id", own).join(roots.hint("merge"), [*keys, "id"], "left").withColumn("component", F.coalesce("root", "id")).drop("id", "root")
 
 
 def regions(found: DataFrame, *keys: str) -> DataFrame:

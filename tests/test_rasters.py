@@ -319,3 +319,10 @@ def test_after_photos_have_only_the_labels_of_before_photos(spark):
     labels_ = {x["side"]: (x["labels"], x["n"]) for x in found.groupBy("side").agg(F.collect_set("label").alias("labels"), F.count("*").alias("n")).collect()}
     circle = im.find_bowl(before, [], True, sizes.bowls)[0]
     assert labels_["before"] == labels_["after"] == ([segmentation.SALAD], int(im.salad_mask(before, circle).sum()))
+
+
+def test_edges_are_not_broadcast(spark):
+    raster = spark.range(600).selectExpr("id div 300 image_id", "id % 300 div 20 r", "id % 20 c", "id * id * 7 % 251 v")
+    found = filters.edges(raster, "v", 50, 150)
+    assert found.count() > 0
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
