@@ -24,7 +24,7 @@ def ballots(edges: DataFrame, frames: DataFrame, low: int, high: int) -> DataFra
     reach = F.explode(F.concat(F.sequence(F.lit(low), F.lit(high)), F.sequence(F.lit(-low), F.lit(-high))))
     cast = sloped.withColumn("_r", reach).select("image_id", F.rint(F.col("r") + F.col("_r") * (F.col("gy") / F.col("_g"))).cast("long").alias("cy"), F.rint(F.col("c") + F.col("_r") * (F.col("gx") / F.col("_g"))).cast("long").alias("cx"))
     counted = cast.groupBy("image_id", "cy", "cx").agg(F.count("*").alias("n"))
-    return counted.join(frames, "image_id").where("cy between r0 and r1 and cx between c0 and c1").select("image_id", "cy", "cx", "n")
+    return counted.join(frames.hint("merge"), "image_id").where("cy between r0 and r1 and cx between c0 and c1").select("image_id", "cy", "cx", "n")
 
 
 def peaks(counted: DataFrame, least: int = VOTES) -> DataFrame:
@@ -52,7 +52,7 @@ def radii(centres: DataFrame, edges: DataFrame, low: int, high: int, least: int
     placed = edges.select("image_id", "r", "c", F.floor(F.col("r") / side).alias("_y"), F.floor(F.col("c") / side).alias("_x"))
     dy, dx = F.col("r") - F.col("cy"), F.col("c") - F.col("cx")
     far = F.rint(F.sqrt((dy * dy + dx * dx).cast("double"))).cast("int")
-    rings = dealt.join(placed, ["image_id", "_y", "_x"]).withColumn("radius", far).where(F.col("radius").between(low, high))
+    rings = dealt.join(placed.hint("merge"), ["image_id", "_y", "_x"]).withColumn("radius", far).where(F.col("radius").between(low, high))
     counted = rings.groupBy("image_id", "cy", "cx", "n", "radius").agg(F.count("*").alias("support"))
     best = counted.groupBy("image_id", "cy", "cx", "n").agg(F.max(F.struct("support", (-F.col("radius")).alias("_r"))).alias("_b"))
     return best.select("image_id", "cy", "cx", "n", (-F.col("_b._r")).alias("radius"), F.col("_b.support").alias("support")).where(F.col("support") >= least)
@@ -70,21 +70,21 @@ def apart(centres: DataFrame, distance: Column) -> DataFrame:
     right = ranked.withColumn("_y", F.explode(_cells(F.col("cy"), F.col("_side"), F.col("_side")))).withColumn("_x", F.explode(_cells(F.col("cx"), F.col("_side"), F.col("_side")))).select("image_id", F.col("id").alias("b"), "_far", "_y", "_x")
     dy, dx = F.col("a.cy") - F.col("b.cy"), F.col("a.cx") - F.col("b.cx")
     near = (F.col("a") < F.col("b")) & (F.sqrt((dy * dy + dx * dx).cast("double")) < F.col("_far"))
-    pairs = written(left.join(right, ["image_id", "_y", "_x"]).where(near).select("image_id", "a", "b"), "pairs")
+    pairs = written(left.join(right.hint("merge"), ["image_id", "_y", "_x"]).where(near).select("image_id", "a", "b"), "pairs")
     gone = None
     open_pairs = first = pairs
     while not open_pairs.isEmpty():
         # better ones that no better one is left for drop all within their reach
         beaten = open_pairs.select("image_id", F.col("b").alias("a"))
-        winners = open_pairs.join(beaten, ["image_id", "a"], "left_anti").select("image_id", "a").distinct()
-        losers = open_pairs.join(winners, ["image_id", "a"], "left_semi").select("image_id", "b").distinct()
+        winners = open_pairs.join(beaten.hint("merge"), ["image_id", "a"], "left_anti").select("image_id", "a").distinct()
+        losers = open_pairs.join(winners.hint("merge"), ["image_id", "a"], "left_semi").select("image_id", "b").distinct()
         earlier, gone = gone, written(losers if gone is None else gone.union(losers).distinct(), "gone")
-        after = first.join(gone, ["image_id", "b"], "left_anti").join(gone.withColumnRenamed("b", "a"), ["image_id", "a"], "left_anti")
+        after = first.join(gone.hint("merge"), ["image_id", "b"], "left_anti").join(gone.withColumnRenamed("b", "a").hint("merge"), ["image_id", "a"], "left_anti")
         before, open_pairs = open_pairs, written(after.select("image_id", "a", "b"), "pairs")
         for table in (earlier, before):
             if table is not None and table is not first:
                 dropped(table)
-    kept = ranked if gone is None else ranked.join(gone.withColumnRenamed("b", "id"), ["image_id", "id"], "left_anti")
+    kept = ranked if gone is None else ranked.join(gone.withColumnRenamed("b", "id").hint("merge"), ["image_id", "id"], "left_anti")
     return kept.select(*centres.columns)
 
 
@@ -93,7 +93,7 @@ def hough_circles(edges: DataFrame, frames: DataFrame, low: int, high: int, dist
 
     ``distance`` may use the columns of ``frames`` (``image_id, r0, r1, c0, c1``).
     """
-    centres = radii(peaks(ballots(edges, frames, low, high), votes), edges, low, high, votes).join(frames, "image_id")
+    centres = radii(peaks(ballots(edges, frames, low, high), votes), edges, low, high, votes).join(frames.hint("merge"), "image_id")
     return apart(centres, distance).select("image_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "radius", F.col("n").alias("votes"), "support")
 
 

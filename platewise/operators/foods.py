@@ -60,10 +60,10 @@ def find_circles(edges: DataFrame, frames: DataFrame, low: int, high: int) -> Da
 def drop_plates_near(plates: DataFrame, others: DataFrame) -> DataFrame:
     """Plates whose centre no other circle holds (strictly nearer than that circle's radius; truncated coordinates)."""
     cut = lambda k: F.col(k).cast("int")
-    held = plates.select("image_id", cut("x").alias("px"), cut("y").alias("py"), "x", "y").join(others.select("image_id", cut("x").alias("ox"), cut("y").alias("oy"), cut("radius").alias("od")), "image_id")
+    held = plates.select("image_id", cut("x").alias("px"), cut("y").alias("py"), "x", "y").join(others.select("image_id", cut("x").alias("ox"), cut("y").alias("oy"), cut("radius").alias("od")).hint("merge"), "image_id")
     dx, dy = F.col("px") - F.col("ox"), F.col("py") - F.col("oy")
     bad = held.where(dx * dx + dy * dy < F.col("od") * F.col("od")).select("image_id", "x", "y").distinct()
-    return plates.join(bad, ["image_id", "x", "y"], "left_anti").select(*plates.columns)
+    return plates.join(bad.hint("merge"), ["image_id", "x", "y"], "left_anti").select(*plates.columns)
 
 
 def find_plates(photo: DataFrame, bands: tuple[tuple[int, int], ...] = PLATE_BANDS) -> DataFrame:
@@ -76,8 +76,8 @@ def find_plates(photo: DataFrame, bands: tuple[tuple[int, int], ...] = PLATE_BAN
     first, second, third = (written(find_circles(*found, *band), "circles") for band in bands)
     left = written(_drop_holding(first, second), "plates")
     crowded = left.groupBy("image_id").count().where("count > 2").select("image_id")
-    thinned = drop_plates_near(left.join(crowded, "image_id", "left_semi"), third)
-    return hough.strongest(left.join(crowded, "image_id", "left_anti").unionByName(thinned), 2)
+    thinned = drop_plates_near(left.join(crowded.hint("merge"), "image_id", "left_semi"), third)
+    return hough.strongest(left.join(crowded.hint("merge"), "image_id", "left_anti").unionByName(thinned), 2)
 
 
 def _drop_holding(plates: DataFrame, others: DataFrame) -> DataFrame:

@@ -102,8 +102,8 @@ def drop_circles_holding(circles: DataFrame, others: DataFrame) -> DataFrame:
     dealt = _disc_cells(circles, F.col("radius"))
     centres = others.select("image_id", F.col("id").alias("bid"), F.col("x").cast("int").alias("bx"), F.col("y").cast("int").alias("by"))
     centres = centres.withColumns({"ty": F.floor(F.col("by") / CELL), "tx": F.floor(F.col("bx") / CELL)})
-    met = dealt.join(centres, ["image_id", "ty", "tx"]).where("id <> bid and (cx - bx) * (cx - bx) + (cy - by) * (cy - by) < cr * cr")
-    return circles.join(met.select("image_id", "id").distinct(), ["image_id", "id"], "left_anti").select(*circles.columns)
+    met = dealt.join(centres.hint("merge"), ["image_id", "ty", "tx"]).where("id <> bid and (cx - bx) * (cx - bx) + (cy - by) * (cy - by) < cr * cr")
+    return circles.join(met.select("image_id", "id").distinct().hint("merge"), ["image_id", "id"], "left_anti").select(*circles.columns)
 
 
 def _pixels_met(pixels: DataFrame, circles: DataFrame, scale: float) -> tuple[DataFrame, DataFrame, list[Column]]:

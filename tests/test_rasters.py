@@ -326,3 +326,10 @@ def test_edges_are_not_broadcast(spark):
     found = filters.edges(raster, "v", 50, 150)
     assert found.count() > 0
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_centres_and_edges_are_not_broadcast(spark):
+    edges = spark.range(300).selectExpr("0L image_id", "id % 30 r", "id div 10 c", "1.0D gx", "double(id % 3) gy")
+    centres = spark.range(9).selectExpr("0L image_id", "id cy", "id cx", "30L n")
+    plans = [circles.ballots(edges, filters.bounds(edges), 3, 4), circles.radii(centres, edges, 3, 4, 1)]
+    assert [p for p in plans if "BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString()] == []
