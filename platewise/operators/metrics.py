@@ -119,10 +119,11 @@ def evaluate(gt: DataFrame, pred: DataFrame, scopes: dict[str, str]) -> DataFram
 def leftover_sides(gt_before: DataFrame, gt_after: DataFrame, pred_before: DataFrame, pred_after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``pair_id, class_id, pos, gt_ratio`` of the true after-items and ``pair_id, class_id, pred_pos, our_ratio`` of the predicted ones (see ``leftover_ratios``)."""
     keys = ["pair_id", "class_id"]
-    last = gt_before.groupBy(*keys).agg(F.max_by("pixels", "pos").alias("gt_b"), F.lit(True).alias("has_b"))
-    first = pred_before.groupBy(*keys).agg(F.min_by("pixels", "pos").alias("our_b"))
+    counted = F.when(F.col("pixels").isNotNull(), F.col("pos"))
+    last = gt_before.groupBy(*keys).agg(F.max_by("pixels", counted).alias("gt_b"))
+    first = pred_before.groupBy(*keys).agg(F.min_by("pixels", counted).alias("our_b"))
     ratio = lambda a, b: F.when(F.col(b) == 0, F.when(F.col(a) == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col(a).cast("double") / F.when(F.col(b) == 0, 1).otherwise(F.col(b)))
-    true = gt_after.join(last, keys, "left").select(*keys, "pos", F.when(F.col("has_b").isNull(), 0.0).otherwise(ratio("pixels", "gt_b")).alias("gt_ratio"))
+    true = gt_after.join(last, keys, "left").select(*keys, "pos", F.when(F.col("gt_b").isNull(), 0.0).otherwise(ratio("pixels", "gt_b")).alias("gt_ratio"))
     ours = pred_after.join(first, keys).select(*keys, F.col("pos").alias("pred_pos"), ratio("pixels", "our_b").alias("our_ratio"))
     return true, ours
 
@@ -138,6 +139,8 @@ def leftover_ratios(gt_before: DataFrame, gt_after: DataFrame, pred_before: Data
     Inputs: ``pair_id, pos, class_id, pixels``.  The last true before-item of a
     class counts (0 ratio without one), each predicted after-item gives a row,
     the first predicted before-item counts; items without both predictions drop out.
+    Before-items of unknown size don't count; without another, the true ratio is 0
+    and the predicted one null.
     """
     rows = paired(*leftover_sides(gt_before, gt_after, pred_before, pred_after))
     return rows.withColumn("difference", F.abs(F.col("our_ratio") - F.col("gt_ratio")))

@@ -93,6 +93,12 @@ def test_leftovers(spark):
     assert got == {6: (0.25, 0.5, 0.25), 7: (0.0, 0.5, 0.5)}
 
 
+def test_leftovers_of_unknown_sizes(spark):
+    make = lambda rows: spark.createDataFrame(rows, "pair_id long, pos long, class_id int, pixels long")
+    found = metrics.leftover_ratios(make([(1, 1, 6, 50), (1, 2, 6, None), (1, 3, 7, None)]), make([(1, 1, 6, 25), (1, 2, 7, 5)]), make([(1, 1, 6, None), (1, 2, 6, 80), (1, 3, 7, None)]), make([(1, 1, 6, 40), (1, 2, 7, 5)])).collect()
+    assert {r.class_id: (r.gt_ratio, r.our_ratio, r.difference) for r in found} == {6: (0.5, 0.5, 0.0), 7: (0.0, None, None)}
+
+
 def test_arrays_and_paths(spark):
     row = spark.range(1).select(
         fn.bag_union(F.array(F.lit(1), F.lit(1)), F.array(F.lit(1))).alias("u"),
@@ -374,6 +380,18 @@ def test_leftover_lines_round_the_exact_value(spark):
     assert [x.split(" = ")[1] for x in lines] == [f"{4.681875:.6g}", f"{0.5890625:.6g}", f"{4.0928125:.6g}"] and lines[0].endswith("4.68187")
 
 
+def test_lines_have_the_digits_of_the_casts(spark):
+    pick = random.Random(4)
+    ties = [(2 * pick.randrange(500, 50_000) + 1) * 5 * 10.0 ** -pick.randrange(13, 18) for _ in range(500)]
+    values = [9.645e-10, 4.999994355735127e-13, 6.39445e-08, 4254.14, 8867.14, 66653.9, 0.0, 0.5, 2.5e-12, *ties, *(pick.uniform(-1, 1) * 10.0 ** pick.randrange(-14, 15) for _ in range(500))]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").select("k", sinks.digits(F.col("x"), through_double=True).alias("s")).sort("k").collect()
+    assert [r.s for r in got[:9]] == ["0.000000000964", "0", "0.000000063944", "4254.140000000001", "8867.139999999999", "66653.899999999992", "0", "0.5", "0.000000000003"]
+    places = [Decimal(float(f"{v:.5e}") * 1e12).quantize(Decimal(1), ROUND_HALF_UP) for v in values]
+    assert [Decimal(r.s) for r in got] == [p.scaleb(-12) for p in places]
+    ratios = spark.createDataFrame([(1, 6, 0, 2, 8867.14, 0.5, 9.645e-10)], "pair_id long, class_id int, pos int, pred_pos int, gt_ratio double, our_ratio double, difference double")
+    assert [r.line for r in sinks.leftover_lines(ratios).orderBy("n").collect()] == ["Food item 6 : our R_i = 0.5", "Food item 6 : gT R_i = 8867.139999999999", "Food item 6 : abs diff = 0.000000000964"]
+
+
 def test_lines_of_items(spark, scene):
     lines = {r.pos: r.line for r in sinks.iou_lines(metrics.first_match(*scene)).collect()}
     assert lines == {0: "Food 6, IoU = 0.821012", 1: "Food 1, IoU = 0.631233", 2: "Food 10, IoU = 0.638947", 3: "Food 13, IoU = 0.590611"}

@@ -33,3 +33,15 @@ def test_query_matches_sql(spark, con, name):
     assert sorted(want.columns) == order
     rows = [dict(zip(want.columns, r)) for r in want.fetchall()]
     assert plain([r.asDict() for r in got.collect()], order) == plain(rows, order)
+
+
+@pytest.mark.parametrize("name", ["leftover_ratio", "leftover_report"])
+def test_leftovers_match_sql_at_odd_sizes(spark, con, tmp_path, name):
+    size = "CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_partkey * 7919 % 100000 ELSE p_partkey * 31 % 50 END"
+    path = f"{tmp_path}/part.parquet"
+    con.sql(f"COPY (SELECT range AS p_partkey, CAST({size.replace('p_partkey', 'range')} AS INT) AS p_size FROM range(8000)) TO '{path}'")
+    got = QUERIES[name](spark, str(tmp_path))
+    order = sorted(got.columns)
+    want = con.sql(ORACLE_SQL[name].replace(" FROM part)", f" FROM '{path}')"))
+    rows = [dict(zip(want.columns, r)) for r in want.fetchall()]
+    assert len(rows) > 900 and plain([r.asDict() for r in got.collect()], order) == plain(rows, order)
